@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, and DuckDB SQL for those that SQL expresses."""
+"""The registered queries of this subpackage, and DuckDB SQL for those that SQL expresses on whole tables."""
 
 from __future__ import annotations
 
@@ -6,10 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rivulet.llm.bytebpe import op4_byte_bpe
+from rivulet.llm.licences import op10_license_scan
+from rivulet.llm.packing import op6_best_fit_packing
 from rivulet.llm.partenum import op8_ngram_jaccard_join
+from rivulet.llm.quality import op9_quality
+from rivulet.llm.tokenfiles import op3_orc_tokens
+from rivulet.llm.topk import op5_exact_top_k
+from rivulet.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_orc_tokens": op3_orc_tokens,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_exact_top_k": op5_exact_top_k,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_quality": op9_quality,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
+    """,
+}

@@ -1,8 +1,8 @@
 """Toxicity by cumulative-link ordinal regression.
 
-Features are the presence of words and of word beginnings (4 and 5 letters), hashed to 32 bits; those that labels set
-apart most are kept. Grades: 0 where labels.toxic is 0; among toxic documents 1 to 3 by thirds of how many distinct
-strongly toxic words they hold. One weight vector serves all grades, P(grade <= k) = sigmoid(threshold_k - w x); the
+Features are the presence of words and of word beginnings (4 and 5 letters), hashed to 32 bits; those that are
+STRONG_RATIO times as frequent in toxic documents, beyond chance, are kept. Grades: 0 where labels.toxic is 0; among toxic documents 1 to 3 by thirds of how many distinct
+kept features they hold. One weight vector serves all grades, P(grade <= k) = sigmoid(threshold_k - w x); the
 output is the expected grade, the likeliest one, P(grade >= 1), and toxic = 1 where that is TOXIC_AT or more.
 
 The model is fitted on at most TRAIN_ROWS labelled documents, the first by a hash of doc_id. Null and empty texts have no
@@ -26,7 +26,8 @@ from rivulet.llm.common import pieces, table
 
 TRAIN_ROWS, FEATURES, GRADES, TOXIC_AT = 8000, 512, 4, 0.4
 BEGINNINGS = (4, 5)
-LEAST_Z, STRONG_RATIO = 4.0, 8.0
+LEAST_DOCS = 6
+LEAST_Z, STRONG_RATIO = 7.0, 8.0
 WORDS_KEPT = 300_000
 SCORES = "doc_id long, expected_severity double, grade int, p_toxic double, toxic int"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -108,12 +109,11 @@ def train(rows: list[tuple[np.ndarray, int]]) -> Model:
     c0 = np.bincount(inverse[~toxic[owner]], minlength=len(all_ids))
     p1, p0, p = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1), (c1 + c0 + 1) / (n1 + n0 + 2)
     z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    z[c1 + c0 < 3] = 0
-    best = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
-    best = np.sort(best[np.abs(z[best]) >= LEAST_Z])
+    z[c1 < LEAST_DOCS] = 0
+    strong = (p1 / p0 >= STRONG_RATIO) & (z >= LEAST_Z)
+    best = np.sort(np.argsort(np.where(strong, -z, 0), kind="stable")[: min(FEATURES, int(strong.sum()))])
     place = np.full(len(all_ids), -1)
     place[best] = np.arange(len(best))
-    strong = (p1 / p0 >= STRONG_RATIO) & (z >= LEAST_Z)
     hits = np.bincount(owner[strong[inverse]], minlength=len(rows))
     y = np.zeros(len(rows), int)
     y[toxic] = 1 + np.searchsorted(np.quantile(hits[toxic], [1 / 3, 2 / 3]), hits[toxic], "left")
