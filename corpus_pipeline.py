@@ -1,29 +1,71 @@
-"""Corpus pipeline: quality, toxicity, near duplicates, personal data, packing."""
+"""Corpus pipeline: quality, toxicity, near duplicates, personal data, packing.
+
+Each stage takes what its predecessor kept and decides about every row of it. Rows with a null doc_id have no component
+and stay; repeated rows of one doc_id that stay are kept each. An empty table passes through as an empty table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rivulet.llm import pii, quality, toxicity
 from rivulet.llm.common import staged, table
+from rivulet.llm.packing import packed, word_lengths
 from rivulet.llm.partenum import ngram_jaccard_components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Documents whose quality score is below are rejected; good ones score near 1, so doubtful ones stay.
+REJECT_BELOW = 0.3
+
+
+def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in verdicts (doc_id). Only ids are shuffled where few are rejected."""
+    rejected = verdicts.select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; all labels may teach it here."""
+    stats = staged(quality.measured(docs), "pipeline")
+    scores = quality.score(stats, quality.fit(stats, table(spark, sf_dir, "labels")))
+    return _keep(docs, scores.where(F.col("score") < REJECT_BELOW))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _keep(docs, toxicity.score(docs, model).where("toxic = 1"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document with the least doc_id stays."""
+    return _keep(docs, ngram_jaccard_components(docs).where("component_id <> doc_id"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data become [kind]; n_chars is counted again."""
+    return pii.masked(docs).select(*COLUMNS)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each component."""
-    kept = ngram_jaccard_components(docs).where("component_id = doc_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document: its bin and place there."""
+    return packed(word_lengths(docs))
 
 
 STAGES = [
-    ("n-gram Jaccard join", near_duplicates),
+    ("quality classifier", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("PII", pii_stage),
+    ("best-fit packing", packing_stage),
 ]
+#: No SQL: trained models and packing; tests/llm compares the stages with brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for _, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), "pipeline")
     return docs

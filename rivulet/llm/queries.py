@@ -10,12 +10,16 @@ from rivulet.llm.bytebpe import op4_byte_bpe
 from rivulet.llm.licences import op10_license_scan
 from rivulet.llm.packing import op6_best_fit_packing
 from rivulet.llm.partenum import op8_ngram_jaccard_join
+from rivulet.llm.pii import op2_pii
 from rivulet.llm.quality import op9_quality
+from rivulet.llm.spotsigs import op1_spotsigs
 from rivulet.llm.tokenfiles import op3_orc_tokens
 from rivulet.llm.topk import op5_exact_top_k
 from rivulet.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spotsigs": op1_spotsigs,
+    "op2_pii": op2_pii,
     "op3_orc_tokens": op3_orc_tokens,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_top_k": op5_exact_top_k,
