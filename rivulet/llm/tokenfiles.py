@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import public_tokenizers
@@ -38,27 +39,48 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self._ids(MARK)
         assert len(self.mark) == 1
-        self.kept: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kept: dict[str, bytes] = {}  # by chunk
+        self.cores: dict[str, bytes] = {}  # by what stands before a chunk's last marks, and by these
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
     def learn(self, chunks: list[str]) -> None:
-        """Encode new chunks, many in one call."""
+        """Keep the ids of new chunks. Marks at a chunk's end are tokens of their own, so what stands before them is
+        encoded once; ASCII letters need no normalisation but lower case and go to the merges straight."""
         if len(self.kept) + len(chunks) > CHUNKS_KEPT:
             self.kept.clear()
-        plain = [c for c in chunks if MARK not in c]
+            self.cores.clear()
+        split = []
         for c in chunks:
-            if MARK in c:
-                self.kept[c] = self._ids(c).tobytes()
-        joined = [f" {MARK} ".join(plain[i : i + 256]) for i in range(0, len(plain), 256)]
+            core = c.rstrip(punctuation)
+            if not core or not core[-1].isalnum() or any(x in c for x in self.special):
+                split.append((c, c, ""))
+                continue
+            split.append((c, core.lower() if core.isascii() else core, c[len(core) :]))
+        self._learn_cores({x for _, core, tail in split for x in (core, tail)}.difference(self.cores))
+        for c, core, tail in split:
+            self.kept[c] = self.cores[core] + self.cores[tail]
+
+    def _learn_cores(self, cores: set[str]) -> None:
+        merge = self.tokenizer.model.tokenize
+        rest = []
+        for c in sorted(cores):
+            if c.isascii() and c.isalpha():
+                self.cores[c] = np.array([t.id for t in merge(c)], np.int32).tobytes()
+            elif MARK in c:
+                self.cores[c] = self._ids(c).tobytes()
+            else:
+                rest.append(c)
+        joined = [f" {MARK} ".join(rest[i : i + 256]) for i in range(0, len(rest), 256)]
         for at, got in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.array(got.ids, np.int32)
+            raw, own, start = ids.tobytes(), rest[at * 256 : at * 256 + 256], 0
             ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
-            own, start = plain[at * 256 : at * 256 + 256], 0
             assert len(ends) == len(own)
             for c, end in zip(own, ends, strict=True):
-                self.kept[c] = ids[start:end].tobytes()
+                self.cores[c] = raw[4 * start : 4 * end]
                 start = end + 1
 
     def encode(self, texts: list[str]) -> list[bytes]:
