@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from string import punctuation
+from unicodedata import category
 
 import numpy as np
 import public_tokenizers
@@ -32,6 +33,11 @@ ROW_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<i
 MARK = "\x01"
 
 
+def _stays(letter: str) -> bool:
+    """Whether the last letter before marks is one letter or number in every normal form, so that no mark joins it."""
+    return letter <= "\u024f" and len(letter.lower()) == 1 and category(letter)[0] in "LN"
+
+
 class ChunkEncoder:
     """Encodes texts by chunks between spaces and line ends, which the tokenizer drops and never merges across."""
 
@@ -55,7 +61,7 @@ class ChunkEncoder:
         split = []
         for c in chunks:
             core = c.rstrip(punctuation)
-            if not core or not core[-1].isalnum() or any(x in c for x in self.special):
+            if not core or not _stays(core[-1]) or any(x in c for x in self.special):
                 split.append((c, c, ""))
                 continue
             split.append((c, core.lower() if core.isascii() else core, c[len(core) :]))
