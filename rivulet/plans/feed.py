@@ -84,3 +84,85 @@ OUTBOX = f"""{FEED}, outbox AS (
         CASE WHEN id % 50 = 7 THEN 'ddl' ELSE 'dml' END AS event_family,
         CASE WHEN id % 50 <> 7 THEN '' WHEN id % 3 = 0 THEN 'database' WHEN id % 3 = 1 THEN 'table' ELSE 'column' END AS object_type
     FROM feed)"""
+
+
+def inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes as received: the outbox's, with statuses of the receiving side."""
+    i = F.col("id")
+    status = F.element_at(F.array(*map(F.lit, INBOX_STATUSES)), ((i * 5 + F.floor(i / 100) * 3 + F.floor(i / 700)) % 6 + 1).cast("int"))
+    status = F.when(F.col("batch_id") % 5 == 0, "applied").when(F.col("batch_id") % 7 == 3, F.when(i % 2 == 0, "failed").otherwise("dead")).otherwise(status)
+    return outbox(spark, sf_dir).withColumn("status", status)
+
+
+INBOX = f"""{OUTBOX}, inbox AS (
+    SELECT * REPLACE (CASE WHEN batch_id % 5 = 0 THEN 'applied' WHEN batch_id % 7 = 3 THEN CASE WHEN id % 2 = 0 THEN 'failed' ELSE 'dead' END
+        ELSE ({_LIST(INBOX_STATUSES)})[CAST((id * 5 + CAST(floor(id / 100) AS BIGINT) * 3 + CAST(floor(id / 700) AS BIGINT)) % 6 + 1 AS INTEGER)] END AS status)
+    FROM outbox)"""
+
+BATCH_STATUSES = ("ready", "sent", "acked", "failed", "sent")
+
+
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each hundred changes: batch_id, service_id, status, first_event_id, last_event_id, event_count, retry_count, built_at, sent_at."""
+    grouped = outbox(spark, sf_dir).groupBy("batch_id").agg(F.min("id").alias("first_event_id"), F.max("id").alias("last_event_id"), F.count("*").alias("event_count"), F.min("ts").alias("built_at"))
+    b = F.col("batch_id")
+    return grouped.select(
+        "batch_id",
+        (b % 4 + 1).alias("service_id"),
+        F.element_at(F.array(*map(F.lit, BATCH_STATUSES)), (b * 3 % 5 + 1).cast("int")).alias("status"),
+        "first_event_id",
+        "last_event_id",
+        "event_count",
+        (b % 5).cast("int").alias("retry_count"),
+        "built_at",
+        F.when(b % 3 != 0, F.col("built_at") + F.expr("INTERVAL 90 SECONDS")).alias("sent_at"),
+    )
+
+
+BATCHES = f"""{OUTBOX}, batches AS (
+    SELECT batch_id, batch_id % 4 + 1 AS service_id, ({_LIST(BATCH_STATUSES)})[CAST(batch_id * 3 % 5 + 1 AS INTEGER)] AS status,
+        min(id) AS first_event_id, max(id) AS last_event_id, count(*) AS event_count, CAST(batch_id % 5 AS INTEGER) AS retry_count,
+        min(ts) AS built_at, CASE WHEN batch_id % 3 <> 0 THEN min(ts) + INTERVAL 90 SECONDS END AS sent_at
+    FROM outbox GROUP BY batch_id)"""
+
+
+def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses of 40 services over time: id, service_id, service_type, payload (JSON), lag_seconds, collected_at."""
+    i = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, SERVICE_TYPES)), (i % 40 % 4 + 1).cast("int"))
+    lag = (i * 7 % 61).cast("string")
+    payload = (
+        F.when(i % 11 == 0, F.lit('{"installed": false}'))
+        .when(i % 11 == 1, F.lit('{"error": " broken pipe "}'))
+        .when(i % 11 == 2, F.lit('{"running": false, "lag_seconds": 3}'))
+        .when(i % 11 == 3, F.concat(F.lit('{"lag_seconds": "soon", "delay_seconds": '), lag, F.lit("}")))
+        .when(i % 2 == 0, F.concat(F.lit('{"replication_lag_seconds": '), lag, F.lit(', "running": true}')))
+        .otherwise(F.concat(F.lit('{"delay_seconds": '), lag, F.lit(', "message": "fine"}')))
+    )
+    return events(spark, sf_dir).select(i.alias("id"), (i % 40).alias("service_id"), kind.alias("service_type"), payload.alias("payload"), (i * 7 % 61).cast("int").alias("lag_seconds"), F.date_trunc("hour", F.col("ts").cast("timestamp_ntz")).cast("timestamp_ntz").alias("collected_at"))
+
+
+SERVICE_TYPES = ("mariadb", "mysql", "postgresql", "filesync")
+STATUS_LOG = f"""status_log AS (
+    SELECT event_id AS id, event_id % 40 AS service_id, ({_LIST(SERVICE_TYPES)})[CAST(event_id % 40 % 4 + 1 AS INTEGER)] AS service_type,
+        CASE WHEN event_id % 11 = 0 THEN '{{"installed": false}}' WHEN event_id % 11 = 1 THEN '{{"error": " broken pipe "}}'
+            WHEN event_id % 11 = 2 THEN '{{"running": false, "lag_seconds": 3}}'
+            WHEN event_id % 11 = 3 THEN '{{"lag_seconds": "soon", "delay_seconds": ' || CAST(event_id * 7 % 61 AS VARCHAR) || '}}'
+            WHEN event_id % 2 = 0 THEN '{{"replication_lag_seconds": ' || CAST(event_id * 7 % 61 AS VARCHAR) || ', "running": true}}'
+            ELSE '{{"delay_seconds": ' || CAST(event_id * 7 % 61 AS VARCHAR) || ', "message": "fine"}}' END AS payload,
+        CAST(event_id * 7 % 61 AS INTEGER) AS lag_seconds, date_trunc('hour', ts) AS collected_at
+    FROM events)"""
+
+
+def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stream positions over time: id, service_id, node_id (some null), direction, log_pos, updated_at."""
+    i = F.col("event_id")
+    direction = F.element_at(F.array(*map(F.lit, DIRECTIONS)), (i % 4 + 1).cast("int"))
+    return events(spark, sf_dir).select(i.alias("id"), (i % 9).alias("service_id"), (i % 5 + 1).alias("node_id"), direction.alias("direction"), (i * 100).alias("log_pos"), F.date_trunc("hour", F.col("ts").cast("timestamp_ntz")).cast("timestamp_ntz").alias("updated_at"))
+
+
+DIRECTIONS = ("capture", "shipper", "receiver", "applier")
+CHECKPOINTS = f"""checkpoints AS (
+    SELECT event_id AS id, event_id % 9 AS service_id, event_id % 5 + 1 AS node_id, ({_LIST(DIRECTIONS)})[CAST(event_id % 4 + 1 AS INTEGER)] AS direction,
+        event_id * 100 AS log_pos, date_trunc('hour', ts) AS updated_at
+    FROM events)"""
