@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rivulet.session import shipping
 
-MODULES = ("dedup", "ordered", "transport")
+MODULES = ("dedup", "ordered", "transport", "rules", "status")
 
 
 def _parts():
