@@ -198,8 +198,8 @@ ORACLE_SQL = {
         (SELECT count(*) FROM failovers WHERE status IN ('ready', 'running')) AS active_failovers, (SELECT count(*) FROM batches WHERE batch_id % 3 = 0) AS locked_objects""",
     "replication_status": f"WITH {STATUS_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY service_id ORDER BY id DESC) AS n FROM status_log) SELECT service_id, service_type, {_STATE} AS status, {_LAG} AS lag_seconds, {_ERROR} AS last_error FROM r WHERE n = 1",
     "replication_status_counts": f"WITH {STATUS_LOG} SELECT service_type, {_STATE} AS status, count(*) AS reports FROM status_log GROUP BY 1, 2",
-    "node_health": f"""WITH {NODE_STATUS.cte}, p AS (SELECT node_id, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM node_status), s AS (SELECT node_id, unnest(map_values(CAST(json_extract(j, '$.services') AS MAP(VARCHAR, STRUCT(installed BOOLEAN, running BOOLEAN))))) AS v FROM p WHERE json_extract(j, '$.services') IS NOT NULL)
-        SELECT node_id, CASE WHEN j IS NULL OR EXISTS (SELECT 1 FROM s WHERE s.node_id = p.node_id AND coalesce(v.installed, true) AND v.running = false) THEN 'degraded' ELSE 'online' END AS status FROM p""",
+    "node_health": f"""WITH {NODE_STATUS.cte}, p AS (SELECT node_id, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM node_status), s AS (SELECT node_id, unnest(map_values(CAST(json_extract(j, '$.services') AS MAP(VARCHAR, MAP(VARCHAR, BOOLEAN))))) AS v FROM p WHERE json_extract(j, '$.services') IS NOT NULL)
+        SELECT node_id, CASE WHEN j IS NULL OR EXISTS (SELECT 1 FROM s WHERE s.node_id = p.node_id AND coalesce(v['installed'], true) AND v['running'] = false) THEN 'degraded' ELSE 'online' END AS status FROM p""",
     "journal": """WITH a AS (SELECT 'audit' AS kind, event_id AS id, date_trunc('hour', ts) AS created_at, '] AUDIT ' || CASE WHEN event_id % 2 = 0 THEN 'INFO' ELSE 'ERROR' END || ' | ' || event_type || ' | node=' || CASE WHEN event_id % 5 <> 0 THEN 'n' || (event_id % 4) ELSE '-' END || ' | user ' || user_id AS t FROM events WHERE event_id % 3 = 0 ORDER BY 3 DESC, 2 DESC LIMIT 10),
         b AS (SELECT 'action' AS kind, event_id AS id, date_trunc('hour', ts) AS created_at, '] ACTION SUCCESS | node.ping | node=- | duration=' || (event_id % 900) || 'ms' AS t FROM events WHERE event_id % 3 = 1 ORDER BY 3 DESC, 2 DESC LIMIT 10)
         SELECT kind, id, created_at, '[' || strftime(created_at, '%Y-%m-%d %H:%M:%S') || t AS line FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""",
