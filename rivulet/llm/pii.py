@@ -21,6 +21,7 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS, LEAST_SEEDS, CONFIDENT, ACCEPT = 3, 3, 0.6, 0.6
 #: Up to so many patterns (80 bytes each) are broadcast to count them in the texts; above that they are shuffled.
 BROADCAST_PATTERNS = 100_000
+SHARES = (1, 8, 64)  # bounds of the shares of the texts, of so many by hash, in which patterns are counted
 LEFT = 64  # code points looked at before an instance
 _SPACE = "\\x20\\x09-\\x0D"
 #: The base patterns in a form that runs in linear time: possessive where nothing can be given back, and starting only
@@ -94,13 +95,34 @@ def _instances(hits: DataFrame) -> DataFrame:
     return placed.where(alone).select("row", "kind", "start", "end", "surface", _pattern().alias("pattern"))
 
 
-def _totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, total): occurrences of the patterns in the texts, before whatever word."""
+def _counted(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, more): occurrences of the patterns in the texts, before whatever word."""
     few = patterns.count() <= BROADCAST_PATTERNS
+    names = patterns.select("pattern")
     words = F.filter(F.split(F.lower("text"), f"[{_SPACE}]+"), lambda w: w != "")
     pairs = docs.select(words.alias("w")).where(F.size("w") > 2)
     pairs = pairs.select(F.explode(F.zip_with(F.slice("w", 1, F.size("w") - 2), F.slice("w", 2, F.size("w") - 2), lambda a, b: F.concat(a, F.lit(" "), b))).alias("pattern"))
-    return pairs.join(F.broadcast(patterns) if few else patterns, "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
+    return pairs.join(F.broadcast(names) if few else names, "pattern").groupBy("pattern").agg(F.count("*").alias("more"))
+
+
+def _totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, total, complete) of the patterns (pattern, n), n the most seeds of a kind that they stand before.
+
+    Every text is counted, in SHARES one after the other. A pattern whose count so far already keeps n below CONFIDENT
+    of it cannot recover and takes no part in later shares: its total is a lower bound (not complete).
+    """
+    share = F.pmod(F.xxhash64("text"), F.lit(SHARES[-1]))
+    left = patterns.select("pattern", "n", F.lit(0).cast("long").alias("total"))
+    out: DataFrame | None = None
+    for low, high in zip((0, *SHARES), SHARES, strict=False):
+        more = _counted(docs.where((share >= low) & (share < high)), left)
+        now = left.join(more, "pattern", "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0))).drop("more")
+        now = staged(now.withColumn("open", F.col("n") >= CONFIDENT * (F.col("total") + 1)), "pii")
+        last = high == SHARES[-1]
+        done = now.select("pattern", "total", F.lit(last).alias("complete")).where(F.lit(last) | ~now["open"])
+        out = done if out is None else out.unionByName(done)
+        left = now.where("open").drop("open")
+    return out
 
 
 def _discovered(docs: DataFrame, instances: DataFrame) -> DataFrame | None:
@@ -114,10 +136,14 @@ def _discovered(docs: DataFrame, instances: DataFrame) -> DataFrame | None:
         each = own.groupBy("kind", "pattern", "surface").agg(F.count("*").alias("n"))
         votes = each.groupBy("kind", "pattern").agg(F.count("*").alias("different"), F.sum("n").alias("n")).where(F.col("different") >= LEAST_SEEDS)
         votes = staged(votes, "pii")
-        names = votes.select("pattern").distinct() if totals is None else votes.select("pattern").distinct().join(totals, "pattern", "left_anti")
+        names = votes.groupBy("pattern").agg(F.max("n").alias("n"))
+        if totals is not None:  # what is not complete and could be confident by the seeds of this round is counted again
+            known = names.join(totals, "pattern").where(F.col("complete") | (F.col("n") < CONFIDENT * (F.col("total") + 1)))
+            names = names.join(known.select("pattern"), "pattern", "left_anti")
+        names = staged(names, "pii")
         if not names.isEmpty():
             more = _totals(docs, names)
-            totals = staged(more if totals is None else totals.unionByName(more), "pii")
+            totals = staged(more if totals is None else totals.join(names, "pattern", "left_anti").unionByName(more), "pii")
         if totals is None:
             break
         sure = votes.join(totals, "pattern").withColumn("confidence", F.col("n") / (F.col("total") + 1)).where(F.col("confidence") >= CONFIDENT)
