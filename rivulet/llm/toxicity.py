@@ -1,8 +1,8 @@
 """Toxicity by cumulative-link ordinal regression.
 
-Features are the presence of words and of word beginnings (4 and 5 letters), hashed to 32 bits; those that are
-STRONG_RATIO times as frequent in toxic documents, beyond chance, are kept. Grades: 0 where labels.toxic is 0; among toxic documents 1 to 3 by thirds of how many distinct
-kept features they hold. One weight vector serves all grades, P(grade <= k) = sigmoid(threshold_k - w x); the
+Features are the presence of words and of word beginnings (4 to 8 letters), hashed to 32 bits; those that are
+STRONG_RATIO times as frequent in toxic documents, beyond chance, are kept. Grades: 0 where labels.toxic is 0; among
+toxic documents 1 to 3 by thirds of how many kept features they hold. One weight vector serves all grades, P(grade <= k) = sigmoid(threshold_k - w x); the
 output is the expected grade, the likeliest one, P(grade >= 1), and toxic = 1 where that is TOXIC_AT or more.
 
 The model is fitted on at most TRAIN_ROWS labelled documents, the first by a hash of doc_id. Null and empty texts have no
@@ -22,12 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import pieces, table
+from rivulet.llm.common import pieces, staged, table
 
 TRAIN_ROWS, FEATURES, GRADES, TOXIC_AT = 8000, 512, 4, 0.4
-BEGINNINGS = (4, 5)
-LEAST_DOCS = 6
-LEAST_Z, STRONG_RATIO = 7.0, 8.0
+BEGINNINGS = (4, 5, 6, 7, 8)
+LEAST_DOCS = 5
+LEAST_Z, STRONG_RATIO = 5.0, 6.0
 WORDS_KEPT = 300_000
 SCORES = "doc_id long, expected_severity double, grade int, p_toxic double, toxic int"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -96,47 +96,66 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, l2: float =
     return p[:d], p[d] + np.r_[0, np.cumsum(np.exp(p[d + 1 :]))]
 
 
-def train(rows: list[tuple[np.ndarray, int]]) -> Model:
-    """From (feature ids, toxic) of labelled documents."""
-    toxic = np.array([t for _, t in rows], bool)
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    if not n1 or not n0:
-        at = 50.0 if not n1 else -50.0
-        return Model(np.empty(0, np.uint32), np.empty(0), at + np.arange(GRADES - 1.0))
-    all_ids, inverse = np.unique(np.concatenate([f for f, _ in rows]), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
-    c1 = np.bincount(inverse[toxic[owner]], minlength=len(all_ids))
-    c0 = np.bincount(inverse[~toxic[owner]], minlength=len(all_ids))
-    p1, p0, p = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1), (c1 + c0 + 1) / (n1 + n0 + 2)
-    z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    z[c1 < LEAST_DOCS] = 0
-    strong = (p1 / p0 >= STRONG_RATIO) & (z >= LEAST_Z)
-    best = np.sort(np.argsort(np.where(strong, -z, 0), kind="stable")[: min(FEATURES, int(strong.sum()))])
-    place = np.full(len(all_ids), -1)
-    place[best] = np.arange(len(best))
-    hits = np.bincount(owner[strong[inverse]], minlength=len(rows))
+def train(ids: np.ndarray, rows: list[tuple[np.ndarray, int]]) -> Model:
+    """From the kept feature ids (sorted) and (ids among them, toxic 0 or 1) of labelled documents of both kinds."""
+    place = {int(x): i for i, x in enumerate(ids)}
+    x = np.zeros((len(rows), len(ids)), np.float32)
+    for i, (found, _) in enumerate(rows):
+        x[i, [place[int(f)] for f in found]] = 1
+    toxic, hits = np.array([t for _, t in rows], bool), x.sum(axis=1)
     y = np.zeros(len(rows), int)
     y[toxic] = 1 + np.searchsorted(np.quantile(hits[toxic], [1 / 3, 2 / 3]), hits[toxic], "left")
-    x = np.zeros((len(rows), len(best)), np.float32)
-    kept = place[inverse] >= 0
-    x[owner[kept], place[inverse][kept]] = 1
     weights, cuts = fit_ordinal(x, y)
-    return Model(all_ids[best], weights, cuts)
+    return Model(ids, weights, cuts)
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         raw = [features(t).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.record_batch([pa.array(raw, pa.binary()), batch.column("toxic").cast(pa.int32())], ["ids", "toxic"])
+        yield pa.record_batch([pa.array(raw, pa.binary()), batch.column("toxic")], ["ids", "toxic"])
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "ids"):
+        found = [np.frombuffer(x, np.uint32) for x in batch.column("ids").to_pylist()]
+        toxic = np.repeat(np.asarray(batch.column("toxic")), [len(x) for x in found])
+        if len(toxic):
+            yield pa.record_batch([pa.array(np.concatenate(found).astype(np.int64)), pa.array(toxic, pa.int32())], ["id", "toxic"])
+
+
+def strong(counts: DataFrame, n1: int, n0: int) -> DataFrame:
+    """The (id, z) of counts (id, c1, c0) that toxic documents hold far more often, the FEATURES clearest."""
+    p1, p0 = (F.col("c1") + 0.5) / (n1 + 1), (F.col("c0") + 0.5) / (n0 + 1)
+    p = (F.col("c1") + F.col("c0") + 1) / (n1 + n0 + 2)
+    z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    clear = counts.where(F.col("c1") >= LEAST_DOCS).select("id", z.alias("z")).where((F.col("z") >= LEAST_Z) & (p1 / p0 >= STRONG_RATIO))
+    return clear.orderBy(F.desc("z"), "id").limit(FEATURES)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on the labelled documents with the least hashes of doc_id, rows at most; equal feature sets count once."""
+    """Fit on the labelled documents with the least hashes of doc_id, rows at most; equal feature sets count once.
+
+    Features are counted in Spark; the driver gets FEATURES of them and, for each training row, those it holds.
+    """
     order = F.xxhash64(F.col("doc_id").cast("long"))
-    chosen = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").distinct().orderBy(order, "doc_id").limit(rows)
+    label = (F.col("toxic") != 0).cast("int").alias("toxic")
+    chosen = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), label).distinct().orderBy(order, "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # rows * 12 bytes at most
-    got = texts.select("text", "toxic").mapInArrow(_featured, "ids binary, toxic int").distinct().limit(2 * rows).collect()
-    return train(sorted(((np.frombuffer(r.ids, np.uint32), int(r.toxic != 0)) for r in got), key=lambda r: (r[0].tobytes(), r[1])))
+    held = staged(texts.select("text", "toxic").mapInArrow(_featured, "ids binary, toxic int").distinct(), "toxicity")
+    n = {r.toxic: r.n for r in held.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        at = -50.0 if 1 in n else 50.0
+        return Model(np.empty(0, np.uint32), np.empty(0), at + np.arange(GRADES - 1.0))
+    counts = held.mapInArrow(_exploded, "id long, toxic int").groupBy("id").agg(F.sum("toxic").alias("c1"), F.sum(1 - F.col("toxic")).alias("c0"))
+    ids = np.array(sorted(r.id for r in strong(counts, n[1], n[0]).collect()), np.uint32)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [np.intersect1d(np.frombuffer(x, np.uint32), ids).tobytes() for x in batch.column("ids").to_pylist()]
+            yield pa.record_batch([pa.array(raw, pa.binary()), batch.column("toxic")], ["ids", "toxic"])
+
+    got = sorted((bytes(r.ids), r.toxic) for r in held.mapInArrow(kept, "ids binary, toxic int").collect())  # rows at most
+    return train(ids, [(np.frombuffer(x, np.uint32), t) for x, t in got])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
