@@ -49,17 +49,22 @@ def numbered(df: DataFrame, order: str, name: str, by: tuple[str, ...] = (), wid
     return running_sum(df, F.lit(1), order, name, by, width)
 
 
+def carried_all(df: DataFrame, values: dict[str, Column], order: str, by: tuple[str, ...] = (), width: int = WIDTH, inclusive: bool = True) -> DataFrame:
+    """df with, for each name, the last of its values that is not null, up to this row or (not inclusive) before it."""
+    keys = (*by, _B)
+    rows = _blocked(df, order, width).withColumns({f"_v_{n}": v for n, v in values.items()})
+    ends = [F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(f"_end_{n}") for n in values]
+    blocks = rows.groupBy(*keys).agg(*ends)
+    before = blocks.select(*keys, *(F.last(f"_end_{n}", ignorenulls=True).over(_earlier(by)).alias(f"_before_{n}") for n in values))
+    local = _inside(by, order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = _with_blocks(rows.withColumns({f"_local_{n}": F.last(f"_v_{n}", ignorenulls=True).over(local) for n in values}), before, by)
+    out = out.withColumns({n: F.coalesce(f"_local_{n}", f"_before_{n}") for n in values})
+    return out.drop(_B, *(f"{k}{n}" for n in values for k in ("_v_", "_local_", "_before_")))
+
+
 def carried(df: DataFrame, value: Column, order: str, name: str, by: tuple[str, ...] = (), width: int = WIDTH, inclusive: bool = True) -> DataFrame:
-    """df with the last value that is not null, up to this row or (not inclusive) before it."""
-    rows = _blocked(df, order, width).withColumn("_v", value)
-    ends = rows.where("_v is not null").groupBy(*by, _B).agg(F.max_by("_v", order).alias("_end"))
-    blocks = rows.select(*by, _B).distinct()
-    named = ends.select(*(F.col(k).alias(f"_e_{k}") for k in (*by, _B)), "_end")
-    blocks = blocks.join(named, [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in (*by, _B)], "left").select(*by, _B, "_end")
-    before = blocks.withColumn("_before", F.last("_end", ignorenulls=True).over(_earlier(by))).drop("_end")
-    local = F.last("_v", ignorenulls=True).over(_inside(by, order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    out = _with_blocks(rows.withColumn("_local", local), before, by)
-    return out.withColumn(name, F.coalesce("_local", "_before")).drop("_v", "_local", "_before", _B)
+    """carried_all() of one value."""
+    return carried_all(df, {name: value}, order, by, width, inclusive)
 
 
 def wagons(events: DataFrame, keys: list[str], most: int, order: str = "id", width: int = WIDTH) -> DataFrame:

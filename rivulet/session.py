@@ -5,11 +5,23 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a local one only if that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="rivulet-"))
+        shared = _OWN[0]
+    return f"{shared.rstrip('/')}/rivulet/{name}-{uuid.uuid4().hex}"
 
 
 def session(app: str = "rivulet", **conf: str) -> SparkSession:
