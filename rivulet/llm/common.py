@@ -59,11 +59,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches of fewer rows, so that what a step makes of them stays small."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows and, beyond one row, of fewer bytes, so that what a step makes of them stays small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        start = 0
+        while start < batch.num_rows:
+            n = min(rows, batch.num_rows - start)
+            while n > 1 and batch.slice(start, n).nbytes > size:
+                n //= 2
+            yield batch.slice(start, n)
+            start += n
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

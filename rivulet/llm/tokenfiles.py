@@ -10,27 +10,33 @@ themselves is by text. An empty table gives files without rows. Other columns ar
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from string import punctuation
-from unicodedata import category
+from unicodedata import category, normalize
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
-from rivulet.llm.bytebpe import lists_of
 from rivulet.llm.common import pieces, scratch, shuffle_parts, table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
-CHUNKS_KEPT = 400_000  # encoded chunks that a worker remembers
+CHUNKS_KEPT = 250_000  # encoded chunks that a worker remembers
 ROW_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 #: Separates chunks that are encoded together; a chunk that holds it is encoded alone.
 MARK = "\x01"
+#: Latin letters that are one letter in every normal form and in lower case.
+_LETTERS = [c for c in map(chr, range(0x250)) if category(c)[0] == "L" and len(c.lower()) == 1 and normalize("NFC", c) == c]
+_WORD = re.compile(f"[{''.join(_LETTERS)}]+").fullmatch
 
 
 def _stays(letter: str) -> bool:
@@ -46,7 +52,9 @@ class ChunkEncoder:
         self.mark = self._ids(MARK)
         assert len(self.mark) == 1
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}  # by chunk
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes_of = str.maketrans({c: level.pre_tokenize_str(c.lower())[0][0] for c in _LETTERS})
+        self.kept: dict[str, bytes] = {"": b""}  # by chunk
         self.cores: dict[str, bytes] = {}  # by what stands before a chunk's last marks, and by these
 
     def _ids(self, text: str) -> np.ndarray:
@@ -54,27 +62,29 @@ class ChunkEncoder:
 
     def learn(self, chunks: list[str]) -> None:
         """Keep the ids of new chunks. Marks at a chunk's end are tokens of their own, so what stands before them is
-        encoded once; ASCII letters need no normalisation but lower case and go to the merges straight."""
+        encoded once; plain words need no normalisation but lower case and go to the merges straight."""
         if len(self.kept) + len(chunks) > CHUNKS_KEPT:
-            self.kept.clear()
-            self.cores.clear()
+            self.kept = {"": b""}
+            self.cores = {}
         split = []
         for c in chunks:
             core = c.rstrip(punctuation)
-            if not core or not _stays(core[-1]) or any(x in c for x in self.special):
-                split.append((c, c, ""))
-                continue
-            split.append((c, core.lower() if core.isascii() else core, c[len(core) :]))
-        self._learn_cores({x for _, core, tail in split for x in (core, tail)}.difference(self.cores))
+            if not core or len(core) == len(c) or not _stays(core[-1]) or ("<" in c and any(x in c for x in self.special)):
+                split.append((c, c, None))
+            else:
+                split.append((c, core, c[len(core) :]))
+        new = {core for _, core, _ in split}
+        new.update(tail for _, _, tail in split if tail)
+        self._learn_cores(new.difference(self.cores))
+        cores = self.cores
         for c, core, tail in split:
-            self.kept[c] = self.cores[core] + self.cores[tail]
+            self.kept[c] = cores[core] + cores[tail] if tail else cores[core]
 
     def _learn_cores(self, cores: set[str]) -> None:
-        merge = self.tokenizer.model.tokenize
-        rest = []
-        for c in sorted(cores):
-            if c.isascii() and c.isalpha():
-                self.cores[c] = np.array([t.id for t in merge(c)], np.int32).tobytes()
+        merge, table, rest = self.tokenizer.model.tokenize, self.bytes_of, []
+        for c in cores:
+            if _WORD(c):
+                self.cores[c] = array("i", [t.id for t in merge(c.translate(table))]).tobytes()
             elif MARK in c:
                 self.cores[c] = self._ids(c).tobytes()
             else:
@@ -89,15 +99,27 @@ class ChunkEncoder:
                 self.cores[c] = raw[4 * start : 4 * end]
                 start = end + 1
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = {c for chunks in split for c in chunks}.difference(self.kept)
-        if new:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many are each text's; null is empty."""
+        texts = texts.fill_null("")
+        for end in "\n\t\r":
+            texts = pc.replace_substring(texts, end, " ")
+        lists = pc.split_pattern(texts, " ")
+        chunks = lists.flatten().dictionary_encode()
+        words = chunks.dictionary.to_pylist()
+        if new := [w for w in words if w not in self.kept]:
             if len(self.kept) + len(new) > CHUNKS_KEPT:
-                new = {c for chunks in split for c in chunks}
-            self.learn(sorted(new))
-        get = self.kept.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+                new = words
+            self.learn(new)
+        raw = list(map(self.kept.__getitem__, words))
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        at = np.asarray(chunks.indices)
+        each, start = size[at], (np.cumsum(size) - size)[at]
+        ends = np.cumsum(each)
+        place = np.repeat(start - ends + each, each)
+        place += np.arange(len(place))
+        rows = np.cumsum(pc.list_value_length(lists).to_numpy())
+        return np.frombuffer(b"".join(raw), np.int32)[place], np.diff(ends[rows - 1], prepend=0)
 
 
 _LOADED: dict[str, ChunkEncoder] = {}
@@ -114,14 +136,15 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     n = shuffle_parts(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, start, end = TaskContext.get().partitionId(), 0, np.array([end_id], np.int32).tobytes()
+        part, start = TaskContext.get().partitionId(), 0
         own = encoder(path)
         for batch in pieces(batches):
-            raw = [x + end for x in own.encode([t or "" for t in batch.column("text").to_pylist()])]
-            sizes = np.array([len(x) // 4 for x in raw], np.int64)
+            ids, sizes = own.encode(batch.column("text"))
+            ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
             before = start + np.cumsum(sizes) - sizes
             start += int(sizes.sum())
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(np.full(len(raw), part, np.int32)), pa.array(before), pa.array(sizes), lists_of(raw)], ["doc_id", "part", "part_start", "n_tokens", "ids"])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids))
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(np.full(len(sizes), part, np.int32)), pa.array(before), pa.array(sizes), lists], ["doc_id", "part", "part_start", "n_tokens", "ids"])
 
     rows = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return rows.mapInArrow(run, ROW_SCHEMA)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,11 +63,12 @@ def texts_of(df):
 def test_word_ids(spark):
     texts = [t or "" for t in ODD] + fuzzed(1500, 1)
     own = tokenfiles.ChunkEncoder(tokenfiles.public_tokenizers.path(tokenfiles.TOKENIZER))
-    import numpy as np
-
-    for t, want in zip(texts, brute.word_ids(texts), strict=True):
-        got = np.frombuffer(own.encode([t])[0], np.int32).tolist() + [1]
-        assert got == want, repr(t)
+    ids, sizes = own.encode(pa.array(texts))
+    assert len(sizes) == len(texts)
+    start = 0
+    for t, n, want in zip(texts, sizes.tolist(), brute.word_ids(texts), strict=True):
+        assert ids[start : start + n].tolist() + [1] == want, repr(t)
+        start += n
 
 
 def test_token_files(spark, small):
