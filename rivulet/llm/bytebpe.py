@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from rivulet.llm.common import pieces, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-LEAF = 48  # bytes that are merged without halving
+LEAF = 32  # bytes that are merged without halving
 PIECES_KEPT = 300_000  # encoded matches that a worker remembers
 _NONE = 1 << 60
 
@@ -44,6 +45,10 @@ class ByteBPE:
         self.find = regex.compile(pattern).findall
         self.kept: dict[str, bytes] = {}
         self.fits_kept: dict[tuple[int, int], bool] = {}
+        get = self.ranks.get
+        self.byte_ids = np.array([get(bytes([i]), -1) for i in range(256)])
+        made = [(a * len(self.tokens) + b, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None]
+        self.pairs, self.made = np.array(sorted(made)).reshape(-1, 2).T.copy()  # which two tokens make which
 
     def merge(self, data: bytes) -> list[int]:
         """Repeatedly merge the adjacent pair of least rank, the leftmost of equals."""
@@ -106,6 +111,52 @@ class ByteBPE:
                 return a[:low] + window + b[high:]
             width *= 2
 
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """merge() of many leaves at once, as bytes of 32-bit ids: in each round every word merges its first pair of
+        least rank, and words without one are done."""
+        done = [b""] * len(words)
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        token = self.byte_ids[flat]
+        rank = self.pair_ranks(token, owner)
+        while len(token):
+            start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            least = np.minimum.reduceat(rank, start)
+            over = least == _NONE
+            if over.any():
+                ends = np.r_[start[1:], len(token)]
+                raw = token.astype(np.int32).tobytes()
+                for i in np.flatnonzero(over).tolist():
+                    done[owner[start[i]]] = raw[4 * start[i] : 4 * ends[i]]
+                keep = np.repeat(~over, ends - start)
+                token, owner, rank = token[keep], owner[keep], rank[keep]
+                least = least[~over]
+                start = np.cumsum(np.r_[0, (ends - start)[~over]])[:-1]
+                if not len(token):
+                    break
+            size = np.diff(np.r_[start, len(token)])
+            at = np.flatnonzero(rank == np.repeat(least, size))
+            at = at[np.r_[True, owner[at[1:]] != owner[at[:-1]]]]  # the first of each word
+            token[at] = rank[at]
+            keep = np.ones(len(token), bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))  # places after the right tokens are gone
+            token, owner, rank = token[keep], owner[keep], rank[keep]
+            for near in (at, at[at > 0] - 1):
+                rank[near] = self.pair_ranks(token, owner, near)
+        return done
+
+    def pair_ranks(self, token: np.ndarray, owner: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Rank of each token (or those at places) with the next one of its word; _NONE if they make no token."""
+        at = np.arange(len(token)) if at is None else at
+        out = np.full(len(at), _NONE)
+        inner = np.flatnonzero(at + 1 < len(token))
+        inner = inner[owner[at[inner]] == owner[at[inner] + 1]]
+        key = token[at[inner]] * len(self.tokens) + token[at[inner] + 1]
+        place = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        out[inner] = np.where(self.pairs[place] == key, self.made[place], _NONE)
+        return out
+
     def tree(self, data: bytes) -> list[int]:
         if len(data) <= LEAF:
             return self.merge(data)
@@ -115,20 +166,32 @@ class ByteBPE:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def piece(self, text: str) -> bytes:
-        """Ids of one match as 32-bit integers; a match that is a token itself is that token."""
-        data = text.encode()
-        whole = self.ranks.get(data)
-        out = np.array(self.tree(data) if whole is None else [whole], np.int32).tobytes()
-        if len(self.kept) >= PIECES_KEPT:
-            self.kept.clear()
-        if len(text) < 64:
-            self.kept[text] = out
-        return out
-
-    def encode(self, text: str) -> bytes:
-        get, piece = self.kept.get, self.piece
-        return b"".join([get(m) or piece(m) for m in self.find(text)])
+    def learn(self, matches: set[str]) -> None:
+        """Keep the ids of new matches; a match that is a token itself is that token."""
+        if len(self.kept) + len(matches) > PIECES_KEPT:
+            self.kept = {}
+        small = []
+        for m in matches:
+            data = m.encode()
+            whole = self.ranks.get(data)
+            if whole is not None:
+                self.kept[m] = array("i", [whole]).tobytes()
+            elif len(data) <= LEAF:
+                small.append((m, data))
+            else:
+                self.kept[m] = array("i", self.tree(data)).tobytes()
+        for (m, _), ids in zip(small, self.merge_all([d for _, d in small]), strict=True):
+            self.kept[m] = ids
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit integers."""
+        found = [self.find(t) for t in texts]
+        matches = set().union(*found)
+        new = matches.difference(self.kept)
+        if new:
+            self.learn(matches if len(self.kept) + len(new) > PIECES_KEPT else new)
+        get = self.kept.__getitem__
+        return [b"".join(map(get, f)) for f in found]
 
 
 _LOADED: dict[tuple[str, str], ByteBPE] = {}
@@ -162,8 +225,8 @@ def encode(df: DataFrame, path: str, pattern: str, column: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(path, pattern)
-        for batch in pieces(batches):
-            yield with_column(batch, "ids", lists_of([coder.encode(t) if t else b"" for t in batch.column(column).to_pylist()]))
+        for batch in pieces(batches, column, size=2 << 20):
+            yield with_column(batch, "ids", lists_of(coder.encode([t or "" for t in batch.column(column).to_pylist()])))
 
     return df.mapInArrow(run, _schema(df, "ids", T.ArrayType(T.IntegerType())))
 
