@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,9 +13,14 @@ def business_signature(*columns: str, position: tuple[str, ...] = ()) -> Column:
 
 
 def exact_duplicates(events: DataFrame, signature: Column, id_col: str = "id") -> DataFrame:
-    """events with signature and survivor (the least id of its signature)."""
+    """events with signature and survivor_id (the least id of its signature).
+
+    The least ids come from an aggregation with map-side combining and return by an equality join, which adaptive
+    execution splits where one signature holds very many events; a window would put them all into one task.
+    """
     own = events.withColumn("signature", signature)
-    return own.withColumn("survivor_id", F.min(id_col).over(Window.partitionBy("signature")))
+    least = own.groupBy("signature").agg(F.min(id_col).alias("survivor_id"))
+    return own.join(least, "signature").select(*events.columns, "signature", "survivor_id")
 
 
 def key_histories(events: DataFrame, key: str = "pk", id_col: str = "id", op: str = "op") -> DataFrame:

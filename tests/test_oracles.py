@@ -2,6 +2,7 @@
 
 import importlib
 import math
+import os
 from collections import Counter
 from pathlib import Path
 
@@ -10,7 +11,7 @@ import pytest
 
 from rivulet import registry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
 def normal(value):
