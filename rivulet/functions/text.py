@@ -62,7 +62,20 @@ def first_key(row: Column) -> Column:
 
 
 def elapsed_label(seconds: Column) -> Column:
-    """30 min, 2h 05m, 3 days and the like for an age."""
+    """An age as minutes, hours and minutes, or days."""
     m = F.floor(seconds / 60)
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    return F.when(m < 60, F.concat(m.cast("string"), F.lit(" min"))).when(m < 1440, F.concat(F.floor(m / 60).cast("string"), F.lit("h "), two(m % 60), F.lit("m"))).otherwise(F.concat(F.floor(m / 1440).cast("string"), F.lit(" days")))
+    hours = F.concat(F.floor(m / 60).cast("string"), F.lit("h "), (m % 60).cast("string"), F.lit("min"))
+    return F.when(m < 60, F.concat(m.cast("string"), F.lit(" min"))).when(m < 1440, hours).otherwise(F.concat(F.floor(m / 1440).cast("string"), F.lit("j")))
+
+
+def is_identifier(name: Column) -> Column:
+    return F.coalesce(name.rlike("^[A-Za-z_][A-Za-z0-9_]*$"), F.lit(False))
+
+
+def preview(text: Column, most: int) -> Column:
+    return F.left(F.coalesce(text, F.lit("")), F.lit(most))
+
+
+def clean_map(row: Column) -> Column:
+    """A map of binary keys and values as text."""
+    return F.map_from_entries(F.transform(F.map_entries(row), lambda e: F.struct(F.make_valid_utf8(e["key"].cast("string")), F.make_valid_utf8(e["value"].cast("string")))))
