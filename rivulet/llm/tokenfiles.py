@@ -30,18 +30,16 @@ from tokenizers.pre_tokenizers import ByteLevel
 from rivulet.llm.common import pieces, scratch, shuffle_parts, table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
-CHUNKS_KEPT = 250_000  # encoded chunks that a worker remembers
+CHUNKS_KEPT = 400_000  # encoded parts of chunks that a worker remembers
 ROW_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 #: Separates chunks that are encoded together; a chunk that holds it is encoded alone.
 MARK = "\x01"
 #: Latin letters that are one letter in every normal form and in lower case.
 _LETTERS = [c for c in map(chr, range(0x250)) if category(c)[0] == "L" and len(c.lower()) == 1 and normalize("NFC", c) == c]
 _WORD = re.compile(f"[{''.join(_LETTERS)}]+").fullmatch
-
-
-def _stays(letter: str) -> bool:
-    """Whether the last letter before marks is one letter or number in every normal form, so that no mark joins it."""
-    return letter <= "\u024f" and len(letter.lower()) == 1 and category(letter)[0] in "LN"
+#: A core that marks may leave: its last letter or number is one in every normal form, so that no mark joins it.
+_ENDS = f"[{''.join(c for c in map(chr, range(0x250)) if category(c)[0] in 'LN' and len(c.lower()) == 1)}]$"
+_MARKS_AT_END = r"(?s)^.*[^!-/:-@\[-`{-~]"  # what stands before them
 
 
 class ChunkEncoder:
@@ -51,42 +49,22 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self._ids(MARK)
         assert len(self.mark) == 1
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        assert all(t.content.startswith("<|") for t in self.tokenizer.get_added_tokens_decoder().values())
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes_of = str.maketrans({c: level.pre_tokenize_str(c.lower())[0][0] for c in _LETTERS})
-        self.kept: dict[str, bytes] = {"": b""}  # by chunk
-        self.cores: dict[str, bytes] = {}  # by what stands before a chunk's last marks, and by these
+        self.kept: dict[str, bytes] = {"": b""}  # ids of what stands before a chunk's last marks, and of these
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def learn(self, chunks: list[str]) -> None:
-        """Keep the ids of new chunks. Marks at a chunk's end are tokens of their own, so what stands before them is
-        encoded once; plain words need no normalisation but lower case and go to the merges straight."""
-        if len(self.kept) + len(chunks) > CHUNKS_KEPT:
-            self.kept = {"": b""}
-            self.cores = {}
-        split = []
-        for c in chunks:
-            core = c.rstrip(punctuation)
-            if not core or len(core) == len(c) or not _stays(core[-1]) or ("<" in c and any(x in c for x in self.special)):
-                split.append((c, c, None))
-            else:
-                split.append((c, core, c[len(core) :]))
-        new = {core for _, core, _ in split}
-        new.update(tail for _, _, tail in split if tail)
-        self._learn_cores(new.difference(self.cores))
-        cores = self.cores
-        for c, core, tail in split:
-            self.kept[c] = cores[core] + cores[tail] if tail else cores[core]
-
-    def _learn_cores(self, cores: set[str]) -> None:
+    def learn(self, cores: list[str]) -> None:
+        """Keep the ids of new parts. Plain words need no normalisation but lower case and go to the merges straight."""
         merge, table, rest = self.tokenizer.model.tokenize, self.bytes_of, []
         for c in cores:
             if _WORD(c):
-                self.cores[c] = array("i", [t.id for t in merge(c.translate(table))]).tobytes()
+                self.kept[c] = array("i", [t.id for t in merge(c if c.isascii() else c.translate(table))]).tobytes()
             elif MARK in c:
-                self.cores[c] = self._ids(c).tobytes()
+                self.kept[c] = self._ids(c).tobytes()
             else:
                 rest.append(c)
         joined = [f" {MARK} ".join(rest[i : i + 256]) for i in range(0, len(rest), 256)]
@@ -96,9 +74,19 @@ class ChunkEncoder:
             ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
             assert len(ends) == len(own)
             for c, end in zip(own, ends, strict=True):
-                self.cores[c] = raw[4 * start : 4 * end]
+                self.kept[c] = raw[4 * start : 4 * end]
                 start = end + 1
 
+    def parts(self, chunks: pa.Array) -> tuple[pa.DictionaryArray, pa.DictionaryArray]:
+        """Cores and last marks of the chunks, in lower case. Marks at the end are tokens of their own unless they belong
+        to a special token; those chunks stay whole and as they are."""
+        special = pc.match_substring(chunks, "<|")
+        low = pc.if_else(special, chunks, pc.ascii_lower(chunks))
+        core = pc.utf8_rtrim(low, characters=punctuation)
+        cut = pc.and_not(pc.match_substring_regex(core, _ENDS), special)
+        tail = pc.if_else(cut, pc.replace_substring_regex(low, _MARKS_AT_END, ""), "")
+        return pc.if_else(cut, core, low).dictionary_encode(), tail.dictionary_encode()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many are each text's; null is empty."""
         texts = texts.fill_null("")
@@ -106,20 +94,27 @@ class ChunkEncoder:
             texts = pc.replace_substring(texts, end, " ")
         lists = pc.split_pattern(texts, " ")
         chunks = lists.flatten().dictionary_encode()
-        words = chunks.dictionary.to_pylist()
-        if new := [w for w in words if w not in self.kept]:
+        cores, tails = self.parts(chunks.dictionary)
+        names = cores.dictionary.to_pylist() + tails.dictionary.to_pylist()
+        if new := [x for x in names if x not in self.kept]:
             if len(self.kept) + len(new) > CHUNKS_KEPT:
-                new = words
-            self.learn(new)
-        raw = list(map(self.kept.__getitem__, words))
-        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        at = np.asarray(chunks.indices)
-        each, start = size[at], (np.cumsum(size) - size)[at]
-        ends = np.cumsum(each)
-        place = np.repeat(start - ends + each, each)
-        place += np.arange(len(place))
+                self.kept = {"": b""}
+                new = names
+            self.learn(list(dict.fromkeys(new)))
+        raw = list(map(self.kept.__getitem__, names))
+        both = np.column_stack((np.asarray(cores.indices), len(cores.dictionary) + np.asarray(tails.indices))).ravel()
+        ids, size = _gathered(np.frombuffer(b"".join(raw), np.int32), np.fromiter(map(len, raw), np.int64, len(raw)) // 4, both)
+        ids, size = _gathered(ids, size[0::2] + size[1::2], np.asarray(chunks.indices))
         rows = np.cumsum(pc.list_value_length(lists).to_numpy())
-        return np.frombuffer(b"".join(raw), np.int32)[place], np.diff(ends[rows - 1], prepend=0)
+        return ids, np.diff(np.cumsum(size)[rows - 1], prepend=0)
+
+
+def _gathered(flat: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs at the places at of runs that lie one after the other in flat, and their sizes."""
+    each, start = size[at], (np.cumsum(size) - size)[at]
+    place = np.repeat(start - np.cumsum(each) + each, each)
+    place += np.arange(len(place))
+    return flat[place], each
 
 
 _LOADED: dict[str, ChunkEncoder] = {}
@@ -138,7 +133,7 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
         own = encoder(path)
-        for batch in pieces(batches):
+        for batch in pieces(batches, rows=2048):
             ids, sizes = own.encode(batch.column("text"))
             ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
             before = start + np.cumsum(sizes) - sizes
