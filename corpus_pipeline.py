@@ -13,34 +13,30 @@ from rivulet.llm import pii, quality, toxicity
 from rivulet.llm.common import staged, table
 from rivulet.llm.packing import packed, word_lengths
 from rivulet.llm.partenum import ngram_jaccard_components
+from rivulet.llm.setjoin import pick
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents whose quality score is below are rejected; good ones score near 1, so doubtful ones stay.
 REJECT_BELOW = 0.3
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in verdicts (doc_id). Only ids are shuffled where few are rejected."""
-    rejected = verdicts.select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; all labels may teach it here."""
-    stats = staged(quality.measured(docs), "pipeline")
-    scores = quality.score(stats, quality.fit(stats, table(spark, sf_dir, "labels")))
-    return _keep(docs, scores.where(F.col("score") < REJECT_BELOW))
+    """Documents that the classifier rejects go; all labels may teach it here. Texts are measured once and stay in place."""
+    rows = staged(quality.measured(docs.select(*COLUMNS)), "pipeline")
+    scored = quality.score(rows, quality.fit(rows, table(spark, sf_dir, "labels")))
+    return scored.where(F.col("score") >= REJECT_BELOW).select(*COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return _keep(docs, toxicity.score(docs, model).where("toxic = 1"))
+    return toxicity.score(docs.select(*COLUMNS), model).where("toxic = 0").select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the least doc_id stays."""
-    return _keep(docs, ngram_jaccard_components(docs).where("component_id <> doc_id"))
+    """Of each component the document with the least doc_id stays. Only ids move if few enough go."""
+    found = ngram_jaccard_components(docs).where("component_id <> doc_id")
+    return pick(docs, staged(found.select("doc_id").distinct(), "pipeline"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rivulet.llm.common import as_bytes, pieces, staged, table
+from rivulet.llm.common import as_bytes, staged, table
 
 GOOD_AT = 0.7
 POOLED, IDENTITY = 0.3, 0.02  # shares of the pooled covariance and of the identity
@@ -65,15 +66,15 @@ def statistics(text: bytes) -> np.ndarray:
     ]
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
-        raw = [statistics(x).tobytes() for x in as_bytes(batch.column("text"))]
-        yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "stats"])
+@F.arrow_udf(T.BinaryType())
+def statistics_of(text: pa.Array) -> pa.Array:
+    """The statistics of each text, as bytes of doubles."""
+    return pa.array([statistics(x).tobytes() for x in as_bytes(text)], pa.binary())
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, stats): the statistics of each row, as bytes of doubles."""
-    return docs.select("doc_id", "text").mapInArrow(_measured, "doc_id long, stats binary")
+    """docs with the column stats, the statistics of their texts."""
+    return docs.withColumn("stats", statistics_of("text"))
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +139,7 @@ def calibrated(model: Model, bins: np.ndarray, label: np.ndarray, count: np.ndar
 
 def fit(stats: DataFrame, labels: DataFrame) -> Model | float:
     """Fit on the rows of stats (doc_id, stats) that labels (doc_id, quality) names."""
-    rows = stats.join(labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")), "doc_id").select("stats", "quality")
+    rows = stats.select(F.col("doc_id").cast("long").alias("doc_id"), "stats").join(labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")), "doc_id").select("stats", "quality")
     sums = np.zeros((2, 1 + DIM + DIM * DIM))
     for c, i, v in rows.mapInArrow(_moments, "c int, i int, v double").groupBy("c", "i").agg(F.sum("v")).collect():  # 2 * 307 rows
         sums[c, i] = v
@@ -157,15 +158,14 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model | float:
 
 
 def score(stats: DataFrame, model: Model | float) -> DataFrame:
-    """(doc_id, score) of each row of stats."""
+    """stats (stats, ...) with the column score in place of stats. Nothing is shuffled."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("stats").to_pylist()), np.float64).reshape(-1, DIM)
-            out = model.score(x) if isinstance(model, Model) else np.full(len(x), model)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
+    @F.arrow_udf(T.DoubleType())
+    def run(column: pa.Array) -> pa.Array:
+        x = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, DIM)
+        return pa.array(model.score(x) if isinstance(model, Model) else np.full(len(x), model), pa.float64())
 
-    return stats.mapInArrow(run, "doc_id long, score double")
+    return stats.withColumn("score", run("stats")).drop("stats")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -174,7 +174,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of docs; labels of held-out rows are not learned from."""
-    stats = staged(measured(docs), "quality")
+    stats = staged(measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text"), "quality")
     scores = score(stats, fit(stats, labels.where(~held_out())))
     return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= GOOD_AT).cast("int").alias("predicted"))
 

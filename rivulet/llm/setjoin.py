@@ -24,10 +24,10 @@ BROADCAST_IDS = 1_000_000
 STARS = "sig long, lead long, rid long"
 
 
-def pick(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """rows whose key is in ids (distinct): a broadcast if the ids are counted and few, else a shuffle."""
+def pick(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """rows whose key is (left_anti: is not) in ids (distinct): a broadcast if the ids are counted and few, else a shuffle."""
     few = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    return rows.join(F.broadcast(ids) if few else ids, key, how)
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

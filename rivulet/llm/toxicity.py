@@ -29,7 +29,7 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 LEAST_DOCS = 5
 LEAST_Z, STRONG_RATIO = 5.0, 6.0
 WORDS_KEPT = 300_000
-SCORES = "doc_id long, expected_severity double, grade int, p_toxic double, toxic int"
+SCORES = "expected_severity double, grade int, p_toxic double, toxic int"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -159,18 +159,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """SCORES of each row of docs (doc_id, text)."""
+    """docs (text, ...) with the columns of SCORES (in place of any of these names). Nothing is shuffled."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            p = model.grades(np.array([model.score(features(t)) for t in batch.column("text").to_pylist()]).reshape(-1))
-            toxic = 1 - p[:, 0]
-            out = [p @ np.arange(p.shape[1]), p.argmax(axis=1).astype(np.int32), toxic, (toxic >= TOXIC_AT).astype(np.int32)]
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), *map(pa.array, out)], ["doc_id", "expected_severity", "grade", "p_toxic", "toxic"])
+    @F.arrow_udf(SCORES)
+    def run(texts: pa.Array) -> pa.Array:
+        p = model.grades(np.array([model.score(features(t)) for t in texts.to_pylist()]).reshape(-1))
+        toxic = 1 - p[:, 0]
+        out = [p @ np.arange(p.shape[1]), p.argmax(axis=1).astype(np.int32), toxic, (toxic >= TOXIC_AT).astype(np.int32)]
+        return pa.StructArray.from_arrays(list(map(pa.array, out)), ["expected_severity", "grade", "p_toxic", "toxic"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCORES)
+    names = [x.split()[0] for x in SCORES.split(", ")]
+    return docs.drop(*names).withColumn("_scores", run("text")).select("*", "_scores.*").drop("_scores")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    out = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, table(spark, sf_dir, "labels")))
+    return out.drop("text")
