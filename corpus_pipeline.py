@@ -6,6 +6,9 @@ and stay; repeated rows of one doc_id that stay are kept each. An empty table pa
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from rivulet.llm.common import staged, table
 from rivulet.llm.packing import packed, word_lengths
 from rivulet.llm.partenum import ngram_jaccard_components
 from rivulet.llm.setjoin import pick
+from rivulet.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents whose quality score is below are rejected; good ones score near 1, so doubtful ones stay.
@@ -49,12 +53,23 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packed(word_lengths(docs))
 
 
+def _shipped(stage: Callable) -> Callable:
+    """The stage, with the package at hand on the workers."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", quality_stage),
-    ("toxicity", toxicity_stage),
-    ("n-gram Jaccard join", near_duplicate_stage),
-    ("PII", pii_stage),
-    ("best-fit packing", packing_stage),
+    ("quality classifier", _shipped(quality_stage)),
+    ("toxicity", _shipped(toxicity_stage)),
+    ("n-gram Jaccard join", _shipped(near_duplicate_stage)),
+    ("PII", _shipped(pii_stage)),
+    ("best-fit packing", _shipped(packing_stage)),
 ]
 #: No SQL: trained models and packing; tests/llm compares the stages with brute-force versions.
 ORACLE_SQL = None
