@@ -1,10 +1,11 @@
 """N-gram Jaccard join by PartEnum signatures (Arasu, Ganti, Kaushik: Efficient exact set-similarity joins, 2006).
 
-A document's set holds its distinct word 3-grams. Sizes fall into bands [low, low / 0.9]; sets that link lie in one band
-or in neighbours, and differ in at most k = 2 * high / 19 elements there. The hashed features are dealt into
+A document's set holds its distinct word n-grams. Sizes fall into bands [low, low / t] for the least likeness t; sets that
+link lie in one band or in neighbours, and differ in at most k = 2 * high * (1 - t) / (1 + t) elements there (high: the
+larger band's largest size). The hashed features are dealt into
 n1 = ceil((k + 1) / 2) parts, one of which has at most one difference, and each part into three subparts, two of which
-then agree: every pair of subparts is a signature, so two sets that link share one. Sets of fewer than ten elements can
-link only if they are equal, and equal sets are one class from the start.
+then agree: every pair of subparts is a signature, so two sets that link share one. Sets of fewer than t / (1 - t)
+elements can link only if they are equal, and equal sets are one class from the start.
 
 Null and empty texts, and texts without words: an empty set, linked with nothing. Repeated doc_ids: their sets count
 under one id. Rows whose doc_id is null take no part in links; their component_id is null. Other columns are ignored.
@@ -13,7 +14,9 @@ under one id. Rows whose doc_id is null take no part in links; their component_i
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -25,10 +28,9 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import as_bytes, mix, pieces, staged, table
 from rivulet.llm.setjoin import components, pick
 
-NUM, DEN, SHINGLE = 90, 100, 3
-LEAST = 10  # smaller sets link only if equal
 WORDS_KEPT = 400_000  # hashed words that a worker remembers
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+MOST_WORDS = 16  # of an n-gram
+_ODD = mix(np.arange(1, MOST_WORDS + 1)) | np.uint64(1)
 
 
 class _Hash(dict):
@@ -42,102 +44,128 @@ class _Hash(dict):
 _HASH = _Hash()
 
 
-def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams: A-Z in lower case, words divided by ASCII white space."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
-    n = min(n, len(h))
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for i in range(n):
-        out = mix(out + h[i : len(out) + i] * _ODD[i])
-    if len(words) < SHINGLE:
-        out = mix(out + np.uint64(len(words)))
-    return np.unique(out)
+_HIGHS: dict[tuple[int, int], list[int]] = {}  # by likeness: the largest size of each band
+
+
+@dataclass(frozen=True)
+class Likeness:
+    """Sets of n-grams of so many words link if their Jaccard likeness is num / den or more."""
+
+    num: int
+    den: int
+    words: int
+
+    @property
+    def least(self) -> int:
+        """Smaller sets link only if they are equal."""
+        return -(-self.num // (self.den - self.num))
+
+    def shingles(self, text: bytes) -> np.ndarray:
+        """Sorted distinct 64-bit hashes of the n-grams: A-Z in lower case, words divided by ASCII white space; of fewer
+        words the whole sequence is one."""
+        words = text.lower().split()
+        if not words:
+            return np.empty(0, np.uint64)
+        h = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
+        n = min(self.words, len(h))
+        out = np.zeros(len(h) - n + 1, np.uint64)
+        for i in range(n):
+            out = mix(out + h[i : len(out) + i] * _ODD[i])
+        if len(words) < self.words:
+            out = mix(out + np.uint64(len(words)))
+        return np.unique(out)
+
+    def largest(self, band: int) -> int:
+        highs = _HIGHS.setdefault((self.num, self.den), [])
+        while len(highs) <= band:
+            highs.append((highs[-1] + 1 if highs else self.least) * self.den // self.num)
+        return highs[band]
+
+    def band_of(self, size: int) -> int:
+        """The band that holds size (least or more)."""
+        self.largest(0)
+        highs = _HIGHS[self.num, self.den]
+        while highs[-1] < size:
+            self.largest(len(highs))
+        return bisect_left(highs, size)
+
+    def subpart_count(self, band: int) -> int:
+        """Three for each first-level part; of these there are half of k + 1, rounded up."""
+        return 3 * ((2 * self.largest(band) * (self.den - self.num) // (self.den + self.num) + 2) // 2)
+
+    def subparts(self, elems: np.ndarray, band: int) -> np.ndarray:
+        """For each of the 3 * n1 subparts a hash of its elements, the number of them (255 at most) in the low byte."""
+        n = self.subpart_count(band)
+        part = (mix(elems ^ _ODD[2]) % np.uint64(n)).astype(np.int64)
+        total = np.zeros(n, np.uint64)
+        np.add.at(total, part, elems * _ODD[0] ^ elems >> np.uint64(29))
+        count = np.minimum(np.bincount(part, minlength=n), 255).astype(np.uint64)
+        where = np.arange(n, dtype=np.uint64) * _ODD[1] + np.full(n, band + 1, np.uint64) * _ODD[2]
+        return mix(total + where) & ~np.uint64(255) | count
+
+
+#: What op8 asks for, and what near-duplicate stages take.
+NINE_TENTHS, FOUR_FIFTHS = Likeness(90, 100, 3), Likeness(80, 100, 5)
 
 
-_HIGHS: list[int] = []  # largest size of each band
-
+def signatures(vector: np.ndarray) -> np.ndarray:
+    """The pairs among each three subparts, hashed."""
+    v = vector.reshape(-1, 3)
+    pair = [mix(v[:, a] * _ODD[0] + v[:, b] * _ODD[1] + np.uint64(i)) for i, (a, b) in enumerate(((0, 1), (0, 2), (1, 2)))]
+    return np.concatenate(pair)
 
-def _largest(band: int) -> int:
-    while len(_HIGHS) <= band:
-        _HIGHS.append((_HIGHS[-1] + 1 if _HIGHS else LEAST) * DEN // NUM)
-    return _HIGHS[band]
 
+def _heads(like: Likeness) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            out: list[list] = [[], [], [], []]
+            for text in as_bytes(batch.column("text")):
+                s = like.shingles(text)
+                band, profile = -1, b""
+                if len(s) >= like.least:
+                    band = like.band_of(len(s))
+                    profile = like.subparts(s, band).tobytes() + like.subparts(s, band + 1).tobytes()
+                for x, y in zip(out, (len(s), xxhash.xxh3_128_digest(s.tobytes()), band, profile), strict=True):
+                    x.append(y)
+            columns = [batch.column("doc_id").cast(pa.int64())] + [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)]
+            yield pa.record_batch(columns, ["doc_id", "n_shingles", "key", "band", "profile"])
 
-def band_of(size: int) -> int:
-    """The band that holds size (LEAST or more)."""
-    while not _HIGHS or _HIGHS[-1] < size:
-        _largest(len(_HIGHS))
-    return bisect_left(_HIGHS, size)
+    return run
 
 
-def subpart_count(band: int) -> int:
-    """Three for each first-level part; of these there are half of k + 1, rounded up."""
-    return 3 * ((2 * _largest(band) * (DEN - NUM) // (DEN + NUM) + 2) // 2)
+def _signed(like: Likeness) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, rows=256):
+            sigs, rids = [], []
+            for rid, band, raw in zip(*(batch.column(c).to_pylist() for c in ("rid", "band", "profile")), strict=True):
+                v = np.frombuffer(raw, np.uint64)
+                n = like.subpart_count(band)
+                s = np.concatenate((signatures(v[:n]), signatures(v[n:])))
+                sigs.append(s.view(np.int64))
+                rids.append(np.full(len(s), rid))
+            if sigs:
+                yield pa.record_batch([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(rids), pa.int64())], ["sig", "rid"])
 
+    return run
 
-def subparts(elems: np.ndarray, band: int) -> np.ndarray:
-    """For each of the 3 * n1 subparts a hash of its elements, the number of them (255 at most) in the low byte."""
-    n = subpart_count(band)
-    part = (mix(elems ^ _ODD[2]) % np.uint64(n)).astype(np.int64)
-    total = np.zeros(n, np.uint64)
-    np.add.at(total, part, elems * _ODD[0] ^ elems >> np.uint64(29))
-    count = np.minimum(np.bincount(part, minlength=n), 255).astype(np.uint64)
-    where = np.arange(n, dtype=np.uint64) * _ODD[1] + np.full(n, band + 1, np.uint64) * _ODD[2]
-    return mix(total + where) & ~np.uint64(255) | count
 
+def _sets(like: Likeness) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            raw = [like.shingles(x).tobytes() for x in as_bytes(batch.column("text"))]
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(raw, pa.binary())], ["rid", "elems"])
 
-def signatures(vector: np.ndarray) -> np.ndarray:
-    """The pairs among each three subparts, hashed."""
-    v = vector.reshape(-1, 3)
-    pair = [mix(v[:, a] * _ODD[0] + v[:, b] * _ODD[1] + np.uint64(i)) for i, (a, b) in enumerate(((0, 1), (0, 2), (1, 2)))]
-    return np.concatenate(pair)
+    return run
 
 
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
-        out: list[list] = [[], [], [], []]
-        for text in as_bytes(batch.column("text")):
-            s = shingles(text)
-            band, profile = -1, b""
-            if len(s) >= LEAST:
-                band = band_of(len(s))
-                profile = subparts(s, band).tobytes() + subparts(s, band + 1).tobytes()
-            for x, y in zip(out, (len(s), xxhash.xxh3_128_digest(s.tobytes()), band, profile), strict=True):
-                x.append(y)
-        columns = [batch.column("doc_id").cast(pa.int64())] + [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)]
-        yield pa.record_batch(columns, ["doc_id", "n_shingles", "key", "band", "profile"])
-
-
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, rows=256):
-        sigs, rids = [], []
-        for rid, band, raw in zip(*(batch.column(c).to_pylist() for c in ("rid", "band", "profile")), strict=True):
-            v = np.frombuffer(raw, np.uint64)
-            n = subpart_count(band)
-            s = np.concatenate((signatures(v[:n]), signatures(v[n:])))
-            sigs.append(s.view(np.int64))
-            rids.append(np.full(len(s), rid))
-        if sigs:
-            yield pa.record_batch([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(rids), pa.int64())], ["sig", "rid"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
-        raw = [shingles(x).tobytes() for x in as_bytes(batch.column("text"))]
-        yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(raw, pa.binary())], ["rid", "elems"])
-
-
-def apart_bound(pdf: pd.DataFrame):
+def apart_bound(pdf: pd.DataFrame, like: Likeness) -> Callable:
     """near(i, others): which of others can still link with i. Subparts that differ hold two differences at least if
     they are equally large, else as many as their sizes differ by."""
     low = int(pdf["band"].min())
     vectors = []
     for band, raw in zip(pdf["band"], pdf["profile"], strict=True):
         v = np.frombuffer(raw, np.uint64)
-        n = subpart_count(band)
+        n = like.subpart_count(band)
         vectors.append((v[:n] if band == low and pdf["band"].max() == low else v[n:] if band == low else v[:n]))
     m = np.vstack(vectors)
     size, total = (m & np.uint64(255)).astype(np.int16), pdf["elems"].map(len).to_numpy() // 8
@@ -149,23 +177,23 @@ def apart_bound(pdf: pd.DataFrame):
             gap = np.abs(size[o] - size[i])
             gap[gap == 0] = 2
             gap[m[o] == m[i]] = 0
-            keep.append(gap.sum(axis=1, dtype=np.int64) * (DEN + NUM) <= (total[o] + total[i]) * (DEN - NUM))
+            keep.append(gap.sum(axis=1, dtype=np.int64) * (like.den + like.num) <= (total[o] + total[i]) * (like.den - like.num))
         return np.concatenate(keep)
 
     return near
 
 
-def ngram_jaccard_components(docs: DataFrame) -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, like: Likeness = NINE_TENTHS) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    heads = staged(docs.mapInArrow(_heads, "doc_id long, n_shingles long, key binary, band int, profile binary"), "partenum")
+    heads = staged(docs.mapInArrow(_heads(like), "doc_id long, n_shingles long, key binary, band int, profile binary"), "partenum")
     full = heads.where("n_shingles > 0 and doc_id is not null")
     classes = staged(full.groupBy("n_shingles", "key").agg(F.min("doc_id").alias("rid")), "partenum")
-    reps = classes.where(F.col("n_shingles") >= LEAST).select(F.col("rid").alias("doc_id"), "n_shingles", "key")
+    reps = classes.where(F.col("n_shingles") >= like.least).select(F.col("rid").alias("doc_id"), "n_shingles", "key")
     vectors = heads.where("band >= 0").join(reps, ["doc_id", "n_shingles", "key"], "left_semi")
     vectors = staged(vectors.select(F.col("doc_id").alias("rid"), "band", "profile").dropDuplicates(["rid", "band", "profile"]), "partenum")
-    sets_of = lambda ids: pick(docs, ids.select(F.col("rid").alias("doc_id")), "doc_id").mapInArrow(_sets, "rid long, elems binary")
-    linked = components(vectors.mapInArrow(_signed, "sig long, rid long"), vectors, sets_of, NUM, DEN, apart_bound, "partenum")
+    sets_of = lambda ids: pick(docs, ids.select(F.col("rid").alias("doc_id")), "doc_id").mapInArrow(_sets(like), "rid long, elems binary")
+    linked = components(vectors.mapInArrow(_signed(like), "sig long, rid long"), vectors, sets_of, like.num, like.den, partial(apart_bound, like=like), "partenum")
     # classes that share a document id (repeated ids) belong together as well
     classes = classes.join(linked.select(F.col("id").alias("rid"), "comp"), "rid", "left").select("n_shingles", "key", F.coalesce("comp", "rid").alias("comp"))
     known = heads.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "key").join(classes, ["n_shingles", "key"])

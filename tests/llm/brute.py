@@ -46,18 +46,18 @@ def base_digest(text: str) -> tuple[list[int], str]:
     return counts, hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in spans).encode()).hexdigest()
 
 
-def shingle_set(text: str) -> frozenset:
+def shingle_set(text: str, n: int = 3) -> frozenset:
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
     words = re.findall(r"[^\x20\x09-\x0D]+", low)
     if not words:
         return frozenset()
-    n = min(3, len(words))
+    n = min(n, len(words))
     return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
 
 
-def jaccard_components(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
+def jaccard_components(rows: list[tuple[int, str | None]], words: int = 3, percent: int = 90) -> dict[int, tuple[int, int]]:
     """doc_id to (size, least doc_id of its component)."""
-    sets = [(d, shingle_set(t or "")) for d, t in rows]
+    sets = [(d, shingle_set(t or "", words)) for d, t in rows]
     root = {d: d for d, _ in sets}
 
     def find(x: int) -> int:
@@ -67,9 +67,9 @@ def jaccard_components(rows: list[tuple[int, str | None]]) -> dict[int, tuple[in
 
     for i, (a, x) in enumerate(sets):
         for b, y in sets[:i]:
-            if x and y and min(len(x), len(y)) * 100 >= 90 * max(len(x), len(y)):
+            if x and y and min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)):
                 n = len(x & y)
-                if 100 * n >= 90 * (len(x) + len(y) - n):
+                if 100 * n >= percent * (len(x) + len(y) - n):
                     p, q = find(a), find(b)
                     root[max(p, q)] = min(p, q)
     return {d: (len(s), find(d)) for d, s in sets}

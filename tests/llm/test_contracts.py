@@ -131,6 +131,14 @@ def test_jaccard(spark, small, which):
     assert got == brute.jaccard_components(texts_of(rows))
 
 
+@pytest.mark.parametrize("like", [partenum.NINE_TENTHS, partenum.FOUR_FIFTHS])
+def test_jaccard_at_the_bound(spark, like):
+    """Sets of every small size, and each with one and two shingles more: likeness exactly at and just below the bound."""
+    texts = [" ".join(f"g{n}w{i}" for i in range(n + more)) for n in range(1, 24) for more in (0, 1, 2)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.ngram_jaccard_components(docs(spark, texts), like).collect()}
+    assert got == brute.jaccard_components(list(enumerate(texts)), like.words, like.num)
+
+
 def test_jaccard_large_group(spark):
     """A hot group: many chains of near copies under common signatures, more than a block holds."""
     rng = random.Random(9)

@@ -121,7 +121,7 @@ def test_stages(spark):
     wrong = [d for d, r in labels.items() if r.toxic == 0 and d not in calm]
     assert len(wrong) <= 0.02 * len(labels)
     kept = read(pipeline.near_duplicate_stage(spark, docs_, SMALL))
-    component = brute.jaccard_components(sorted(text.items()))
+    component = brute.jaccard_components(sorted(text.items()), 5, 80)
     assert set(kept) == {d for d, (_, c) in component.items() if c == d}
     clean = read(pipeline.pii_stage(spark, docs_, SMALL))
     assert {d: r.text for d, r in clean.items()} == {d: masked(t) for d, t in text.items()}
