@@ -7,7 +7,8 @@ logistic curve, fitted on a histogram of the differences of labelled rows, turns
 
 All labelled rows outside the held-out quarter count; only sums leave the tasks. Null and empty texts have the statistics
 of no bytes and are scored like any other. Where a class has no labelled rows the score is the share of label 1 (0.5
-without labels). Repeated rows stay; a document labelled twice counts twice. Other columns are not returned.
+without labels). Repeated rows stay; a document labelled twice counts twice; an empty table gives none. Other columns stay, but for
+stats and score.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ toxic documents 1 to 3 by thirds of how many kept features they hold. One weight
 output is the expected grade, the likeliest one, P(grade >= 1), and toxic = 1 where that is TOXIC_AT or more.
 
 The model is fitted on at most TRAIN_ROWS labelled documents, the first by a hash of doc_id. Null and empty texts have no
-features and get the score of none. Without labels of both kinds nothing is learned and the score is the share of toxic
-labels (0 if there are none). Equal texts have equal scores; repeated rows stay. Other columns are not returned.
+features and get the score of none. Without labels of both kinds nothing is learned: p_toxic is 0, or 1 if there are
+labels and all are toxic. Equal texts have equal scores; repeated rows stay; an empty table gives none. Other columns stay,
+but for those with the names of the scores.
 """
 
 from __future__ import annotations
