@@ -25,9 +25,12 @@ REJECT_BELOW = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; all labels may teach it here. Texts are measured once and stay in place."""
-    rows = staged(quality.measured(docs.select(*COLUMNS)), "pipeline")
-    scored = quality.score(rows, quality.fit(rows, table(spark, sf_dir, "labels")))
+    """Documents that the classifier rejects go; all labels may teach it here. Texts stay in place: labelled ones are
+    measured first for the fit, then all for their scores."""
+    labels = table(spark, sf_dir, "labels").where("quality is not null")
+    known = pick(docs, labels.select("doc_id").distinct(), "doc_id")
+    stats = staged(quality.measured(known.select("doc_id", "text")).drop("text"), "pipeline")
+    scored = quality.score(quality.measured(docs.select(*COLUMNS)), quality.fit(stats, labels))
     return scored.where(F.col("score") >= REJECT_BELOW).select(*COLUMNS)
 
 

@@ -118,17 +118,29 @@ def signatures(vector: np.ndarray) -> np.ndarray:
 def _heads(like: Likeness) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            out: list[list] = [[], [], [], []]
-            for text in as_bytes(batch.column("text")):
+            sets = [like.shingles(text) for text in as_bytes(batch.column("text"))]
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "key"])
+
+    return run
+
+
+def _profile(like: Likeness, s: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """The band of a set of like.least elements or more, and its subparts there and in the next band."""
+    band = like.band_of(len(s))
+    return band, like.subparts(s, band), like.subparts(s, band + 1)
+
+
+def _profiles(like: Likeness) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            out = []
+            for rid, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
                 s = like.shingles(text)
-                band, profile = -1, b""
                 if len(s) >= like.least:
-                    band = like.band_of(len(s))
-                    profile = like.subparts(s, band).tobytes() + like.subparts(s, band + 1).tobytes()
-                for x, y in zip(out, (len(s), xxhash.xxh3_128_digest(s.tobytes()), band, profile), strict=True):
-                    x.append(y)
-            columns = [batch.column("doc_id").cast(pa.int64())] + [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)]
-            yield pa.record_batch(columns, ["doc_id", "n_shingles", "key", "band", "profile"])
+                    band, own, upper = _profile(like, s)
+                    out.append((rid, band, own.tobytes() + upper.tobytes()))
+            yield pa.record_batch([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["rid", "band", "profile"])
 
     return run
 
@@ -137,12 +149,13 @@ def _signed(like: Likeness) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, rows=256):
             sigs, rids = [], []
-            for rid, band, raw in zip(*(batch.column(c).to_pylist() for c in ("rid", "band", "profile")), strict=True):
-                v = np.frombuffer(raw, np.uint64)
-                n = like.subpart_count(band)
-                s = np.concatenate((signatures(v[:n]), signatures(v[n:])))
-                sigs.append(s.view(np.int64))
-                rids.append(np.full(len(s), rid))
+            for rid, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
+                s = like.shingles(text)
+                if len(s) >= like.least:
+                    _, own, upper = _profile(like, s)
+                    sig = np.concatenate((signatures(own), signatures(upper)))
+                    sigs.append(sig.view(np.int64))
+                    rids.append(np.full(len(sig), rid))
             if sigs:
                 yield pa.record_batch([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(rids), pa.int64())], ["sig", "rid"])
 
@@ -186,14 +199,16 @@ def apart_bound(pdf: pd.DataFrame, like: Likeness) -> Callable:
 def ngram_jaccard_components(docs: DataFrame, like: Likeness = NINE_TENTHS) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    heads = staged(docs.mapInArrow(_heads(like), "doc_id long, n_shingles long, key binary, band int, profile binary"), "partenum")
+    heads = staged(docs.mapInArrow(_heads(like), "doc_id long, n_shingles long, key binary"), "partenum")
     full = heads.where("n_shingles > 0 and doc_id is not null")
     classes = staged(full.groupBy("n_shingles", "key").agg(F.min("doc_id").alias("rid")), "partenum")
-    reps = classes.where(F.col("n_shingles") >= like.least).select(F.col("rid").alias("doc_id"), "n_shingles", "key")
-    vectors = heads.where("band >= 0").join(reps, ["doc_id", "n_shingles", "key"], "left_semi")
-    vectors = staged(vectors.select(F.col("doc_id").alias("rid"), "band", "profile").dropDuplicates(["rid", "band", "profile"]), "partenum")
-    sets_of = lambda ids: pick(docs, ids.select(F.col("rid").alias("doc_id")), "doc_id").mapInArrow(_sets(like), "rid long, elems binary")
-    linked = components(vectors.mapInArrow(_signed(like), "sig long, rid long"), vectors, sets_of, like.num, like.den, partial(apart_bound, like=like), "partenum")
+    reps = classes.where(F.col("n_shingles") >= like.least).select(F.col("rid").alias("doc_id")).distinct()
+    of = lambda ids, run, schema: pick(docs, ids, "doc_id").mapInArrow(run(like), schema)
+    named = lambda ids: ids.select(F.col("rid").alias("doc_id"))
+    sigs = of(reps, _signed, "sig long, rid long")
+    heads_of = lambda ids: of(named(ids), _profiles, "rid long, band int, profile binary")
+    sets_of = lambda ids: of(named(ids), _sets, "rid long, elems binary")
+    linked = components(sigs, heads_of, sets_of, like.num, like.den, partial(apart_bound, like=like), "partenum")
     # classes that share a document id (repeated ids) belong together as well
     classes = classes.join(linked.select(F.col("id").alias("rid"), "comp"), "rid", "left").select("n_shingles", "key", F.coalesce("comp", "rid").alias("comp"))
     known = heads.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "key").join(classes, ["n_shingles", "key"])

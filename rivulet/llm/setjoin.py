@@ -150,11 +150,11 @@ def exhaustive(apart: DataFrame, num: int, den: int, bound: Callable | None) ->
     return rows.groupBy("task").applyInPandas(_block(num, den, bound), "a long, b long")
 
 
-def components(sigs: DataFrame, heads: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, bound: Callable | None, name: str) -> DataFrame:
+def components(sigs: DataFrame, heads_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, bound: Callable | None, name: str) -> DataFrame:
     """(id, comp) for every row that has a link; rows without one are absent.
 
-    sigs: (sig, rid). heads: (rid, band, profile binary). sets_of(ids): (rid, elems) of the given rid, elems the sorted
-    64-bit elements.
+    sigs: (sig, rid). heads_of(ids), sets_of(ids): (rid, band, profile binary) and (rid, elems) of the given rid, elems
+    the sorted 64-bit elements.
     """
     multi = staged(stars(sigs), name)
     members = staged(multi.select("rid").distinct(), name)
@@ -168,7 +168,8 @@ def components(sigs: DataFrame, heads: DataFrame, sets_of: Callable[[DataFrame],
     super_ = least_labels(pairs, name).select(F.col("id").alias("rid"), F.col("comp").alias("super"))
     named = super_.join(comp.select(F.col("id").alias("rid"), "comp"), "rid", "left").select("rid", "super", F.coalesce("comp", "rid").alias("comp"))
     open_ = named.groupBy("super").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("super")
-    apart = named.join(open_, "super").join(heads, "rid").join(sets, "rid")
+    apart = staged(named.join(open_, "super"), name)
+    apart = apart.join(heads_of(apart.select("rid").distinct()), "rid").join(sets, "rid")
     more = staged(exhaustive(apart, num, den, bound), name)
     if more.isEmpty():
         return comp
