@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rivulet.llm import pii, quality, toxicity
 from rivulet.llm.common import staged, table
 from rivulet.llm.packing import packed, word_lengths
-from rivulet.llm.partenum import FOUR_FIFTHS, ngram_jaccard_components
+from rivulet.llm.partenum import NINE_TENTHS, ngram_jaccard_components
 from rivulet.llm.setjoin import pick
 from rivulet.session import ship
 
@@ -41,9 +41,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component (five-word shingles, likeness 0.8 or more) the document with the least doc_id stays. Only ids
+    """Of each component (as op8 links them) the document with the least doc_id stays. Only ids
     move if few enough go."""
-    found = ngram_jaccard_components(docs, FOUR_FIFTHS).where("component_id <> doc_id")
+    found = ngram_jaccard_components(docs, NINE_TENTHS).where("component_id <> doc_id")
     return pick(docs, staged(found.select("doc_id").distinct(), "pipeline"), "doc_id", "left_anti").select(*COLUMNS)
 
 
