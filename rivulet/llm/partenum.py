@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import as_bytes, mix, pieces, staged, table
-from rivulet.llm.setjoin import components, pick
+from rivulet.llm.setjoin import components, pick, sketch
 
 WORDS_KEPT = 400_000  # hashed words that a worker remembers
 MOST_WORDS = 16  # of an n-gram
@@ -162,6 +162,16 @@ def _signed(like: Likeness) -> Callable:
     return run
 
 
+def _sketches(like: Likeness) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            sets = [like.shingles(x) for x in as_bytes(batch.column("text"))]
+            bands = [like.band_of(len(s)) for s in sets]
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(bands, pa.int32()), pa.array(list(map(sketch, sets)), pa.binary())], ["rid", "band", "elems"])
+
+    return run
+
+
 def _sets(like: Likeness) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -208,7 +218,8 @@ def ngram_jaccard_components(docs: DataFrame, like: Likeness = NINE_TENTHS) -> D
     sigs = of(reps, _signed, "sig long, rid long")
     heads_of = lambda ids: of(named(ids), _profiles, "rid long, band int, profile binary")
     sets_of = lambda ids: of(named(ids), _sets, "rid long, elems binary")
-    linked = components(sigs, heads_of, sets_of, like.num, like.den, partial(apart_bound, like=like), "partenum")
+    sketches_of = lambda ids: of(named(ids), _sketches, "rid long, band int, elems binary")
+    linked = components(sigs, sketches_of, heads_of, sets_of, like.num, like.den, partial(apart_bound, like=like), "partenum")
     # classes that share a document id (repeated ids) belong together as well
     classes = classes.join(linked.select(F.col("id").alias("rid"), "comp"), "rid", "left").select("n_shingles", "key", F.coalesce("comp", "rid").alias("comp"))
     known = heads.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "key").join(classes, ["n_shingles", "key"])

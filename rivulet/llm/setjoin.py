@@ -3,6 +3,9 @@
 A bucket of one signature is never expanded into pairs. First each member is compared with the bucket's least id (a
 star). What is still apart afterwards is compared exhaustively in blocks of bounded size, and only inside the groups
 that shared signatures hold together. So every link between different sets counts for the components.
+
+Before sets move, their sketches do: a set's size and the parity of its number of elements in each of so many buckets.
+Buckets of unlike parity hold a difference at least, so a sketch never rules out a pair that links.
 """
 
 from __future__ import annotations
@@ -58,7 +61,51 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def _check(num: int, den: int) -> Callable:
+def sketch(elems: np.ndarray) -> bytes:
+    """The size of a set, and the parities of 2 ** i >= size buckets (64 at least)."""
+    m = max(64, 1 << max(0, len(elems) - 1).bit_length())
+    odd = np.bincount((elems & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.r_[np.array([len(elems)], np.uint64), np.packbits(odd.astype(np.uint8)).view(np.uint64)].tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The parities of fewer buckets, 64 to a word."""
+    while len(bits) > words:
+        half = len(bits) // 2
+        bits = bits[:half] ^ bits[half:]
+    return bits
+
+
+def _links(num: int, den: int) -> Callable:
+    """Whether two sets, as bytes, link."""
+
+    def links(a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        small, large = sorted((len(x), len(y)))
+        if small * den < num * large:
+            return False
+        n = common(x, y)
+        return den * n >= num * (small + large - n)
+
+    return links
+
+
+def _may_link(num: int, den: int) -> Callable:
+    """Whether two sets can link by their sketches."""
+
+    def may(a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        small, large = sorted((int(x[0]), int(y[0])))
+        if small * den < num * large:
+            return False
+        words = min(len(x), len(y)) - 1
+        least = int(np.bitwise_count(folded(x[1:], words) ^ folded(y[1:], words)).sum())
+        return least * (den + num) <= (small + large) * (den - num)
+
+    return may
+
+
+def _check(links: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, None
         for batch in pieces(batches, rows=2048):
@@ -66,23 +113,18 @@ def _check(num: int, den: int) -> Callable:
             salts = batch.column(3).to_pylist()
             left, right = [], []
             for x, y, salt, raw in zip(a.to_pylist(), b.to_pylist(), salts, elems.to_pylist(), strict=True):
-                now = np.frombuffer(raw, np.uint64)
                 if y is None:
-                    key, own = (x, salt), now
-                elif key == (x, salt):
-                    small, large = sorted((len(own), len(now)))
-                    if small * den >= num * large:
-                        n = common(own, now)
-                        if den * n >= num * (small + large - n):
-                            left.append(x)
-                            right.append(y)
+                    key, own = (x, salt), raw
+                elif key == (x, salt) and links(own, raw):
+                    left.append(x)
+                    right.append(y)
             yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) with den * |A & B| >= num * |A | B|. A set with many partners is copied once for each
+def verified(pairs: DataFrame, sets: DataFrame, links: Callable) -> DataFrame:
+    """The pairs (a, b) whose sets, or sketches, (rid, elems) link. A set with many partners is copied once for each
     PARTNERS of them, so no task gets all partners of one set."""
     count = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("salts"))
     dealt = pairs.join(count, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
@@ -91,7 +133,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     rows = own.select("a", F.lit(None).cast("long").alias("b"), "elems", "salt").unionByName(other)
     n = shuffle_parts(pairs.sparkSession)
     rows = rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_check(num, den), "a long, b long")
+    return rows.mapInArrow(_check(links), "a long, b long")
 
 
 def _block(num: int, den: int, bound: Callable | None) -> Callable:
@@ -131,8 +173,31 @@ def _block(num: int, den: int, bound: Callable | None) -> Callable:
     return run
 
 
-def exhaustive(apart: DataFrame, num: int, den: int, bound: Callable | None) -> DataFrame:
-    """Links (a, b) inside the groups of apart (super, band, rid, comp, elems, profile), in blocks.
+def _partners(num: int, den: int) -> Callable:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Rows of a block that can link, by their sketches, with one of another component."""
+        raw = [np.frombuffer(x, np.uint64) for x in pdf["elems"]]
+        words = min(map(len, raw)) - 1
+        bits, size = np.vstack([folded(x[1:], words) for x in raw]), np.array([int(x[0]) for x in raw])
+        side, comp = pdf["side"].to_numpy(), pdf["comp"].to_numpy()
+        same, met = bool(pdf["same"].iloc[0]), np.zeros(len(pdf), bool)
+        for i in range(len(pdf)) if same else np.flatnonzero(side == 0):
+            others = np.arange(i + 1, len(pdf)) if same else np.flatnonzero(side == 1)
+            low, high = np.minimum(size[i], size[others]), np.maximum(size[i], size[others])
+            others = others[(low * den >= num * high) & (comp[others] != comp[i])]
+            for at in range(0, len(others), 256):
+                o = others[at : at + 256]
+                least = np.bitwise_count(bits[o] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                o = o[least * (den + num) <= (size[o] + size[i]) * (den - num)]
+                met[o] = True
+                met[i] |= bool(len(o))
+        return pdf.loc[met, ["rid"]]
+
+    return run
+
+
+def _seated(apart: DataFrame, *columns: str) -> DataFrame:
+    """Rows (task, same, side, band, rid, comp, columns) of apart, one for each block that they sit in.
 
     A block pairs at most about BLOCK rows with as many. Rows of bands more than one apart cannot link.
     """
@@ -146,21 +211,32 @@ def exhaustive(apart: DataFrame, num: int, den: int, bound: Callable | None) ->
     pairs = pairs.select("super", F.xxhash64("super", "b0", "k0", "b1", "k1").alias("task"), same.alias("same"), F.array(F.struct(F.lit(0).alias("side"), F.col("b0").alias("band"), F.col("k0").alias("blk")), F.struct(F.lit(1).alias("side"), F.col("b1").alias("band"), F.col("k1").alias("blk"))).alias("sides"))
     seats = pairs.select("super", "task", "same", F.inline("sides")).where("not (same and side = 1)")
     rows = apart.join(count, keys).withColumn("blk", F.pmod(F.xxhash64("rid"), "blocks"))
-    rows = rows.join(seats, ["super", "band", "blk"]).select("task", "same", "side", "band", "rid", "comp", "elems", "profile")
-    return rows.groupBy("task").applyInPandas(_block(num, den, bound), "a long, b long")
+    return rows.join(seats, ["super", "band", "blk"]).select("task", "same", "side", "band", "rid", "comp", *columns)
 
 
-def components(sigs: DataFrame, heads_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, bound: Callable | None, name: str) -> DataFrame:
+def partnered(apart: DataFrame, num: int, den: int) -> DataFrame:
+    """(rid) of apart (super, band, rid, comp, elems: sketches) that can link with one of another component."""
+    return _seated(apart, "elems").groupBy("task").applyInPandas(_partners(num, den), "rid long").distinct()
+
+
+def exhaustive(apart: DataFrame, num: int, den: int, bound: Callable | None) -> DataFrame:
+    """Links (a, b) inside the groups of apart (super, band, rid, comp, elems, profile), in blocks."""
+    return _seated(apart, "elems", "profile").groupBy("task").applyInPandas(_block(num, den, bound), "a long, b long")
+
+
+def components(sigs: DataFrame, sketches_of: Callable[[DataFrame], DataFrame], heads_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, bound: Callable | None, name: str) -> DataFrame:
     """(id, comp) for every row that has a link; rows without one are absent.
 
-    sigs: (sig, rid). heads_of(ids), sets_of(ids): (rid, band, profile binary) and (rid, elems) of the given rid, elems
-    the sorted 64-bit elements.
+    sigs: (sig, rid). sketches_of(ids), heads_of(ids), sets_of(ids): (rid, band, elems: sketches), (rid, band, profile
+    binary) and (rid, elems) of the given rid, elems the sorted 64-bit elements.
     """
     multi = staged(stars(sigs), name)
     members = staged(multi.select("rid").distinct(), name)
-    sets = staged(sets_of(members), name)
+    sketches = staged(sketches_of(members), name)
     pairs = staged(multi.where("rid <> lead").select(F.col("lead").alias("a"), F.col("rid").alias("b")).distinct(), name)
-    links = staged(verified(pairs, sets, num, den), name)
+    likely = staged(verified(pairs, sketches.select("rid", "elems"), _may_link(num, den)), name)
+    ends = staged(likely.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), name)
+    links = staged(verified(likely, sets_of(ends), _links(num, den)), name)
     comp = least_labels(links, name)
     failed = pairs.join(links, ["a", "b"], "left_anti")
     if failed.isEmpty():
@@ -169,7 +245,10 @@ def components(sigs: DataFrame, heads_of: Callable[[DataFrame], DataFrame], sets
     named = super_.join(comp.select(F.col("id").alias("rid"), "comp"), "rid", "left").select("rid", "super", F.coalesce("comp", "rid").alias("comp"))
     open_ = named.groupBy("super").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("super")
     apart = staged(named.join(open_, "super"), name)
-    apart = apart.join(heads_of(apart.select("rid").distinct()), "rid").join(sets, "rid")
+    may = staged(partnered(apart.join(sketches, "rid"), num, den), name)
+    if may.isEmpty():
+        return comp
+    apart = apart.join(heads_of(may), "rid").join(sets_of(may), "rid")
     more = staged(exhaustive(apart, num, den, bound), name)
     if more.isEmpty():
         return comp
