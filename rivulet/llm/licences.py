@@ -1,9 +1,12 @@
 """Licence scan by conditional compression.
 
-Candidate blocks are the sentences of lines that hold a licence cue. Each is compressed alone and with each template as a
-zstandard raw dictionary; the template that saves the largest share of bytes is the winner. A winner is confirmed by the
-exact differences of wording: the words of the template that the block lacks and the words it adds, in order, letters
-and digits only. At most a quarter of the template's words may differ, and none that has a digit or is in MARKS.
+Candidate blocks are windows of the whole text around each licence cue, one for each template and place of a cue in it:
+as many words as the template has and a quarter more on both sides, over line ends, full stops and comment marks, then
+cut to the part that the template's words span (whole runs without white space). Each is compressed alone and with its
+template as a zstandard raw dictionary, white space and comment marks made one space; templates are tried by the bytes
+that they save, most first, as long as they save any, until one is confirmed by the exact differences of wording: the
+words of the template that the block lacks and the words it adds, in order, letters and digits only. At most a quarter
+of the template's words may differ, and none that has a digit or is in MARKS. A block without any cue is not found.
 
 One row for each confirmed block, with code-point offsets in the whole text; several rows if a text repeats a licence.
 Null and empty texts give none. Ties between templates go to the first in the table. Repeated rows are scanned each.
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,61 +46,105 @@ MARKS = frozenset("apache mit gnu gpl lgpl agpl lesser affero bsd cc by nc sa nd
 MOST_DIFFERENT = 0.25
 LEVEL = 3
 FOUND = "doc_id long, start long, end long, license string, saved double, missing int, extra int, wording string"
-_CUE = re.compile(r"licen[cs]|permission is hereby granted|redistribution and use", re.I)
-_BLOCK = re.compile(r"(?:[^.!?\n]|[.!?](?=\S))+[.!?]*")  # a sentence within its line
+_CUE = re.compile(r"licen[cs]|permission[\W_]+is[\W_]+hereby[\W_]+granted|redistribution[\W_]+and[\W_]+use", re.I)
 _WORD = re.compile(r"[^\W_]+")
+_GAP = re.compile(r"(?:\s|(?<!\S)(?:[#*;%|]+|//+|--+|/\*+|\*+/|<!--|-->)(?!\S))+")  # white space and comment marks
+
+
+def _mark(word: str) -> bool:
+    return word in MARKS or any(c.isdigit() for c in word)
 
 
 class Scanner:
-    """Compressors and words of the templates."""
+    """Compressors, words and cue places of the templates."""
 
     def __init__(self, templates: list[tuple[str, str]]):
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.each = []
         for name, text in templates:
             raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.each.append((name, zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False), [w.lower() for w in _WORD.findall(text)]))
-        self.kept: dict[str, tuple | None] = {}
-
-    def judge(self, block: str) -> tuple | None:
-        """(licence, share saved, missing, extra, wording) of the winner if it is confirmed."""
-        if block not in self.kept:
+            at = [m.start() for m in _WORD.finditer(text)]
+            places = sorted({bisect_right(at, m.start()) - 1 for m in _CUE.finditer(text)})
+            self.each.append((name, zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False), [w.lower() for w in _WORD.findall(text)], places))
+        self.widest = max((len(own) for _, _, own, _ in self.each), default=0)
+        self.kept: dict[tuple[str, ...], list] = {}
+
+    def _fits(self, words: tuple[str, ...], cue: int) -> list[tuple[int, int, int]]:
+        """(template, first, end) of the windows among words around the word number cue that can be confirmed."""
+        key = (str(cue), *words)
+        if key not in self.kept:
             if len(self.kept) > 50_000:
                 self.kept.clear()
-            self.kept[block] = self._judge(block)
-        return self.kept[block]
-
-    def _judge(self, block: str) -> tuple | None:
-        data = block.encode()
-        alone = len(self.plain.compress(data))
-        rank = [(1 - len(c.compress(data)) / alone, -i) for i, (_, c, _) in enumerate(self.each)]
+            self.kept[key] = self._windows(words, cue)
+        return self.kept[key]
+
+    def _windows(self, words: tuple[str, ...], cue: int) -> list[tuple[int, int, int]]:
+        out, there = set(), set(words)
+        for i, (_, _, own, places) in enumerate(self.each):
+            most = int(MOST_DIFFERENT * len(own))
+            lost = [w for w in own if w not in there]
+            if len(lost) > most or any(map(_mark, lost)):  # more words are missing than may, or one that must not
+                continue
+            for place in places:
+                low, high = max(0, cue - place - most), cue - place + len(own) + most
+                same = [m for m in difflib.SequenceMatcher(None, own, words[low:high], autojunk=False).get_matching_blocks() if m.size]
+                # a word far from the others can match by chance: each way to leave such ends out is tried
+                for a in range(len(same)):
+                    if same[a].a > most:
+                        break
+                    for b in range(len(same) - 1, a - 1, -1):
+                        if len(own) - same[b].a - same[b].size > most:
+                            break
+                        out.add((i, low + same[a].b, low + same[b].b + same[b].size))
+        return sorted(out)
+
+    def judge(self, block: str, i: int) -> tuple | None:
+        """(bytes saved, share saved, missing, extra, wording) of a block if template i saves bytes and is confirmed."""
+        _, packer, own, _ = self.each[i]
         words = [w.lower() for w in _WORD.findall(block)]
-        for saved, i in sorted(rank, reverse=True)[:3]:  # templates of one family save nearly the same
-            name, _, own = self.each[-i]
-            gone, new = [], []
-            for kind, a, b, c, d in difflib.SequenceMatcher(None, own, words, autojunk=False).get_opcodes():
-                if kind != "equal":
-                    gone += own[a:b]
-                    new += words[c:d]
-            if saved > 0 and max(len(gone), len(new)) <= MOST_DIFFERENT * len(own) and not any(w in MARKS or re.search(r"\d", w) for w in gone + new):
-                return name, saved, len(gone), len(new), " ".join([f"-{w}" for w in gone] + [f"+{w}" for w in new])
-        return None
-
-
-def blocks(text: str) -> Iterator[tuple[int, int, str]]:
-    """Candidate blocks (start, end, block) of a text, each once."""
-    done = 0
-    for cue in _CUE.finditer(text):
-        if cue.start() < done:
-            continue
-        low = text.rfind("\n", 0, cue.start()) + 1
-        high = text.find("\n", cue.end())
-        high = len(text) if high < 0 else high
-        for m in _BLOCK.finditer(text, max(low, done), high):
-            lead = len(m[0]) - len(m[0].lstrip())
-            if _CUE.search(m[0]):
-                yield m.start() + lead, m.end(), m[0][lead:]
-        done = high
+        gone, new = [], []
+        for kind, a, b, c, d in difflib.SequenceMatcher(None, own, words, autojunk=False).get_opcodes():
+            if kind != "equal":
+                gone += own[a:b]
+                new += words[c:d]
+        if max(len(gone), len(new)) > MOST_DIFFERENT * len(own) or any(map(_mark, gone + new)):
+            return None
+        data = _GAP.sub(" ", block).encode()
+        alone, given = len(self.plain.compress(data)), len(packer.compress(data))
+        if given >= alone:
+            return None
+        return alone - given, 1 - given / alone, len(gone), len(new), " ".join([f"-{w}" for w in gone] + [f"+{w}" for w in new])
+
+    def found(self, text: str) -> Iterator[tuple]:
+        """(start, end, licence, share saved, missing, extra, wording) of each confirmed block of a text."""
+        if not _CUE.search(text):
+            return
+        spans = [m.span() for m in _WORD.finditer(text)]
+        starts, done = [a for a, _ in spans], 0
+        for m in _CUE.finditer(text):
+            if m.start() < done:
+                continue
+            cue = bisect_right(starts, m.start()) - 1
+            first = bisect_left(starts, done, max(0, cue - 2 * self.widest), cue)
+            near = spans[first : cue + 2 * self.widest]
+            best: tuple | None = None
+            for i, a, b in self._fits(tuple(text[x:y].lower() for x, y in near), cue - first):
+                start, end = near[a][0], near[b - 1][1]
+                while a and re.fullmatch(r"[._@+-]+", text[near[a - 1][1] : start]):  # words joined to it count
+                    a -= 1
+                    start = near[a][0]
+                end = _JOINED.match(text, end).end()
+                got = self.judge(text[start:end], i)
+                # the same block saves alike in templates of one family: exact wording first, then bytes saved
+                if got and (best is None or (got[0], -got[2] - got[3]) > best[0]):
+                    best = ((got[0], -got[2] - got[3]), (start, end, self.each[i][0], *got[1:]))
+            if best:
+                yield best[1]
+                done = best[1][1]
+
+
+# what is joined to the last word, as a further part of a version or name, and the marks that end a sentence
+_JOINED = re.compile(r"(?:[._@+-]+[^\W_]+)*[.!?:]*")
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
@@ -107,7 +155,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
         names = [x.split()[0] for x in FOUND.split(", ")]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string()]
         for batch in pieces(batches):
-            out = [(d, a, b, *got) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for a, b, block in blocks(t) if (got := own.judge(block))]
+            out = [(d, *got) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for got in own.found(t)]
             yield pa.record_batch([pa.array([x[i] for x in out], k) for i, k in enumerate(types)], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, FOUND)

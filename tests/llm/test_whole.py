@@ -1,11 +1,12 @@
 """Whole jobs: what stages and operators must not leave out."""
 
 import random
+import textwrap
 
 import numpy as np
 
 import corpus_pipeline as pipeline
-from rivulet.llm import partenum, setjoin
+from rivulet.llm import licences, partenum, setjoin
 from tests.llm import brute
 from tests.llm.test_contracts import near_copies
 from tests.llm.test_operators import SMALL, docs
@@ -52,3 +53,22 @@ def test_sketches_rule_out_no_link():
         assert can or not do
         out.add((can, do))
     assert {(True, True), (False, False)} <= out
+
+
+def scanned(text):
+    return [(a, b, name) for a, b, name, *_ in licences.Scanner(licences.TEMPLATES).found(text)]
+
+
+def test_every_template_verbatim_and_wrapped():
+    for name, template in licences.TEMPLATES:
+        lines = textwrap.wrap(template, 70 if len(template) > 70 else 30)
+        for text in (template, "\n".join(lines), "\n".join("# " + x for x in lines), "/*\n * " + "\n * ".join(lines) + "\n */"):
+            for whole in (text, f"Copyright of someone.\n\n{text}\n\nOther words follow here."):
+                got = scanned(whole)
+                assert [x[2] for x in got] == [name], (name, whole, got)
+                assert whole[got[0][0] : got[0][1]].split()[0] == template.split()[0] and got[0][1] >= whole.index(lines[-1].split()[-1])
+
+
+def test_other_versions_are_not_confirmed():
+    for text in ("Licensed under the Apache License, Version 3.0.", "This work is licensed under the GNU General Public License, version 3.1.", "Licensed under CC BY 4.0-NC.", "Released under the BSD License."):
+        assert scanned(text) == []
