@@ -72,3 +72,9 @@ def test_every_template_verbatim_and_wrapped():
 def test_other_versions_are_not_confirmed():
     for text in ("Licensed under the Apache License, Version 3.0.", "This work is licensed under the GNU General Public License, version 3.1.", "Licensed under CC BY 4.0-NC.", "Released under the BSD License."):
         assert scanned(text) == []
+
+
+def test_templates_beyond_the_third_rank_are_tried():
+    family = [(f"L{c}", f"This work is licensed under the common family public terms, letter {c}2 only.") for c in "abcdefg"]
+    for name, template in family:
+        assert [x[2] for x in licences.Scanner(family).found(template)] and [x for x in licences.Scanner(family).found(template)][0][2] == name
