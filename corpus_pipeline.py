@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rivulet.llm import pii, quality, toxicity
 from rivulet.llm.common import staged, table
-from rivulet.llm.packing import packed, word_lengths
+from rivulet.llm.packing import packed, token_lengths
 from rivulet.llm.partenum import FOUR_FIFTHS, ngram_jaccard_components
 from rivulet.llm.setjoin import pick
 from rivulet.session import ship
@@ -54,7 +54,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document: its bin and place there."""
-    return packed(word_lengths(docs))
+    return packed(token_lengths(docs))
 
 
 def _shipped(stage: Callable) -> Callable:

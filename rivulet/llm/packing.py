@@ -5,21 +5,24 @@ shards of about SHARD_ROWS and packed there in descending length: a piece goes i
 none has room, the bin size whose cost for each token it can still hold is least is opened. At the end each bin shrinks
 to the least permitted length that holds its contents, so only a shard's last bins can be much larger than needed.
 
-A document's length is its words and one end mark; null and empty texts have length 1. Every row is packed, repeated rows
-too; rows with a null doc_id are packed under null. Other columns are ignored.
+A document's length is its tokens in op3's encoding and the end mark; null and empty texts have length 1.
+Every row is packed, repeated rows too; rows with a null doc_id are packed under null. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import table
+from rivulet.llm.common import pieces, staged, table
+from rivulet.llm.tokenfiles import TOKENIZER, encoder
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 SHARD_ROWS = 20_000
@@ -71,10 +74,24 @@ def word_lengths(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (words + 1).cast("long").alias("n_tokens"))
 
 
+def token_lengths(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens): tokens of op3's tokenizer, and the end mark."""
+    path = public_tokenizers.path(TOKENIZER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
+        for batch in pieces(batches, rows=2048):
+            _, sizes = own.encode(batch.column("text"))
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(sizes + 1, pa.int64())], ["doc_id", "n_tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
+
+
 def packed(lengths_of: DataFrame, lengths: Sequence[int] = LENGTHS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """PACKED for each piece of the rows (doc_id, n_tokens)."""
     most = max(lengths)
     rows = lengths_of.select("doc_id", F.greatest("n_tokens", F.lit(1).cast("long")).alias("n_tokens"))
+    rows = staged(rows, "packing")  # lengths are taken once
     cut = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / most)))
     pieces = rows.select("doc_id", "n_tokens", cut.alias("piece"))
     size = F.least(F.lit(most).cast("long"), F.col("n_tokens") - F.col("piece") * most)
@@ -93,4 +110,4 @@ def packed(lengths_of: DataFrame, lengths: Sequence[int] = LENGTHS, shard_rows:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(word_lengths(table(spark, sf_dir, "documents")))
+    return packed(token_lengths(table(spark, sf_dir, "documents")))

@@ -2,11 +2,12 @@
 
 import random
 import textwrap
+from collections import Counter
 
 import numpy as np
 
 import corpus_pipeline as pipeline
-from rivulet.llm import licences, partenum, setjoin
+from rivulet.llm import licences, packing, partenum, setjoin
 from tests.llm import brute
 from tests.llm.test_contracts import near_copies
 from tests.llm.test_operators import SMALL, docs
@@ -78,3 +79,15 @@ def test_templates_beyond_the_third_rank_are_tried():
     family = [(f"L{c}", f"This work is licensed under the common family public terms, letter {c}2 only.") for c in "abcdefg"]
     for name, template in family:
         assert [x[2] for x in licences.Scanner(family).found(template)] and [x for x in licences.Scanner(family).found(template)][0][2] == name
+
+
+def test_packed_lengths_are_tokens(spark):
+    texts = [None, "", "unbelievable antidisestablishmentarianism, twice", "aGVsbG8gd29ybGQ" * 3000]
+    want = {i: len(ids) for i, ids in enumerate(brute.word_ids([t or "" for t in texts]))}
+    assert want[3] > max(packing.LENGTHS)
+    assert {r.doc_id: r.n_tokens for r in packing.token_lengths(docs(spark, texts)).collect()} == want
+    got = Counter()
+    for r in pipeline.packing_stage(spark, docs(spark, texts), SMALL).collect():
+        got[r.doc_id] += r.n_tokens
+        assert r.n_tokens <= max(packing.LENGTHS)
+    assert got == want
