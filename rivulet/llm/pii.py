@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Base entities (email, ip, card, phone) are found by patterns. They are the seeds: the two words before a seed make a
-lexical pattern of its kind. Patterns and instances form a graph, which is scored in rounds: a pattern's confidence is the
+Base entities (email, ip, card, phone) are found by patterns. They are the seeds: the two words of the whole text before
+the word in which a seed starts make a lexical pattern of its kind. Patterns and instances form a graph, which is scored in rounds: a pattern's confidence is the
 number of accepted instances it stands before, of all its occurrences in the corpus; an unseen identifier (a word with
 digits or an @) gets 1 - product of (1 - confidence) over its patterns and is accepted at ACCEPT; accepted ones seed
 the next round. A pattern needs LEAST_SEEDS different instances and the confidence CONFIDENT.
@@ -22,7 +22,6 @@ ROUNDS, LEAST_SEEDS, CONFIDENT, ACCEPT = 3, 3, 0.6, 0.6
 #: Up to so many patterns (80 bytes each) are broadcast to count them in the texts; above that they are shuffled.
 BROADCAST_PATTERNS = 100_000
 SHARES = (1, 8, 64)  # bounds of the shares of the texts, of so many by hash, in which patterns are counted
-LEFT = 64  # code points looked at before an instance
 _SPACE = "\\x20\\x09-\\x0D"
 #: The base patterns in a form that runs in linear time: possessive where nothing can be given back, and starting only
 #: where no longer match could start (or where the last one ended).
@@ -38,12 +37,14 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
 def _found(kind: str) -> Column:
-    """Array of (kind, gap, surface, left): the code points since the last match, the match, and what stands before."""
+    """Array of (kind, gap, surface, before, within): the code points since the last match, the match, and the runs of
+    white space in both."""
     text = F.col("text")
     gaps, hits = F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    rows = F.zip_with(gaps, hits, lambda g, m: F.struct(F.lit(kind).alias("kind"), F.char_length(g).alias("gap"), m.alias("surface"), F.lower(F.right(g, F.lit(LEFT))).alias("left")))
+    spaces = lambda x: F.size(F.split(x, f"[{_SPACE}]+", -1)) - 1
+    rows = F.zip_with(gaps, hits, lambda g, m: F.struct(F.lit(kind).alias("kind"), F.char_length(g).alias("gap"), m.alias("surface"), spaces(g).alias("before"), spaces(m).alias("within")))
     rows = F.filter(rows, lambda r: r["surface"].isNotNull())
-    none = F.array().cast("array<struct<kind:string,gap:int,surface:string,left:string>>")
+    none = F.array().cast("array<struct<kind:string,gap:int,surface:string,before:int,within:int>>")
     may = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike("[0-9@]" if kind == "word" else "[0-9]")
     return F.when(may, rows).otherwise(none)
 
@@ -72,18 +73,25 @@ def _valid(kind: Column, surface: Column) -> Column:
     return F.when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", n.between(9, 15)).otherwise(True)
 
 
-def _pattern() -> Column:
-    """The two words before an instance; null where there are not two."""
-    words = F.filter(F.split("left", f"[{_SPACE}]+"), lambda w: w != "")
-    return F.when(F.size(words) >= 2, F.array_join(F.slice(words, -2, 2), " "))
+def _contexts() -> Column:
+    """Array of (word, pattern): the number of each run of white space after which a word starts that may hold the start
+    of an instance (it has a digit, @ or +), and the two words before it. White space at the start is a run as well."""
+    text = F.lower("text")
+    words = F.split(text, f"[{_SPACE}]+", -1)  # an empty word first if white space comes first
+    none = F.array(F.lit(None).cast("string"))
+    befores = F.concat(none, none, F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.when(a != "", F.concat(a, F.lit(" "), b))))
+    rows = F.filter(F.transform(F.arrays_zip(words.alias("w"), befores.alias("p")), lambda x, i: F.struct(i.alias("word"), x["w"].alias("w"), x["p"].alias("pattern"))), lambda x: x["w"].rlike("[0-9@+]") & x["pattern"].isNotNull())
+    return F.transform(rows, lambda x: F.struct(x["word"], x["pattern"]))
 
 
 def _instances(hits: DataFrame) -> DataFrame:
-    """(row, kind, start, end, surface, pattern) of the entities and of the words that overlap none (kind word)."""
+    """(row, kind, start, end, surface, pattern) of the entities and of the words that overlap none (kind word); pattern is
+    null where there are not two words before."""
     flat = hits.select("row", F.posexplode("hits").alias("pos", "hit")).select("row", "pos", "hit.*")
     size = F.char_length("surface")
     upto = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     placed = flat.withColumn("end", F.sum(F.col("gap") + size).over(upto)).withColumn("start", F.col("end") - size)
+    placed = placed.withColumn("word", (F.sum(F.col("before") + F.col("within")).over(upto) - F.col("within")).cast("int"))
     useful = (F.col("kind") != "word") | (size.between(5, 64) & (F.contains(F.col("surface"), F.lit("@")) | (F.length(F.regexp_replace("surface", "[^0-9]", "")) >= 4)))
     placed = placed.where(_valid(F.col("kind"), F.col("surface")) & useful)
     base = F.col("kind") != "word"
@@ -92,7 +100,8 @@ def _instances(hits: DataFrame) -> DataFrame:
     coming = F.min(F.when(base, F.col("start"))).over(by_start.rowsBetween(0, Window.unboundedFollowing))
     placed = placed.withColumn("reached", reached).withColumn("coming", coming)
     alone = base | ((F.coalesce("reached", F.lit(0)) <= F.col("start")) & (F.col("coming").isNull() | (F.col("coming") >= F.col("end"))))
-    return placed.where(alone).select("row", "kind", "start", "end", "surface", _pattern().alias("pattern"))
+    contexts = hits.select("row", F.inline("contexts"))
+    return placed.where(alone).join(contexts, ["row", "word"], "left").select("row", "kind", "start", "end", "surface", "pattern")
 
 
 def _counted(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -167,7 +176,7 @@ def _joined(spans: Column) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans) of each row of docs (doc_id, text): arrays of (start, kind_no, end)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    hits = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(*map(_found, PATTERNS)).alias("hits"))
+    hits = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(*map(_found, PATTERNS)).alias("hits"), _contexts().alias("contexts"))
     hits = staged(hits, "pii")
     instances = staged(_instances(hits), "pii")
     kind_no = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
@@ -203,7 +212,7 @@ def masked(docs: DataFrame) -> DataFrame:
     out = docs
     for kind in KINDS:
         out = out.withColumn("text", _replaced(kind))
-    hits = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.concat(*map(_found, PATTERNS)).alias("hits")).where(F.size("hits") > 0), "pii")
+    hits = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.concat(*map(_found, PATTERNS)).alias("hits"), _contexts().alias("contexts")).where(F.size("hits") > 0), "pii")
     instances = staged(_instances(hits), "pii")
     new = _discovered(docs.where("text is not null"), instances)
     if new is not None:

@@ -5,9 +5,10 @@ import textwrap
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from rivulet.llm import licences, packing, partenum, setjoin
+from rivulet.llm import licences, packing, partenum, pii, setjoin
 from tests.llm import brute
 from tests.llm.test_contracts import near_copies
 from tests.llm.test_operators import SMALL, docs
@@ -91,3 +92,23 @@ def test_packed_lengths_are_tokens(spark):
         got[r.doc_id] += r.n_tokens
         assert r.n_tokens <= max(packing.LENGTHS)
     assert got == want
+
+
+def test_pii_contexts_are_of_the_whole_text(spark):
+    """The two words before the word of an instance, whatever matched before and however long they are."""
+    long = "x" * 90
+    texts = ["account 2024 number 12345678", f"{long} b +1 555 123 4567", " \n one two\tthree:1.2.3.4,5.6.7.8 id 99999", "one 12345678", " a@b.co", "Two words a@b.co c@d.ee"]
+    df = docs(spark, texts).select(F.col("doc_id").alias("row"), F.concat(*map(pii._found, pii.PATTERNS)).alias("hits"), pii._contexts().alias("contexts"))
+    got = {(r.row, r.surface): r.pattern for r in pii._instances(df).collect()}
+    assert got[0, "12345678"] == "2024 number"
+    assert got[1, "+1 555 123 4567"] == f"{long} b"
+    assert got[2, "1.2.3.4"] == got[2, "5.6.7.8"] == "one two" and got[2, "99999"] == "three:1.2.3.4,5.6.7.8 id"
+    assert got[3, "12345678"] is None and got[4, "a@b.co"] is None
+    assert got[5, "a@b.co"] == "two words" and got[5, "c@d.ee"] == "words a@b.co"
+
+
+def test_pii_unseen_after_a_number(spark):
+    known = [f"in 2024 please call +1 555 123 45{i:02d} now" for i in range(12)]
+    texts = [*known, "in 2024 please call 555-123-9999 now", "of 7 call 2024 please call 555-123-8888 now"]
+    got = {r.doc_id: len(r.spans) for r in pii.find(docs(spark, texts)).collect()}
+    assert got[12] == got[13] == 1
