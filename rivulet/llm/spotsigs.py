@@ -2,8 +2,8 @@
 
 A spot is a common word (ANCHORS) and the CHAIN content words that follow it, hashed to 32 bits; a text's fingerprint is
 the sorted set of its spots, eight hex digits each. A text without spots has one signature of its whole word sequence,
-so equal texts always have equal fingerprints and other texts hardly ever. Two sets are compared only if their length
-partitions allow the likeness that is asked for, and the count of common spots stops when it can no longer be reached.
+so equal texts always have equal fingerprints and other texts hardly ever. The query compares each set with two others,
+in full; likeness() with a least value skips pairs by length. Sets are not joined across documents.
 
 Null text is empty; the empty text has the signature of no words. In neighbour order (descending doc_id) null ids come
 last, and rows with the same id follow in the order of their texts. An empty table gives no rows. Other columns are
