@@ -1,13 +1,16 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
-Each match of the split pattern is encoded by halves; two encoded halves are joined by encoding again the tokens around
-the boundary, in a window that doubles until the tokens beside it stay. That they stay is provable: a sequence of tokens
-is the encoding of its bytes if and only if every two neighbours are the encoding of theirs (van Antwerpen and Neubeck,
-"So many tokens, so little time", 2024), and inside a half and inside the window that holds already, so only the window's
-two ends are to be tried. Decoding concatenates up the tree.
+Each match of the split pattern is encoded by halves down to single bytes; two encoded halves are joined by encoding
+again the tokens around the boundary, in a window of one token on either side that doubles until the tokens beside it
+stay. That they stay is provable: a sequence of tokens is the encoding of its bytes if and only if every two neighbours
+are the encoding of theirs (van Antwerpen and Neubeck, "So many tokens, so little time", 2024), and inside a half and
+inside the window that holds already, so only the window's two ends are to be tried. Nodes of the tree and pairs of tokens
+recur, so a worker remembers them. A match that is a token as a whole is that token, as in tiktoken, whatever the merges
+say. Decoding concatenates up a tree of FAN children to a node.
 
 Null and empty texts: no ids, empty bytes. Rows and other columns stay as they are; ids and decoded replace columns of
-these names. Repeated rows are encoded each.
+these names. Repeated rows are encoded each; an empty table gives none. A match of any length, a text of many megabytes
+without a space too, goes through the same tree; its depth grows with the logarithm of the length.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import public_tokenizers
@@ -28,8 +31,10 @@ from pyspark.sql import types as T
 from rivulet.llm.common import pieces, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-LEAF = 32  # bytes that are merged without halving
-PIECES_KEPT = 300_000  # encoded matches that a worker remembers
+FAN = 64  # children of a node when decoding
+PIECES_KEPT = 300_000  # encoded matches, nodes and pairs of tokens that a worker remembers, each
+NODE_BYTES = 8  # nodes of more bytes are not remembered
+HEAP_FROM = 64  # bytes from which a window is merged with a heap
 _NONE = 1 << 60
 
 
@@ -44,30 +49,31 @@ class ByteBPE:
             self.tokens[rank] = token
         self.find = regex.compile(pattern).findall
         self.kept: dict[str, bytes] = {}
-        self.fits_kept: dict[tuple[int, int], bool] = {}
-        get = self.ranks.get
-        self.byte_ids = np.array([get(bytes([i]), -1) for i in range(256)])
-        made = [(a * len(self.tokens) + b, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None]
-        self.pairs, self.made = np.array(sorted(made)).reshape(-1, 2).T.copy()  # which two tokens make which
-
-    def merge(self, data: bytes) -> list[int]:
-        """Repeatedly merge the adjacent pair of least rank, the leftmost of equals."""
-        if len(data) > 4 * LEAF:
+        self.older: dict[str, bytes] = {}  # kept before the last time that there were too many
+        self.nodes: dict[bytes, tuple[int, ...]] = {}
+        self.fits_kept: dict[int, bool] = {}
+        self.edges_kept: dict[int, tuple[tuple[int, ...], tuple[int, ...]]] = {}  # of tokens
+        self.joins = 0  # how often two halves were joined
+
+    def merge(self, data: bytes, below: int = _NONE) -> tuple[int, ...]:
+        """The encoding of a window, with tokens of rank less than below: repeatedly merge the adjacent pair of least
+        rank, the leftmost of equals."""
+        if len(data) >= HEAP_FROM and below == _NONE:
             return self._merge_long(data)
         get = self.ranks.get
         parts = [data[i : i + 1] for i in range(len(data))]
         order = [get(data[i : i + 2], _NONE) for i in range(len(data) - 1)]
-        while order and (least := min(order)) != _NONE:
+        while order and (least := min(order)) < below:
             i = order.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            parts[i] += parts.pop(i + 1)
             del order[i]
             if i < len(order):
                 order[i] = get(parts[i] + parts[i + 1], _NONE)
             if i:
                 order[i - 1] = get(parts[i - 1] + parts[i], _NONE)
-        return [self.ranks[p] for p in parts]
+        return tuple(map(self.ranks.__getitem__, parts))
 
-    def _merge_long(self, data: bytes) -> list[int]:
+    def _merge_long(self, data: bytes) -> tuple[int, ...]:
         """merge() with a heap over a linked list."""
         n, get = len(data), self.ranks.get
         end, before = list(range(1, n + 1)), list(range(-1, n))
@@ -90,106 +96,116 @@ class ByteBPE:
         while i < n:
             out.append(self.ranks[data[i : end[i]]])
             i = end[i]
-        return out
+        return tuple(out)
+
+    def edges(self, token: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """The tokens that stand at the left and at the right edge while the token is made, from a byte up to itself."""
+        got = self.edges_kept.get(token)
+        if got is None:
+            data = self.tokens[token]
+            if len(data) == 1:
+                got = ((token,), (token,))
+            else:
+                two = self.merge(data, token)
+                got = ((*self.edges(two[0])[0], token), (*self.edges(two[-1])[1], token))
+            self.edges_kept[token] = got
+        return got
 
     def fits(self, a: int, b: int) -> bool:
-        """Whether the two tokens are the encoding of their bytes."""
-        known = self.fits_kept.get((a, b))
+        """Whether the two tokens are the encoding of their bytes: no pair across the boundary is merged before the edges
+        grow past it. Tokens are made in the order of their ranks, equal ones from left to right."""
+        key = a * len(self.tokens) + b
+        known = self.fits_kept.get(key)
         if known is None:
             if len(self.fits_kept) >= PIECES_KEPT:
                 self.fits_kept.clear()
-            known = self.fits_kept[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
+            left, right, get, tokens, i, j = self.edges(a)[1], self.edges(b)[0], self.ranks.get, self.tokens, 0, 0
+            known = True
+            while True:
+                own = left[i + 1] if i + 1 < len(left) else _NONE
+                other = right[j + 1] if j + 1 < len(right) else _NONE
+                across = get(tokens[left[i]] + tokens[right[j]], _NONE)
+                if across < own and across <= other:
+                    known = False
+                    break
+                if own <= other:
+                    i += 1
+                    if own == _NONE:
+                        break
+                else:
+                    j += 1
+            self.fits_kept[key] = known
         return known
 
-    def join(self, a: list[int], b: list[int]) -> list[int]:
+    def join(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of two encoded neighbours."""
-        width = 2
+        self.joins += 1
+        if self.fits(a[-1], b[0]):  # the halves may stand side by side as they are
+            return a + b
+        width = 1
         while True:
             low, high = max(0, len(a) - width), min(len(b), width)
-            window = self.merge(self.decode(a[low:] + b[:high]))
+            window = self.window(a[low:] + b[:high])
             if (not low or self.fits(a[low - 1], window[0])) and (high == len(b) or self.fits(window[-1], b[high])):
                 return a[:low] + window + b[high:]
             width *= 2
 
-    def merge_all(self, words: list[bytes]) -> list[bytes]:
-        """merge() of many leaves at once, as bytes of 32-bit ids: in each round every word merges its first pair of
-        least rank, and words without one are done."""
-        done = [b""] * len(words)
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        token = self.byte_ids[flat]
-        rank = self.pair_ranks(token, owner)
-        while len(token):
-            start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            least = np.minimum.reduceat(rank, start)
-            over = least == _NONE
-            if over.any():
-                ends = np.r_[start[1:], len(token)]
-                raw = token.astype(np.int32).tobytes()
-                for i in np.flatnonzero(over).tolist():
-                    done[owner[start[i]]] = raw[4 * start[i] : 4 * ends[i]]
-                keep = np.repeat(~over, ends - start)
-                token, owner, rank = token[keep], owner[keep], rank[keep]
-                least = least[~over]
-                start = np.cumsum(np.r_[0, (ends - start)[~over]])[:-1]
-                if not len(token):
-                    break
-            size = np.diff(np.r_[start, len(token)])
-            at = np.flatnonzero(rank == np.repeat(least, size))
-            at = at[np.r_[True, owner[at[1:]] != owner[at[:-1]]]]  # the first of each word
-            token[at] = rank[at]
-            keep = np.ones(len(token), bool)
-            keep[at + 1] = False
-            at -= np.arange(len(at))  # places after the right tokens are gone
-            token, owner, rank = token[keep], owner[keep], rank[keep]
-            for near in (at, at[at > 0] - 1):
-                rank[near] = self.pair_ranks(token, owner, near)
-        return done
-
-    def pair_ranks(self, token: np.ndarray, owner: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-        """Rank of each token (or those at places) with the next one of its word; _NONE if they make no token."""
-        at = np.arange(len(token)) if at is None else at
-        out = np.full(len(at), _NONE)
-        inner = np.flatnonzero(at + 1 < len(token))
-        inner = inner[owner[at[inner]] == owner[at[inner] + 1]]
-        key = token[at[inner]] * len(self.tokens) + token[at[inner] + 1]
-        place = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        out[inner] = np.where(self.pairs[place] == key, self.made[place], _NONE)
-        return out
-
-    def tree(self, data: bytes) -> list[int]:
-        if len(data) <= LEAF:
-            return self.merge(data)
-        half = len(data) // 2
-        return self.join(self.tree(data[:half]), self.tree(data[half:]))
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
-    def learn(self, matches: set[str]) -> None:
-        """Keep the ids of new matches; a match that is a token itself is that token."""
-        if len(self.kept) + len(matches) > PIECES_KEPT:
-            self.kept = {}
-        small = []
-        for m in matches:
-            data = m.encode()
-            whole = self.ranks.get(data)
-            if whole is not None:
-                self.kept[m] = array("i", [whole]).tobytes()
-            elif len(data) <= LEAF:
-                small.append((m, data))
+    def window(self, ids: tuple[int, ...]) -> tuple[int, ...]:
+        """The encoding of the bytes of some neighbours, remembered like a node: bytes have one encoding."""
+        data = self.decode(ids)
+        got = self.nodes.get(data)
+        if got is None:
+            got = self.merge(data)
+            self.keep(data, got)
+        return got
+
+    def keep(self, data: bytes, ids: tuple[int, ...]) -> None:
+        if len(data) <= NODE_BYTES:
+            if len(self.nodes) >= PIECES_KEPT:
+                self.nodes.clear()
+            self.nodes[data] = ids
+
+    def tree(self, data: bytes) -> tuple[int, ...]:
+        nodes = self.nodes
+        got = nodes.get(data)
+        if got is None:
+            half = len(data) >> 1
+            if half:
+                a, b = data[:half], data[half:]
+                got = self.join(nodes.get(a) or self.tree(a), nodes.get(b) or self.tree(b))
             else:
-                self.kept[m] = array("i", self.tree(data)).tobytes()
-        for (m, _), ids in zip(small, self.merge_all([d for _, d in small]), strict=True):
-            self.kept[m] = ids
+                got = (self.ranks[data],)
+            self.keep(data, got)
+        return got
+
+    def decode(self, ids: Sequence[int]) -> bytes:
+        return self.concatenated(list(map(self.tokens.__getitem__, ids)))
+
+    @staticmethod
+    def concatenated(parts: list[bytes]) -> bytes:
+        """The parts joined up a tree."""
+        while len(parts) > FAN:
+            parts = [b"".join(parts[i : i + FAN]) for i in range(0, len(parts), FAN)]
+        return b"".join(parts)
+
+    def learn(self, matches: set[str], kept: dict[str, bytes]) -> None:
+        """Keep the ids of matches; those of the last generation are taken from there."""
+        for m in matches:
+            ids = self.older.get(m)
+            if ids is None:
+                data = m.encode()
+                own, whole = self.tree(data), self.ranks.get(data)
+                ids = array("i", own if whole is None else (whole,)).tobytes()
+            kept[m] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit integers."""
         found = [self.find(t) for t in texts]
         matches = set().union(*found)
         new = matches.difference(self.kept)
-        if new:
-            self.learn(matches if len(self.kept) + len(new) > PIECES_KEPT else new)
+        if new and len(self.kept) + len(new) > PIECES_KEPT:
+            self.older, self.kept, new = self.kept, {}, matches
+        self.learn(new, self.kept)
         get = self.kept.__getitem__
         return [b"".join(map(get, f)) for f in found]
 
@@ -238,10 +254,9 @@ def decode(df: DataFrame, path: str, pattern: str, column: str = "ids") -> DataF
         coder = loaded(path, pattern)
         for batch in pieces(batches, column):
             lists = batch.column(column)
-            ids = lists.flatten().to_pylist()
-            token = list(map(coder.tokens.__getitem__, ids))
+            token = list(map(coder.tokens.__getitem__, np.asarray(lists.flatten()).tolist()))
             ends = np.cumsum([0] + [x or 0 for x in lists.value_lengths().to_pylist()])
-            out = [b"".join(token[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            out = [coder.concatenated(token[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield with_column(batch, "decoded", pa.array(out, pa.binary()))
 
     return df.mapInArrow(run, _schema(df, "decoded", T.BinaryType()))

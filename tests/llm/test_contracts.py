@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +97,34 @@ def test_byte_bpe(spark, small):
         assert bytes(r.decoded) == r.text.encode()
 
 
+def test_byte_bpe_goes_through_the_tree(small):
+    """Every match of two bytes or more is joined from halves; nothing is merged whole but windows that had to grow."""
+    coder = bytebpe.ByteBPE(bytebpe.public_tokenizers.path(bytebpe.RANKS), bytebpe.public_tokenizers.PATTERN)
+    enc = brute.byte_encoding()
+    matches = {m for _, t in texts_of(small) for m in coder.find(t or "")}
+    joined = longest = 0
+    for m in matches:
+        data, before, widest = m.encode(), coder.joins, []
+        coder.nodes.clear()
+        coder.merge = lambda x, below=bytebpe._NONE, w=widest: w.append((len(x), below)) or bytebpe.ByteBPE.merge(coder, x, below)
+        ids = coder.tree(data)
+        coder.merge = bytebpe.ByteBPE.merge.__get__(coder)
+        assert coder.joins - before >= len(data) - 1 - len(data) // 2  # equal halves are one node
+        joined += coder.joins > before
+        longest += any(n == len(data) for n, below in widest if below == bytebpe._NONE and len(data) > 8)
+        assert [*ids] == enc._core_bpe.encode_single_piece(data) or data in coder.ranks
+    assert joined >= 0.99 * sum(len(m.encode()) > 1 for m in matches) and longest < 0.5 * len(matches)
+
+
+def test_byte_bpe_generations(monkeypatch):
+    """What a worker forgets it encodes again."""
+    coder = bytebpe.ByteBPE(bytebpe.public_tokenizers.path(bytebpe.RANKS), bytebpe.public_tokenizers.PATTERN)
+    enc = brute.byte_encoding()
+    monkeypatch.setattr(bytebpe, "PIECES_KEPT", 40)
+    for text in fuzzed(300, 6) + ["the same words and " * 9, "x" * 200_000]:
+        assert np.frombuffer(coder.encode([text, text[:9]])[0], np.int32).tolist() == enc.encode_ordinary(text)
+
+
 def test_pii_base(spark, small):
     rows = small.unionByName(docs(spark, ODD + fuzzed(600, 3), 1_000_000))
     text = dict(texts_of(rows))
