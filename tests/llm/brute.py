@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import operator
 import re
 import zlib
 
@@ -90,10 +92,10 @@ def byte_encoding():
 
 
 def top_k(rows: list[tuple[int, list | None]], every: int, k: int) -> set[tuple[int, int, int, int]]:
-    good = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all()]
+    good = [(i, [math.floor(256.0 * x) for x in v]) for i, v in rows if i is not None and v and None not in v and all(map(math.isfinite, v))]
     out = set()
     for q, a in good:
         if q % every == 0:
-            scores = sorted((-int(a @ b), i) for i, b in good if i != q and len(a) == len(b))[:k]
-            out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)}
+            scores = sorted((-sum(map(operator.mul, a, b)), i) for i, b in good if i != q and len(a) == len(b))[:k]
+            out |= {(q, n + 1, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, i) in enumerate(scores)}
     return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -216,6 +217,41 @@ def test_top_k(spark):
     assert {tuple(r) for r in topk.top_k(df, "vec_id % 50 = 0").collect()} == want
 
 
+@pytest.mark.parametrize("size", [1e3, 1e6, 1e7, 1e15])
+def test_top_k_is_exact_at_any_size(spark, size):
+    """Scores past 2**53 and past a long: products of whole numbers, not of doubles."""
+    rng = random.Random(int(math.log10(size)))
+    rows = [(i, [rng.gauss(0, size) for _ in range(20)]) for i in range(160)] + [(160 + i, [rng.gauss(0, 1.0) for _ in range(20)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in topk.top_k(df, "vec_id % 10 = 0").collect()} == brute.top_k(rows, 10, 5)
+
+
+def test_top_k_of_the_longest_vectors(spark):
+    """Past 38 digits scores tie; none is lost."""
+    rows = [(i, [1e300, -1e300 if i % 2 else 1e300, float(i)]) for i in range(20)] + [(20, [0.0, 0.0, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 10 = 0").collect()
+    assert sorted((r.query_id, r.rank) for r in got) == [(q, n) for q in (0, 10, 20) for n in range(1, 6)]
+    assert {r.score for r in got if r.query_id == 0} == {(1 << 63) - 1} and {r.score for r in got if r.query_id == 20} == {0}
+
+
+def test_top_k_over_many_slices(spark, monkeypatch):
+    """Small slices and blocks, vectors of very different lengths, ties, and two dimensions."""
+    monkeypatch.setattr(topk, "SLICE", 40)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    rng = random.Random(8)
+    rows = [(i, [rng.choice((-1.0, 0.0, 0.5, 1.0)) * 3.0 ** (i % 7) for _ in range(20 if i % 3 else 6)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert {tuple(r) for r in topk.top_k(df, "vec_id % 10 = 0").collect()} == brute.top_k(rows, 10, 5)
+
+
+def test_top_k_ties_and_repeats(spark):
+    rows = [(5, [1.0, 1.0])] * 4 + [(10, [1.0, 1.0]), (10, [1.0, 1.0]), (0, [0.0, 0.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("norm", F.lit("x"))
+    got = [tuple(r) for r in topk.top_k(df, "vec_id % 10 = 0").orderBy("query_id", "rank").collect()]
+    one = 2 * 256 * 256
+    assert got == [(0, n, i, 0) for n, i in enumerate([5, 5, 5, 5, 10], 1)] + [(10, n, i, s) for n, (i, s) in enumerate([(5, one)] * 4 + [(0, 0)], 1)]
+
+
 def test_quality_accuracy(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
