@@ -1,6 +1,8 @@
 """Whole jobs: what stages and operators must not leave out."""
 
+import difflib
 import random
+import re
 import textwrap
 from collections import Counter
 
@@ -71,6 +73,77 @@ def test_every_template_verbatim_and_wrapped():
                 assert whole[got[0][0] : got[0][1]].split()[0] == template.split()[0] and got[0][1] >= whole.index(lines[-1].split()[-1])
 
 
+def licence_windows(text, templates):
+    """(first, end, licence, missing + extra) of every window of words that some template confirms, each against each."""
+    spans = [m.span() for m in re.finditer(r"[^\W_]+", text)]
+    words = [text[a:b].lower() for a, b in spans]
+    out = []
+    for name, template in templates:
+        own = [w.lower() for w in re.findall(r"[^\W_]+", template)]
+        most = len(own) // 4
+        for i in range(len(words)):
+            for j in range(i + len(own) - most, min(len(words), i + len(own) + most) + 1):
+                gone, new = [], []
+                for kind, a, b, c, d in difflib.SequenceMatcher(None, own, words[i:j], autojunk=False).get_opcodes():
+                    if kind != "equal":
+                        gone += own[a:b]
+                        new += words[i:j][c:d]
+                if max(len(gone), len(new)) <= most and not any(w in licences.MARKS or re.search(r"\d", w) for w in gone + new):
+                    out.append((spans[i][0], spans[j - 1][1], name, len(gone) + len(new)))
+    return out
+
+
+def test_licences_against_every_window():
+    """Near wordings, verbatim ones, ones too far off, in plain prose: what the scan reports is what comparing every window
+    with every template finds."""
+    rng = random.Random(12)
+    few = [licences.TEMPLATES[i] for i in (0, 1, 3, 4, 7, 9, 19, 24, 27, 29)]
+    filler = [w for _, t in few for w in re.findall(r"\w+", t) if not licences._mark(w.lower())] + ["lorem", "ipsum", "dolor"]
+    counts = Counter()
+    for n in range(120):
+        name, template = rng.choice(few)
+        words = template.split()
+        for _ in range(rng.randrange(0, 2 + len(words) // 3)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = [rng.choice(filler)] * rng.randrange(2)
+            words = words or ["x"]
+        sep = rng.choice((" ", "\n", "\n# "))
+        text = " ".join(rng.choices(filler, k=rng.randrange(12))) + ".\n" + sep.join(words) + sep + " ".join(rng.choices(filler, k=rng.randrange(12)))
+        every = licence_windows(text, few)
+        got = [(a, b, x) for a, b, x, *_ in licences.Scanner(few).found(text)]
+        for a, b, x in got:  # confirmed by the plain comparison as well
+            assert any(x == y and i < b and j > a for i, j, y, _ in every), (text, got)
+        fewest = {}
+        for _, _, x, d in every:
+            fewest[x] = min(d, fewest.get(x, d))
+        counts["should"] += bool(every)
+        counts["found"] += bool(every) and bool(got)
+        counts["absent"] += not every
+        counts["named"] += bool(got) and min(fewest, key=fewest.get) in {x for *_, x in got}
+    assert counts["absent"] > 10 and counts["should"] > 40
+    assert counts["found"] == counts["should"] and counts["named"] >= 0.95 * counts["found"], counts
+
+
+def test_real_notices():
+    """Notices as they stand in source files."""
+    mit = "\n".join(" * " + x for x in textwrap.wrap(licences.TEMPLATES[6][1], 76))
+    assert [x[2] for x in scanned("/*\n * Copyright (c) 2020 A. Author\n *\n" + mit + "\n */\nint main(void) { return 0; }")] == ["MIT"]
+    for i, name in ((11, "GPL-3.0"), (17, "LGPL-3.0"), (26, "BSD-3-Clause"), (28, "ISC"), (30, "MPL-2.0"), (2, "Apache-2.0")):
+        assert [x[2] for x in scanned("\n".join("// " + x for x in textwrap.wrap(licences.TEMPLATES[i][1], 76)))] == [name]
+    both = licences.TEMPLATES[28][1] + "\n\n" + licences.TEMPLATES[6][1]
+    assert [x[2] for x in sorted(scanned(both))] == ["ISC", "MIT"]
+
+
+def test_licences_in_odd_tables(spark):
+    """Null and empty texts, null and repeated ids, other columns, a very long text, an empty table."""
+    plain = licences.TEMPLATES[0][1]
+    rows = [(None, plain, "x"), (1, plain, "x"), (1, plain, "x"), (2, None, "x"), (3, "", "x"), (4, "the license of the software " * 200_000 + plain, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, license string")
+    got = licences.scan(df).collect()
+    assert sorted((r.doc_id or 0, r.license) for r in got) == [(0, "Apache-2.0"), (1, "Apache-2.0"), (1, "Apache-2.0"), (4, "Apache-2.0")]
+    assert licences.scan(df.where("false")).count() == 0
+
+
 def test_other_versions_are_not_confirmed():
     for text in ("Licensed under the Apache License, Version 3.0.", "This work is licensed under the GNU General Public License, version 3.1.", "Licensed under CC BY 4.0-NC.", "Released under the BSD License."):
         assert scanned(text) == []
