@@ -1,13 +1,16 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Base entities (email, ip, card, phone) are found by patterns. They are the seeds: the two words of the whole text before
-the word in which a seed starts make a lexical pattern of its kind. Patterns and instances form a graph, which is scored in rounds: a pattern's confidence is the
-number of accepted instances it stands before, of all its occurrences in the corpus; an unseen identifier (a word with
-digits or an @) gets 1 - product of (1 - confidence) over its patterns and is accepted at ACCEPT; accepted ones seed
-the next round. A pattern needs LEAST_SEEDS different instances and the confidence CONFIDENT.
+the word in which a seed starts make a lexical pattern of its kind. Patterns and instances form a graph, which is scored
+in rounds: a pattern's confidence is the number of places (words of the corpus) where it stands before an accepted
+instance, of all places where it stands before any word; an unseen identifier (a word of LEAST_SIZE code points or more
+with an @ or four digits) gets 1 - product of (1 - confidence) over its patterns and is accepted at ACCEPT, for good and
+with the kind that scores best then; accepted ones seed the next round, until a round accepts none. A pattern needs
+LEAST_SEEDS different instances and the confidence CONFIDENT.
 
 Counts cover the whole corpus. Null and empty texts have no spans. Repeated rows get a row each. Offsets are code points,
-ends exclusive. Other columns are ignored; an empty table gives no rows.
+ends exclusive. Other columns are ignored; an empty table gives no rows. Very long texts are processed whole. Spans of
+different kinds may overlap; ties of a score go to the kind that is last in the alphabet.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import staged, table
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, LEAST_SEEDS, CONFIDENT, ACCEPT = 3, 3, 0.6, 0.6
+LEAST_SEEDS, CONFIDENT, ACCEPT, LEAST_SIZE = 3, 0.6, 0.6, 5
 #: Up to so many patterns (80 bytes each) are broadcast to count them in the texts; above that they are shuffled.
 BROADCAST_PATTERNS = 100_000
 SHARES = (1, 8, 64)  # bounds of the shares of the texts, of so many by hash, in which patterns are counted
@@ -85,14 +88,14 @@ def _contexts() -> Column:
 
 
 def _instances(hits: DataFrame) -> DataFrame:
-    """(row, kind, start, end, surface, pattern) of the entities and of the words that overlap none (kind word); pattern is
+    """(row, word, kind, start, end, surface, pattern) of the entities and of the words that overlap none (kind word); pattern is
     null where there are not two words before."""
     flat = hits.select("row", F.posexplode("hits").alias("pos", "hit")).select("row", "pos", "hit.*")
     size = F.char_length("surface")
     upto = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     placed = flat.withColumn("end", F.sum(F.col("gap") + size).over(upto)).withColumn("start", F.col("end") - size)
     placed = placed.withColumn("word", (F.sum(F.col("before") + F.col("within")).over(upto) - F.col("within")).cast("int"))
-    useful = (F.col("kind") != "word") | (size.between(5, 64) & (F.contains(F.col("surface"), F.lit("@")) | (F.length(F.regexp_replace("surface", "[^0-9]", "")) >= 4)))
+    useful = (F.col("kind") != "word") | ((size >= LEAST_SIZE) & (F.contains(F.col("surface"), F.lit("@")) | (F.length(F.regexp_replace("surface", "[^0-9]", "")) >= 4)))
     placed = placed.where(_valid(F.col("kind"), F.col("surface")) & useful)
     base = F.col("kind") != "word"
     by_start = Window.partitionBy("row").orderBy("start", "end")
@@ -101,7 +104,7 @@ def _instances(hits: DataFrame) -> DataFrame:
     placed = placed.withColumn("reached", reached).withColumn("coming", coming)
     alone = base | ((F.coalesce("reached", F.lit(0)) <= F.col("start")) & (F.col("coming").isNull() | (F.col("coming") >= F.col("end"))))
     contexts = hits.select("row", F.inline("contexts"))
-    return placed.where(alone).join(contexts, ["row", "word"], "left").select("row", "kind", "start", "end", "surface", "pattern")
+    return placed.where(alone).join(contexts, ["row", "word"], "left").select("row", "word", "kind", "start", "end", "surface", "pattern")
 
 
 def _counted(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -111,7 +114,9 @@ def _counted(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), f"[{_SPACE}]+"), lambda w: w != "")
     pairs = docs.select(words.alias("w")).where(F.size("w") > 2)
     pairs = pairs.select(F.explode(F.zip_with(F.slice("w", 1, F.size("w") - 2), F.slice("w", 2, F.size("w") - 2), lambda a, b: F.concat(a, F.lit(" "), b))).alias("pattern"))
-    return pairs.join(F.broadcast(names) if few else names, "pattern").groupBy("pattern").agg(F.count("*").alias("more"))
+    if few:
+        return pairs.join(F.broadcast(names), "pattern").groupBy("pattern").agg(F.count("*").alias("more"))
+    return pairs.groupBy("pattern").agg(F.count("*").alias("more")).join(names, "pattern", "left_semi")  # counted where they are, then shuffled
 
 
 def _totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -135,16 +140,15 @@ def _totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def _discovered(docs: DataFrame, instances: DataFrame) -> DataFrame | None:
-    """(kind, surface) of the accepted unseen identifiers; None if there are none."""
-    seeds = instances.where("kind <> 'word' and pattern is not null").select("kind", "surface", "pattern")
-    words = instances.where("kind = 'word' and pattern is not null").select("surface", "pattern")
+    """(kind, surface) of the accepted unseen identifiers, each surface once; None if there are none."""
+    seeds = instances.where("kind <> 'word' and pattern is not null").select("kind", "surface", "pattern", "row", "word")
+    words = instances.where("kind = 'word' and pattern is not null").select("surface", "pattern", "row", "word")
     accepted: DataFrame | None = None
     totals: DataFrame | None = None
-    for _ in range(ROUNDS):
-        own = seeds if accepted is None else seeds.unionByName(words.join(accepted, "surface").select("kind", "surface", "pattern"))
-        each = own.groupBy("kind", "pattern", "surface").agg(F.count("*").alias("n"))
-        votes = each.groupBy("kind", "pattern").agg(F.count("*").alias("different"), F.sum("n").alias("n")).where(F.col("different") >= LEAST_SEEDS)
-        votes = staged(votes, "pii")
+    while True:
+        own = seeds if accepted is None else seeds.unionByName(words.join(accepted, "surface").select(*seeds.columns))
+        votes = own.groupBy("kind", "pattern").agg(F.count_distinct("surface").alias("different"), F.count_distinct("row", "word").alias("n"))
+        votes = staged(votes.where(F.col("different") >= LEAST_SEEDS), "pii")
         names = votes.groupBy("pattern").agg(F.max("n").alias("n"))
         if totals is not None:  # what is not complete and could be confident by the seeds of this round is counted again
             known = names.join(totals, "pattern").where(F.col("complete") | (F.col("n") < CONFIDENT * (F.col("total") + 1)))
@@ -154,17 +158,19 @@ def _discovered(docs: DataFrame, instances: DataFrame) -> DataFrame | None:
             more = _totals(docs, names)
             totals = staged(more if totals is None else totals.join(names, "pattern", "left_anti").unionByName(more), "pii")
         if totals is None:
-            break
+            return accepted
         sure = votes.join(totals, "pattern").withColumn("confidence", F.col("n") / (F.col("total") + 1)).where(F.col("confidence") >= CONFIDENT)
         like = F.when(F.col("kind") == "email", F.contains(F.col("surface"), F.lit("@"))).otherwise(F.length(F.regexp_replace("surface", "[^0-9]", "")) >= 6)
         met = words.join(sure.select("kind", "pattern", "confidence"), "pattern").where(like).select("kind", "surface", "pattern", "confidence").distinct()
-        scores = met.groupBy("surface", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score"))
+        scores = met.groupBy("surface", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
         best = scores.groupBy("surface").agg(F.max(F.struct("score", "kind")).alias("best")).where(F.col("best.score") >= ACCEPT)
-        now = staged(best.select(F.col("best.kind").alias("kind"), "surface"), "pii")
-        if now.isEmpty() or (accepted is not None and now.exceptAll(accepted).isEmpty()):
-            break
-        accepted = now
-    return accepted
+        fresh = best.select(F.col("best.kind").alias("kind"), "surface")
+        if accepted is not None:
+            fresh = fresh.join(accepted.select("surface"), "surface", "left_anti").select("kind", "surface")
+        fresh = staged(fresh, "pii")
+        if fresh.isEmpty():
+            return accepted
+        accepted = fresh if accepted is None else staged(accepted.unionByName(fresh), "pii")
 
 
 def _joined(spans: Column) -> Column:
@@ -194,19 +200,22 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, new: DataFrame) -> DataFrame:
-    """docs with [kind] for the words in new (kind, surface)."""
+    """docs with [kind] for the words in new (kind, surface): whole words between white space, as find() reports them."""
     word = F.filter(F.split("text", f"[{_SPACE}]+"), lambda w: w.rlike("[0-9@]"))
-    key = [F.col("doc_id"), F.xxhash64("text").alias("h")]
-    met = docs.select(*key, F.explode(word).alias("surface")).join(new, "surface").groupBy("doc_id", "h").agg(F.collect_set(F.struct("surface", "kind")).alias("new"))
-    rows = docs.withColumn("h", F.xxhash64("text")).join(met.withColumnRenamed("doc_id", "met_id").withColumnRenamed("h", "met_h"), F.col("doc_id").eqNullSafe(F.col("met_id")) & (F.col("h") == F.col("met_h")), "left")
-    text = F.aggregate(F.coalesce("new", F.array().cast("array<struct<surface:string,kind:string>>")), F.col("text"), lambda t, s: F.replace(t, s["surface"], F.concat(F.lit("["), s["kind"], F.lit("]"))))
-    return rows.withColumn("text", text).select(*docs.columns)
+    key = [F.col("doc_id").alias("met_id"), F.xxhash64("text").alias("met_h")]
+    names = new.select("surface", F.concat(F.lit("["), "kind", F.lit("]")).alias("name"))
+    met = docs.select(*key, F.explode(word).alias("surface")).join(names, "surface").groupBy("met_id", "met_h")
+    met = met.agg(F.map_from_entries(F.collect_set(F.struct("surface", "name"))).alias("new"))  # those of one text
+    rows = docs.join(met, F.col("doc_id").eqNullSafe(F.col("met_id")) & (F.xxhash64("text") == F.col("met_h")), "left")
+    words, gaps = F.split("text", f"[{_SPACE}]+", -1), F.regexp_extract_all("text", F.lit(f"[{_SPACE}]+"), F.lit(0))
+    text = F.array_join(F.zip_with(words, gaps, lambda w, g: F.concat(F.coalesce(F.try_element_at("new", w), w), F.coalesce(g, F.lit("")))), "")
+    return rows.withColumn("text", F.when(F.col("new").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
 
 
 def masked(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, n_chars, ...) with [kind] in place of personal data, n_chars counted again.
 
-    Kind by kind, as listed, each in what the kinds before left; then the unseen identifiers, wherever they stand.
+    Kind by kind, as listed, each in what the kinds before left; then the words that are accepted unseen identifiers.
     Nothing is shuffled unless unseen identifiers are accepted. Null texts stay null.
     """
     out = docs
