@@ -1,19 +1,21 @@
 """Toxicity by cumulative-link ordinal regression.
 
 Features are the presence of words and of word beginnings (4 to 8 letters), hashed to 32 bits; those that are
-STRONG_RATIO times as frequent in toxic documents, beyond chance, are kept. Grades: 0 where labels.toxic is 0; among
-toxic documents 1 to 3 by thirds of how many kept features they hold. One weight vector serves all grades, P(grade <= k) = sigmoid(threshold_k - w x); the
-output is the expected grade, the likeliest one, P(grade >= 1), and toxic = 1 where that is TOXIC_AT or more.
-
-The model is fitted on at most TRAIN_ROWS labelled documents, the first by a hash of doc_id. Null and empty texts have no
-features and get the score of none. Without labels of both kinds nothing is learned: p_toxic is 0, or 1 if there are
-labels and all are toxic. Equal texts have equal scores; repeated rows stay; an empty table gives none. Other columns stay,
-but for those with the names of the scores.
+STRONG_RATIO times as frequent in toxic documents, beyond chance, are kept. Grades: 0 where labels.toxic is 0; toxic
+documents get 1 to 3 by thirds of the extent, how often words with a kept feature occur in the text. The model sees only
+which features there are, not how often: a text that repeats one insult all over is severe, one that holds it once is not. One weight vector serves all grades, P(grade <= k) = sigmoid(threshold_k - w x); the output is
+the expected grade, the likeliest one, P(grade >= 1), and toxic = 1 where that is TOXIC_AT or more.
+
+The model is fitted on at most TRAIN_ROWS labelled documents that are there, the first by a hash of doc_id. Null and empty
+texts have no features and get the score of none. Without labels of both kinds nothing is learned: p_toxic is 0, or 1 if
+there are labels and all are toxic. Equal texts have equal scores; repeated rows stay; an empty table gives none. Very long
+texts are read whole. Other columns stay, but for those with the names of the scores.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +31,7 @@ TRAIN_ROWS, FEATURES, GRADES, TOXIC_AT = 8000, 512, 4, 0.4
 BEGINNINGS = (4, 5, 6, 7, 8)
 LEAST_DOCS = 5
 LEAST_Z, STRONG_RATIO = 5.0, 6.0
-WORDS_KEPT = 300_000
+WORDS_KEPT = 120_000
 SCORES = "expected_severity double, grade int, p_toxic double, toxic int"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -54,6 +56,15 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(map(_IDS.__getitem__, words)), ">u4").astype(np.uint32))
 
 
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """features() of a text, and how often each occurs."""
+    many = Counter(_WORD.findall((text or "").lower()))
+    raw = list(map(_IDS.__getitem__, many))
+    ids, at = np.unique(np.frombuffer(b"".join(raw), ">u4").astype(np.uint32), return_inverse=True)
+    times = np.repeat(list(many.values()), [len(x) // 4 for x in raw])
+    return ids, np.bincount(at, times, len(ids)).astype(np.uint32)
+
+
 @dataclass
 class Model:
     ids: np.ndarray  # sorted
@@ -97,23 +108,24 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, l2: float =
     return p[:d], p[d] + np.r_[0, np.cumsum(np.exp(p[d + 1 :]))]
 
 
-def train(ids: np.ndarray, rows: list[tuple[np.ndarray, int]]) -> Model:
-    """From the kept feature ids (sorted) and (ids among them, toxic 0 or 1) of labelled documents of both kinds."""
+def train(ids: np.ndarray, rows: list[tuple[np.ndarray, int, int]]) -> Model:
+    """From the kept feature ids (sorted) and (ids among them, toxic 0 or 1, extent) of labelled documents of both kinds."""
     place = {int(x): i for i, x in enumerate(ids)}
     x = np.zeros((len(rows), len(ids)), np.float32)
-    for i, (found, _) in enumerate(rows):
+    for i, (found, *_) in enumerate(rows):
         x[i, [place[int(f)] for f in found]] = 1
-    toxic, hits = np.array([t for _, t in rows], bool), x.sum(axis=1)
+    toxic, extent = np.array([t for _, t, _ in rows], bool), np.array([d for *_, d in rows])
     y = np.zeros(len(rows), int)
-    y[toxic] = 1 + np.searchsorted(np.quantile(hits[toxic], [1 / 3, 2 / 3]), hits[toxic], "left")
+    y[toxic] = 1 + np.searchsorted(np.quantile(extent[toxic], [1 / 3, 2 / 3]), extent[toxic], "left")
     weights, cuts = fit_ordinal(x, y)
     return Model(ids, weights, cuts)
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
-        raw = [features(t).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.record_batch([pa.array(raw, pa.binary()), batch.column("toxic")], ["ids", "toxic"])
+        both = list(map(counted, batch.column("text").to_pylist()))
+        raw = [pa.array([x[i].tobytes() for x in both], pa.binary()) for i in (0, 1)]
+        yield pa.record_batch([*raw, batch.column("toxic")], ["ids", "times", "toxic"])
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,29 +146,36 @@ def strong(counts: DataFrame, n1: int, n0: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on the labelled documents with the least hashes of doc_id, rows at most; equal feature sets count once.
+    """Fit on the labelled documents with the least hashes of doc_id, rows at most; texts with equal feature counts count once.
 
     Features are counted in Spark; the driver gets FEATURES of them and, for each training row, those it holds.
     """
-    order = F.xxhash64(F.col("doc_id").cast("long"))
+    order = F.xxhash64("doc_id")
     label = (F.col("toxic") != 0).cast("int").alias("toxic")
-    chosen = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), label).distinct().orderBy(order, "doc_id").limit(rows)
+    there = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    chosen = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), label).distinct()
+    chosen = chosen.join(there, "doc_id", "left_semi").orderBy(order, "doc_id", "toxic").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # rows * 12 bytes at most
-    held = staged(texts.select("text", "toxic").mapInArrow(_featured, "ids binary, toxic int").distinct(), "toxicity")
+    held = staged(texts.select("text", "toxic").mapInArrow(_featured, "ids binary, times binary, toxic int").distinct(), "toxicity")
     n = {r.toxic: r.n for r in held.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         at = -50.0 if 1 in n else 50.0
         return Model(np.empty(0, np.uint32), np.empty(0), at + np.arange(GRADES - 1.0))
-    counts = held.mapInArrow(_exploded, "id long, toxic int").groupBy("id").agg(F.sum("toxic").alias("c1"), F.sum(1 - F.col("toxic")).alias("c0"))
+    counts = held.select("ids", "toxic").mapInArrow(_exploded, "id long, toxic int").groupBy("id").agg(F.sum("toxic").alias("c1"), F.sum(1 - F.col("toxic")).alias("c0"))
     ids = np.array(sorted(r.id for r in strong(counts, n[1], n[0]).collect()), np.uint32)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [np.intersect1d(np.frombuffer(x, np.uint32), ids).tobytes() for x in batch.column("ids").to_pylist()]
-            yield pa.record_batch([pa.array(raw, pa.binary()), batch.column("toxic")], ["ids", "toxic"])
-
-    got = sorted((bytes(r.ids), r.toxic) for r in held.mapInArrow(kept, "ids binary, toxic int").collect())  # rows at most
-    return train(ids, [(np.frombuffer(x, np.uint32), t) for x, t in got])
+            raw, extent = [], []
+            for x, t in zip(*(batch.column(c).to_pylist() for c in ("ids", "times")), strict=True):
+                own = np.frombuffer(x, np.uint32)
+                among = np.isin(own, ids, assume_unique=True)
+                raw.append(own[among].tobytes())
+                extent.append(int(np.frombuffer(t, np.uint32)[among].sum()))
+            yield pa.record_batch([pa.array(raw, pa.binary()), batch.column("toxic"), pa.array(extent, pa.int64())], ["ids", "toxic", "extent"])
+
+    got = sorted((bytes(r.ids), r.toxic, r.extent) for r in held.mapInArrow(kept, "ids binary, toxic int, extent long").collect())  # rows at most
+    return train(ids, [(np.frombuffer(x, np.uint32), t, d) for x, t, d in got])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
