@@ -4,8 +4,9 @@ Rows are written in ascending doc_id order, one file for each range of ids. A ro
 how many ids of the range stand before it, and its ids. Readers can take stripes in parallel; a reader that looks for
 some doc_ids skips files and stripes by their minima and maxima, and row groups by index and Bloom filter.
 
-Null and empty texts: only the end id. Null doc_ids sort first. Repeated rows are written each; their order among
-themselves is by text. An empty table gives files without rows. Other columns are not written.
+Null and empty texts: only the end id. Null doc_ids sort first. Repeated rows are written each; rows of one doc_id are
+ordered by a hash of their texts and may lie in several ranges, so no task gets all of them. An empty table gives files without rows. Very long
+texts are one row each. Other columns are not written.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from string import punctuation
 from unicodedata import category, normalize
 
@@ -141,7 +142,8 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids))
             yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(np.full(len(sizes), part, np.int32)), pa.array(before), pa.array(sizes), lists], ["doc_id", "part", "part_start", "n_tokens", "ids"])
 
-    rows = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.repartitionByRange(n, "doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row")
     return rows.mapInArrow(run, ROW_SCHEMA)
 
 
@@ -162,6 +164,12 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
     return rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("offset") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
+def lookup(spark: SparkSession, out: str, doc_ids: Sequence[int]) -> DataFrame:
+    """Rows (doc_id, part, part_start, n_tokens, ids) of a few documents: the filter goes to the reader, which leaves out
+    files and stripes by their minima and maxima, and row groups by row index and Bloom filter."""
+    return spark.read.schema(ROW_SCHEMA).orc(out).where(F.col("doc_id").isin([int(x) for x in doc_ids]))
+
+
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("ids")
