@@ -3,11 +3,16 @@
 A spot is a common word (ANCHORS) and the CHAIN content words that follow it, hashed to 32 bits; a text's fingerprint is
 the sorted set of its spots, eight hex digits each. A text without spots has one signature of its whole word sequence,
 so equal texts always have equal fingerprints and other texts hardly ever. The query compares each set with two others,
-in full; likeness() with a least value skips pairs by length. Sets are not joined across documents.
+in full, since it reports every likeness.
+
+similar() joins all sets: they are dealt into partitions by length, so that sets of some likeness lie in one partition or
+in neighbours, and meet there only by their least spots (a likeness t leaves at most (1 - t) n of n spots unshared, so the
+first n - ceil(t n) + 1 in a common order hold a shared one). Pairs are pruned by length and by sketches of their sets
+before the exact Jaccard likeness is taken. Sets with the same spots are one class from the start.
 
 Null text is empty; the empty text has the signature of no words. In neighbour order (descending doc_id) null ids come
-last, and rows with the same id follow in the order of their texts. An empty table gives no rows. Other columns are
-ignored. Very long texts are processed whole.
+last, and rows with the same id follow in the order of their texts. Rows with a null doc_id have no class. An empty table
+gives no rows. Other columns are ignored. Very long texts are processed whole.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import mix, pieces, shuffle_parts, table
+from rivulet.llm.common import mix, pieces, shuffle_parts, staged, table
+from rivulet.llm.setjoin import components, pick, sketch
 
 CHAIN = 2
 LEAST_LIKENESS = 0.8
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 #: Very common words of four languages.
 ANCHORS = frozenset(
     """the of and a to in is it that was for on are with as at by be this from an or not but have has had which
@@ -97,6 +103,50 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return out if out >= least else 0.0
 
 
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches):
+        sets = [spots(t or "") for t in batch.column("text").to_pylist()]
+        keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+        yield pa.record_batch([batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_spots", "key"])
+
+
+def _made(make: Callable[[int, np.ndarray], Iterator[tuple]], types: Sequence[pa.DataType], names: Sequence[str]) -> Callable:
+    """What make(doc_id, spots) gives for each row (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            out = [row for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for row in make(d, spots(t or "").astype(np.uint64))]
+            yield pa.record_batch([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names)
+
+    return run
+
+
+def similar(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_spots, class_id) of each row of docs (doc_id, text): class_id is the least doc_id that links of likeness
+    num / den or more reach."""
+
+    def signed(d: int, s: np.ndarray) -> Iterator[tuple]:
+        band = length_partition(len(s), num / den)
+        for b in (band, band + 1):  # a set meets those of its own partition and of the next
+            yield from ((x, d) for x in mix(s[: len(s) - -(-num * len(s) // den) + 1] + (np.uint64(b + 1) << np.uint64(40))).view(np.int64).tolist())
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    heads = staged(rows.mapInArrow(_classed, "doc_id long, n_spots long, key binary"), "spotsigs")
+    full = heads.where("doc_id is not null")
+    classes = staged(full.groupBy("n_spots", "key").agg(F.min("doc_id").alias("rid")), "spotsigs")
+    of = lambda ids, make, types, schema: pick(rows, ids.select(F.col("rid").alias("doc_id")), "doc_id").mapInArrow(_made(make, types, [x.split()[0] for x in schema.split(", ")]), schema)
+    ints, raw = [pa.int64(), pa.int64()], pa.binary()
+    sigs = of(classes.select("rid").distinct(), signed, ints, "sig long, rid long")
+    banded = lambda keep: lambda ids: of(ids, lambda d, s: [(d, length_partition(len(s), num / den), keep(s))], [pa.int64(), pa.int32(), raw], "rid long, band int, elems binary")
+    sketches = banded(sketch)
+    profiles = lambda ids: ids.join(sketches(ids), "rid").select("rid", "band", F.lit(b"").alias("profile"))
+    sets = lambda ids: banded(lambda s: s.tobytes())(ids).select("rid", "elems")
+    linked = components(sigs, sketches, profiles, sets, num, den, None, "spotsigs")
+    classes = classes.join(linked.select(F.col("id").alias("rid"), "comp"), "rid", "left").select("n_spots", "key", F.coalesce("comp", "rid").alias("comp"))
+    own = full.join(classes, ["n_spots", "key"]).groupBy("doc_id").agg(F.min("comp").alias("comp"))
+    return heads.select("doc_id", "n_spots").join(own, "doc_id", "left").select("doc_id", "n_spots", F.col("comp").alias("class_id"))
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
     """Rows (part, guest, k, doc_id, text) of docs, dealt into ranges of descending doc_id, one range to a partition and
     sorted in it. A range ends with a guest: a copy of the row that follows it, the first range's first after the last.
