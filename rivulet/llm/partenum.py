@@ -9,6 +9,8 @@ elements can link only if they are equal, and equal sets are one class from the
 
 Null and empty texts, and texts without words: an empty set, linked with nothing. Repeated doc_ids: their sets count
 under one id. Rows whose doc_id is null take no part in links; their component_id is null. Other columns are ignored.
+An empty table gives no rows. Very long texts are sets like any other; a text is cut into words where its set is needed
+(for its key, its signatures, its sketch, its elements) instead of storing sets that are larger than the texts.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import as_bytes, mix, pieces, staged, table
 from rivulet.llm.setjoin import components, pick, sketch
 
-WORDS_KEPT = 400_000  # hashed words that a worker remembers
+WORDS_KEPT = 150_000  # hashed words that a worker remembers
 MOST_WORDS = 16  # of an n-gram
 _ODD = mix(np.arange(1, MOST_WORDS + 1)) | np.uint64(1)
 
@@ -99,7 +101,7 @@ class Likeness:
         part = (mix(elems ^ _ODD[2]) % np.uint64(n)).astype(np.int64)
         total = np.zeros(n, np.uint64)
         np.add.at(total, part, elems * _ODD[0] ^ elems >> np.uint64(29))
-        count = np.minimum(np.bincount(part, minlength=n), 255).astype(np.uint64)
+        count = np.minimum(np.bincount(part, minlength=n), 255).astype(np.uint64)  # more count as 255, which only weakens apart_bound
         where = np.arange(n, dtype=np.uint64) * _ODD[1] + np.full(n, band + 1, np.uint64) * _ODD[2]
         return mix(total + where) & ~np.uint64(255) | count
 
@@ -183,7 +185,7 @@ def _sets(like: Likeness) -> Callable:
 
 def apart_bound(pdf: pd.DataFrame, like: Likeness) -> Callable:
     """near(i, others): which of others can still link with i. Subparts that differ hold two differences at least if
-    they are equally large, else as many as their sizes differ by."""
+    they are equally large, else as many as their sizes differ by; of two that are both as large as can be told, one."""
     low = int(pdf["band"].min())
     vectors = []
     for band, raw in zip(pdf["band"], pdf["profile"], strict=True):
@@ -199,6 +201,7 @@ def apart_bound(pdf: pd.DataFrame, like: Likeness) -> Callable:
             o = others[at : at + 256]
             gap = np.abs(size[o] - size[i])
             gap[gap == 0] = 2
+            gap[(size[o] == 255) & (size[i] == 255)] = 1
             gap[m[o] == m[i]] = 0
             keep.append(gap.sum(axis=1, dtype=np.int64) * (like.den + like.num) <= (total[o] + total[i]) * (like.den - like.num))
         return np.concatenate(keep)

@@ -126,8 +126,10 @@ def _check(links: Callable) -> Callable:
 def verified(pairs: DataFrame, sets: DataFrame, links: Callable) -> DataFrame:
     """The pairs (a, b) whose sets, or sketches, (rid, elems) link. A set with many partners is copied once for each
     PARTNERS of them, so no task gets all partners of one set."""
-    count = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("salts"))
-    dealt = pairs.join(count, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
+    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("salts")).where("salts > 1")
+    few = hot.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # a row for PARTNERS pairs at least
+    dealt = pairs.join(F.broadcast(hot) if few else hot, "a", "left")
+    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).alias("salt"))
     other = dealt.join(sets.select(F.col("rid").alias("b"), "elems"), "b").select("a", "b", "elems", "salt")
     own = dealt.select("a", "salt").distinct().join(sets.select(F.col("rid").alias("a"), "elems"), "a")
     rows = own.select("a", F.lit(None).cast("long").alias("b"), "elems", "salt").unionByName(other)

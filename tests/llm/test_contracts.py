@@ -198,11 +198,100 @@ def test_fingerprints(spark):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         f = [set(spotsigs.parsed(x).tolist()) for x in (r.fingerprint, r.edited_fingerprint)]
         assert f[1] == set(spotsigs.spots(edited).tolist()) and f[0] == set(spotsigs.spots(t).tolist())
-        assert abs(r.near_edited - len(f[0] & f[1]) / len(f[0] | f[1])) < 1e-12
-        assert 0 <= r.near_next <= 1
+        plain = [brute.spot_set(x) for x in (t, edited, nxt)]
+        assert len(f[0]) == len(plain[0]) and len(f[1]) == len(plain[1])
+        for near, other in ((r.near_edited, plain[1]), (r.near_next, plain[2])):
+            assert abs(near - len(plain[0] & other) / len(plain[0] | other)) < 1e-12
     assert got[len(texts) - 1].fingerprint == got[len(texts) - 2].fingerprint and got[len(texts) - 1].near_next == 1.0
 
 
+@pytest.mark.parametrize("which", ["odd", "near", "table"])
+def test_similar_fingerprints(spark, small, which):
+    """Classes of the join by length partitions against all pairs."""
+    rng = random.Random(2)
+    words = "the of and to in is".split() + [f"w{i}" for i in range(60)]
+
+    def near():
+        for n in (3, 8, 20, 60, 200, 500):
+            base = [rng.choice(words) for _ in range(n)]
+            for _ in range(25):
+                yield " ".join(base)
+                for _ in range(rng.randrange(1 + n // 20)):
+                    base = base[:]
+                    base[rng.randrange(n)] = rng.choice(words)
+
+    rows = {"odd": lambda: docs(spark, ODD), "near": lambda: docs(spark, list(near())), "table": lambda: small}[which]()
+    got = {r.doc_id: (r.n_spots, r.class_id) for r in spotsigs.similar(rows).collect()}
+    sets = {d: brute.spot_set(t or "") for d, t in texts_of(rows)}
+    comp = brute.components(sets, 80, 100)
+    assert got == {d: (len(s), comp[d]) for d, s in sets.items()}
+
+
+def test_similar_odd_rows(spark):
+    df = docs(spark, ["the cat sat here"] * 3).withColumn("key", F.lit("k")).withColumn("comp", F.lit(1))
+    df = df.withColumn("doc_id", F.when(F.col("doc_id") == 0, None).otherwise(F.lit(4).cast("long")))
+    assert sorted((r.doc_id or 0, r.class_id or 0) for r in spotsigs.similar(df).collect()) == [(0, 0), (4, 4), (4, 4)]
+    assert spotsigs.similar(df.where("false")).count() == 0
+
+
+def test_token_lookup_prunes(spark):
+    """Looked-up ids come back; the reader leaves out row groups by index, and ids that are not there by Bloom filter."""
+    rows = spark.range(0, 60_000, 2).selectExpr("id as doc_id", "concat('text of ', id) as text")
+    out, path = scratch(spark, "test"), tokenfiles.public_tokenizers.path(tokenfiles.TOKENIZER)
+    tokenfiles.write_token_files(rows, out, path)
+
+    def read(ids):
+        df = tokenfiles.lookup(spark, out, ids)
+        got = df.collect()
+        return got, df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    want = brute.word_ids([f"text of {i}" for i in (4, 30_000, 59_998)])
+    got, n = read([4, 30_000, 59_998])
+    assert sorted((r.doc_id, list(r.ids)) for r in got) == list(zip((4, 30_000, 59_998), want, strict=True)) and n <= 3 * 1000
+    got, n = read([5, 30_001, 40_001])  # between others: only the Bloom filters can tell
+    assert got == [] and n == 0
+    got, n = read([-3, 70_000])
+    assert got == [] and n == 0
+    import pyarrow.orc as orc
+
+    files = [f for f in __import__("pathlib").Path(out.removeprefix("file://")).glob("*.orc")]
+    assert sum(orc.ORCFile(f).nrows for f in files) == 30_000
+    assert {orc.ORCFile(f).row_index_stride for f in files} == {1000} and {orc.ORCFile(f).compression for f in files} == {"ZSTD"}
+
+
+def test_token_files_with_a_hot_id(spark):
+    """Rows of one id are spread over ranges; starts follow one another all the same."""
+    rows = docs(spark, [f"text {i}" for i in range(600)]).withColumn("doc_id", F.when(F.col("doc_id") < 400, 7).when(F.col("doc_id") < 500, None).otherwise(F.col("doc_id")))
+    out = scratch(spark, "test")
+    tokenfiles.write_token_files(rows, out, tokenfiles.public_tokenizers.path(tokenfiles.TOKENIZER))
+    got = tokenfiles.read_token_files(spark, out).collect()
+    got.sort(key=lambda r: r.start)
+    assert len(got) == 600 and [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(600)]
+    ids = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(ids)
+    assert spark.read.orc(out).where("doc_id = 7").select("part").distinct().count() > 1
+
+
+def test_quality_against_a_plain_version(spark):
+    """Moments, covariances and log densities by numpy's own functions."""
+    d = "/root/testdata/sf0.001"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    x = np.array([quality.statistics((texts[i] or "").encode()) for i in labels if labels[i] is not None])
+    y = np.array([q for q in labels.values() if q is not None])
+    sums = np.array([np.r_[(y == c).sum(), x[y == c].sum(axis=0), (x[y == c].T @ x[y == c]).ravel()] for c in (0, 1)])
+    model = quality.train(sums)
+    within = [np.cov(x[y == c].T, bias=True) for c in (0, 1)]
+    pooled = sum((y == c).mean() * within[c] for c in (0, 1))
+    want = []
+    for c in (0, 1):
+        cov = (1 - quality.POOLED) * within[c] + quality.POOLED * pooled
+        cov = (1 - quality.IDENTITY) * cov + (quality.IDENTITY * np.trace(pooled) / quality.DIM + 1e-9) * np.eye(quality.DIM)
+        gap = x - x[y == c].mean(axis=0)
+        want.append(-0.5 * np.einsum("ij,ij->i", gap, np.linalg.solve(cov, gap.T).T) - 0.5 * np.linalg.slogdet(cov)[1])
+    assert np.allclose(model.difference(x), np.clip(want[1] - want[0], -100, 100), rtol=1e-6, atol=1e-6)
+
+
 def test_fingerprints_one_row(spark):
     got = spotsigs.neighbours(docs(spark, ["the only one text here of all"])).select("doc_id", "text", "guest").mapInArrow(spotsigs._compared, spotsigs.COLUMNS).collect()
     assert len(got) == 1 and got[0].near_next == 1.0

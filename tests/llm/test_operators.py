@@ -32,6 +32,38 @@ def test_pack_fills_and_downsizes():
     assert sizes.sum() / final.sum() > 0.99
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_pack_against_a_plain_version(seed):
+    rng = np.random.default_rng(seed)
+    lengths = (8, 16, 32, 64)
+    sizes = np.sort(np.minimum(rng.geometric(1 / (3 + 4 * seed), 150), 64))[::-1]
+    cost = lambda c: 2 + c * (1 + c / 512)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(packing, "bin_cost", cost)
+        bins, starts, final = packing.pack(sizes, lengths)
+    want, capacity = brute.pack(sizes.tolist(), lengths, cost)
+    assert [np.flatnonzero(bins == b).tolist() for b in range(len(final))] == want and final.tolist() == capacity
+    assert all(starts[b[k]] == sizes[b[:k]].sum() for b in want for k in range(len(b)))
+
+
+def test_mixed_lengths_cost_less():
+    """Several lengths together cost no more than the largest alone, and all of them are opened where pieces differ."""
+    rng = np.random.default_rng(2)
+    for mean in (60, 300, 1500):
+        sizes = np.sort(np.minimum(rng.geometric(1 / mean, 4000), 8192))[::-1]
+        final = packing.pack(sizes)[2]
+        alone = packing.pack(sizes, packing.LENGTHS[-1:])[2]
+        assert sum(map(packing.bin_cost, final.tolist())) < sum(map(packing.bin_cost, alone.tolist()))
+        assert len(set(final.tolist())) > 1
+
+
+def test_equal_rows_are_dealt_evenly(spark):
+    """One document's row, many times over: shards follow row numbers, not contents."""
+    df = spark.range(4000).selectExpr("7L as doc_id", "20000L as n_tokens")
+    got = packing.packed(df, shard_rows=1000).selectExpr("bin_id >> 32 as shard").groupBy("shard").count().collect()
+    assert len(got) == 12 and max(r["count"] for r in got) < 1300
+
+
 def test_packed_covers_every_row(spark):
     rows = [(1, 5), (1, 5), (None, 3), (2, 20_000), (3, 8192), (4, 8193), (5, 0)]
     df = spark.createDataFrame(rows, "doc_id long, n_tokens long")
@@ -121,13 +153,17 @@ def test_stages(spark):
     wrong = [d for d, r in labels.items() if r.toxic == 0 and d not in calm]
     assert len(wrong) <= 0.02 * len(labels)
     kept = read(pipeline.near_duplicate_stage(spark, docs_, SMALL))
-    component = brute.jaccard_components(sorted(text.items()))
+    component = brute.jaccard_components(sorted(text.items()), 5, 80)
     assert set(kept) == {d for d, (_, c) in component.items() if c == d}
     clean = read(pipeline.pii_stage(spark, docs_, SMALL))
     assert {d: r.text for d, r in clean.items()} == {d: masked(t) for d, t in text.items()}
     assert all(r.n_chars == len(r.text or "") for r in clean.values())
     rows = pipeline.packing_stage(spark, docs_, SMALL).collect()
-    assert Counter({d: len((t or "").split()) + 1 for d, t in text.items()}) == sum((Counter({r.doc_id: r.n_tokens}) for r in rows), Counter())
+    lengths = {d: len(ids) for d, ids in zip(text, brute.word_ids([t or "" for t in text.values()]), strict=True)}
+    got = Counter()
+    for r in rows:
+        got[r.doc_id] += r.n_tokens
+    assert got == lengths
 
 
 @pytest.mark.parametrize("stage", [f for _, f in pipeline.STAGES[:4]])

@@ -1,6 +1,7 @@
 import numpy as np
 
 from rivulet.llm import toxicity
+from tests.llm import brute
 
 SF = "/root/testdata/sf0.1"
 
@@ -33,3 +34,34 @@ def test_edges(spark):
     assert {r.p_toxic < 1e-9 for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {True}
     assert {r.toxic for r in toxicity.score(docs, toxicity.fit(docs, one)).collect()} == {1}
     assert toxicity.score(docs.where("false"), toxicity.fit(docs.where("false"), none)).count() == 0
+
+
+def test_fit_against_a_plain_likelihood():
+    """The fitted weights and thresholds cost less than any small step away from them."""
+    rng = np.random.default_rng(3)
+    x = (rng.random((300, 4)) < 0.4).astype(np.float32)
+    y = np.clip(np.round(x @ np.array([1.5, 0.8, -0.5, 0.1]) + rng.logistic(0, 0.7, 300)), 0, 3).astype(int)
+    w, cuts = toxicity.fit_ordinal(x, y, rounds=3000, rate=0.02)
+    at = brute.ordinal(x, y, w, cuts, 0.05)
+    for i in range(7):
+        for step in (-0.05, 0.05):
+            moved = np.r_[w, cuts]
+            moved[i] += step
+            assert brute.ordinal(x, y, moved[:4], moved[4:], 0.05) > at - 1e-3
+
+
+def test_grades_are_of_the_extent():
+    """The same features, more often in some texts: grades of the training rows are thirds of how often they occur."""
+    ids, times = toxicity.counted("vile rotten scummy the cat sat the mat the")
+    assert set(ids.tolist()) == set(toxicity.features("vile rotten scummy the cat sat the mat").tolist()) and times.max() == 3
+    rows = [(np.array([1], np.uint32), 1, d) for d in (1, 4, 9)] * 30 + [(np.array([], np.uint32), 0, 0)] * 90
+    model = toxicity.train(np.array([1], np.uint32), rows)
+    p = model.grades(model.weights[:1])[0]
+    assert list(model.thresholds) == sorted(model.thresholds) and p[1:].min() > 0.2 and p[0] < 0.2
+
+
+def test_training_rows_have_texts(spark):
+    """Labels of documents that are not there do not use up the sample."""
+    docs = spark.createDataFrame([(i, (f"vile rotten {chr(97 + i // 2)}" if i % 2 else f"calm {chr(97 + i // 2)}")) for i in range(200, 280)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(280)], "doc_id long, toxic int")
+    assert len(toxicity.fit(docs, labels, rows=80).ids)

@@ -7,6 +7,7 @@ import textwrap
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
@@ -185,3 +186,60 @@ def test_pii_unseen_after_a_number(spark):
     texts = [*known, "in 2024 please call 555-123-9999 now", "of 7 call 2024 please call 555-123-8888 now"]
     got = {r.doc_id: len(r.spans) for r in pii.find(docs(spark, texts)).collect()}
     assert got[12] == got[13] == 1
+
+
+def made_up_letters(seed: int) -> list[str]:
+    """Texts in which some contexts are of one kind, some of two, and some of none."""
+    rng = random.Random(seed)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    kinds = [lambda: f"+1 555 {number(3)} {number(4)}", lambda: f"a{number(3)}@b.co", lambda: f"10.0.{rng.randrange(256)}.7", lambda: number(8), lambda: f"{number(3)}-{number(4)}", lambda: f"({number(6)})", lambda: "plain", lambda: f"u{number(5)}@host"]
+    fronts = ["call me", "write to", "from host", "order number", "note (", "id no", "Call ME"]
+    ids = ["77001122", "77001133", "me@site"]  # the same unseen ones in several contexts: rounds build on each other
+    out = []
+    for _ in range(90):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            front = rng.choice(fronts)
+            liked = {"call me": 0, "Call ME": 0, "write to": 1, "from host": 2}.get(front)
+            what = kinds[liked]() if liked is not None and rng.random() < 0.8 else rng.choice(kinds)()
+            parts.append(f"{front}{rng.choice((' ', '', chr(10)))}{rng.choice(ids) if rng.random() < 0.2 else what}{rng.choice(('', ',', '.'))}")
+        out.append(rng.choice((" ", "\n", " and ")).join(parts))
+    return [*out, "", "77001122", "x 77001122", "1.2.3.4,5.6.7.8"]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_pii_discovery_against_a_plain_version(spark, seed):
+    texts = made_up_letters(seed)
+    want = brute.discovered(texts)
+    got = {r.doc_id: r for r in pii.find(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        base = {tuple(s) for s in got[i].base}
+        assert sorted((s.start, s.end, pii.KINDS[s.kind_no]) for s in got[i].spans if tuple(s) not in base) == want[i], t
+    assert sum(map(len, want)) > 3
+    masked = {r.doc_id: r.text for r in pii.masked(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        spans = [(a, b, k) for a, _, k, b in brute.base_spans(t)] + want[i]
+        if len({x for a, b, _ in spans for x in range(a, b)}) == sum(b - a for a, b, _ in spans):  # none overlap
+            for a, b, k in sorted(spans, reverse=True):
+                t = f"{t[:a]}[{k}]{t[b:]}"
+            assert masked[i] == t
+
+
+def test_pii_masks_whole_words(spark):
+    known = [f"please call me +1 555 123 45{i:02d} now" for i in range(12)]
+    texts = [*known, "please call me 555123 and not 9995551234 or 555123x", "at 555123\n555123"]
+    got = {r.doc_id: r.text for r in pii.masked(docs(spark, texts)).collect()}
+    assert got[12] == "please call me [phone] and not 9995551234 or 555123x" and got[13] == "at [phone]\n[phone]"
+
+
+def test_pii_counts_places_once(spark):
+    """A seed glued to its context, and two in one word: unrelated numbers after the same words are left alone."""
+    texts = [f"note (+1 555 123 45{i:02d}" for i in range(12)] + [f"note ( 202300{i:02d}" for i in range(15)] + [f"see the 1.1.1.{i},2.2.2.{i} or" for i in range(6)] + [f"see the 123456{i}8 or" for i in range(9)]
+    assert all(len(r.spans) == len(r.base) for r in pii.find(docs(spark, texts)).collect())
+
+
+def test_pii_without_a_broadcast(spark, monkeypatch):
+    texts = made_up_letters(4)
+    want = sorted((r.doc_id, str(r.spans)) for r in pii.find(docs(spark, texts)).collect())
+    monkeypatch.setattr(pii, "BROADCAST_PATTERNS", 0)
+    assert sorted((r.doc_id, str(r.spans)) for r in pii.find(docs(spark, texts)).collect()) == want
