@@ -69,6 +69,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int =
                 n //= 2
             yield batch.slice(start, n)
             start += n
+    pa.default_memory_pool().release_unused()  # workers live on between tasks
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

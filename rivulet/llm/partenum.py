@@ -3,8 +3,11 @@
 A document's set holds its distinct word n-grams. Sizes fall into bands [low, low / t] for the least likeness t; sets that
 link lie in one band or in neighbours, and differ in at most k = 2 * high * (1 - t) / (1 + t) elements there (high: the
 larger band's largest size). The hashed features are dealt into
-n1 = ceil((k + 1) / 2) parts, one of which has at most one difference, and each part into three subparts, two of which
-then agree: every pair of subparts is a signature, so two sets that link share one. Sets of fewer than t / (1 - t)
+n1 = floor(k / 2) + 1 + g parts, 1 + g of which have at most one difference, and each part into three subparts, two of
+which then agree: every pair of subparts is a signature, so two sets that link share 1 + g of them. Two empty subparts say
+nothing, and sets that are not alike would meet there; a set in which at most g parts hold two empty subparts leaves such
+pairs out, since one of the 1 + g parts is left in which the subparts that agree are not both empty. g is what sets
+of the band need in the mean and two deviations more. Sets of fewer than t / (1 - t)
 elements can link only if they are equal, and equal sets are one class from the start.
 
 Null and empty texts, and texts without words: an empty set, linked with nothing. Repeated doc_ids: their sets count
@@ -15,13 +18,12 @@ An empty table gives no rows. Very long texts are sets like any other; a text is
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +49,7 @@ _HASH = _Hash()
 
 
 _HIGHS: dict[tuple[int, int], list[int]] = {}  # by likeness: the largest size of each band
+_COUNTS: dict[tuple[int, int, int], int] = {}  # subparts of a band
 
 
 @dataclass(frozen=True)
@@ -91,9 +94,22 @@ class Likeness:
             self.largest(len(highs))
         return bisect_left(highs, size)
 
+    def spare(self, band: int) -> int:
+        """g of a band: parts in which two subparts of its smallest sets are empty, in the mean and two deviations."""
+        n, g = self.largest(band) * (self.den - self.num) // (self.den + self.num) + 1, 0
+        smallest = self.least if band < 2 else self.largest(band - 2) + 1
+        for _ in range(3):
+            none = math.exp(-smallest / (3 * (n + g)))
+            mean = (n + g) * none * none * (3 - 2 * none)
+            g = math.ceil(mean + 2 * math.sqrt(mean))
+        return g
+
     def subpart_count(self, band: int) -> int:
-        """Three for each first-level part; of these there are half of k + 1, rounded up."""
-        return 3 * ((2 * self.largest(band) * (self.den - self.num) // (self.den + self.num) + 2) // 2)
+        """Three for each first-level part."""
+        key = self.num, self.den, band
+        if key not in _COUNTS:
+            _COUNTS[key] = 3 * ((2 * self.largest(band) * (self.den - self.num) // (self.den + self.num) + 2) // 2 + self.spare(band))
+        return _COUNTS[key]
 
     def subparts(self, elems: np.ndarray, band: int) -> np.ndarray:
         """For each of the 3 * n1 subparts a hash of its elements, the number of them (255 at most) in the low byte."""
@@ -101,7 +117,7 @@ class Likeness:
         part = (mix(elems ^ _ODD[2]) % np.uint64(n)).astype(np.int64)
         total = np.zeros(n, np.uint64)
         np.add.at(total, part, elems * _ODD[0] ^ elems >> np.uint64(29))
-        count = np.minimum(np.bincount(part, minlength=n), 255).astype(np.uint64)  # more count as 255, which only weakens apart_bound
+        count = np.minimum(np.bincount(part, minlength=n), 255).astype(np.uint64)
         where = np.arange(n, dtype=np.uint64) * _ODD[1] + np.full(n, band + 1, np.uint64) * _ODD[2]
         return mix(total + where) & ~np.uint64(255) | count
 
@@ -110,11 +126,16 @@ class Likeness:
 NINE_TENTHS, FOUR_FIFTHS = Likeness(90, 100, 3), Likeness(80, 100, 5)
 
 
-def signatures(vector: np.ndarray) -> np.ndarray:
-    """The pairs among each three subparts, hashed."""
+def signatures(vector: np.ndarray, spare: int) -> np.ndarray:
+    """The pairs among each three subparts, hashed; without pairs of empty ones if at most spare parts have such pairs."""
     v = vector.reshape(-1, 3)
-    pair = [mix(v[:, a] * _ODD[0] + v[:, b] * _ODD[1] + np.uint64(i)) for i, (a, b) in enumerate(((0, 1), (0, 2), (1, 2)))]
-    return np.concatenate(pair)
+    full = (v & np.uint64(255)) > 0
+    drop = int((full.sum(axis=1) < 2).sum()) <= spare
+    out = []
+    for i, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
+        pair = mix(v[:, a] * _ODD[0] + v[:, b] * _ODD[1] + np.uint64(i))
+        out.append(pair[full[:, a] | full[:, b]] if drop else pair)
+    return np.concatenate(out)
 
 
 def _heads(like: Likeness) -> Callable:
@@ -133,20 +154,6 @@ def _profile(like: Likeness, s: np.ndarray) -> tuple[int, np.ndarray, np.ndarray
     return band, like.subparts(s, band), like.subparts(s, band + 1)
 
 
-def _profiles(like: Likeness) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            out = []
-            for rid, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                s = like.shingles(text)
-                if len(s) >= like.least:
-                    band, own, upper = _profile(like, s)
-                    out.append((rid, band, own.tobytes() + upper.tobytes()))
-            yield pa.record_batch([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["rid", "band", "profile"])
-
-    return run
-
-
 def _signed(like: Likeness) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, rows=256):
@@ -154,8 +161,8 @@ def _signed(like: Likeness) -> Callable:
             for rid, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
                 s = like.shingles(text)
                 if len(s) >= like.least:
-                    _, own, upper = _profile(like, s)
-                    sig = np.concatenate((signatures(own), signatures(upper)))
+                    band, own, upper = _profile(like, s)
+                    sig = np.concatenate((signatures(own, like.spare(band)), signatures(upper, like.spare(band + 1))))
                     sigs.append(sig.view(np.int64))
                     rids.append(np.full(len(sig), rid))
             if sigs:
@@ -167,9 +174,8 @@ def _signed(like: Likeness) -> Callable:
 def _sketches(like: Likeness) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            sets = [like.shingles(x) for x in as_bytes(batch.column("text"))]
-            bands = [like.band_of(len(s)) for s in sets]
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(bands, pa.int32()), pa.array(list(map(sketch, sets)), pa.binary())], ["rid", "band", "elems"])
+            raw = [sketch(like.shingles(x)) for x in as_bytes(batch.column("text"))]
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(raw, pa.binary())], ["rid", "elems"])
 
     return run
 
@@ -183,32 +189,6 @@ def _sets(like: Likeness) -> Callable:
     return run
 
 
-def apart_bound(pdf: pd.DataFrame, like: Likeness) -> Callable:
-    """near(i, others): which of others can still link with i. Subparts that differ hold two differences at least if
-    they are equally large, else as many as their sizes differ by; of two that are both as large as can be told, one."""
-    low = int(pdf["band"].min())
-    vectors = []
-    for band, raw in zip(pdf["band"], pdf["profile"], strict=True):
-        v = np.frombuffer(raw, np.uint64)
-        n = like.subpart_count(band)
-        vectors.append((v[:n] if band == low and pdf["band"].max() == low else v[n:] if band == low else v[:n]))
-    m = np.vstack(vectors)
-    size, total = (m & np.uint64(255)).astype(np.int16), pdf["elems"].map(len).to_numpy() // 8
-
-    def near(i: int, others: np.ndarray) -> np.ndarray:
-        keep = []
-        for at in range(0, len(others), 256):
-            o = others[at : at + 256]
-            gap = np.abs(size[o] - size[i])
-            gap[gap == 0] = 2
-            gap[(size[o] == 255) & (size[i] == 255)] = 1
-            gap[m[o] == m[i]] = 0
-            keep.append(gap.sum(axis=1, dtype=np.int64) * (like.den + like.num) <= (total[o] + total[i]) * (like.den - like.num))
-        return np.concatenate(keep)
-
-    return near
-
-
 def ngram_jaccard_components(docs: DataFrame, like: Likeness = NINE_TENTHS) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -219,10 +199,9 @@ def ngram_jaccard_components(docs: DataFrame, like: Likeness = NINE_TENTHS) -> D
     of = lambda ids, run, schema: pick(docs, ids, "doc_id").mapInArrow(run(like), schema)
     named = lambda ids: ids.select(F.col("rid").alias("doc_id"))
     sigs = of(reps, _signed, "sig long, rid long")
-    heads_of = lambda ids: of(named(ids), _profiles, "rid long, band int, profile binary")
     sets_of = lambda ids: of(named(ids), _sets, "rid long, elems binary")
-    sketches_of = lambda ids: of(named(ids), _sketches, "rid long, band int, elems binary")
-    linked = components(sigs, sketches_of, heads_of, sets_of, like.num, like.den, partial(apart_bound, like=like), "partenum")
+    sketches_of = lambda ids: of(named(ids), _sketches, "rid long, elems binary")
+    linked = components(sigs, sketches_of, sets_of, like.num, like.den, "partenum")
     # classes that share a document id (repeated ids) belong together as well
     classes = classes.join(linked.select(F.col("id").alias("rid"), "comp"), "rid", "left").select("n_shingles", "key", F.coalesce("comp", "rid").alias("comp"))
     known = heads.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "key").join(classes, ["n_shingles", "key"])

@@ -1,8 +1,9 @@
 """Exact components of a Jaccard join, from signatures that linked sets are sure to share.
 
 A bucket of one signature is never expanded into pairs. First each member is compared with the bucket's least id (a
-star). What is still apart afterwards is compared exhaustively in blocks of bounded size, and only inside the groups
-that shared signatures hold together. So every link between different sets counts for the components.
+star), which settles groups of near copies. What is still apart then is compared within each signature that holds sets
+of different components, once for signatures with the same members: in runs of at most 2 * BLOCK sets, a hot signature
+in blocks against blocks. Only sets that share a signature meet, and every link between different components is found.
 
 Before sets move, their sketches do: a set's size and the parity of its number of elements in each of so many buckets.
 Buckets of unlike parity hold a difference at least, so a sketch never rules out a pair that links.
@@ -13,14 +14,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import least_labels, pieces, shuffle_parts, staged
 
-#: Members of a block of the exhaustive comparison, and partners compared with one copy of a set.
+#: Sets of a signature that are one block, and partners compared with one copy of a set.
 BLOCK, PARTNERS = 512, 256
 #: Up to so many ids (8 bytes each) are broadcast to pick rows; above that the rows are shuffled.
 BROADCAST_IDS = 1_000_000
@@ -138,120 +138,129 @@ def verified(pairs: DataFrame, sets: DataFrame, links: Callable) -> DataFrame:
     return rows.mapInArrow(_check(links), "a long, b long")
 
 
-def _block(num: int, den: int, bound: Callable | None) -> Callable:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links between the two sides of a block that join what is still apart."""
-        pdf = pdf.sort_values(["side", "rid"])
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["elems"]]
-        side, comp, rid = (pdf[c].to_numpy() for c in ("side", "comp", "rid"))
-        root = {int(c): int(c) for c in comp}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        size = np.array([len(x) for x in sets])
-        same = bool(pdf["same"].iloc[0])
-        rows = range(len(pdf)) if same else np.flatnonzero(side == 0)
-        near = bound(pdf) if bound else None
-        out: list[tuple[int, int]] = []
-        for i in rows:
-            others = np.arange(i + 1, len(pdf)) if same else np.flatnonzero(side == 1)
-            low, high = np.minimum(size[i], size[others]), np.maximum(size[i], size[others])
-            others = others[low * den >= num * high]
-            if near is not None and len(others):
-                others = others[near(i, others)]
-            for j in others:
-                a, b = find(int(comp[i])), find(int(comp[j]))
-                if a != b:
-                    n = common(sets[i], sets[j])
-                    if den * n >= num * (size[i] + size[j] - n):
-                        root[max(a, b)] = min(a, b)
-                        out.append((int(rid[i]), int(rid[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return run
+def seated(rows: DataFrame, count: DataFrame) -> DataFrame:
+    """Rows (task, side, sig, rid) of rows (sig, rid) whose sig is in count (sig, n): one for each run that they sit in. The
+    members of a signature are one run, or are dealt into blocks, of which every two are a run."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    dealt = rows.join(count.withColumn("blocks", blocks), "sig").withColumn("own", F.pmod(F.xxhash64("rid"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    task = F.when(F.col("blocks") == 1, F.col("sig")).otherwise(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")))
+    return dealt.select(task.alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side"), "sig", "rid")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each task, from batches sorted by it."""
+    run: list[tuple] = []
+    for batch in pieces(batches, rows=2048):
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if run and run[0][0] != row[0]:
+                yield run
+                run = []
+            run.append(row)
+    if run:
+        yield run
+
+
+def _may(run: list[tuple], num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, others) of the rows (task, side, rid, comp, sketch) of a run that can link and are of other components."""
+    raw = [np.frombuffer(x[4], np.uint64) for x in run]
+    words = min(map(len, raw)) - 1
+    bits, size = np.vstack([folded(x[1:], words) for x in raw]), np.array([int(x[0]) for x in raw])
+    side, comp = (np.array([x[i] for x in run]) for i in (1, 3))
+    cross = side.any()
+    for i in np.flatnonzero(side == 0).tolist():
+        others = np.flatnonzero(side == 1) if cross else np.arange(i + 1, len(run))
+        low, high = np.minimum(size[i], size[others]), np.maximum(size[i], size[others])
+        others = others[(low * den >= num * high) & (comp[others] != comp[i])]
+        if len(others):
+            least = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            others = others[least * (den + num) <= (size[others] + size[i]) * (den - num)]
+        if len(others):
+            yield i, others
 
 
 def _partners(num: int, den: int) -> Callable:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Rows of a block that can link, by their sketches, with one of another component."""
-        raw = [np.frombuffer(x, np.uint64) for x in pdf["elems"]]
-        words = min(map(len, raw)) - 1
-        bits, size = np.vstack([folded(x[1:], words) for x in raw]), np.array([int(x[0]) for x in raw])
-        side, comp = pdf["side"].to_numpy(), pdf["comp"].to_numpy()
-        same, met = bool(pdf["same"].iloc[0]), np.zeros(len(pdf), bool)
-        for i in range(len(pdf)) if same else np.flatnonzero(side == 0):
-            others = np.arange(i + 1, len(pdf)) if same else np.flatnonzero(side == 1)
-            low, high = np.minimum(size[i], size[others]), np.maximum(size[i], size[others])
-            others = others[(low * den >= num * high) & (comp[others] != comp[i])]
-            for at in range(0, len(others), 256):
-                o = others[at : at + 256]
-                least = np.bitwise_count(bits[o] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                o = o[least * (den + num) <= (size[o] + size[i]) * (den - num)]
-                met[o] = True
-                met[i] |= bool(len(o))
-        return pdf.loc[met, ["rid"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a run that can link, by their sketches, with one of another component."""
+        for rows in _runs(batches):
+            met = np.zeros(len(rows), bool)
+            for i, others in _may(rows, num, den):
+                met[i] = True
+                met[others] = True
+            if met.any():
+                own = [x for x, m in zip(rows, met.tolist(), strict=True) if m]
+                yield pa.record_batch([pa.array([x[i] for x in own], t) for i, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int64()), (3, pa.int64()))], ["task", "side", "rid", "comp"])
 
     return run
 
 
-def _seated(apart: DataFrame, *columns: str) -> DataFrame:
-    """Rows (task, same, side, band, rid, comp, columns) of apart, one for each block that they sit in.
+def _exhaustive(num: int, den: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of a run between what is still apart; a link joins components for the rest of the run."""
+        for rows in _runs(batches):
+            sets = [np.frombuffer(x[4], np.uint64) for x in rows]
+            root = {x[3]: x[3] for x in rows}
+
+            def find(c: int, root: dict[int, int] = root) -> int:
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            out = []
+            for i, others in _may([(*x[:4], sketch(e)) for x, e in zip(rows, sets, strict=True)], num, den):
+                for j in others.tolist():
+                    a, b = find(rows[i][3]), find(rows[j][3])
+                    if a != b:
+                        n = common(sets[i], sets[j])
+                        if den * n >= num * (len(sets[i]) + len(sets[j]) - n):
+                            root[max(a, b)] = min(a, b)
+                            out.append((rows[i][2], rows[j][2]))
+            if out:
+                yield pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    A block pairs at most about BLOCK rows with as many. Rows of bands more than one apart cannot link.
-    """
-    keys = ["super", "band"]
-    count = apart.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    blocks = count.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("blk"))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    meets = (F.col("x.super") == F.col("y.super")) & ((F.col("y.band") == F.col("x.band") + 1) | ((F.col("y.band") == F.col("x.band")) & (F.col("x.blk") <= F.col("y.blk"))))
-    pairs = x.join(y, meets).select(F.col("x.super").alias("super"), F.col("x.band").alias("b0"), F.col("x.blk").alias("k0"), F.col("y.band").alias("b1"), F.col("y.blk").alias("k1"))
-    same = (F.col("b0") == F.col("b1")) & (F.col("k0") == F.col("k1"))
-    pairs = pairs.select("super", F.xxhash64("super", "b0", "k0", "b1", "k1").alias("task"), same.alias("same"), F.array(F.struct(F.lit(0).alias("side"), F.col("b0").alias("band"), F.col("k0").alias("blk")), F.struct(F.lit(1).alias("side"), F.col("b1").alias("band"), F.col("k1").alias("blk"))).alias("sides"))
-    seats = pairs.select("super", "task", "same", F.inline("sides")).where("not (same and side = 1)")
-    rows = apart.join(count, keys).withColumn("blk", F.pmod(F.xxhash64("rid"), "blocks"))
-    return rows.join(seats, ["super", "band", "blk"]).select("task", "same", "side", "band", "rid", "comp", *columns)
+    return run
 
 
-def partnered(apart: DataFrame, num: int, den: int) -> DataFrame:
-    """(rid) of apart (super, band, rid, comp, elems: sketches) that can link with one of another component."""
-    return _seated(apart, "elems").groupBy("task").applyInPandas(_partners(num, den), "rid long").distinct()
+def _by_task(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    n = shuffle_parts(rows.sparkSession)
+    return rows.select("task", "side", "rid", "comp", "elems").repartition(n, "task").sortWithinPartitions("task", "side", "rid").mapInArrow(run, schema)
 
 
-def exhaustive(apart: DataFrame, num: int, den: int, bound: Callable | None) -> DataFrame:
-    """Links (a, b) inside the groups of apart (super, band, rid, comp, elems, profile), in blocks."""
-    return _seated(apart, "elems", "profile").groupBy("task").applyInPandas(_block(num, den, bound), "a long, b long")
+def _once(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n) of the groups of rows (key, rid, comp) that hold different components; of groups with the same n members
+    one."""
+    mark = lambda seed: F.sum(F.shiftright(F.xxhash64(F.lit(seed), "rid"), 20))  # noqa: E731  two sums of 44 bits a member
+    each = rows.groupBy(key).agg(F.count("*").alias("n"), F.min("rid").alias("first"), mark(1).alias("one"), mark(2).alias("two"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return each.where("low <> high").groupBy("n", "first", "one", "two").agg(F.min(key).alias(key)).select(key, "n")
 
 
-def components(sigs: DataFrame, sketches_of: Callable[[DataFrame], DataFrame], heads_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, bound: Callable | None, name: str) -> DataFrame:
+def components(sigs: DataFrame, sketches_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, name: str) -> DataFrame:
     """(id, comp) for every row that has a link; rows without one are absent.
 
-    sigs: (sig, rid). sketches_of(ids), heads_of(ids), sets_of(ids): (rid, band, elems: sketches), (rid, band, profile
-    binary) and (rid, elems) of the given rid, elems the sorted 64-bit elements.
+    sigs: (sig, rid). sketches_of(ids), sets_of(ids): (rid, elems) of the given rid, elems a sketch or the sorted 64-bit
+    elements.
     """
     multi = staged(stars(sigs), name)
-    members = staged(multi.select("rid").distinct(), name)
-    sketches = staged(sketches_of(members), name)
+    sketches = staged(sketches_of(staged(multi.select("rid").distinct(), name)), name)
     pairs = staged(multi.where("rid <> lead").select(F.col("lead").alias("a"), F.col("rid").alias("b")).distinct(), name)
-    likely = staged(verified(pairs, sketches.select("rid", "elems"), _may_link(num, den)), name)
+    likely = staged(verified(pairs, sketches, _may_link(num, den)), name)
     ends = staged(likely.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), name)
     links = staged(verified(likely, sets_of(ends), _links(num, den)), name)
     comp = least_labels(links, name)
-    failed = pairs.join(links, ["a", "b"], "left_anti")
-    if failed.isEmpty():
+    named = multi.select("sig", "rid").join(comp.select(F.col("id").alias("rid"), "comp"), "rid", "left").select("sig", "rid", F.coalesce("comp", "rid").alias("comp"))
+    open_ = staged(_once(named, "sig"), name)
+    few = open_.count()
+    if not few:
         return comp
-    super_ = least_labels(pairs, name).select(F.col("id").alias("rid"), F.col("comp").alias("super"))
-    named = super_.join(comp.select(F.col("id").alias("rid"), "comp"), "rid", "left").select("rid", "super", F.coalesce("comp", "rid").alias("comp"))
-    open_ = named.groupBy("super").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("super")
-    apart = staged(named.join(open_, "super"), name)
-    may = staged(partnered(apart.join(sketches, "rid"), num, den), name)
+    seats = seated(multi.select("sig", "rid"), F.broadcast(open_) if few <= BROADCAST_IDS else open_)
+    seats = seats.join(comp.select(F.col("id").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    may = staged(_by_task(seats.join(sketches, "rid"), _partners(num, den), "task long, side int, rid long, comp long"), name)
     if may.isEmpty():
         return comp
-    apart = apart.join(heads_of(may), "rid").join(sets_of(may), "rid")
-    more = staged(exhaustive(apart, num, den, bound), name)
+    once = staged(_once(may, "task").select("task"), name)
+    may = pick(may, once, "task")
+    more = staged(_by_task(may.join(sets_of(staged(may.select("rid").distinct(), name)), "rid"), _exhaustive(num, den), "a long, b long"), name)
     if more.isEmpty():
         return comp
     return least_labels(links.unionByName(more), name)

@@ -137,11 +137,8 @@ def similar(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     of = lambda ids, make, types, schema: pick(rows, ids.select(F.col("rid").alias("doc_id")), "doc_id").mapInArrow(_made(make, types, [x.split()[0] for x in schema.split(", ")]), schema)
     ints, raw = [pa.int64(), pa.int64()], pa.binary()
     sigs = of(classes.select("rid").distinct(), signed, ints, "sig long, rid long")
-    banded = lambda keep: lambda ids: of(ids, lambda d, s: [(d, length_partition(len(s), num / den), keep(s))], [pa.int64(), pa.int32(), raw], "rid long, band int, elems binary")
-    sketches = banded(sketch)
-    profiles = lambda ids: ids.join(sketches(ids), "rid").select("rid", "band", F.lit(b"").alias("profile"))
-    sets = lambda ids: banded(lambda s: s.tobytes())(ids).select("rid", "elems")
-    linked = components(sigs, sketches, profiles, sets, num, den, None, "spotsigs")
+    kept = lambda keep: lambda ids: of(ids, lambda d, s: [(d, keep(s))], [pa.int64(), raw], "rid long, elems binary")
+    linked = components(sigs, kept(sketch), kept(np.ndarray.tobytes), num, den, "spotsigs")
     classes = classes.join(linked.select(F.col("id").alias("rid"), "comp"), "rid", "left").select("n_spots", "key", F.coalesce("comp", "rid").alias("comp"))
     own = full.join(classes, ["n_spots", "key"]).groupBy("doc_id").agg(F.min("comp").alias("comp"))
     return heads.select("doc_id", "n_spots").join(own, "doc_id", "left").select("doc_id", "n_spots", F.col("comp").alias("class_id"))

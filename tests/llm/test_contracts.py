@@ -184,6 +184,46 @@ def test_jaccard_large_group(spark):
     assert got == brute.jaccard_components(texts_of(rows))
 
 
+def test_jaccard_under_one_signature(spark, monkeypatch):
+    """A passage that all texts share makes them meet under common signatures without being alike; links between them
+    are found in small blocks, by no more than what shares a signature."""
+    from rivulet.llm import setjoin
+
+    monkeypatch.setattr(setjoin, "BLOCK", 16)
+    monkeypatch.setattr(setjoin, "PARTNERS", 8)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for i in range(260):
+        own = [f"o{i // 3}x{j}" for j in range(30)]
+        for _ in range(i % 3):
+            own[rng.randrange(30)] = f"z{i}"
+        texts.append(" ".join(passage[: 60 - i % 2] + own))
+    for like in (partenum.FOUR_FIFTHS, partenum.NINE_TENTHS):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.ngram_jaccard_components(docs(spark, texts), like).collect()}
+        want = brute.jaccard_components(list(enumerate(texts)), like.words, like.num)
+        assert got == want and len({c for _, c in want.values()}) > 50
+
+
+def test_linked_sets_share_a_signature():
+    """Also without the pairs of empty subparts: sets exactly at the bound, of every size."""
+    rng = np.random.default_rng(5)
+    for like in (partenum.FOUR_FIFTHS, partenum.NINE_TENTHS):
+        for n in [*range(like.least, 120), 300, 999, 3000]:
+            for _ in range(3):
+                a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+                apart = 2 * n * (like.den - like.num) // (like.den + like.num)
+                gone = int(rng.integers(0, apart + 1))
+                b = np.unique(np.r_[rng.permutation(a)[gone:], rng.integers(0, 1 << 63, apart - gone).astype(np.uint64)])
+                both = len(np.intersect1d(a, b))
+                if like.den * both >= like.num * (len(a) + len(b) - both):
+                    mine = []
+                    for x in (a, b):
+                        band, own, upper = partenum._profile(like, x)
+                        mine.append(set(np.r_[partenum.signatures(own, like.spare(band)), partenum.signatures(upper, like.spare(band + 1))].tolist()))
+                    assert mine[0] & mine[1], (like, n, gone)
+
+
 def test_fingerprints(spark):
     texts = [*ODD, "the same text of it", "the same text of it"]
     rows = docs(spark, texts)
