@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.common import pieces, table
+from rivulet.llm.common import only, pieces, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 FAN = 64  # children of a node when decoding
@@ -215,6 +215,7 @@ _LOADED: dict[tuple[str, str], ByteBPE] = {}
 
 def loaded(path: str, pattern: str) -> ByteBPE:
     """One coder for each worker process."""
+    only(_LOADED)
     if (path, pattern) not in _LOADED:
         _LOADED[path, pattern] = ByteBPE(path, pattern)
     return _LOADED[path, pattern]

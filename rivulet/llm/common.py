@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import reduce
 
 import numpy as np
@@ -59,6 +62,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_KEPT: list[dict] = []  # what operators remember in this worker; the last in use is the last
+
+
+def only(cache: dict) -> None:
+    """Called as a task begins to use a cache: workers are used by one operator after the other, and what the others
+    remember goes back to the system."""
+    if not _KEPT or _KEPT[-1] is not cache:
+        others = [c for c in _KEPT if c is not cache]
+        for c in others:
+            c.clear()
+        _KEPT[:] = [*others, cache]
+        if others:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # glibc only
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of fewer rows and, beyond one row, of fewer bytes, so that what a step makes of them stays small."""
     for batch in batches:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import as_bytes, mix, pieces, staged, table
+from rivulet.llm.common import as_bytes, mix, only, pieces, staged, table
 from rivulet.llm.setjoin import components, pick, sketch
 
 WORDS_KEPT = 150_000  # hashed words that a worker remembers
@@ -68,6 +68,7 @@ class Likeness:
     def shingles(self, text: bytes) -> np.ndarray:
         """Sorted distinct 64-bit hashes of the n-grams: A-Z in lower case, words divided by ASCII white space; of fewer
         words the whole sequence is one."""
+        only(_HASH)
         words = text.lower().split()
         if not words:
             return np.empty(0, np.uint64)

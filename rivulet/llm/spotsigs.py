@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import mix, pieces, shuffle_parts, staged, table
+from rivulet.llm.common import mix, only, pieces, shuffle_parts, staged, table
 from rivulet.llm.setjoin import components, pick, sketch
 
 CHAIN = 2
@@ -61,6 +61,7 @@ _HASH = _Hash()
 
 def spots(text: str) -> np.ndarray:
     """Sorted distinct 32-bit spot signatures."""
+    only(_HASH)
     words = _WORD.findall(text.lower())
     h = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
     anchor = (h & np.uint64(1)).astype(bool)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from rivulet.llm.common import pieces, scratch, shuffle_parts, table
+from rivulet.llm.common import only, pieces, scratch, shuffle_parts, table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 CHUNKS_KEPT = 400_000  # encoded parts of chunks that a worker remembers
@@ -122,6 +122,7 @@ _LOADED: dict[str, ChunkEncoder] = {}
 
 
 def encoder(path: str) -> ChunkEncoder:
+    only(_LOADED)
     if path not in _LOADED:
         _LOADED[path] = ChunkEncoder(path)
     return _LOADED[path]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import pieces, staged, table
+from rivulet.llm.common import only, pieces, staged, table
 
 TRAIN_ROWS, FEATURES, GRADES, TOXIC_AT = 8000, 512, 4, 0.4
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -123,6 +123,7 @@ def train(ids: np.ndarray, rows: list[tuple[np.ndarray, int, int]]) -> Model:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
+        only(_IDS)
         both = list(map(counted, batch.column("text").to_pylist()))
         raw = [pa.array([x[i].tobytes() for x in both], pa.binary()) for i in (0, 1)]
         yield pa.record_batch([*raw, batch.column("toxic")], ["ids", "times", "toxic"])
@@ -183,6 +184,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.arrow_udf(SCORES)
     def run(texts: pa.Array) -> pa.Array:
+        only(_IDS)
         p = model.grades(np.array([model.score(features(t)) for t in texts.to_pylist()]).reshape(-1))
         toxic = 1 - p[:, 0]
         out = [p @ np.arange(p.shape[1]), p.argmax(axis=1).astype(np.int32), toxic, (toxic >= TOXIC_AT).astype(np.int32)]
