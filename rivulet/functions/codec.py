@@ -6,8 +6,8 @@ XOR is kept to read old payloads; it protects nothing. New payloads take aes_enc
 from __future__ import annotations
 
 import zlib
-from itertools import cycle
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,9 +24,16 @@ def _inflate(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else zlib.decompress(x))
 
 
+def _xored(data: bytes | None, key: bytes) -> bytes | None:
+    if data is None:
+        return None
+    own = np.frombuffer(data, np.uint8)
+    return (own ^ np.resize(np.frombuffer(key, np.uint8), len(own))).tobytes()
+
+
 @F.pandas_udf(BinaryType())
 def _xor(data: pd.Series, key: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else bytes(a ^ b for a, b in zip(x, cycle(k.encode()))) for x, k in zip(data, key, strict=True)], dtype=object)
+    return pd.Series([_xored(x, k.encode()) for x, k in zip(data, key, strict=True)], dtype=object)
 
 
 def _named(name: str, allowed: tuple[str, ...]) -> str:
@@ -56,3 +63,9 @@ def decoded(text: Column, compression: str = "zlib", encryption: str = "none", k
     if _named(compression, ("none", "zlib")) == "zlib":
         data = _inflate(data)
     return data.cast("string")
+
+
+def metrics(payload: Column, wire: Column) -> Column:
+    """struct(raw_bytes, wire_bytes, ratio, checksum): sizes before and after encoding, and the SHA-256 of the payload."""
+    raw, sent = F.octet_length(payload).cast("long"), F.octet_length(wire).cast("long")
+    return F.struct(raw.alias("raw_bytes"), sent.alias("wire_bytes"), F.round(sent / F.greatest(raw, F.lit(1)), 4).alias("ratio"), F.sha2(payload, 256).alias("checksum"))

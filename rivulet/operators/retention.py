@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.operators.ordered import all_but_latest
+from rivulet.operators.snapshot import appended
 from rivulet.operators.transport import OPEN
 
 #: Modes of selection, and the statuses that are final in them.
@@ -33,23 +34,28 @@ def candidates(rows: DataFrame, mode: str, date: str, before: Column, inbox: Dat
     return done
 
 
-def moved(rows: DataFrame, chosen: DataFrame, archive: str, key: str = "id", dry_run: bool = False) -> DataFrame:
-    """Append the chosen rows to the archive table at a path, check their count, and return what stays.
+def moved(rows: DataFrame, chosen: DataFrame, archive: str, run: str, key: str = "id", dry_run: bool = False) -> DataFrame:
+    """Append the chosen rows to the archive table at a path as run=<run>, check their count, and return what stays.
 
-    The rest is decided from the rows read back, so a row leaves only once it is in the archive. A dry run changes nothing.
+    The table is created by its first run; runs do not touch each other, and a run that is repeated writes its own folder
+    again. The rest is decided from the rows read back, so a row leaves only once it is in the archive. A dry run changes
+    nothing.
     """
     if dry_run:
         return rows
-    spark = rows.sparkSession
     want = chosen.count()
-    chosen.write.mode("overwrite").parquet(archive)
-    kept = spark.read.schema(chosen.schema).parquet(archive)
+    kept = appended(chosen, archive, run)
     got = kept.count()
     if got != want:
-        raise ValueError(f"archive holds {got} of {want} rows")
+        raise ValueError(f"archive holds {got} of {want} rows of run {run}")
     return rows.join(kept.select(key), key, "left_anti")
 
 
+def capped(chosen: DataFrame, most: int, order: str) -> DataFrame:
+    """The oldest rows of a run's cap (a limit of the run, the next one goes on)."""
+    return chosen.orderBy(order).limit(most)
+
+
 def archive_due(services: DataFrame, runs: DataFrame, now: str, hours: int = 24) -> DataFrame:
     """(service_id, due, reason, remaining_seconds) by each service's last run that succeeded at least in part."""
     ended = runs.where(F.col("status").isin("success", "partial"))

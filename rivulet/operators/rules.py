@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 MOST_RULES = 10_000
 #: Engines that count as one family; names and the prefix of internal tables.
 FAMILY = ("mysql", "mariadb")
-INTERNAL_PREFIX = "srdf_"
+INTERNAL_PREFIX = "cdc_"
 INTERNAL = ("django_migrations", "django_content_type", "auth_permission", "django_admin_log")
 
 
@@ -71,9 +71,12 @@ def first_match_excludes(objects: DataFrame, rules: DataFrame, engine: str) -> D
     any_database = F.trim(F.coalesce(F.col("r_database_name"), F.lit(""))) == ""
     on_table = _fits(F.col("table_name"), F.col("r_table_name"), F.col("r_match_mode"), False)
     fits = F.col("r_engine").isin("all", engine) & (((F.col("r_object_type") == "database") & on_database) | ((F.col("r_object_type") == "table") & (any_database | on_database) & on_table))
-    met = _joined(objects, _ruled(rules), fits)
-    first = met.groupBy(*objects.columns).agg(F.min_by(F.struct("r_id", "r_policy_mode"), F.struct("r_priority", "r_id")).alias("r"))
-    return first.select(*objects.columns, F.coalesce(F.col("r.r_policy_mode") == "exclude", F.lit(False)).alias("excluded"), F.col("r.r_id").alias("rule_id"))
+    keys = ["database_name", "table_name"]
+    met = _joined(objects.select(*keys).distinct(), _ruled(rules), fits)
+    first = met.groupBy(*keys).agg(F.min_by(F.struct("r_id", "r_policy_mode"), F.struct("r_priority", "r_id")).alias("r"))
+    named = first.select(*(F.col(k).alias(f"_{k}") for k in keys), "r")
+    out = objects.join(named, F.col("database_name").eqNullSafe(F.col("_database_name")) & F.col("table_name").eqNullSafe(F.col("_table_name")))
+    return out.select(*objects.columns, F.coalesce(F.col("r.r_policy_mode") == "exclude", F.lit(False)).alias("excluded"), F.col("r.r_id").alias("rule_id"))
 
 
 def csv_names(column: Column) -> Column:

@@ -11,7 +11,7 @@ OBJECTS = Values(
     [
         (1, "mariadb", "shop", "orders"), (2, "mariadb", "shop", "orders_old"), (3, "mysql", "shop", "customer"), (4, "postgresql", "shop", "customer"),
         (5, "mariadb", "tmp_work", "lineitem"), (6, "mariadb", "hr", "part_audit"), (7, "postgresql", "logs", "audit"), (8, " MariaDB ", " shop ", " nation "),
-        (9, "mysql", "crm", "srdf_outbox"), (10, "mysql", "crm", " Django_Migrations "), (11, "mariadb", "crm", "region"), (12, "mariadb", "crm", ""), (13, "mysql", "hr", "django_sessions"),
+        (9, "mysql", "crm", "cdc_outbox"), (10, "mysql", "crm", " Django_Migrations "), (11, "mariadb", "crm", "region"), (12, "mariadb", "crm", ""), (13, "mysql", "hr", "django_sessions"),
     ],
 )
 RULES = Values(
@@ -32,7 +32,7 @@ RULES = Values(
 TABLES = Values(
     "catalog",
     "id long, service_id long, database_name string, table_name string, is_active boolean",
-    [(i, 1, d, t, i % 9 != 0) for i, (d, t) in enumerate([(d, t) for d in ("crm", "hr", "shop", "tmp_work") for t in ("accounts", "audit_log", "customer", "lineitem", "orders", "orders_old", "srdf_outbox")], 1)],
+    [(i, 1, d, t, i % 9 != 0) for i, (d, t) in enumerate([(d, t) for d in ("crm", "hr", "shop", "tmp_work") for t in ("accounts", "audit_log", "customer", "lineitem", "orders", "orders_old", "cdc_outbox")], 1)],
 )
 DISCOVERED = Values("discovered", "database_name string, table_name string", [(d, t) for d in ("crm", "shop", "web") for t in ("accounts", "customer", "orders", "visits")])
 PLANS = Values(

@@ -60,11 +60,11 @@ def status_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.in_flight(batches(spark, sf_dir).where("batch_id % 4 <> 2 or status = 'ready'"))
+    return tables.in_flight(batches(spark, sf_dir))
 
 
 def resume_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = batches(spark, sf_dir).where("batch_id % 3 = 0")
+    rows = batches(spark, sf_dir)
     out = tables.resume_diagnosis(rows, transport.batch_snapshot(rows, outbox(spark, sf_dir)))
     return out.select("batch_id", "total_count", "failed_count", "open_batches", "would_build", "would_send")
 
@@ -130,8 +130,8 @@ ORACLE_SQL = {
     "customer_upsert": f"""WITH {FEED}, n AS (SELECT pk % 97 AS c_custkey, 'from ' || max(id) AS c_name FROM feed WHERE pk > 0 GROUP BY 1) SELECT * FROM n UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n)""",
     "order_deletion": "SELECT 'orders' AS name, count(*) AS \"left\" FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0)",
     "status_update": f"WITH {OUTBOX}, u AS (SELECT id BETWEEN 100 AND 900 AND status NOT IN ('applied', 'dead') AS c, status FROM outbox) SELECT CASE WHEN c THEN 'sent' ELSE status END AS status, CASE WHEN c THEN TIMESTAMP '{NOW}' END AS sent_at, count(*) AS events FROM u GROUP BY 1, 2",
-    "batch_in_flight": f"WITH {BATCHES} SELECT service_id, NOT bool_or(status IN ('ready', 'sent', 'acked', 'failed')) AS may_build, NOT bool_or(status IN ('sent', 'acked')) AS may_ship FROM batches WHERE batch_id % 4 <> 2 OR status = 'ready' GROUP BY 1",
-    "resume_diagnosis": f"""WITH {BATCHES}, b AS (SELECT * FROM batches WHERE batch_id % 3 = 0), s AS (SELECT b.*, (SELECT count(*) FROM outbox o WHERE o.service_id = b.service_id AND o.id BETWEEN b.first_event_id AND b.last_event_id) AS total_count,
+    "batch_in_flight": f"WITH {BATCHES} SELECT service_id, NOT bool_or(status IN ('ready', 'sent', 'acked', 'failed')) AS may_build, NOT bool_or(status IN ('sent', 'acked')) AS may_ship FROM batches GROUP BY 1",
+    "resume_diagnosis": f"""WITH {BATCHES}, b AS (SELECT * FROM batches), s AS (SELECT b.*, (SELECT count(*) FROM outbox o WHERE o.service_id = b.service_id AND o.id BETWEEN b.first_event_id AND b.last_event_id) AS total_count,
             (SELECT count(*) FROM outbox o WHERE o.status = 'failed' AND o.service_id = b.service_id AND o.id BETWEEN b.first_event_id AND b.last_event_id) AS failed_count, (SELECT count(*) - 1 FROM b x WHERE x.service_id = b.service_id AND x.status IN ('ready', 'sent', 'acked', 'failed')) AS open_batches FROM b WHERE status = 'failed')
         SELECT batch_id, total_count, failed_count, open_batches, open_batches = 0 AS would_build, open_batches = 0 AND CASE WHEN failed_count > 0 THEN failed_count ELSE total_count END > 0 AS would_send FROM s""",
     "capture_outcomes": f"WITH e AS (SELECT event_id, event_id % 3 - 1 AS c, event_id % 4 - 2 AS s FROM events), o AS (SELECT {_CODE} AS o FROM e) SELECT split_part(o, '/', 1) AS status, split_part(o, '/', 2) AS code, count(*) AS runs FROM o GROUP BY 1, 2",

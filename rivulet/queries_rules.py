@@ -144,7 +144,7 @@ ORACLE_SQL = {
     "scope_rules": f"WITH {_SCOPE}, e AS (SELECT id, rule_id, {_DECISION.format(strict='')} AS decision FROM d) SELECT id, decision, starts_with(decision, 'allowed') AS allowed, rule_id FROM e",
     "scope_rules_strict": f"WITH {_SCOPE}, e AS (SELECT id, {_DECISION.format(strict=chr(10) + ' WHEN has_include THEN ' + repr('denied_because_include_rules_exist_but_no_match'))} AS decision FROM d) SELECT id, decision, starts_with(decision, 'allowed') AS allowed FROM e",
     "scope_rules_first_match": f"WITH {OBJECTS.cte}, {RULES.cte}, n AS (SELECT id, database_name, table_name FROM objects), {_FIRST_CTE.format(rows='n', on=_FIRST)} SELECT id, database_name, table_name, coalesce(mode = 'exclude', false) AS excluded, rule_id FROM f",
-    "hard_exclude": f"WITH {OBJECTS.cte} SELECT id, starts_with(lower(trim(table_name)), 'srdf_') OR lower(trim(table_name)) IN ('django_migrations', 'django_content_type', 'auth_permission', 'django_admin_log') AS excluded FROM objects",
+    "hard_exclude": f"WITH {OBJECTS.cte} SELECT id, starts_with(lower(trim(table_name)), 'cdc_') OR lower(trim(table_name)) IN ('django_migrations', 'django_content_type', 'auth_permission', 'django_admin_log') AS excluded FROM objects",
     "name_filter": f"WITH {TABLES.cte} SELECT id, database_name, table_name FROM catalog WHERE database_name IN ('crm', 'shop') AND database_name LIKE '%o%' AND table_name LIKE 'orders%'",
     "name_search": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_name ILIKE '%auto%' OR c_mktsegment ILIKE '%auto%'",
     "cdc_backlog_bytes": f"WITH {_BACKLOG} SELECT service_id, backlog_bytes, backlog_files FROM b",
@@ -166,7 +166,7 @@ ORACLE_SQL = {
         picked AS (SELECT plan_id, 'plan_selection' AS source, database_name, table_name, recreate_table, row_number() OVER (PARTITION BY plan_id ORDER BY execution_order, s.id) AS item_no FROM s JOIN plans p ON p.id = s.plan_id),
         a AS (SELECT p.id AS plan_id, 'plan_auto' AS source, c.database_name, c.table_name, recreate_table, table_limit, row_number() OVER (PARTITION BY p.id, c.database_name ORDER BY c.table_name) AS n FROM plans p, catalog c
             WHERE c.is_active AND p.id NOT IN (SELECT plan_id FROM s) AND (CASE WHEN source_database_name <> '' THEN c.database_name = source_database_name ELSE {_named("c.database_name", "database_include_csv", "database_exclude_csv", "database_like_pattern")} END)
-            AND {_named("c.table_name", "(CASE WHEN scope_mode = 'tables' THEN include_tables_csv ELSE '' END)", "exclude_tables_csv", "like_filter")} AND NOT (auto_exclude_internal AND starts_with(c.table_name, 'srdf_')))
+            AND {_named("c.table_name", "(CASE WHEN scope_mode = 'tables' THEN include_tables_csv ELSE '' END)", "exclude_tables_csv", "like_filter")} AND NOT (auto_exclude_internal AND starts_with(c.table_name, 'cdc_')))
         SELECT * FROM picked UNION ALL SELECT plan_id, source, database_name, table_name, recreate_table, row_number() OVER (PARTITION BY plan_id ORDER BY database_name, table_name) FROM a WHERE table_limit <= 0 OR n <= table_limit""",
     "replay_items": f"""WITH {EXECUTIONS.cte}, {ITEMS.cte}, l AS (SELECT plan_id, max(id) AS execution_id FROM executions GROUP BY 1), f AS (SELECT plan_id, max(id) AS execution_id FROM executions WHERE status = 'failed' GROUP BY 1)
         SELECT 'last' AS mode, plan_id, execution_id, id, status FROM items JOIN l USING (execution_id) UNION ALL SELECT 'failed', plan_id, execution_id, id, status FROM items JOIN f USING (execution_id) WHERE status = 'failed'""",

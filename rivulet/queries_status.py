@@ -19,7 +19,7 @@ def archive_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = retention.candidates(outbox(spark, sf_dir), "outbound_finalized", "ts", before).select(F.lit("outbound").alias("mode"), "id")
     inb = retention.candidates(inbox(spark, sf_dir), "inbound_finalized", "ts", before).select(F.lit("inbound").alias("mode"), "id")
     bat = retention.candidates(batches(spark, sf_dir), "transport_batch_finalized", "built_at", before, inbox(spark, sf_dir)).select(F.lit("batch").alias("mode"), F.col("batch_id").alias("id"))
-    plain = retention.candidates(events(spark, sf_dir).where("event_id % 50 = 0"), "simple", "ts", before).select(F.lit("simple").alias("mode"), F.col("event_id").alias("id"))
+    plain = retention.candidates(events(spark, sf_dir), "simple", "ts", before).select(F.lit("simple").alias("mode"), F.col("event_id").alias("id"))
     return out.unionByName(inb).unionByName(bat).unionByName(plain)
 
 
@@ -183,7 +183,7 @@ _FIND = "SELECT plan_id, step_no, '{level}' AS level, {message} AS message FROM
 ORACLE_SQL = {
     "archive_candidates": f"""WITH {BATCHES}, {INBOX.removeprefix(OUTBOX + ", ")} SELECT 'outbound' AS mode, id FROM outbox WHERE ts < {BEFORE} AND status IN ('applied', 'dead') UNION ALL SELECT 'inbound', id FROM inbox WHERE ts < {BEFORE} AND status IN ('applied', 'dead')
         UNION ALL SELECT 'batch', batch_id FROM batches b WHERE built_at < {BEFORE} AND status IN ('acked', 'failed') AND NOT EXISTS (SELECT 1 FROM inbox i WHERE i.batch_id = b.batch_id AND i.status IN ('received', 'queued', 'applying'))
-        UNION ALL SELECT 'simple', event_id FROM events WHERE event_id % 50 = 0 AND ts < {BEFORE}""",
+        UNION ALL SELECT 'simple', event_id FROM events WHERE ts < {BEFORE}""",
     "archive_orders": "SELECT o_orderstatus, count(*) AS orders FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01 00:00:00' - INTERVAL 1825 DAYS GROUP BY 1",
     "archive_due": f"""WITH {SERVICES.cte}, {ARCHIVE_RUNS.cte}, l AS (SELECT service_id, max(id) AS id FROM archive_runs WHERE status IN ('success', 'partial') GROUP BY 1), a AS (SELECT s.id AS service_id, l.id AS run, CAST(coalesce(finished_at, started_at) AS TIMESTAMP) AS ended FROM services s LEFT JOIN l ON l.service_id = s.id LEFT JOIN archive_runs r ON r.id = l.id),
         e AS (SELECT *, date_sub('second', ended, TIMESTAMP '2024-01-20 00:00:00') AS elapsed FROM a), c AS (SELECT *, CASE WHEN run IS NULL THEN 'no_previous_archive_run' WHEN ended IS NULL THEN 'previous_archive_run_without_datetime' WHEN elapsed < 86400 THEN 'archive_interval_not_reached' ELSE 'archive_interval_reached' END AS reason FROM e)

@@ -15,9 +15,12 @@ _OWN: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a local one only if that is unset."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a local one only if that is unset
+    and all runs on this machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="rivulet-"))
         shared = _OWN[0]

@@ -6,7 +6,7 @@ position, database, event, section) is carried by blocks of lines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions.text import clauses, scalar, squeezed
@@ -23,9 +23,17 @@ def _got(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def lines(spark, path: str) -> DataFrame:
-    """(line_no, line) of the log text under a path; the number orders lines by file name and place in the file."""
-    rows = spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"))
-    return rows.select(F.col("n").alias("line_no"), "line")
+    """(line_no, line) of the log text under a path; the number orders lines by file name and place in the file.
+
+    A split of a file holds its lines in order, so a line's number is its split's place among all splits (by file name and
+    start) and its place inside the split; only the splits, a row each, are put into one order.
+    """
+    meta = F.col("_metadata")
+    rows = spark.read.text(path).select(F.col("value").alias("line"), meta["file_path"].alias("file"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("n"))
+    splits = rows.groupBy("file", "start").agg(F.min("n").alias("first"), F.count("*").alias("size"))
+    before = F.sum("size").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    placed = splits.select("file", "start", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return rows.join(placed, ["file", "start"]).select((F.col("before") + F.col("n") - F.col("first")).alias("line_no"), "line")
 
 
 def row_events(log: DataFrame, files: int = 1, columns: dict[int, str] | None = None, width: int = WIDTH) -> DataFrame:
@@ -60,30 +68,45 @@ def row_events(log: DataFrame, files: int = 1, columns: dict[int, str] | None =
     return out
 
 
-_NAME, _NOT, _IF = "`?([^`.\\s;(]+)`?", "(?:\\s+IF\\s+NOT\\s+EXISTS)?", "(?:\\s+IF\\s+EXISTS)?"
-_TABLE = "(?:`?([^`.\\s;(]+)`?[.])?`?([^`.\\s;(]+)`?"
-#: Statement, kind of object and action.
-_WHOLE = [
-    (f"^CREATE\\s+DATABASE{_NOT}\\s+{_NAME}", "database", "create"),
-    (f"^DROP\\s+DATABASE{_IF}\\s+{_NAME}", "database", "drop"),
-    (f"^CREATE\\s+TABLE{_NOT}\\s+{_TABLE}", "table", "create"),
-    (f"^DROP\\s+TABLE{_IF}\\s+{_TABLE}", "table", "drop"),
-    (f"^CREATE\\s+(?:UNIQUE\\s+)?INDEX\\s+{_NAME}\\s+ON\\s+{_TABLE}", "index", "create"),
-    (f"^DROP\\s+INDEX\\s+{_NAME}\\s+ON\\s+{_TABLE}", "index", "drop"),
-]
-_ALTER = f"(?is)^ALTER\\s+TABLE\\s+{_TABLE}\\s+(.*)$"
-_COLUMN_CLAUSES = [
-    ("^ADD\\s+(?:COLUMN\\s+)?`?([^`\\s,]+)`?", "column", "alter", 1),
-    ("^DROP\\s+(?:COLUMN\\s+)?`?([^`\\s,]+)`?", "column", "drop", 1),
-    ("^MODIFY\\s+(?:COLUMN\\s+)?`?([^`\\s,]+)`?", "column", "alter", 1),
-    ("^CHANGE\\s+(?:COLUMN\\s+)?`?([^`\\s,]+)`?\\s+`?([^`\\s,]+)`?", "column", "alter", 2),
-]
-_INDEX_CLAUSES = [
-    ("^ADD\\s+(?:UNIQUE\\s+)?(?:INDEX|KEY)\\s+`?([^`\\s,(]+)`?", "index", "create", 1),
-    ("^DROP\\s+(?:INDEX|KEY)\\s+`?([^`\\s,(]+)`?", "index", "drop", 1),
-    ("^ADD\\s+PRIMARY\\s+KEY\\b", "index", "create", 0),
-    ("^DROP\\s+PRIMARY\\s+KEY\\b", "index", "drop", 0),
-]
+#: Fixed values of the statements' grammar: verbs of whole statements and of clauses with the action they stand for, kinds of
+#: object, and words that may stand between a verb and its object.
+WHOLE_VERBS = {"CREATE": "create", "DROP": "drop"}
+CLAUSE_VERBS = {"ADD": "alter", "DROP": "drop", "MODIFY": "alter", "CHANGE": "alter"}
+KINDS = {"DATABASE": "database", "TABLE": "table", "INDEX": "index"}
+SKIPPED = ("UNIQUE", "IF", "NOT", "EXISTS")
+#: A token: a backticked name, a parenthesis, a dot, or a run of other characters.
+_TOKEN = "`[^`]*`|[().]|[^\\s`().,;]+"
+
+
+def _tokens(sql: Column) -> Column:
+    return F.regexp_extract_all(sql, F.lit(f"({_TOKEN})"), F.lit(1))
+
+
+def _bare(token: Column) -> Column:
+    """A name without its backticks."""
+    return F.regexp_replace(F.coalesce(token, F.lit("")), "`", "")
+
+
+def _word(tokens: Column, i: int) -> Column:
+    return F.upper(F.coalesce(F.try_element_at(tokens, F.lit(i)), F.lit("")))
+
+
+def _after(tokens: Column, n: Column | int) -> Column:
+    """The tokens after the first n."""
+    return F.slice(tokens, F.lit(n) + 1 if isinstance(n, int) else n + 1, F.size(tokens))
+
+
+def _rest(tokens: Column) -> Column:
+    """tokens without the words at the front that only qualify."""
+    from_ = F.filter(F.transform(tokens, lambda t, i: F.when(~F.upper(t).isin(*SKIPPED), i)), lambda i: i.isNotNull())
+    return _after(tokens, F.coalesce(F.try_element_at(from_, F.lit(1)), F.size(tokens)))
+
+
+def _named(tokens: Column) -> Column:
+    """struct(db, name) of the tokens name, or db . name."""
+    dotted = _word(tokens, 2) == "."
+    part = lambda i: _bare(F.try_element_at(tokens, F.lit(i)))
+    return F.struct(F.when(dotted, part(1)).otherwise("").alias("db"), F.when(dotted, part(3)).otherwise(part(1)).alias("name"))
 
 
 def _item(kind: str, action: str, name: Column, table: Column) -> Column:
@@ -96,30 +119,44 @@ def ddl_events(statements: DataFrame, parity: bool = True) -> DataFrame:
 
     parity: column clauses are tried first, so ADD INDEX x adds a column named INDEX; else index clauses are.
     """
-    sql = F.col("_sql")
-    rows = statements.withColumn("_sql", squeezed(F.coalesce("sql", F.lit(""))))
-    found = None
-    for pattern, kind, action in _WHOLE:
-        p = f"(?i){pattern}"
-        one = F.regexp_extract(sql, p, 1)
-        if kind == "database":
-            value = F.struct(one.alias("db"), F.array(_item(kind, action, one, F.lit(""))).alias("items"))
-        else:
-            at = 1 if kind == "table" else 2
-            table = F.regexp_extract(sql, p, at + 1)
-            value = F.struct(F.regexp_extract(sql, p, at).alias("db"), F.array(_item(kind, action, table if kind == "table" else one, table)).alias("items"))
-        found = F.when(sql.rlike(p), value) if found is None else found.when(sql.rlike(p), value)
-    table, parts = F.regexp_extract(sql, _ALTER, 2), clauses(F.regexp_extract(sql, _ALTER, 3))
+    rows = statements.withColumn("_sql", squeezed(F.coalesce("sql", F.lit("")))).withColumn("_t", _tokens(F.col("_sql")))
+    t = F.col("_t")
+    verb = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in WHOLE_VERBS.items() for x in kv)), _word(t, 1)), F.lit(""))
+    object_ = _rest(_after(t, 1))
+    kind = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv)), _word(object_, 1)), F.lit(""))
+    own = _named(_rest(_after(object_, 1)))
+    plain = F.struct(F.lit("").alias("db"), F.col("_own.name").alias("name"))
+    on = F.array_position(F.transform(t, lambda x: F.upper(x)), "ON").cast("int")
+    rows = rows.withColumn("_verb", verb).withColumn("_kind", kind).withColumn("_own", own).withColumn("_on", F.when(on > 0, _named(_after(t, on))))
+    whole = F.struct(F.col("_kind").alias("object_type"), F.col("_verb").alias("ddl_action"), F.col("_own.name").alias("object_name"), F.when(F.col("_kind") == "database", "").when(F.col("_kind") == "index", F.col("_on.name")).otherwise(F.col("_own.name")).alias("table_name"))
+    database = F.when(F.col("_kind") == "database", plain["name"]).when(F.col("_kind") == "index", F.col("_on.db")).otherwise(F.col("_own.db"))
+    is_whole = (F.col("_verb") != "") & (F.col("_own.name") != "") & ((F.col("_kind").isin("database", "table")) | ((F.col("_kind") == "index") & (F.col("_on.name") != "")))
+    # ALTER TABLE name clauses: what follows the name's last token
+    alters = (_word(t, 1) == "ALTER") & (_word(t, 2) == "TABLE")
+    target = _named(_after(t, 2))
+    name_end = F.when(_word(t, 4) == ".", 5).otherwise(3)
+    head = F.array_join(F.transform(F.slice(t, 1, name_end), lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))), "\\s*")
+    body = F.regexp_replace("_sql", F.concat(F.lit("^"), head, F.lit("\\s*")), F.lit(""))
+    table = F.col("_target.name")
 
     def clause(c: Column) -> Column:
-        out = None
-        for pattern, kind, action, group in (_COLUMN_CLAUSES + _INDEX_CLAUSES if parity else _INDEX_CLAUSES + _COLUMN_CLAUSES):
-            p = f"(?i){pattern}"
-            item = _item(kind, action, F.regexp_extract(c, p, group) if group else F.lit("PRIMARY"), table)
-            out = F.when(c.rlike(p), item) if out is None else out.when(c.rlike(p), item)
-        return out.otherwise(_item("table", "alter", table, table))
-
-    found = found.when(sql.rlike(_ALTER), F.struct(F.regexp_extract(sql, _ALTER, 1).alias("db"), F.transform(parts, clause).alias("items")))
+        """A clause by its verb and what the verb is said of; the kinds are tried in the order that parity asks for."""
+        w = _tokens(c)
+        verb = F.try_element_at(F.create_map(*(F.lit(x) for kv in CLAUSE_VERBS.items() for x in kv)), _word(w, 1))
+        said = F.when(_word(w, 2) == "COLUMN", _after(w, 2)).otherwise(_after(w, 1))
+        new_name = F.when(_word(w, 1) == "CHANGE", F.try_element_at(said, F.lit(2))).otherwise(F.try_element_at(said, F.lit(1)))
+        column = F.when(verb.isNotNull() & (_bare(new_name) != ""), F.struct(F.lit("column").alias("object_type"), verb.alias("ddl_action"), _bare(new_name).alias("object_name"), table.alias("table_name")))
+        of = _rest(_after(w, 1))
+        action = F.when(_word(w, 1) == "ADD", "create").when(_word(w, 1) == "DROP", "drop")
+        primary = (_word(of, 1) == "PRIMARY") & (_word(of, 2) == "KEY")
+        keyed = _word(of, 1).isin("INDEX", "KEY") & (_bare(F.try_element_at(of, F.lit(2))) != "") & (F.try_element_at(of, F.lit(2)) != "(")
+        index_name = F.when(primary, "PRIMARY").otherwise(_bare(F.try_element_at(of, F.lit(2))))
+        index = F.when(action.isNotNull() & (primary | keyed), F.struct(F.lit("index").alias("object_type"), action.alias("ddl_action"), index_name.alias("object_name"), table.alias("table_name")))
+        return F.coalesce(*((column, index) if parity else (index, column)), _item("table", "alter", table, table))
+
+    rows = rows.withColumn("_target", F.when(alters, target)).withColumn("_body", F.when(alters, body))
+    items = F.transform(clauses(F.col("_body")), clause)
+    found = F.when(is_whole, F.struct(database.alias("db"), F.array(whole).alias("items"))).when(alters & (table != "") & (F.col("_body") != ""), F.struct(F.col("_target.db").alias("db"), items.alias("items")))
     rows = rows.withColumn("_f", found).where("_f is not null")
     database = F.coalesce(F.nullif(F.col("_f.db"), F.lit("")), F.nullif(F.trim("current_database"), F.lit("")))
     keep = [c for c in statements.columns if c not in ("sql", "current_database")]

@@ -1,12 +1,15 @@
 """Small literal cases of the change-data semantics."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from rivulet.functions import codec, text
-from rivulet.operators import dedup, retention, transport
+from rivulet.operators import dedup, retention, snapshot, transport
 from rivulet.operators.apply import current_state, merged, partial_state
 from rivulet.session import scratch
+from rivulet.sources import logtext
 
 
 @pytest.mark.parametrize(
@@ -55,9 +58,13 @@ def test_apply_of_compacted_histories(spark):
 def test_archive_move(spark):
     rows = spark.range(100)
     out = scratch(spark, "archive")
-    left = retention.moved(rows, rows.where("id < 30"), out)
+    left = retention.moved(rows, rows.where("id < 30"), out, "one")
     assert left.count() == 70 and spark.read.parquet(out).count() == 30
-    assert retention.moved(rows, rows.where("id < 30"), out, dry_run=True).count() == 100
+    left = retention.moved(left, left.where("id < 50"), out, "two")
+    assert left.count() == 50 and sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(50))
+    rest = rows.where("id >= 30")
+    assert retention.moved(rest, rest.where("id < 50"), out, "two").count() == 50 and spark.read.parquet(out).count() == 50  # the run again
+    assert retention.moved(rows, rows.where("id < 30"), out, "three", dry_run=True).count() == 100
 
 
 def test_codecs_refuse_what_they_do_not_know(spark):
@@ -69,3 +76,47 @@ def test_codecs_refuse_what_they_do_not_know(spark):
 def test_clauses(spark):
     got = spark.range(1).select(text.clauses(F.lit("ADD c DECIMAL(10,2) DEFAULT (f(a,b),1), DROP d,, ")).alias("c")).first().c
     assert got == ["ADD c DECIMAL(10,2) DEFAULT (f(a,b),1)", "DROP d"]
+
+
+def test_copies(spark):
+    """Snapshot copies: append, truncate with the table's columns, recreate with the source's, dry run."""
+    out = scratch(spark, "copy")
+    rows = spark.range(10).selectExpr("id", "id * 2 as v")
+    counts = lambda df: tuple(df.first())
+    assert counts(snapshot.copied(rows, out, dry_run=True)) == ("dry_run", 10, 0)
+    assert counts(snapshot.copied(rows, out)) == ("copied", 10, 10)
+    assert counts(snapshot.copied(rows, out, like="id < 3")) == ("copied", 3, 13)
+    other = spark.range(4).selectExpr("id", "'x' as w")
+    assert counts(snapshot.copied(other, out, "truncate")) == ("copied", 4, 4) and spark.read.parquet(out).columns == ["id", "v"]
+    assert counts(snapshot.copied(other, out, "recreate")) == ("copied", 4, 4) and spark.read.parquet(out).columns == ["id", "w"]
+    with pytest.raises(ValueError):
+        snapshot.copied(rows, out, "merge")
+
+
+def test_schema_after_changes(spark):
+    tables = spark.createDataFrame([("t", "a"), ("t", "b"), ("u", "c")], "table_name string, column_name string")
+    rows = [(1, 0, "t", "column", "alter", "d"), (2, 0, "t", "column", "drop", "a"), (3, 0, "u", "table", "drop", "u"), (4, 0, "v", "table", "create", "v"), (5, 0, "v", "column", "alter", "x"), (6, 0, "t", "index", "create", "ix"), (7, 0, "t", "column", "alter", "a"), (7, 1, "t", "column", "drop", "b")]
+    changes = spark.createDataFrame(rows, "id long, clause_no int, table_name string, object_type string, ddl_action string, object_name string")
+    got = {tuple(r) for r in snapshot.schema_after(tables, changes).collect()}
+    assert got == {("t", "a"), ("t", "d"), ("v", "x")}
+    assert {(r.id, r.undo) for r in snapshot.rollback_set(changes).collect()} >= {(4, "drop"), (3, "impossible"), (1, "review")}
+
+
+def test_log_lines_keep_their_order(spark):
+    """Lines of several files of different sizes: numbered by file name and place in the file."""
+    out = scratch(spark, "logs")
+    want = []
+    folder = out.removeprefix("file://")
+    os.makedirs(folder)
+    for name, n in (("bin.000001.txt", 50), ("bin.000002.txt", 40_000), ("bin.000003.txt", 3)):
+        own = [f"{name} line {i}" for i in range(n)]
+        want += own
+        with open(f"{folder}/{name}", "w") as f:
+            f.write("\n".join(own) + "\n")
+    with_conf = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        got = [r.line for r in logtext.lines(spark, out).orderBy("line_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", with_conf)
+    assert got == want
