@@ -72,8 +72,8 @@ def journal(audits: DataFrame, actions: DataFrame, each: int = 10, most: int = 2
     at = F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")
     node = F.coalesce("node", F.lit("-"))
     latest = lambda df: df.orderBy(F.desc("created_at"), F.desc("id")).limit(each)
-    a = latest(audits).select(F.lit("audit").alias("kind"), "id", "created_at", F.concat(F.lit("["), at, F.lit("] AUDIT "), F.upper("level"), F.lit(" | "), F.col("event_type"), F.lit(" | node="), node, F.lit(" | "), F.col("message")).alias("line"))
-    b = latest(actions).select(F.lit("action").alias("kind"), "id", "created_at", F.concat(F.lit("["), at, F.lit("] ACTION "), F.upper("status"), F.lit(" | "), F.col("action_name"), F.lit(" | node="), node, F.lit(" | duration="), F.col("duration_ms").cast("string"), F.lit("ms")).alias("line"))
+    a = latest(audits).select(F.lit("audit").alias("kind"), "id", "created_at", F.concat(at, F.lit(" "), F.lower("level"), F.lit(" "), F.col("event_type"), F.lit(" on "), node, F.lit(": "), F.col("message")).alias("line"))
+    b = latest(actions).select(F.lit("action").alias("kind"), "id", "created_at", F.concat(at, F.lit(" "), F.lower("status"), F.lit(" "), F.col("action_name"), F.lit(" on "), node, F.lit(" in "), F.col("duration_ms").cast("string"), F.lit(" ms")).alias("line"))
     return a.unionByName(b).orderBy(F.desc("created_at"), "kind", F.desc("id")).limit(most)
 
 
@@ -86,13 +86,13 @@ def failover_findings(steps: DataFrame, nodes: DataFrame) -> DataFrame:
     fault = lambda cond, level, text: F.when(cond, F.struct(F.lit(level).alias("level"), text.alias("message")))
     quoted = F.concat(F.lit("node '"), F.col("node"), F.lit("' "))
     found = F.array(
-        fault(~real, "error", F.lit("plan_data.steps is missing or empty")),
-        fault(real & (F.col("action") == ""), "error", F.lit("missing action")),
-        fault(real & (F.col("node") == ""), "error", F.lit("missing node")),
-        fault(real & (F.col("node") != "") & F.col("_known").isNull(), "error", F.concat(quoted, F.lit("not found"))),
-        fault(real & (F.col("_enabled") == F.lit(False)), "warning", F.concat(quoted, F.lit("is disabled"))),
-        fault(real & (F.col("params_ok") == F.lit(False)), "error", F.lit("params must be a dict")),
-        fault(F.startswith("action", F.lit("mariadb.")) & ~F.col("action").isin(*PLAN_ACTIONS), "error", F.concat(F.lit("unknown mariadb action "), F.col("action"))),
+        fault(~real, "error", F.lit("the plan names no steps")),
+        fault(real & (F.col("action") == ""), "error", F.lit("no action is given")),
+        fault(real & (F.col("node") == ""), "error", F.lit("no node is given")),
+        fault(real & (F.col("node") != "") & F.col("_known").isNull(), "error", F.concat(quoted, F.lit("is unknown"))),
+        fault(real & (F.col("_enabled") == F.lit(False)), "warning", F.concat(quoted, F.lit("is switched off"))),
+        fault(real & (F.col("params_ok") == F.lit(False)), "error", F.lit("parameters are no mapping")),
+        fault(F.startswith("action", F.lit("mariadb.")) & ~F.col("action").isin(*PLAN_ACTIONS), "error", F.concat(F.lit("no such database action: "), F.col("action"))),
     )
     return rows.select("plan_id", "step_no", F.explode(F.array_compact(found)).alias("f")).select("plan_id", "step_no", "f.level", "f.message")
 

@@ -200,22 +200,22 @@ ORACLE_SQL = {
     "replication_status_counts": f"WITH {STATUS_LOG} SELECT service_type, {_STATE} AS status, count(*) AS reports FROM status_log GROUP BY 1, 2",
     "node_health": f"""WITH {NODE_STATUS.cte}, p AS (SELECT node_id, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM node_status), s AS (SELECT node_id, unnest(map_values(CAST(json_extract(j, '$.services') AS MAP(VARCHAR, MAP(VARCHAR, BOOLEAN))))) AS v FROM p WHERE json_extract(j, '$.services') IS NOT NULL)
         SELECT node_id, CASE WHEN j IS NULL OR EXISTS (SELECT 1 FROM s WHERE s.node_id = p.node_id AND coalesce(v['installed'], true) AND v['running'] = false) THEN 'degraded' ELSE 'online' END AS status FROM p""",
-    "journal": """WITH a AS (SELECT 'audit' AS kind, event_id AS id, date_trunc('hour', ts) AS created_at, '] AUDIT ' || CASE WHEN event_id % 2 = 0 THEN 'INFO' ELSE 'ERROR' END || ' | ' || event_type || ' | node=' || CASE WHEN event_id % 5 <> 0 THEN 'n' || (event_id % 4) ELSE '-' END || ' | user ' || user_id AS t FROM events WHERE event_id % 3 = 0 ORDER BY 3 DESC, 2 DESC LIMIT 10),
-        b AS (SELECT 'action' AS kind, event_id AS id, date_trunc('hour', ts) AS created_at, '] ACTION SUCCESS | node.ping | node=- | duration=' || (event_id % 900) || 'ms' AS t FROM events WHERE event_id % 3 = 1 ORDER BY 3 DESC, 2 DESC LIMIT 10)
-        SELECT kind, id, created_at, '[' || strftime(created_at, '%Y-%m-%d %H:%M:%S') || t AS line FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""",
+    "journal": """WITH a AS (SELECT 'audit' AS kind, event_id AS id, date_trunc('hour', ts) AS created_at, ' ' || CASE WHEN event_id % 2 = 0 THEN 'info' ELSE 'error' END || ' ' || event_type || ' on ' || CASE WHEN event_id % 5 <> 0 THEN 'n' || (event_id % 4) ELSE '-' END || ': user ' || user_id AS t FROM events WHERE event_id % 3 = 0 ORDER BY 3 DESC, 2 DESC LIMIT 10),
+        b AS (SELECT 'action' AS kind, event_id AS id, date_trunc('hour', ts) AS created_at, ' success node.ping on - in ' || (event_id % 900) || ' ms' AS t FROM events WHERE event_id % 3 = 1 ORDER BY 3 DESC, 2 DESC LIMIT 10)
+        SELECT kind, id, created_at, strftime(created_at, '%Y-%m-%d %H:%M:%S') || t AS line FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""",
     "console_summary": f"""WITH {BATCHES} SELECT service_id, count(*) FILTER (WHERE status = 'failed') AS failed_batches, count(*) FILTER (WHERE status = 'ready') AS ready_batches, count(*) FILTER (WHERE status = 'sent') AS sent_batches, count(*) FILTER (WHERE status = 'acked') AS acked_batches,
         count(*) FILTER (WHERE status IN ('failed', 'ready', 'sent', 'acked')) AS total_batches FROM batches GROUP BY ROLLUP (service_id)""",
     "failover_validate": f"""WITH {STEPS.cte}, {NODES.cte}, s AS (SELECT t.plan_id, t.step_no, trim(coalesce(t.action, '')) AS action, trim(coalesce(t.node, '')) AS node, t.params_ok, n.id AS known, n.is_enabled FROM steps t LEFT JOIN nodes n ON n.name = trim(t.node)) """
     + " UNION ALL ".join(
         _FIND.format(level=a, message=b, cond=c)
         for a, b, c in (
-            ("error", "'plan_data.steps is missing or empty'", "step_no = 0"),
-            ("error", "'missing action'", "step_no > 0 AND action = ''"),
-            ("error", "'missing node'", "step_no > 0 AND node = ''"),
-            ("error", "'node ''' || node || ''' not found'", "step_no > 0 AND node <> '' AND known IS NULL"),
-            ("warning", "'node ''' || node || ''' is disabled'", "step_no > 0 AND NOT is_enabled"),
-            ("error", "'params must be a dict'", "step_no > 0 AND NOT params_ok"),
-            ("error", "'unknown mariadb action ' || action", "starts_with(action, 'mariadb.') AND action NOT IN ('mariadb.stop_replica', 'mariadb.start_replica', 'mariadb.promote', 'mariadb.set_read_only')"),
+            ("error", "'the plan names no steps'", "step_no = 0"),
+            ("error", "'no action is given'", "step_no > 0 AND action = ''"),
+            ("error", "'no node is given'", "step_no > 0 AND node = ''"),
+            ("error", "'node ''' || node || ''' is unknown'", "step_no > 0 AND node <> '' AND known IS NULL"),
+            ("warning", "'node ''' || node || ''' is switched off'", "step_no > 0 AND NOT is_enabled"),
+            ("error", "'parameters are no mapping'", "step_no > 0 AND NOT params_ok"),
+            ("error", "'no such database action: ' || action", "starts_with(action, 'mariadb.') AND action NOT IN ('mariadb.stop_replica', 'mariadb.start_replica', 'mariadb.promote', 'mariadb.set_read_only')"),
         )
     ),
     "schema_diff": f"WITH {_DIFF} SELECT * FROM diff",
