@@ -3,7 +3,9 @@
 A bucket of one signature is never expanded into pairs. First each member is compared with the bucket's least id (a
 star), which settles groups of near copies. What is still apart then is compared within each signature that holds sets
 of different components, once for signatures with the same members: in runs of at most 2 * BLOCK sets, a hot signature
-in blocks against blocks. Only sets that share a signature meet, and every link between different components is found.
+in blocks against blocks. That is done by sketches (below) and names the sets that can link at all with one of another
+component; these few are compared in full, once, among those that signatures hold together. Every link between
+different components is found.
 
 Before sets move, their sketches do: a set's size and the parity of its number of elements in each of so many buckets.
 Buckets of unlike parity hold a difference at least, so a sketch never rules out a pair that links.
@@ -181,15 +183,15 @@ def _may(run: list[tuple], num: int, den: int) -> Iterator[tuple[int, np.ndarray
 
 def _partners(num: int, den: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a run that can link, by their sketches, with one of another component."""
+        """Pairs (least, each) of a run's rows that can link, by their sketches, with one of another component."""
         for rows in _runs(batches):
             met = np.zeros(len(rows), bool)
             for i, others in _may(rows, num, den):
                 met[i] = True
                 met[others] = True
             if met.any():
-                own = [x for x, m in zip(rows, met.tolist(), strict=True) if m]
-                yield pa.record_batch([pa.array([x[i] for x in own], t) for i, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int64()), (3, pa.int64()))], ["task", "side", "rid", "comp"])
+                own = [x[2] for x, m in zip(rows, met.tolist(), strict=True) if m]
+                yield pa.record_batch([pa.array([min(own)] * len(own), pa.int64()), pa.array(own, pa.int64())], ["a", "b"])
 
     return run
 
@@ -255,12 +257,14 @@ def components(sigs: DataFrame, sketches_of: Callable[[DataFrame], DataFrame], s
         return comp
     seats = seated(multi.select("sig", "rid"), F.broadcast(open_) if few <= BROADCAST_IDS else open_)
     seats = seats.join(comp.select(F.col("id").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-    may = staged(_by_task(seats.join(sketches, "rid"), _partners(num, den), "task long, side int, rid long, comp long"), name)
+    may = staged(_by_task(seats.join(sketches, "rid"), _partners(num, den), "a long, b long").distinct(), name)
     if may.isEmpty():
         return comp
-    once = staged(_once(may, "task").select("task"), name)
-    may = pick(may, once, "task")
-    more = staged(_by_task(may.join(sets_of(staged(may.select("rid").distinct(), name)), "rid"), _exhaustive(num, den), "a long, b long"), name)
+    # few rows are left; those that runs hold together are compared once, not in each run
+    rows = least_labels(may, name).select(F.col("comp").alias("sig"), F.col("id").alias("rid"))
+    again = seated(rows, rows.groupBy("sig").agg(F.count("*").alias("n")))
+    again = again.join(comp.select(F.col("id").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    more = staged(_by_task(again.join(sets_of(staged(rows.select("rid"), name)), "rid"), _exhaustive(num, den), "a long, b long"), name)
     if more.isEmpty():
         return comp
     return least_labels(links.unionByName(more), name)
