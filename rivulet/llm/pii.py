@@ -79,12 +79,13 @@ def _valid(kind: Column, surface: Column) -> Column:
 def _contexts() -> Column:
     """Array of (word, pattern): the number of each run of white space after which a word starts that may hold the start
     of an instance (it has a digit, @ or +), and the two words before it. White space at the start is a run as well."""
-    text = F.lower("text")
-    words = F.split(text, f"[{_SPACE}]+", -1)  # an empty word first if white space comes first
-    none = F.array(F.lit(None).cast("string"))
-    befores = F.concat(none, none, F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.when(a != "", F.concat(a, F.lit(" "), b))))
-    rows = F.filter(F.transform(F.arrays_zip(words.alias("w"), befores.alias("p")), lambda x, i: F.struct(i.alias("word"), x["w"].alias("w"), x["p"].alias("pattern"))), lambda x: x["w"].rlike("[0-9@+]") & x["pattern"].isNotNull())
-    return F.transform(rows, lambda x: F.struct(x["word"], x["pattern"]))
+
+    def of(words: Column) -> Column:
+        at = F.filter(F.transform(words, lambda w, i: F.when(w.rlike("[0-9@+]"), i)), lambda i: (i >= 2) & ((i > 2) | (F.get(words, 0) != "")))
+        return F.transform(at, lambda i: F.struct(i.alias("word"), F.concat(F.get(words, i - 2), F.lit(" "), F.get(words, i - 1)).alias("pattern")))
+
+    words = F.split(F.lower("text"), f"[{_SPACE}]+", -1)  # an empty word first if white space comes first
+    return F.get(F.transform(F.array(words), of), 0)  # split once: the words are a variable of the outer function
 
 
 def _instances(hits: DataFrame) -> DataFrame:
