@@ -4,8 +4,9 @@ A bucket of one signature is never expanded into pairs. First each member is com
 star), which settles groups of near copies. What is still apart then is compared within each signature that holds sets
 of different components, once for signatures with the same members: in runs of at most 2 * BLOCK sets, a hot signature
 in blocks against blocks. That is done by sketches (below) and names the sets that can link at all with one of another
-component; these few are compared in full, once, among those that signatures hold together. Every link between
-different components is found.
+component; these few are compared in full, once, among those that signatures hold together. Signatures with the same
+least id are dealt to one place (to several if they hold many sets), which names sets only where that joins what it has
+not joined before. Every link between different components is found.
 
 Before sets move, their sketches do: a set's size and the parity of its number of elements in each of so many buckets.
 Buckets of unlike parity hold a difference at least, so a sketch never rules out a pair that links.
@@ -24,6 +25,8 @@ from rivulet.llm.common import least_labels, pieces, shuffle_parts, staged
 
 #: Sets of a signature that are one block, and partners compared with one copy of a set.
 BLOCK, PARTNERS = 512, 256
+#: Members of the signatures with one least id that one place gets, and ids that it remembers to be joined.
+DEALT, JOINED = 5_000, 200_000
 #: Up to so many ids (8 bytes each) are broadcast to pick rows; above that the rows are shuffled.
 BROADCAST_IDS = 1_000_000
 STARS = "sig long, lead long, rid long"
@@ -141,13 +144,15 @@ def verified(pairs: DataFrame, sets: DataFrame, links: Callable) -> DataFrame:
 
 
 def seated(rows: DataFrame, count: DataFrame) -> DataFrame:
-    """Rows (task, side, sig, rid) of rows (sig, rid) whose sig is in count (sig, n): one for each run that they sit in. The
-    members of a signature are one run, or are dealt into blocks, of which every two are a run."""
+    """Rows (deal, task, side, sig, rid) of rows (sig, rid) whose sig is in count (sig, n, deal): one for each run that they
+    sit in. The members of a signature are one run, or are dealt into blocks, of which every two are a run. Runs of equal
+    deal go to one place."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
     dealt = rows.join(count.withColumn("blocks", blocks), "sig").withColumn("own", F.pmod(F.xxhash64("rid"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     task = F.when(F.col("blocks") == 1, F.col("sig")).otherwise(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")))
-    return dealt.select(task.alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side"), "sig", "rid")
+    deal = F.when(F.col("blocks") == 1, F.col("deal")).otherwise(task)
+    return dealt.select(deal.alias("deal"), task.alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side"), "sig", "rid")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -181,17 +186,38 @@ def _may(run: list[tuple], num: int, den: int) -> Iterator[tuple[int, np.ndarray
             yield i, others
 
 
+def _top(root: dict[int, int], c: int) -> int:
+    """The least id of c's tree in a forest (an id's parent by id)."""
+    while root.setdefault(c, c) != c:
+        root[c] = root[root[c]]
+        c = root[c]
+    return c
+
+
+def _joins(root: dict[int, int], a: int, b: int) -> bool:
+    """Join the trees of a and b; whether they were apart."""
+    a, b = _top(root, a), _top(root, b)
+    root[max(a, b)] = min(a, b)
+    return a != b
+
+
 def _partners(num: int, den: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs (least, each) of a run's rows that can link, by their sketches, with one of another component."""
+        """Pairs (least, each) of a run's rows that can link, by their sketches, with one of another component; without
+        pairs that those before hold together."""
+        root: dict[int, int] = {}
         for rows in _runs(batches):
+            if len(root) > JOINED:
+                root.clear()
             met = np.zeros(len(rows), bool)
             for i, others in _may(rows, num, den):
                 met[i] = True
                 met[others] = True
             if met.any():
                 own = [x[2] for x, m in zip(rows, met.tolist(), strict=True) if m]
-                yield pa.record_batch([pa.array([min(own)] * len(own), pa.int64()), pa.array(own, pa.int64())], ["a", "b"])
+                least = min(own)
+                new = [x for x in own if _joins(root, least, x)]
+                yield pa.record_batch([pa.array([least] * len(new), pa.int64()), pa.array(new, pa.int64())], ["a", "b"])
 
     return run
 
@@ -201,22 +227,14 @@ def _exhaustive(num: int, den: int) -> Callable:
         """Links of a run between what is still apart; a link joins components for the rest of the run."""
         for rows in _runs(batches):
             sets = [np.frombuffer(x[4], np.uint64) for x in rows]
-            root = {x[3]: x[3] for x in rows}
-
-            def find(c: int, root: dict[int, int] = root) -> int:
-                while root[c] != c:
-                    root[c] = root[root[c]]
-                    c = root[c]
-                return c
-
+            root: dict[int, int] = {}
             out = []
             for i, others in _may([(*x[:4], sketch(e)) for x, e in zip(rows, sets, strict=True)], num, den):
                 for j in others.tolist():
-                    a, b = find(rows[i][3]), find(rows[j][3])
-                    if a != b:
+                    if _top(root, rows[i][3]) != _top(root, rows[j][3]):
                         n = common(sets[i], sets[j])
                         if den * n >= num * (len(sets[i]) + len(sets[j]) - n):
-                            root[max(a, b)] = min(a, b)
+                            _joins(root, rows[i][3], rows[j][3])
                             out.append((rows[i][2], rows[j][2]))
             if out:
                 yield pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
@@ -226,15 +244,19 @@ def _exhaustive(num: int, den: int) -> Callable:
 
 def _by_task(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
     n = shuffle_parts(rows.sparkSession)
-    return rows.select("task", "side", "rid", "comp", "elems").repartition(n, "task").sortWithinPartitions("task", "side", "rid").mapInArrow(run, schema)
+    dealt = rows.select("task", "side", "rid", "comp", "elems", "deal").repartition(n, "deal")
+    return dealt.sortWithinPartitions("task", "side", "rid").mapInArrow(run, schema)
 
 
 def _once(rows: DataFrame, key: str) -> DataFrame:
-    """(key, n) of the groups of rows (key, rid, comp) that hold different components; of groups with the same n members
-    one."""
+    """(key, n, deal) of the groups of rows (key, rid, comp) that hold different components; of groups with the same n
+    members one. Groups with the same least rid have the same deal, or one of as many as their members need."""
     mark = lambda seed: F.sum(F.shiftright(F.xxhash64(F.lit(seed), "rid"), 20))  # noqa: E731  two sums of 44 bits a member
     each = rows.groupBy(key).agg(F.count("*").alias("n"), F.min("rid").alias("first"), mark(1).alias("one"), mark(2).alias("two"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    return each.where("low <> high").groupBy("n", "first", "one", "two").agg(F.min(key).alias(key)).select(key, "n")
+    once = each.where("low <> high").groupBy("n", "first", "one", "two").agg(F.min(key).alias(key))
+    parts = once.groupBy("first").agg(F.ceil(F.sum("n") / DEALT).alias("parts"))
+    deal = F.xxhash64("first", F.pmod(F.xxhash64(key), "parts")).alias("deal")
+    return once.join(parts, "first").select(key, "n", deal)
 
 
 def components(sigs: DataFrame, sketches_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, name: str) -> DataFrame:
@@ -262,7 +284,7 @@ def components(sigs: DataFrame, sketches_of: Callable[[DataFrame], DataFrame], s
         return comp
     # few rows are left; those that runs hold together are compared once, not in each run
     rows = least_labels(may, name).select(F.col("comp").alias("sig"), F.col("id").alias("rid"))
-    again = seated(rows, rows.groupBy("sig").agg(F.count("*").alias("n")))
+    again = seated(rows, rows.groupBy("sig").agg(F.count("*").alias("n"), F.first("sig").alias("deal")))
     again = again.join(comp.select(F.col("id").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     more = staged(_by_task(again.join(sets_of(staged(rows.select("rid"), name)), "rid"), _exhaustive(num, den), "a long, b long"), name)
     if more.isEmpty():

@@ -7,6 +7,7 @@ import textwrap
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,28 @@ def scanned(text):
     return [(a, b, name) for a, b, name, *_ in licences.Scanner(licences.TEMPLATES).found(text)]
 
 
+@pytest.mark.parametrize("joined", [2, 200_000])
+def test_runs_name_what_they_join_once(monkeypatch, joined):
+    monkeypatch.setattr(setjoin, "JOINED", joined)
+    rng = random.Random(5)
+    groups = [rng.sample(range(10**6), 200) for _ in range(6)]
+    sets = {10 * g + i: np.array(sorted(rng.sample(x, 195)), np.uint64) for g, x in enumerate(groups) for i in range(8)}
+    runs = [sorted(rng.sample(sorted(sets), 20)) for _ in range(30)]
+    rows = [(t, 0, r, r, setjoin.sketch(sets[r])) for t, run in enumerate(runs) for r in run]
+    cols = [pa.array(c, pa.binary() if i == 4 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))]
+    batch = pa.record_batch(cols, ["task", "side", "rid", "comp", "elems"])
+    out = [p for b in setjoin._partners(80, 100)(iter([batch])) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    may = setjoin._may_link(80, 100)
+    plain = [(a, b) for run in runs for a in run for b in run if a < b and may(setjoin.sketch(sets[a]), setjoin.sketch(sets[b]))]
+    apart: dict[int, int] = {}
+    many = sum(setjoin._joins(apart, a, b) for a, b in plain)
+    got: dict[int, int] = {}
+    assert sum(setjoin._joins(got, a, b) for a, b in out) >= many
+    assert all(setjoin._top(got, a) == setjoin._top(got, b) for a, b in plain)
+    if joined > len(sets):
+        assert len(out) == len({b for _, b in out} | {a for a, _ in out}) - len({setjoin._top(got, x) for p in out for x in p})
+
+
 def test_every_template_verbatim_and_wrapped():
     for name, template in licences.TEMPLATES:
         lines = textwrap.wrap(template, 70 if len(template) > 70 else 30)
