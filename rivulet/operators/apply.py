@@ -29,10 +29,3 @@ def merged(target: DataFrame, changes: DataFrame, key: str, order: str, op: str)
     columns = [c for c in target.columns if c != key]
     state = current_state(changes, key, order, op, columns).select(key, *columns)
     return target.join(changes.select(key).distinct(), key, "left_anti").unionByName(state)
-
-
-def split_by_expectation(target: DataFrame, changes: DataFrame, key: str, op: str) -> DataFrame:
-    """Strict apply: marks inserts whose key exists (error) and updates or deletes whose key does not (no effect)."""
-    known = changes.join(target.select(key, F.lit(True).alias("known")).distinct(), key, "left")
-    verdict = F.when((F.col(op) == "insert") & F.col("known"), "duplicate_key").when((F.col(op) != "insert") & F.col("known").isNull(), "no_row").otherwise("applied")
-    return known.withColumn("apply_result", verdict).drop("known")

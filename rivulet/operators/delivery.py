@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.operators.apply import current_state, split_by_expectation
+from rivulet.operators.apply import current_state
+from rivulet.operators.ordered import carried
 from rivulet.operators.transport import MAX_RETRIES, batch_rollup, checksum_ok, receive
 
 #: What a source is told of a batch, by what became of its changes.
@@ -37,23 +38,29 @@ def unpacked(batches: DataFrame, schema, by: str = "batch_id") -> DataFrame:
     return rows.select("_batch", F.from_json("line", schema).alias("e")).select(F.col("_batch").alias(by), *(f"e.{f.name}" for f in schema if f.name != by))
 
 
-def applied_batch(target: DataFrame, inbox: DataFrame, key: str, order: str = "id", op: str = "op", repair: bool = False) -> DataFrame:
-    """inbox with status and last_error after a strict apply against target (key, ...), change by change of a key in order.
+def applied_batch(target: DataFrame, inbox: DataFrame, key: str, order: str = "id", op: str = "op", repair: bool = False, missing_fails: bool = False) -> DataFrame:
+    """inbox with status and last_error after an apply against target (key, ...), change by change of a key in order.
 
-    An insert of a key that is there fails as duplicate_key, an update or delete of one that is not as no_row. repair: such
+    Whether a key is there tells the last insert or delete of it before, else the target; updates leave that as it is,
+    whether they hit a row or not. An insert of a key that is there fails as duplicate_key. An update or delete of one that
+    is not changes nothing: it counts as applied (nothing_there), or with missing_fails fails as no_row. repair: such
     inserts become updates and such updates become inserts (both apply); a delete of nothing is done already.
-    """
-    from pyspark.sql import Window
 
-    before = F.lag(op).over(Window.partitionBy(key).orderBy(order))
-    known = inbox.join(target.select(key, F.lit(True).alias("_known")).distinct(), key, "left").withColumn("_before", before)
-    there = F.when(F.col("_before").isNull(), F.coalesce("_known", F.lit(False))).otherwise(F.col("_before") != "delete")
-    error = F.when((F.col(op) == "insert") & there, "duplicate_key").when((F.col(op) != "insert") & ~there, "no_row")
+    A key's history is carried through blocks, so a key that holds much of the inbox is not one task's.
+    """
+    known = inbox.join(target.select(key, F.lit(True).alias("_known")).distinct(), key, "left")
+    makes = F.when(F.col(op) == "insert", F.lit(True)).when(F.col(op) == "delete", F.lit(False))
+    if repair:  # an update of what is not there inserts it
+        makes = F.when(F.col(op) != "delete", F.lit(True)).otherwise(F.lit(False))
+    known = carried(known, makes, order, "_before", (key,), inclusive=False)
+    there = F.coalesce("_before", "_known", F.lit(False))
+    twice, none = (F.col(op) == "insert") & there, (F.col(op) != "insert") & ~there
     if repair:
-        done = F.when(error == "duplicate_key", "repaired_as_update").when((error == "no_row") & (F.col(op) == "update"), "repaired_as_insert").when(error == "no_row", "nothing_to_delete")
+        done = F.when(twice, "repaired_as_update").when(none & (F.col(op) == "update"), "repaired_as_insert").when(none, "nothing_to_delete")
         return known.withColumn("last_error", done).withColumn("status", F.lit("applied")).drop("_known", "_before")
-    out = known.withColumn("last_error", error)
-    return out.withColumn("status", F.when(F.col("last_error").isNull(), "applied").otherwise("failed")).drop("_known", "_before")
+    error = F.when(twice, "duplicate_key").when(none, "no_row" if missing_fails else "nothing_there")
+    fails = twice | none if missing_fails else twice
+    return known.withColumn("last_error", error).withColumn("status", F.when(fails, "failed").otherwise("applied")).drop("_known", "_before")
 
 
 def acknowledged(batches: DataFrame, inbox: DataFrame, by: str = "batch_id") -> DataFrame:
@@ -85,4 +92,4 @@ def stop_reason(captured: Column, scanned: Column, bytes_read: Column, control:
     )
 
 
-__all__ = ["CALLBACKS", "MAX_RETRIES", "acknowledged", "after_callback", "applied_batch", "current_state", "gated", "payload", "receive", "split_by_expectation", "stop_reason", "unpacked"]
+__all__ = ["CALLBACKS", "MAX_RETRIES", "acknowledged", "after_callback", "applied_batch", "current_state", "gated", "payload", "receive", "stop_reason", "unpacked"]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet.operators import versioned
 from rivulet.operators.ordered import all_but_latest
-from rivulet.operators.snapshot import appended
+from rivulet.operators.snapshot import appended, run_rows
 from rivulet.operators.transport import OPEN
 
 #: Modes of selection, and the statuses that are final in them.
@@ -34,26 +37,36 @@ def candidates(rows: DataFrame, mode: str, date: str, before: Column, inbox: Dat
     return done
 
 
-def moved(rows: DataFrame, chosen: DataFrame, archive: str, run: str, key: str = "id", dry_run: bool = False) -> DataFrame:
-    """Append the chosen rows to the archive table at a path as run=<run>, check their count, and return what stays.
+def moved(spark: SparkSession, table: str, archive: str, run: str, choose: Callable[[DataFrame], DataFrame], key: Sequence[str], dry_run: bool = False) -> dict[str, int]:
+    """Move the rows that choose() picks from a versioned table into the versioned archive table, as one run.
 
-    The table is created by its first run; runs do not touch each other, and a run that is repeated writes its own folder
-    again. The rest is decided from the rows read back, so a row leaves only once it is in the archive. A dry run changes
-    nothing.
+    The rows are committed to the archive first and leave the table by a second commit, both under the run's id. So a run
+    repeated after success changes nothing, and one that broke off between the two is carried on: it takes the rows from
+    the archive, does not choose again, and only rows that are there leave. key names the columns that tell rows apart; if
+    a row that stays shares them with one that goes, nothing is moved. Returns how many rows are in the run and in the table; a dry
+    run moves nothing and tells how many it would choose.
     """
     if dry_run:
-        return rows
-    want = chosen.count()
-    kept = appended(chosen, archive, run)
-    got = kept.count()
-    if got != want:
-        raise ValueError(f"archive holds {got} of {want} rows of run {run}")
-    return rows.join(kept.select(key), key, "left_anti")
-
-
-def capped(chosen: DataFrame, most: int, order: str) -> DataFrame:
+        rows = versioned.read(spark, table)
+        return {"moved": choose(rows).count(), "left": rows.count()}
+    keys = list(key)
+    at = versioned.version(spark, table)
+    if not versioned.committed(spark, archive, run):
+        rows = versioned.read(spark, table)
+        chosen = choose(rows)
+        twice = rows.join(chosen.select(*keys).distinct(), keys, "left_semi").count() - chosen.count()
+        if twice:
+            raise ValueError(f"{', '.join(keys)} does not tell the rows of {table} apart that are to be archived")
+        appended(chosen, archive, run)
+    gone = run_rows(spark, archive, run)
+    if at is None or run not in at.runs:
+        versioned.commit(versioned.read(spark, table).join(gone.select(*keys), keys, "left_anti"), table, run)
+    return {"moved": gone.count(), "left": versioned.read(spark, table).count()}
+
+
+def capped(chosen: DataFrame, most: int, *order: str) -> DataFrame:
     """The oldest rows of a run's cap (a limit of the run, the next one goes on)."""
-    return chosen.orderBy(order).limit(most)
+    return chosen.orderBy(*order).limit(most)
 
 
 def archive_due(services: DataFrame, runs: DataFrame, now: str, hours: int = 24) -> DataFrame:

@@ -1,7 +1,7 @@
-"""Sinks: snapshot copies, archives by run, append-only logs, schema changes, reports, resets.
+"""Sinks: snapshot copies, archives and logs by run, schema changes, reports, resets.
 
-A table is a folder of Parquet files; appended runs are folders run=<id> of it, so a run that is repeated writes its own
-folder again and no other.
+Tables are versioned (rivulet.operators.versioned): what a sink writes replaces or extends a table by one atomic switch, and
+a run that is repeated after it was committed changes nothing.
 """
 
 from __future__ import annotations
@@ -10,21 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-MODES = ("append", "truncate", "recreate")
-
+from rivulet.operators import versioned
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a table is there, by the file system that the path names."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+MODES = ("append", "truncate", "recreate")
 
 
-def copied(source: DataFrame, target: str, mode: str = "append", like: str | None = None, dry_run: bool = False) -> DataFrame:
-    """Copy the source into the table at target and return one row: status, source_count, target_count.
+def copied(source: DataFrame, target: str, mode: str = "append", like: str | None = None, dry_run: bool = False, run: str | None = None) -> DataFrame:
+    """Copy the source into the versioned table at target and return one row: status, source_count, target_count.
 
     append keeps what is there; truncate replaces the rows and keeps the table's columns (others of the source are left
-    out, missing ones are null); recreate takes the source's columns too. like: only rows for which it holds. A dry run
-    writes nothing and counts what it would copy.
+    out, missing ones are null); recreate takes the source's columns too. The source may be read from the target. like:
+    only rows for which it holds. A dry run writes nothing and counts what it would copy. run: a copy of this id that was
+    committed before is not made again (already_copied). The copy is counted against the source before the switch.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode '{mode}'")
@@ -32,11 +29,19 @@ def copied(source: DataFrame, target: str, mode: str = "append", like: str | Non
     rows = source.where(like) if like else source
     if dry_run:
         return rows.agg(F.lit("dry_run").alias("status"), F.count("*").alias("source_count"), F.lit(0).cast("long").alias("target_count"))
-    there = _exists(spark, target)
-    schema = spark.read.parquet(target).schema if there and mode != "recreate" else rows.schema
-    rows.select(fitted(rows, schema)).write.mode("append" if mode == "append" else "overwrite").parquet(target)
-    counted = rows.agg(F.count("*").alias("source_count")).join(spark.read.schema(schema).parquet(target).agg(F.count("*").alias("target_count")), F.lit(True))  # one row each
-    return counted.select(F.lit("copied").alias("status"), "source_count", "target_count")
+    before = versioned.version(spark, target)
+    done = bool(before and run in before.runs)
+    want = rows.count()
+    if not done:
+        schema = before.struct if before and mode != "recreate" else rows.schema
+
+        def check(written: DataFrame) -> None:
+            if (got := written.count()) != want:
+                raise ValueError(f"{got} of {want} rows were written to {target}")
+
+        versioned.commit(rows.select(fitted(rows, schema)), target, run, "append" if mode == "append" else "replace", check)
+    counted = versioned.read(spark, target).agg(F.count("*").alias("target_count"))
+    return counted.select(F.lit("already_copied" if done else "copied").alias("status"), F.lit(want).cast("long").alias("source_count"), "target_count")
 
 
 def fitted(rows: DataFrame, schema: StructType) -> list[Column]:
@@ -45,15 +50,15 @@ def fitted(rows: DataFrame, schema: StructType) -> list[Column]:
 
 
 def appended(rows: DataFrame, table: str, run: str) -> DataFrame:
-    """Write the rows as run=<run> of the table, which is created if it is not there, and read that run back."""
-    path = f"{table}/run={run}"
-    rows.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    """Append the rows, with the column run, to the versioned table, which is created if it is not there, and read that run
+    back. A run that is in the table already is only read."""
+    versioned.commit(rows.withColumn("run", F.lit(run)), table, run, "append")
+    return run_rows(rows.sparkSession, table, run)
 
 
-def appended_rows(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
-    """All runs of a table of appended(), with the column run."""
-    return spark.read.schema(StructType(schema.fields).add("run", "string")).parquet(table)
+def run_rows(spark: SparkSession, table: str, run: str) -> DataFrame:
+    """The rows of one run of a table of appended()."""
+    return versioned.read(spark, table).where(F.col("run") == run).drop("run")
 
 
 def as_text(rows: DataFrame) -> DataFrame:
@@ -71,17 +76,18 @@ def schema_after(tables: DataFrame, changes: DataFrame, order: str = "id") -> Da
     """(table_name, column_name) after schema changes are applied to the columns (table_name, column_name) of tables.
 
     changes: (order, clause_no, table_name, object_type, ddl_action, object_name). The last change of a table and column
-    decides; a table that is created or dropped forgets the columns it had before, and a drop leaves none until it is
-    created again. Index changes leave columns alone.
+    decides; a table that is created or dropped forgets the columns it had before. A dropped table has no columns, and
+    changes of it fail, until it is created again. Index changes leave columns alone.
     """
-    at = F.struct(order, "clause_no")
+    at = F.struct(F.col(order).cast("long").alias("order"), F.col("clause_no").cast("long").alias("clause_no"))
     whole = changes.where(F.col("object_type") == "table").where(F.col("ddl_action").isin("create", "drop"))
     whole = whole.groupBy("table_name").agg(F.max(at).alias("since"), F.max_by("ddl_action", at).alias("last_whole"))
-    first = tables.select("table_name", "column_name", F.lit(None).cast(changes.select(at.alias("a")).schema["a"].dataType).alias("at"), F.lit("alter").alias("ddl_action"))
+    first = tables.select("table_name", "column_name", F.lit(None).cast("struct<order: bigint, clause_no: bigint>").alias("at"), F.lit("alter").alias("ddl_action"))
     own = changes.where("object_type = 'column'").select("table_name", F.col("object_name").alias("column_name"), at.alias("at"), "ddl_action")
     rows = first.unionByName(own).join(whole, "table_name", "left")
-    rows = rows.where(F.col("since").isNull() | (F.col("at") > F.col("since")))
-    last = rows.groupBy("table_name", "column_name").agg(F.max_by("ddl_action", F.coalesce(F.col("at").getField(order).cast("long") * 100_000 + F.col("at.clause_no"), F.lit(-1))).alias("action"))
+    rows = rows.where(F.col("since").isNull() | ((F.col("last_whole") == "create") & (F.col("at") > F.col("since"))))
+    least = F.struct(F.lit(-1).cast("long").alias("order"), F.lit(-1).cast("long").alias("clause_no"))
+    last = rows.groupBy("table_name", "column_name").agg(F.max_by("ddl_action", F.coalesce("at", least)).alias("action"))
     return last.where("action <> 'drop'").select("table_name", "column_name")
 
 
@@ -93,5 +99,5 @@ def rollback_set(changes: DataFrame, order: str = "id") -> DataFrame:
 
 
 def reset(tables: dict[str, DataFrame], service: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
-    """tables without a service's rows in those named; other tables and services stay."""
-    return {n: t.where(F.col("service_id") != service) if n in names else t for n, t in tables.items()}
+    """tables without a service's rows in those named; other tables, services and rows of no service stay."""
+    return {n: t.where(~F.col("service_id").eqNullSafe(service)) if n in names else t for n, t in tables.items()}

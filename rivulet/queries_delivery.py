@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.functions import codec
-from rivulet.operators import delivery, retention, snapshot
+from rivulet.operators import delivery, retention, snapshot, transport, versioned
 from rivulet.plans.feed import FEED, OUTBOX, change_feed, events, outbox
 from rivulet.queries_text import FILES, log_text
 from rivulet.session import scratch
@@ -26,16 +26,36 @@ def snapshot_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "step string, status string, source_count long, target_count long")
 
 
+def _archived(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Orders in a versioned table, and a path for their archive."""
+    table, archive = scratch(spark, "orders"), scratch(spark, "archive")
+    versioned.commit(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_orderdate"), table, "load")
+    return table, archive
+
+
+def _places(spark: SparkSession, table: str, archive: str) -> DataFrame:
+    kept = versioned.read(spark, archive).select(F.concat(F.lit("run "), "run").alias("place"), "o_orderstatus")
+    return kept.unionByName(versioned.read(spark, table).select(F.lit("table").alias("place"), "o_orderstatus")).groupBy("place", "o_orderstatus").agg(F.count("*").alias("orders"))
+
+
 def archive_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders archived in two runs of different retention: where each order is in the end, and that none is lost."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_orderdate")
-    out = scratch(spark, "archive")
+    """Orders archived in two runs of different retention, the first of them repeated after both: where each order is in
+    the end, and that none is lost."""
+    table, archive = _archived(spark, sf_dir)
     date = F.col("o_orderdate").cast("timestamp_ntz")
-    old = lambda rows, before: rows.where(date < F.lit(before).cast("timestamp_ntz"))
-    left = retention.moved(orders, old(orders, "1994-01-01 00:00:00"), out, "1", "o_orderkey")
-    left = retention.moved(left, old(left, "1996-01-01 00:00:00"), out, "2", "o_orderkey")
-    kept = snapshot.appended_rows(spark, out, orders.schema).select(F.concat(F.lit("run "), "run").alias("place"), "o_orderstatus")
-    return kept.unionByName(left.select(F.lit("table").alias("place"), "o_orderstatus")).groupBy("place", "o_orderstatus").agg(F.count("*").alias("orders"))
+    old = lambda before: lambda rows: rows.where(date < F.lit(before).cast("timestamp_ntz"))
+    for run, before in (("1", "1994-01-01 00:00:00"), ("2", "1996-01-01 00:00:00"), ("1", "1994-01-01 00:00:00")):
+        retention.moved(spark, table, archive, run, old(before), ["o_orderkey"])
+    return _places(spark, table, archive)
+
+
+def archive_capped_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by runs of a cap: each takes the 700 oldest orders of final status that are left."""
+    table, archive = _archived(spark, sf_dir)
+    oldest = lambda rows: retention.capped(rows.where("o_orderstatus = 'F'"), 700, "o_orderdate", "o_orderkey")
+    for run in ("1", "2"):
+        retention.moved(spark, table, archive, run, oldest, ["o_orderkey"])
+    return _places(spark, table, archive)
 
 
 def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +69,11 @@ def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches on the wire; the payload of every seventh is damaged on the way."""
-    rows = delivery.payload(outbox(spark, sf_dir).select(*WIRE))
-    return rows.withColumn("payload", F.when(F.col("batch_id") % 7 == 3, F.concat("payload", F.lit("x"))).otherwise(F.col("payload")))
+    return _damaged(delivery.payload(outbox(spark, sf_dir).select(*WIRE)))
+
+
+def _damaged(batches: DataFrame) -> DataFrame:
+    return batches.withColumn("payload", F.when(F.col("batch_id") % 7 == 3, F.concat("payload", F.lit("x"))).otherwise(F.col("payload")))
 
 
 def deliver_and_ack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,11 +83,25 @@ def deliver_and_ack(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = delivery.gated(_sent(spark, sf_dir)).withColumn("status", F.lit("sent"))
     inbox = delivery.unpacked(batches, feed.schema)
     there = feed.select("pk").where("pk % 2 = 0").distinct()
-    done = delivery.applied_batch(there, inbox, "pk")
+    done = delivery.applied_batch(there, inbox, "pk", missing_fails=True)
     told = delivery.acknowledged(batches, done)
     return delivery.after_callback(batches.select("batch_id", "status"), told).join(told, "batch_id").select("batch_id", "callback", "total", "applied", "bad", "status")
 
 
+def deliver_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every batch arrives, and a third of them again: the checksum gate, then the inbox that takes each change once by
+    (service, uid), then the apply in which an update or delete of nothing is no failure. Counts of what each batch's
+    changes became, of the changes that were new."""
+    columns = ("id", "service_id", "batch_id", "event_uid", "op", "pk", "value")
+    feed = outbox(spark, sf_dir).select(*columns)
+    batches = delivery.gated(_damaged(delivery.payload(feed)))
+    rows = delivery.unpacked(batches.unionByName(batches.where("batch_id % 3 = 0")), feed.schema)
+    known = feed.where("batch_id < 4").select("service_id", "event_uid")  # received long ago
+    fresh = transport.receive(rows.where("trim(event_uid) <> ''"), known)
+    done = delivery.applied_batch(feed.select("pk").where("pk % 2 = 0").distinct(), fresh, "pk")
+    return done.groupBy("batch_id", F.coalesce("last_error", F.lit("applied")).alias("what")).agg(F.count("*").alias("changes"))
+
+
 def apply_with_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = outbox(spark, sf_dir).select(*WIRE)
     done = delivery.applied_batch(feed.select("pk").where("pk % 2 = 0").distinct(), feed, "pk", repair=True)
@@ -97,8 +134,8 @@ def stop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hard_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows left of each table once one service starts again; other tables keep its rows."""
-    rows = outbox(spark, sf_dir)
+    """Rows left of each table once one service starts again; other tables keep its rows, and rows of no service stay."""
+    rows = outbox(spark, sf_dir).withColumn("service_id", F.when(F.col("id") % 31 != 0, F.col("service_id")))
     left = snapshot.reset({"outbox": rows, "inbox": rows, "audit": rows}, F.lit(2), ("outbox", "inbox"))
     out = None
     for name, df in left.items():
@@ -125,23 +162,34 @@ def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = outbox(spark, sf_dir).where("status in ('failed', 'dead')").select("id", "service_id", "status")
     for run in ("1", "2"):
         snapshot.appended(rows.where(f"id % 2 = {int(run) - 1}"), out, run)
-    again = snapshot.appended_rows(spark, out, rows.schema)
+        snapshot.appended(rows, out, run)  # committed already
+    again = versioned.read(spark, out)
     return snapshot.report_lines(again.select("id", "service_id", "status"), F.concat(F.lit("event "), F.col("id").cast("string")))
 
 
-QUERIES = {f.__name__: f for f in (snapshot_copy, archive_two_runs, log_files, deliver_and_ack, apply_with_repair, payload_metrics, schema_apply, stop_reasons, hard_reset, stream_late, audit_report)}
-_STRICT = f"""{OUTBOX}, seq AS (SELECT id, batch_id, op, pk, lag(op) OVER (PARTITION BY pk ORDER BY id) AS before FROM {{rows}}), res AS (
-    SELECT *, CASE WHEN before IS NULL THEN pk % 2 = 0 ELSE before <> 'delete' END AS there FROM seq)"""
+QUERIES = {f.__name__: f for f in (snapshot_copy, archive_two_runs, archive_capped_runs, log_files, deliver_and_ack, deliver_twice, apply_with_repair, payload_metrics, schema_apply, stop_reasons, hard_reset, stream_late, audit_report)}
+# what is there before a change: the last insert or delete of its key, found by an as-of join
+_STRICT = f"""{OUTBOX}, sent AS (SELECT id, batch_id, op, pk FROM {{rows}}),
+    res AS (SELECT s.*, coalesce(w.op = 'insert', s.pk % 2 = 0) AS there
+        FROM sent s ASOF LEFT JOIN (SELECT pk, id, op FROM sent WHERE op IN ('insert', 'delete')) w ON s.pk = w.pk AND s.id > w.id)"""
+_ONCE = f"""WITH {OUTBOX}, arrived AS (SELECT * FROM outbox WHERE batch_id % 7 <> 3 AND event_uid <> ''),
+    old AS (SELECT DISTINCT service_id, event_uid FROM outbox WHERE batch_id < 4),
+    sent AS (SELECT min(id) AS id, arg_min(batch_id, id) AS batch_id, arg_min(op, id) AS op, arg_min(pk, id) AS pk FROM arrived a ANTI JOIN old USING (service_id, event_uid) GROUP BY service_id, event_uid),
+    res AS (SELECT s.*, coalesce(w.op = 'insert', s.pk % 2 = 0) AS there
+        FROM sent s ASOF LEFT JOIN (SELECT pk, id, op FROM sent WHERE op IN ('insert', 'delete')) w ON s.pk = w.pk AND s.id > w.id)"""
 ORACLE_SQL = {
     "snapshot_copy": """SELECT '1 dry run' AS step, 'dry_run' AS status, count(*) AS source_count, CAST(0 AS BIGINT) AS target_count FROM customer UNION ALL SELECT '2 copy', 'copied', count(*), count(*) FROM customer
         UNION ALL SELECT '3 append', 'copied', count(*) FILTER (WHERE c_custkey <= 10), count(*) + count(*) FILTER (WHERE c_custkey <= 10) FROM customer UNION ALL SELECT '4 truncate', 'copied', count(*), count(*) FROM supplier""",
     "archive_two_runs": "SELECT CASE WHEN o_orderdate < TIMESTAMP '1994-01-01' THEN 'run 1' WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 'run 2' ELSE 'table' END AS place, o_orderstatus, count(*) AS orders FROM orders GROUP BY 1, 2",
+    "archive_capped_runs": """WITH r AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) END AS n FROM orders)
+        SELECT CASE WHEN n <= 700 THEN 'run 1' WHEN n <= 1400 THEN 'run 2' ELSE 'table' END AS place, o_orderstatus, count(*) AS orders FROM r GROUP BY 1, 2""",
     "log_files": f"WITH {FEED} SELECT row_number() OVER (ORDER BY id) AS event_no, op, table_name, log_pos, CASE WHEN op <> 'delete' THEN CAST(pk AS VARCHAR) END AS after_id FROM feed",
     "deliver_and_ack": f"""WITH {_STRICT.format(rows="outbox WHERE batch_id % 7 <> 3")}, b AS (SELECT batch_id, count(*) AS n FROM outbox GROUP BY 1),
         c AS (SELECT batch_id, count(*) AS total, count(*) FILTER (WHERE (op = 'insert') <> there) AS applied FROM res GROUP BY 1),
         t AS (SELECT b.batch_id, CASE WHEN b.batch_id % 7 = 3 THEN 'refused' WHEN applied = total THEN 'applied' WHEN applied > 0 THEN 'partial' ELSE 'failed' END AS callback, coalesce(total, 0) AS total, coalesce(applied, 0) AS applied FROM b LEFT JOIN c USING (batch_id))
         SELECT batch_id, callback, total, applied, total - applied AS bad, CASE callback WHEN 'applied' THEN 'acked' WHEN 'partial' THEN 'sent' ELSE 'failed' END AS status FROM t""",
-    "apply_with_repair": f"""WITH {_STRICT.format(rows="outbox")} SELECT op, CASE WHEN (op = 'insert') <> there THEN 'as it is' WHEN op = 'insert' THEN 'repaired_as_update' WHEN op = 'update' THEN 'repaired_as_insert' ELSE 'nothing_to_delete' END AS how, count(*) AS changes FROM res GROUP BY 1, 2""",
+    "deliver_twice": f"""{_ONCE} SELECT batch_id, CASE WHEN op = 'insert' AND there THEN 'duplicate_key' WHEN op <> 'insert' AND NOT there THEN 'nothing_there' ELSE 'applied' END AS what, count(*) AS changes FROM res GROUP BY 1, 2""",
+    "apply_with_repair": f"""WITH {OUTBOX}, res AS (SELECT *, coalesce((SELECT arg_max(o.op, o.id) <> 'delete' FROM outbox o WHERE o.pk = x.pk AND o.id < x.id), pk % 2 = 0) AS there FROM outbox x) SELECT op, CASE WHEN (op = 'insert') <> there THEN 'as it is' WHEN op = 'insert' THEN 'repaired_as_update' WHEN op = 'update' THEN 'repaired_as_insert' ELSE 'nothing_to_delete' END AS how, count(*) AS changes FROM res GROUP BY 1, 2""",
     "payload_metrics": "SELECT event_id, strlen(props) AS raw_bytes, strlen(base64(encode(props))) AS wire_bytes, sha256(props) AS checksum FROM events",
     "schema_apply": """WITH tabs AS (SELECT 'nation' AS table_name, column_name FROM (DESCRIBE nation) UNION ALL SELECT 'region', column_name FROM (DESCRIBE region) UNION ALL SELECT 'supplier', column_name FROM (DESCRIBE supplier)),
         e AS (SELECT event_id AS id, (['nation', 'region', 'supplier'])[CAST(event_id % 3 + 1 AS INTEGER)] AS table_name, 'c' || event_id % 10 AS column_name, event_id % 97 IN (0, 1) AS whole, event_id % 4 = 0 AS gone FROM events),
@@ -151,7 +199,7 @@ ORACLE_SQL = {
         SELECT table_name, column_name FROM l WHERE NOT gone""",
     "stop_reasons": """SELECT CASE WHEN event_id % 13 = 0 THEN 'paused' WHEN event_id % 13 = 1 THEN 'stopped' WHEN event_id % 120 >= 100 THEN 'capture_limit_reached' WHEN event_id % 700 >= 500 THEN 'max_scanned_events_reached' WHEN event_id % 3000 >= 2500 THEN 'scan_window_limit_reached'
         WHEN event_id % 2 = 0 AND event_id % 700 = 0 THEN 'no_events_available' WHEN event_id % 2 = 0 THEN 'end_of_log' ELSE 'goes on' END AS reason, count(*) AS runs FROM events GROUP BY 1""",
-    "hard_reset": f"WITH {OUTBOX} SELECT name, service_id, count(*) AS rows FROM outbox, (VALUES ('outbox'), ('inbox'), ('audit')) AS v(name) WHERE name = 'audit' OR service_id <> 2 GROUP BY 1, 2",
+    "hard_reset": f"WITH {OUTBOX} SELECT name, service_id, count(*) AS rows FROM (SELECT CASE WHEN id % 31 <> 0 THEN service_id END AS service_id FROM outbox), (VALUES ('outbox'), ('inbox'), ('audit')) AS v(name) WHERE name = 'audit' OR service_id IS DISTINCT FROM 2 GROUP BY 1, 2",
     "stream_late": f"WITH {FEED} SELECT date_trunc('day', ts)::TIMESTAMP AS start, op, count(*) AS events FROM feed WHERE date_trunc('day', ts) < (SELECT date_trunc('day', max(ts) - INTERVAL 2 HOURS) FROM feed) GROUP BY 1, 2",
     "audit_report": f"""WITH {OUTBOX} SELECT 'event ' || id || ' {{"id":' || id || ',"service_id":' || service_id || ',"status":"' || status || '"}}' AS line FROM outbox WHERE status IN ('failed', 'dead')""",
 }

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _OWN: list[str] = []
+_MADE: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -24,7 +25,26 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="rivulet-"))
         shared = _OWN[0]
-    return f"{shared.rstrip('/')}/rivulet/{name}-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/rivulet/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it again: lineage ends here and survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what scratch() has named so far; call it when results that read from there are written. Returns how many
+    folders went."""
+    gone = 0
+    while _MADE:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+    return gone
 
 
 def session(app: str = "rivulet", **conf: str) -> SparkSession:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions.text import clauses, scalar, squeezed
-from rivulet.operators.ordered import WIDTH, carried_all, file_indexes, running_sum
+from rivulet.operators.ordered import Blocks, log_index
 
 _HEADER = "^### (UPDATE|INSERT INTO|DELETE FROM) `?([^`.\\s]+)`?[.]`?([^`\\s]+)`?"
 _ASSIGN = "^###   @([0-9]+)\\s*=\\s*(.*?)(?:\\s*/\\*.*)?$"
@@ -23,20 +23,22 @@ def _got(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def lines(spark, path: str) -> DataFrame:
-    """(line_no, line) of the log text under a path; the number orders lines by file name and place in the file.
+    """(line_no, line) of the log text under a path; the number orders lines by the number in the file's name, then by its
+    name and place in the file.
 
-    A split of a file holds its lines in order, so a line's number is its split's place among all splits (by file name and
-    start) and its place inside the split; only the splits, a row each, are put into one order.
+    A split of a file holds its lines in order, so a line's number is its split's place among all splits and its place
+    inside the split; only the splits, a row each, are put into one order.
     """
     meta = F.col("_metadata")
     rows = spark.read.text(path).select(F.col("value").alias("line"), meta["file_path"].alias("file"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("n"))
     splits = rows.groupBy("file", "start").agg(F.min("n").alias("first"), F.count("*").alias("size"))
-    before = F.sum("size").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    number = log_index(F.regexp_replace("file", "[.](txt|log)$", ""))
+    before = F.sum("size").over(Window.orderBy(number, "file", "start").rowsBetween(Window.unboundedPreceding, -1))
     placed = splits.select("file", "start", "first", F.coalesce(before, F.lit(0)).alias("before"))
     return rows.join(placed, ["file", "start"]).select((F.col("before") + F.col("n") - F.col("first")).alias("line_no"), "line")
 
 
-def row_events(log: DataFrame, files: int = 1, columns: dict[int, str] | None = None, width: int = WIDTH) -> DataFrame:
+def row_events(log: DataFrame, files: int = 1, columns: dict[int, str] | None = None, width: int | None = None) -> DataFrame:
     """One row for each changed row: event_no, op, database_name, table_name, file_index, log_pos, before and after
     (maps of column to decoded text). Columns are named by ordinal (columns), or UNKNOWN_COL{n-1}.
     """
@@ -44,10 +46,13 @@ def row_events(log: DataFrame, files: int = 1, columns: dict[int, str] | None =
     at = F.regexp_extract(line, "^# at ([0-9]+)", 1).try_cast("long")
     head = line.rlike(_HEADER)
     section = F.when(head | line.rlike("^### SET\\s*$"), "after").when(line.rlike("^### WHERE\\s*$"), "before")
-    rows = log.withColumn("_at", at)
-    rows = file_indexes(rows, "_at", files, "line_no", width)
-    rows = running_sum(rows, head.cast("int"), "line_no", "event_no", width=width)
-    rows = carried_all(rows, {"log_pos": F.col("_at"), "section": section, "current_database": _got(line, _USE)}, "line_no", width=width)
+    rows = Blocks(log.withColumn("_at", at), "line_no", (), width)
+    rows = rows.level(
+        sums={"event_no": head.cast("int")},
+        carries={"log_pos": F.col("_at"), "section": section, "current_database": _got(line, _USE)},
+        descents={"_file": F.col("_at")},
+    ).done()
+    rows = rows.withColumn("file_index", F.least("_file", F.lit(files - 1)).cast("long"))
     ordinal, value = F.regexp_extract(line, _ASSIGN, 1).try_cast("int"), F.regexp_extract(line, _ASSIGN, 2)
     known = F.create_map(*(F.lit(x) for kv in (columns or {}).items() for x in kv)) if columns else F.create_map().cast("map<int,string>")
     name = F.coalesce(F.try_element_at(known, ordinal), F.concat(F.lit("UNKNOWN_COL"), (ordinal - 1).cast("string")))

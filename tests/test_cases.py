@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rivulet.functions import codec, text
-from rivulet.operators import dedup, retention, snapshot, transport
+from rivulet.operators import dedup, snapshot, transport, versioned
 from rivulet.operators.apply import current_state, merged, partial_state
 from rivulet.session import scratch
 from rivulet.sources import logtext
@@ -55,18 +55,6 @@ def test_apply_of_compacted_histories(spark):
     assert [(r.v, r.w) for r in partial_state(partial, "pk", "id", "op", ["v", "w"]).collect()] == [("a", "x")]
 
 
-def test_archive_move(spark):
-    rows = spark.range(100)
-    out = scratch(spark, "archive")
-    left = retention.moved(rows, rows.where("id < 30"), out, "one")
-    assert left.count() == 70 and spark.read.parquet(out).count() == 30
-    left = retention.moved(left, left.where("id < 50"), out, "two")
-    assert left.count() == 50 and sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(50))
-    rest = rows.where("id >= 30")
-    assert retention.moved(rest, rest.where("id < 50"), out, "two").count() == 50 and spark.read.parquet(out).count() == 50  # the run again
-    assert retention.moved(rows, rows.where("id < 30"), out, "three", dry_run=True).count() == 100
-
-
 def test_codecs_refuse_what_they_do_not_know(spark):
     for args in (("gzip", "none"), ("none", "rot13"), ("none", "xor", " ")):
         with pytest.raises(ValueError):
@@ -87,8 +75,8 @@ def test_copies(spark):
     assert counts(snapshot.copied(rows, out)) == ("copied", 10, 10)
     assert counts(snapshot.copied(rows, out, like="id < 3")) == ("copied", 3, 13)
     other = spark.range(4).selectExpr("id", "'x' as w")
-    assert counts(snapshot.copied(other, out, "truncate")) == ("copied", 4, 4) and spark.read.parquet(out).columns == ["id", "v"]
-    assert counts(snapshot.copied(other, out, "recreate")) == ("copied", 4, 4) and spark.read.parquet(out).columns == ["id", "w"]
+    assert counts(snapshot.copied(other, out, "truncate")) == ("copied", 4, 4) and versioned.read(spark, out).columns == ["id", "v"]
+    assert counts(snapshot.copied(other, out, "recreate")) == ("copied", 4, 4) and versioned.read(spark, out).columns == ["id", "w"]
     with pytest.raises(ValueError):
         snapshot.copied(rows, out, "merge")
 
