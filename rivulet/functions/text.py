@@ -41,11 +41,12 @@ def scalar_kind(raw: Column) -> Column:
     )
 
 
-def scalar(raw: Column) -> Column:
-    """The decoded literal as text; quotes go, and \\\\' and \\\\\\\\ lose their backslash."""
-    t = F.trim(raw)
+def scalar(raw: Column, kind: Column | None = None) -> Column:
+    """The decoded literal as text; quotes go, and \\' and \\\\ lose their backslash. kind: its scalar_kind(), where that is
+    a column already."""
+    t, kind = F.trim(raw), scalar_kind(raw) if kind is None else kind
     inner = F.replace(F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit("\\'"), F.lit("'")), F.lit("\\\\"), F.lit("\\"))
-    return F.when(scalar_kind(raw) == "string", inner).when(scalar_kind(raw) != "null", t)
+    return F.when(kind == "string", inner).when(kind != "null", t)
 
 
 def canonical_json(text: Column) -> Column:

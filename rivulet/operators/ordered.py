@@ -24,12 +24,12 @@ _B = "_block"
 class Blocks:
     """A history in blocks. level() adds columns to rows; those of a level may be used by the next.
 
-    width: rows to a block (by a count); by default there are as many blocks as shuffle partitions.
+    width: rows to a block (by a count); by default there are a few blocks to a shuffle partition.
     """
 
     def __init__(self, df: DataFrame, order: str, by: tuple[str, ...] = (), width: int | None = None):
         spark = df.sparkSession
-        many = -(-df.count() // width) if width else int(spark.conf.get("spark.sql.shuffle.partitions"))
+        many = -(-df.count() // width) if width else 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = df.repartitionByRange(max(1, many), *by, order).withColumn(_B, F.spark_partition_id()).sortWithinPartitions(*by, order)
         self.rows, self.order, self.by = staged(dealt, "ordered"), order, by
         self.fields = [self.rows.schema[c] for c in by]

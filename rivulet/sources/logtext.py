@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.functions.text import clauses, scalar, squeezed
+from rivulet.functions.text import clauses, scalar, scalar_kind, squeezed
 from rivulet.operators.ordered import Blocks, log_index
 
 _HEADER = "^### (UPDATE|INSERT INTO|DELETE FROM) `?([^`.\\s]+)`?[.]`?([^`\\s]+)`?"
@@ -43,34 +43,34 @@ def row_events(log: DataFrame, files: int = 1, columns: dict[int, str] | None =
     (maps of column to decoded text). Columns are named by ordinal (columns), or UNKNOWN_COL{n-1}.
     """
     line = F.col("line")
-    at = F.regexp_extract(line, "^# at ([0-9]+)", 1).try_cast("long")
-    head = line.rlike(_HEADER)
-    section = F.when(head | line.rlike("^### SET\\s*$"), "after").when(line.rlike("^### WHERE\\s*$"), "before")
-    rows = Blocks(log.withColumn("_at", at), "line_no", (), width)
+    rows = Blocks(log, "line_no", (), width)
+    # what a line says by itself, before rows are dealt by blocks; patterns are tried where the line's beginning allows
+    known = F.create_map(*(F.lit(x) for kv in (columns or {}).items() for x in kv)) if columns else F.create_map().cast("map<int,string>")
+    own = rows.rows.withColumn("_cell", line.startswith("###   @") & line.rlike(_ASSIGN)).withColumn("_head", line.startswith("### ") & line.rlike(_HEADER))
+    own = own.withColumn("_o", F.when(F.col("_cell"), F.regexp_extract(line, _ASSIGN, 1)).try_cast("int")).withColumn("_raw", F.when(F.col("_cell"), F.regexp_extract(line, _ASSIGN, 2)))
+    own = own.withColumn("_kind", scalar_kind(F.col("_raw")))
+    name = F.coalesce(F.try_element_at(known, F.col("_o")), F.concat(F.lit("UNKNOWN_COL"), (F.col("_o") - 1).cast("string")))
+    cell = F.when(F.col("_cell"), F.struct(F.col("_o").alias("o"), name.alias("k"), scalar(F.col("_raw"), F.col("_kind")).alias("v")))
+    part = lambda i: F.regexp_extract(line, _HEADER, i)
+    head = F.when(F.col("_head"), F.struct(F.lower(F.split(part(1), " ")[0]).alias("op"), part(2).alias("database_name"), part(3).alias("table_name")))
+    rows.rows = own.select(
+        "line_no",
+        "_block",
+        cell.alias("cell"),
+        head.alias("head"),
+        F.when(line.startswith("# at "), _got(line, "^# at ([0-9]+)")).try_cast("long").alias("_at"),
+        F.when(F.col("_head") | line.rlike("^### SET\\s*$"), "after").when(line.rlike("^### WHERE\\s*$"), "before").alias("_section"),
+    )
     rows = rows.level(
-        sums={"event_no": head.cast("int")},
-        carries={"log_pos": F.col("_at"), "section": section, "current_database": _got(line, _USE)},
+        sums={"event_no": F.col("head").isNotNull().cast("int")},
+        carries={"log_pos": F.col("_at"), "section": F.col("_section")},
         descents={"_file": F.col("_at")},
     ).done()
-    rows = rows.withColumn("file_index", F.least("_file", F.lit(files - 1)).cast("long"))
-    ordinal, value = F.regexp_extract(line, _ASSIGN, 1).try_cast("int"), F.regexp_extract(line, _ASSIGN, 2)
-    known = F.create_map(*(F.lit(x) for kv in (columns or {}).items() for x in kv)) if columns else F.create_map().cast("map<int,string>")
-    name = F.coalesce(F.try_element_at(known, ordinal), F.concat(F.lit("UNKNOWN_COL"), (ordinal - 1).cast("string")))
-    cell = F.when(line.rlike(_ASSIGN), F.struct(ordinal.alias("o"), name.alias("k"), scalar(value).alias("v")))
+    of = F.struct("head.*", F.least("_file", F.lit(files - 1)).cast("long").alias("file_index"), "log_pos")
     image = lambda which: F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == which, F.col("cell")))), lambda c: F.struct(c["k"], c["v"])))
-    first = lambda c: F.min_by(c, F.when(F.col("_head"), F.col("line_no")))
-    op = F.regexp_extract(line, _HEADER, 1)
-    rows = rows.withColumn("cell", cell).withColumn("_head", head).where("event_no > 0")
-    out = rows.groupBy("event_no").agg(
-        first(F.lower(F.split(op, " ")[0])).alias("op"),
-        first(F.regexp_extract(line, _HEADER, 2)).alias("database_name"),
-        first(F.regexp_extract(line, _HEADER, 3)).alias("table_name"),
-        first("file_index").alias("file_index"),
-        first("log_pos").alias("log_pos"),
-        image("before").alias("before"),
-        image("after").alias("after"),
-    )
-    return out
+    rows = rows.where("event_no > 0 and (head is not null or cell is not null)").select("event_no", "section", "cell", F.when(F.col("head").isNotNull(), of).alias("of"))
+    out = rows.groupBy("event_no").agg(F.max("of").alias("of"), image("before").alias("before"), image("after").alias("after"))  # one `of` to an event
+    return out.select("event_no", "of.*", "before", "after")
 
 
 #: Fixed values of the statements' grammar: verbs of whole statements and of clauses with the action they stand for, kinds of
