@@ -193,9 +193,9 @@ ORACLE_SQL = {
     "payload_metrics": "SELECT event_id, strlen(props) AS raw_bytes, strlen(base64(encode(props))) AS wire_bytes, sha256(props) AS checksum FROM events",
     "schema_apply": """WITH tabs AS (SELECT 'nation' AS table_name, column_name FROM (DESCRIBE nation) UNION ALL SELECT 'region', column_name FROM (DESCRIBE region) UNION ALL SELECT 'supplier', column_name FROM (DESCRIBE supplier)),
         e AS (SELECT event_id AS id, (['nation', 'region', 'supplier'])[CAST(event_id % 3 + 1 AS INTEGER)] AS table_name, 'c' || event_id % 10 AS column_name, event_id % 97 IN (0, 1) AS whole, event_id % 4 = 0 AS gone FROM events),
-        w AS (SELECT table_name, max(id) AS since FROM e WHERE whole GROUP BY 1),
+        w AS (SELECT table_name, max(id) AS since, arg_max(id % 97, id) = 0 AS dropped FROM e WHERE whole GROUP BY 1),
         h AS (SELECT table_name, column_name, -1 AS id, false AS gone FROM tabs UNION ALL SELECT table_name, column_name, id, gone FROM e WHERE NOT whole),
-        l AS (SELECT h.table_name, h.column_name, arg_max(gone, id) AS gone FROM h LEFT JOIN w USING (table_name) WHERE since IS NULL OR id > since GROUP BY 1, 2)
+        l AS (SELECT h.table_name, h.column_name, arg_max(gone, id) AS gone FROM h LEFT JOIN w USING (table_name) WHERE since IS NULL OR (NOT dropped AND id > since) GROUP BY 1, 2)
         SELECT table_name, column_name FROM l WHERE NOT gone""",
     "stop_reasons": """SELECT CASE WHEN event_id % 13 = 0 THEN 'paused' WHEN event_id % 13 = 1 THEN 'stopped' WHEN event_id % 120 >= 100 THEN 'capture_limit_reached' WHEN event_id % 700 >= 500 THEN 'max_scanned_events_reached' WHEN event_id % 3000 >= 2500 THEN 'scan_window_limit_reached'
         WHEN event_id % 2 = 0 AND event_id % 700 = 0 THEN 'no_events_available' WHEN event_id % 2 = 0 THEN 'end_of_log' ELSE 'goes on' END AS reason, count(*) AS runs FROM events GROUP BY 1""",

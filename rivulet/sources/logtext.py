@@ -162,8 +162,20 @@ def ddl_events(statements: DataFrame, parity: bool = True) -> DataFrame:
     rows = rows.withColumn("_target", F.when(alters, target)).withColumn("_body", F.when(alters, body))
     items = F.transform(clauses(F.col("_body")), clause)
     found = F.when(is_whole, F.struct(database.alias("db"), F.array(whole).alias("items"))).when(alters & (table != "") & (F.col("_body") != ""), F.struct(F.col("_target.db").alias("db"), items.alias("items")))
-    rows = rows.withColumn("_f", found).where("_f is not null")
+    rows = rows.withColumn("_f", found)
     database = F.coalesce(F.nullif(F.col("_f.db"), F.lit("")), F.nullif(F.trim("current_database"), F.lit("")))
     keep = [c for c in statements.columns if c not in ("sql", "current_database")]
-    out = rows.select(*keep, database.alias("database_name"), F.posexplode("_f.items").alias("clause_no", "i")).where("database_name is not null")
+    out = rows.select(*keep, database.alias("database_name"), F.posexplode_outer("_f.items").alias("clause_no", "i"))
+    out = out.where("i is not null and database_name is not null")  # after the explosion: before it, the filter would hold the whole parse
     return out.select(*keep, "database_name", "i.table_name", "i.object_type", "i.ddl_action", "i.object_name", "clause_no")
+
+
+#: Words that begin a clause of CREATE TABLE which is no column.
+NO_COLUMN = ("PRIMARY", "UNIQUE", "INDEX", "KEY", "CONSTRAINT", "FOREIGN", "CHECK", "FULLTEXT", "SPATIAL")
+
+
+def created_columns(sql: Column) -> Column:
+    """The columns that a CREATE TABLE statement names, in order."""
+    body = F.regexp_extract(squeezed(sql), "^[^(]*[(](.*)[)][^)]*$", 1)
+    names = F.transform(clauses(body), lambda c: F.try_element_at(_tokens(c), F.lit(1)))
+    return F.transform(F.filter(names, lambda n: n.isNotNull() & ~F.upper(n).isin(*NO_COLUMN)), _bare)
