@@ -1,7 +1,10 @@
 """Corpus pipeline: quality, toxicity, near duplicates, personal data, packing.
 
 Each stage takes what its predecessor kept and decides about every row of it. Rows with a null doc_id have no component
-and stay; repeated rows of one doc_id that stay are kept each. An empty table passes through as an empty table.
+and stay; repeated rows of one doc_id that stay are kept each. Null and empty texts are judged as texts of no words: they
+have no partners, no personal data and a length of one token. Very long texts are judged whole and cut only by packing.
+Other columns than those of documents are left out by the first stage, so none clashes. An empty table passes through as
+an empty table.
 """
 
 from __future__ import annotations
@@ -57,12 +60,17 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packed(token_lengths(docs))
 
 
+#: Rows that Spark sends to a Python worker at once: whole texts, which both sides hold outside of Spark's accounts.
+ARROW_ROWS = 1000
+
+
 def _shipped(stage: Callable) -> Callable:
-    """The stage, with the package at hand on the workers."""
+    """The stage, with the package at hand on the workers, and Arrow batches of few texts in its session."""
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
         return stage(spark, docs, sf_dir)
 
     return run_stage
