@@ -80,3 +80,36 @@ def preview(text: Column, most: int) -> Column:
 def clean_map(row: Column) -> Column:
     """A map of binary keys and values as text."""
     return F.map_from_entries(F.transform(F.map_entries(row), lambda e: F.struct(F.make_valid_utf8(e["key"].cast("string")), F.make_valid_utf8(e["value"].cast("string")))))
+
+
+#: Fixed value: the namespace of URLs (RFC 9562).
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def name_uuid(name: Column, namespace: str = URL_NAMESPACE) -> Column:
+    """The UUID of a name (version 5, from SHA-1): the same content has the same id, whoever makes it."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
+def renamed_keys(json: Column, columns: Column) -> Column:
+    """JSON text with the keys UNKNOWN_COL{n} of its objects, at every depth, renamed to columns[n] (an array, from 0).
+
+    Works on the canonical text: there a quote that follows { or , and comes before such a name begins a key, since quotes
+    inside texts are escaped. An ordinal beyond the columns stays, for unresolved() to find.
+    """
+    parts = F.split(canonical_json(json), '(?<=[{,])"UNKNOWN_COL(?=[0-9]+":)')
+    number = lambda p: F.regexp_extract(p, "^([0-9]+)", 1)
+
+    def name(p: Column) -> Column:
+        known = F.get(columns, number(p).cast("int"))
+        escaped = F.replace(F.replace(known, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        return F.concat(F.lit('"'), F.coalesce(escaped, F.concat(F.lit("UNKNOWN_COL"), number(p))), F.regexp_replace(p, "^[0-9]+", ""))
+
+    return canonical_json(F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(name(p))), ""))
+
+
+def unresolved(json: Column) -> Column:
+    """Whether an object of the JSON text still has a key UNKNOWN_COL{n}."""
+    return canonical_json(json).rlike('[{,]"UNKNOWN_COL[0-9]+":')

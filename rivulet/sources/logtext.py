@@ -39,7 +39,7 @@ def lines(spark, path: str) -> DataFrame:
 
 
 def row_events(log: DataFrame, files: int = 1, columns: dict[int, str] | None = None, width: int | None = None) -> DataFrame:
-    """One row for each changed row: event_no, op, database_name, table_name, file_index, log_pos, before and after
+    """One row for each changed row: event_no, op, database_name, table_name, line_no, file_index, log_pos, before and after
     (maps of column to decoded text). Columns are named by ordinal (columns), or UNKNOWN_COL{n-1}.
     """
     line = F.col("line")
@@ -52,7 +52,7 @@ def row_events(log: DataFrame, files: int = 1, columns: dict[int, str] | None =
     name = F.coalesce(F.try_element_at(known, F.col("_o")), F.concat(F.lit("UNKNOWN_COL"), (F.col("_o") - 1).cast("string")))
     cell = F.when(F.col("_cell"), F.struct(F.col("_o").alias("o"), name.alias("k"), scalar(F.col("_raw"), F.col("_kind")).alias("v")))
     part = lambda i: F.regexp_extract(line, _HEADER, i)
-    head = F.when(F.col("_head"), F.struct(F.lower(F.split(part(1), " ")[0]).alias("op"), part(2).alias("database_name"), part(3).alias("table_name")))
+    head = F.when(F.col("_head"), F.struct(F.lower(F.split(part(1), " ")[0]).alias("op"), part(2).alias("database_name"), part(3).alias("table_name"), "line_no"))
     rows.rows = own.select(
         "line_no",
         "_block",
@@ -73,6 +73,39 @@ def row_events(log: DataFrame, files: int = 1, columns: dict[int, str] | None =
     return out.select("event_no", "of.*", "before", "after")
 
 
+_DELIMITER = "(?i)^\\s*DELIMITER\\s+(\\S+)\\s*$"
+
+
+def statements(log: DataFrame, delimiter: str = ";", width: int | None = None) -> DataFrame:
+    """(line_no, log_pos, current_database, sql) of each statement in the log text, however many lines it takes.
+
+    A statement goes on to the line that ends with the delimiter outside of single quotes; DELIMITER lines change that, and
+    a USE holds from its own line on. The log's own comments (# at, #date, ###) belong to none and take no part in the
+    count of quotes, but a text that is open there keeps its lines. What the log's end cuts off is no statement. line_no is that of the statement's first
+    line and log_pos the last position before it, which put statements and row events (row_events) into one order.
+    """
+    line = F.col("line")
+    quotes = F.length(F.regexp_replace(line, "\\\\.|[^']", ""))
+    comment = line.startswith("#") & line.rlike("^#( at [0-9]|[0-9]{6}|##)")
+    rows = Blocks(log, "line_no", (), width)
+    rows.rows = rows.rows.withColumn("_q", F.when(comment, 0).otherwise(quotes)).withColumn("_set", _got(line, _DELIMITER))
+    rows.level(
+        sums={"_quotes": F.col("_q")},
+        carries={"log_pos": F.when(line.startswith("# at "), _got(line, "^# at ([0-9]+)")).try_cast("long"), "_delimiter": F.col("_set"), "current_database": _got(line, _USE)},
+    )
+    ends_with = F.coalesce("_delimiter", F.lit(delimiter))
+    inside = (F.col("_quotes") - F.col("_q")) % 2 == 1
+    part = (inside | ~comment) & F.col("_set").isNull() & (F.trim(line) != "")
+    whole = part & (F.col("_quotes") % 2 == 0) & F.endswith(F.rtrim(line), ends_with)
+    rows.rows = rows.rows.withColumn("_part", part).withColumn("_whole", whole)
+    found = rows.level(sums={"_ends": F.col("_whole").cast("int")}).done().where("_part")
+    text = F.when(F.col("_whole"), F.left(F.rtrim(line), F.length(F.rtrim(line)) - F.length(ends_with))).otherwise(line)
+    own = found.withColumn("_no", F.col("_ends") - F.col("_whole").cast("int"))
+    lines_of = F.array_sort(F.collect_list(F.struct("line_no", text.alias("text"))))  # a statement's lines
+    out = own.groupBy("_no").agg(F.min("line_no").alias("line_no"), F.min_by("log_pos", "line_no").alias("log_pos"), F.min_by("current_database", "line_no").alias("current_database"), lines_of.alias("l"), F.bool_or("_whole").alias("whole"))
+    return out.where("whole").select("line_no", "log_pos", "current_database", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("sql"))
+
+
 #: Fixed values of the statements' grammar: verbs of whole statements and of clauses with the action they stand for, kinds of
 #: object, and words that may stand between a verb and its object.
 WHOLE_VERBS = {"CREATE": "create", "DROP": "drop"}
