@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.operators import dedup, transport
-from rivulet.plans.feed import FEED, OUTBOX, change_feed, outbox
+from rivulet.plans.feed import CAPTURED, COPY_OFFSET, FEED, OUTBOX, captured, change_feed, outbox
 from rivulet.session import scratch
-from rivulet.streaming import pipeline
+from rivulet.streaming import pipeline, stateful
 
 
 def _files(rows: DataFrame, files: int = 4) -> tuple[str, DataFrame]:
@@ -67,8 +67,55 @@ def stream_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("status").agg(F.count("*").alias("events"))
 
 
-QUERIES = {f.__name__: f for f in (stream_outbox, stream_cursors, stream_receive, stream_compaction, stream_retry)}
+def _in_order(rows: DataFrame, part: Column, parts: int) -> DataFrame:
+    """A stream of the rows, one part to a batch in the order of their numbers; files are taken by their time."""
+    spark = rows.sparkSession
+    path = scratch(spark, "stream-in")
+    for k in range(parts):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    return pipeline.source(spark, path, rows.schema, 1)
+
+
+def stream_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What came of each key, once its history is closed by a timer: repeats of a tenth of the changes come in later batches,
+    and a change of the far future moves the watermark past all timers."""
+    rows = captured(spark, sf_dir).select("id", "pk", "op", F.sha2(F.concat_ws("|", "op", "pk", "value", "ts"), 256).alias("signature"), "ts")
+    last = spark.createDataFrame([(-1, -999_999, "update", "-")], "id long, pk long, op string, signature string").withColumn("ts", F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"))
+    rows = rows.unionByName(last)
+    part = F.when(F.col("id") == -1, 3).when(F.col("id") >= COPY_OFFSET, 2).otherwise((F.col("id") % 2).cast("int"))
+    out = scratch(spark, "histories")
+    query = pipeline.run(stateful.histories(_in_order(rows, part, 4), late="60 days", keep=1000), scratch(spark, "checkpoint"), pipeline.appender(out))
+    _end(query)
+    kept = stateful.outcomes(spark.read.parquet(out)).select("pk", "events", "repeats", "outcome", "first_kept", "last_kept")
+    most = spark.createDataFrame([(stateful.dropped(query),)], "dropped long")
+    return kept.crossJoin(F.broadcast(most))  # one row
+
+
+def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipt with the checksum gate and one passage for each uid; a tenth of the changes come after all others, most of
+    them behind the watermark. How many were received, and how many the query counted as too late."""
+    rows = outbox(spark, sf_dir).select("id", "service_id", "ts", F.col("id").cast("string").alias("event_uid"), F.to_json(F.struct("id", "op", "pk")).alias("payload"))
+    rows = rows.withColumn("checksum", F.when(F.col("id") % 13 != 0, F.sha2("payload", 256)).otherwise("damaged"))
+    again = rows.where("id % 4 = 0")
+    early, late = rows.where("id % 10 <> 3").unionByName(again.where("id % 10 <> 3")), rows.where("id % 10 = 3")
+    # a batch's late rows are told by the watermark that the batch before the last left
+    both = early.withColumn("part", (F.col("id") % 2).cast("int")).unionByName(late.withColumn("part", F.lit(2)))
+    out = scratch(spark, "inbox")
+    query = pipeline.run(stateful.gated_once(_in_order(both, F.col("part"), 3), late="12 hours"), scratch(spark, "checkpoint"), pipeline.appender(out))
+    _end(query)
+    return spark.read.parquet(out).agg(F.count("*").alias("received"), F.countDistinct("id").alias("ids"), F.lit(stateful.dropped(query)).cast("long").alias("too_late"))
+
+
+QUERIES = {f.__name__: f for f in (stream_outbox, stream_cursors, stream_receive, stream_compaction, stream_retry, stream_histories, stream_gate)}
 ORACLE_SQL = {
+    "stream_histories": f"""WITH {CAPTURED}, one AS (SELECT min(id) AS id, arg_min(pk, id) AS pk, arg_min(op, id) AS op, count(*) - 1 AS repeats FROM captured GROUP BY sha256(concat_ws('|', op, pk, value, ts))),
+        h AS (SELECT pk, count(*) AS events, CAST(sum(repeats) AS BIGINT) AS repeats, arg_min(op, id) AS f, arg_max(op, id) AS l, min(id) AS first_id, max(id) AS last_id, max(id) FILTER (WHERE op = 'update') AS lu,
+            count(*) FILTER (WHERE op = 'insert') AS i, count(*) FILTER (WHERE op = 'update') AS u, count(*) FILTER (WHERE op = 'delete') AS d FROM one GROUP BY pk),
+        o AS (SELECT *, CASE WHEN events = 1 THEN 'single' WHEN f = 'insert' AND l = 'delete' THEN 'A' WHEN f = 'insert' AND d = 0 THEN 'B' WHEN i + d = 0 THEN 'C' WHEN l = 'delete' AND i = 0 THEN 'D' ELSE 'E' END AS outcome FROM h)
+        SELECT pk, events, repeats, outcome, CASE WHEN outcome IN ('single', 'B') THEN first_id END AS first_kept, CASE outcome WHEN 'B' THEN lu WHEN 'A' THEN NULL ELSE last_id END AS last_kept, CAST(0 AS BIGINT) AS dropped FROM o""",
+    "stream_gate": f"""WITH {OUTBOX}, w AS (SELECT max(ts) - INTERVAL 12 HOURS AS mark FROM outbox WHERE id % 10 <> 3 AND id % 13 <> 0 AND id % 2 = 0),
+        c AS (SELECT id, id % 10 = 3 AND ts <= mark AS late FROM outbox, w WHERE id % 13 <> 0)
+        SELECT count(*) FILTER (WHERE NOT late) AS received, count(*) FILTER (WHERE NOT late) AS ids, count(*) FILTER (WHERE late) AS too_late FROM c""",
     "stream_outbox": f"WITH {FEED} SELECT id, op, pk FROM feed WHERE id % 11 <> 0",
     "stream_cursors": f"""WITH {FEED} SELECT max_by(log_file, id) AS log_file, max_by(log_pos, id) AS log_pos, max_by(log_pos, id) FILTER (WHERE id % 10 < 7) AS captured_pos FROM feed""",
     "stream_receive": f"""WITH {OUTBOX} SELECT service_id, count(DISTINCT nullif(event_uid, '')) + count(*) FILTER (WHERE event_uid = '') AS received, count(DISTINCT event_uid) AS uids FROM outbox GROUP BY 1""",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rivulet.session import shipping
 
-MODULES = ("dedup", "ordered", "transport", "rules", "status", "text", "stream", "misc", "delivery", "apply", "log")
+MODULES = ("dedup", "ordered", "transport", "rules", "status", "text", "stream", "misc", "delivery", "apply", "log", "capture")
 
 
 def _parts():
