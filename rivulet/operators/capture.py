@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -72,9 +72,20 @@ def scan_window(plans: DataFrame, logs: DataFrame, by: str = "service_id") -> Da
     return rows.withColumn("empty_window", empty).drop("_size")
 
 
-def counters(events: DataFrame, hard: Column, ruled_out: Column) -> DataFrame:
-    """One row of totals of a capture run."""
+def _totals(hard: Column, ruled_out: Column) -> list[Column]:
     taken = ~hard & ~ruled_out
     count = lambda c, name: F.count_if(c).alias(name)
     family = F.col("event_family")
-    return events.agg(F.count("*").alias("scanned"), count(hard, "hard_skipped"), count(~hard & ruled_out, "rule_skipped"), count(taken, "captured"), count(taken & (family == "dml"), "captured_dml"), count(taken & (family == "ddl"), "captured_ddl"))
+    return [F.count("*").alias("scanned"), count(hard, "hard_skipped"), count(~hard & ruled_out, "rule_skipped"), count(taken, "captured"), count(taken & (family == "dml"), "captured_dml"), count(taken & (family == "ddl"), "captured_ddl")]
+
+
+def counters(events: DataFrame, hard: Column, ruled_out: Column) -> DataFrame:
+    """One row of totals of a capture run."""
+    return events.agg(*_totals(hard, ruled_out))
+
+
+def observed(events: DataFrame, hard: Column, ruled_out: Column, name: str = "capture") -> tuple[DataFrame, Observation]:
+    """(what is captured, the counters of the run): the counters are gathered by the pass that writes the captured rows, and
+    are there once it has ended."""
+    seen = Observation(name)
+    return events.observe(seen, *_totals(hard, ruled_out)).where(~hard & ~ruled_out), seen

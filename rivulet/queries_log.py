@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.functions import text
-from rivulet.operators import parallel, snapshot
+from rivulet.operators import capture, parallel, snapshot
 from rivulet.operators.ordered import running_sum
-from rivulet.plans.feed import CAPTURED, FEED, captured, change_feed, events
+from rivulet.plans.feed import CAPTURED, FEED, OUTBOX, captured, events, outbox
+from rivulet.queries_apply import EVERY, statements
 from rivulet.queries_text import log_text
 from rivulet.session import scratch, staged
-from rivulet.sources import logtext
+from rivulet.sources import changes, logtext
 
 #: Every so many changes a statement follows in the log, and every so many events bring another column.
 STATEMENT_EVERY, COLUMN_EVERY = 20, 700
@@ -81,7 +82,38 @@ def tables_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("name", "status", "rows", F.col("error").isNotNull().alias("told_why"))
 
 
-QUERIES = {f.__name__: f for f in (log_statements, event_uids, nested_remap, tables_at_once)}
+def capture_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of a capture, gathered while it wrote, and how many rows are there."""
+    out = scratch(spark, "outbox")
+    rows, seen = capture.observed(outbox(spark, sf_dir), F.col("id") % 11 == 0, F.col("id") % 7 == 0)
+    rows.write.parquet(out)
+    got = seen.get
+    one = spark.createDataFrame([tuple(got.values())], ", ".join(f"{k} long" for k in got))
+    return one.crossJoin(spark.read.parquet(out).agg(F.count("*").alias("written")))  # a row each
+
+
+def ddl_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What would undo each schema change of the stream of row and schema changes."""
+    found = logtext.ddl_events(staged(statements(spark, sf_dir), "statements").drop("table_name").withColumn("current_database", F.lit("shop")), parity=False)
+    return snapshot.rollback_set(found).select("id", F.col("clause_no").cast("int").alias("clause_no"), "table_name", "object_type", "object_name", "undo")
+
+
+def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplied tables as tables of a database of the session's catalog, listed with their columns and rows."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS rivulet_catalog")
+    for name in TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS rivulet_catalog.{name}")
+        spark.sql(f"CREATE TABLE rivulet_catalog.{name} USING parquet LOCATION '{sf_dir}/{name}.parquet'")
+    found = changes.catalog_tables(spark, "rivulet_catalog").select("table_name")
+    counts = None
+    for r in found.collect():  # a row for each table of the catalog
+        own = spark.table(f"rivulet_catalog.{r.table_name}")
+        one = own.agg(F.count("*").alias("rows")).select(F.lit(r.table_name).alias("table_name"), F.lit(len(own.columns)).cast("long").alias("columns"), "rows")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
+
+
+QUERIES = {f.__name__: f for f in (log_statements, event_uids, nested_remap, tables_at_once, capture_observed, ddl_rollback, catalog_scan)}
 _V5 = lambda name: f"""(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ('89ab')[(CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4) + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12)
     FROM (SELECT sha1(unhex('{text.URL_NAMESPACE}') || encode({name})) AS h))"""
 _NAME = lambda n: f"(CASE WHEN {n} <= least(2 + version, 5) THEN 'name\\' || {n} ELSE 'UNKNOWN_COL' || {n} END)"
@@ -97,4 +129,13 @@ ORACLE_SQL = {
         SELECT id, '{{"deep":{{"deeper":{{"' || replace({_NAME("d")}, '\\', '\\\\') || '":null}}}},"list":[{{"' || replace({_NAME(1)}, '\\', '\\\\') || '":[{{"' || replace({_NAME(2)}, '\\', '\\\\') || '":"x,\\"UNKNOWN_COL1\\":"}},' || k || ']}},"UNKNOWN_COL0"],"' || replace({_NAME(0)}, '\\', '\\\\') || '":' || id || '}}' AS image,
             d > least(2 + version, 5) AS unresolved FROM v""",
     "tables_at_once": " UNION ALL ".join(f"SELECT '{n}' AS name, '{'failed' if n == 'part' else 'success'}' AS status, {'NULL::BIGINT' if n == 'part' else 'count(*)'} AS rows, {'true' if n == 'part' else 'false'} AS told_why" + ("" if n == "part" else f" FROM {n}") for n in TABLES) + " UNION ALL SELECT 'no_such_table', 'failed', NULL, true",
+    "capture_observed": f"""WITH {OUTBOX} SELECT count(*) AS scanned, count(*) FILTER (WHERE id % 11 = 0) AS hard_skipped, count(*) FILTER (WHERE id % 11 <> 0 AND id % 7 = 0) AS rule_skipped, count(*) FILTER (WHERE id % 11 <> 0 AND id % 7 <> 0) AS captured,
+        count(*) FILTER (WHERE id % 11 <> 0 AND id % 7 <> 0 AND event_family = 'dml') AS captured_dml, count(*) FILTER (WHERE id % 11 <> 0 AND id % 7 <> 0 AND event_family = 'ddl') AS captured_ddl, count(*) FILTER (WHERE id % 11 <> 0 AND id % 7 <> 0) AS written FROM outbox""",
+    "ddl_rollback": f"""WITH d AS (SELECT event_id AS id, 't' || user_id % 5 AS table_name, CAST(floor(event_id / {EVERY}) AS BIGINT) AS n FROM events WHERE event_id % {EVERY} = {EVERY - 1})
+        SELECT id, 0 AS clause_no, table_name, 'column' AS object_type, 'c' || (n + CASE n % 5 WHEN 2 THEN 1 WHEN 3 THEN 3 ELSE 0 END) % 4 AS object_name, CASE WHEN n % 5 = 1 THEN 'impossible' ELSE 'review' END AS undo FROM d WHERE n % 5 < 3 OR (n % 5 = 3 AND n % 4 <> 3)
+        UNION ALL SELECT id, 1, table_name, 'column', 'c' || (n + 2) % 4, 'impossible' FROM d WHERE n % 5 = 2
+        UNION ALL SELECT id, 0, table_name, 'table', table_name, 'impossible' FROM d WHERE n % 5 = 3 AND n % 4 = 3
+        UNION ALL SELECT id, 0, table_name, 'table', table_name, 'drop' FROM d WHERE n % 5 = 4 AND n % 3 = 1
+        UNION ALL SELECT id, 0, table_name, 'index', 'ix', 'impossible' FROM d WHERE n % 5 = 4 AND n % 3 <> 1""",
+    "catalog_scan": " UNION ALL ".join(f"SELECT '{n}' AS table_name, (SELECT count(*) FROM (DESCRIBE {n})) AS columns, (SELECT count(*) FROM {n}) AS rows" for n in TABLES),
 }
