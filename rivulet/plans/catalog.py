@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rivulet.plans.values import Values
+from rivulet.plans.values import PerEvent, Values
 
 #: Names are decided on the supplied tables' names and some odd ones.
-OBJECTS = Values(
+OBJECTS = PerEvent(
     "objects",
     "id long, engine string, database_name string, table_name string",
     [
@@ -107,14 +107,6 @@ NODE_STATUS = Values(
         (4, '{"services": {"pg": {"installed": false, "running": false}}}'), (5, "{}"), (6, None),
     ],
 )
-LOGS = Values("logs", "service_id long, idx int, name string, size long", [(s, i, f"bin.{i:06d}", 1000 * s + 4096 * i) for s in (1, 2, 3, 4) for i in range(1, 7 + s)])
-CURSORS = Values(
-    "cursors",
-    "service_id long, start_file string, start_pos long, master_file string, master_pos long, scanned long, skipped long, captured long, max_files int, max_bytes long",
-    [
-        (1, "bin.000002", 500, "bin.000006", 9000, 100, 95, 5, 2, 1000), (2, "bin.000003", 4, "bin.000003", 90_000, 100, 80, 0, 3, 20_000), (3, "bin.000001", 5000, "bin.000001", 5000, 0, 0, 0, 3, 0), (4, "bin.000002", 100_000, "bin.000009", 100, 100, 10, 90, 50, 1 << 20),
-    ],
-)
 MODEL_COLUMNS = Values(
     "model_columns",
     "model string, table_name string, field string, column_name string, kind string, max_length int, is_null boolean, is_unique boolean, is_indexed boolean, relation string",
@@ -149,12 +141,12 @@ OPERATIONS = Values(
         (15, "AddIndex", "nation", "nation", None, "n_name", None, None, None, False, False, ""),
     ],
 )
-STATEMENTS = Values(
+STATEMENTS = PerEvent(
     "statements",
     "id long, sql string, ok boolean",
     [(i, s, i % 4 != 0) for i, s in enumerate(["CREATE TABLE t (a int)", " alter table t add b int", "drop table t;", "CREATE UNIQUE INDEX u ON t (a)", "create index i on t(a)", "DROP INDEX i", "insert into t values (1)", "Update t set a = 1", "DELETE FROM t", "select 1", "", "  ", "SAVEPOINT x", "create  table t (a int)", "PRAGMA y"], 1)],
 )
-DDL = Values(
+DDL = PerEvent(
     "ddl",
     "id long, current_database string, sql string",
     [
@@ -164,4 +156,4 @@ DDL = Values(
         (12, "shop", "ALTER TABLE orders ENGINE=InnoDB"), (13, "shop", "ALTER TABLE orders RENAME TO x,, ADD f int"), (14, "shop", "INSERT INTO orders VALUES (1)"), (15, "shop", "  "), (16, "shop", "ALTER TABLE orders ADD UNIQUE KEY `uk` (a)"), (17, "shop", "drop index i on orders"),
     ],
 )
-SCALARS = Values("scalars", "id long, raw string", [(i, v) for i, v in enumerate(["NULL", "null", "'O\\'B'", "'a\\\\b'", "1.5", "0", "1", "-17", "abc", "'NULL'", "''", "'", " 42 ", "1.2.3", "9223372036854775807", "''x''"], 1)])
+SCALARS = PerEvent("scalars", "id long, raw string", [(i, v) for i, v in enumerate(["NULL", "null", "'O\\'B'", "'a\\\\b'", "1.5", "0", "1", "-17", "abc", "'NULL'", "''", "'", " 42 ", "1.2.3", "9223372036854775807", "''x''"], 1)])

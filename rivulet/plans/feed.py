@@ -166,3 +166,47 @@ CHECKPOINTS = f"""checkpoints AS (
     SELECT event_id AS id, event_id % 9 AS service_id, event_id % 5 + 1 AS node_id, ({_LIST(DIRECTIONS)})[CAST(event_id % 4 + 1 AS INTEGER)] AS direction,
         event_id * 100 AS log_pos, date_trunc('hour', ts) AS updated_at
     FROM events)"""
+
+
+#: Events to a log file of the services that the events' users stand for.
+LOG_EVENTS = 200
+
+
+def service_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log files of each service: service_id, idx, name, size."""
+    idx = (1 + F.floor(F.col("event_id") / LOG_EVENTS)).cast("int")
+    rows = events(spark, sf_dir).groupBy(F.col("user_id").alias("service_id"), idx.alias("idx")).agg((4 + 128 * F.count("*")).alias("size"))
+    return rows.select("service_id", "idx", F.concat(F.lit("bin."), F.lpad(F.col("idx").cast("string"), 6, "0")).alias("name"), "size")
+
+
+SERVICE_LOGS = f"""logs AS (
+    SELECT user_id AS service_id, CAST(1 + event_id // {LOG_EVENTS} AS INTEGER) AS idx, 'bin.' || lpad(CAST(1 + event_id // {LOG_EVENTS} AS VARCHAR), 6, '0') AS name, 4 + 128 * count(*) AS size
+    FROM events GROUP BY 1, 2, 3)"""
+
+
+def cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each service's capture stands, and what its last run met: service_id, start_file, start_pos, master_file,
+    master_pos, scanned, skipped, captured, max_files, max_bytes."""
+    s = F.col("service_id")
+    files = service_logs(spark, sf_dir).groupBy("service_id").agg(F.array_sort(F.collect_list(F.struct("idx", "name", "size"))).alias("f"))  # a service's files
+    seen = events(spark, sf_dir).groupBy(F.col("user_id").alias("service_id")).agg(F.count("*").alias("scanned"), F.count_if(F.col("event_type") == "error").alias("skipped"))
+    first, last = F.get("f", F.least((s % 3).cast("int"), F.size("f") - 1)), F.element_at("f", -1)
+    return files.join(seen, "service_id").select(
+        "service_id",
+        first["name"].alias("start_file"),
+        (4 + 100 * (s % 5)).alias("start_pos"),
+        last["name"].alias("master_file"),
+        F.greatest(last["size"] - 50 * (s % 3), F.lit(4)).alias("master_pos"),
+        "scanned",
+        "skipped",
+        (F.col("scanned") - F.col("skipped")).alias("captured"),
+        (1 + s % 4).cast("int").alias("max_files"),
+        (500 * (s % 6)).alias("max_bytes"),
+    )
+
+
+CURSORS = """cursors AS (
+    SELECT service_id, f[least(service_id % 3 + 1, len(f))].name AS start_file, 4 + 100 * (service_id % 5) AS start_pos, f[-1].name AS master_file, greatest(f[-1].size - 50 * (service_id % 3), 4) AS master_pos,
+        scanned, skipped, scanned - skipped AS captured, CAST(1 + service_id % 4 AS INTEGER) AS max_files, 500 * (service_id % 6) AS max_bytes
+    FROM (SELECT service_id, list({'name': name, 'size': size} ORDER BY idx) AS f FROM logs GROUP BY 1)
+    JOIN (SELECT user_id AS service_id, count(*) AS scanned, count(*) FILTER (WHERE event_type = 'error') AS skipped FROM events GROUP BY 1) USING (service_id))"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _literal(value: object) -> str:
@@ -36,3 +37,24 @@ class Values:
         body = ", ".join(f"CAST({c} AS {kinds[t]}) AS {c}" for c, t in columns)
         rows = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in self.rows)
         return f"{self.name} AS (SELECT {body} FROM (VALUES {rows}) AS v({', '.join(c for c, _ in columns)}))"
+
+
+@dataclass(frozen=True)
+class PerEvent(Values):
+    """A row for each event of the supplied table: its number as id, and the rest of the literal row of its number modulo
+    theirs. The first column is id."""
+
+    def of(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        kept = self.schema.split(", ", 1)[1]
+        own = spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(self.rows)], f"_n int, {kept}")
+        events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), (F.col("event_id") % len(self.rows)).cast("int").alias("_n"))
+        return events.join(F.broadcast(own), "_n").drop("_n")  # the literal rows
+
+    @property
+    def cte(self) -> str:
+        inner = Values(f"{self.name}_rows", self.schema, [(n, *r[1:]) for n, r in enumerate(self.rows)]).cte
+        return f"{inner}, {self.name} AS (SELECT r.* REPLACE (e.event_id AS id) FROM events e JOIN {self.name}_rows r ON r.id = e.event_id % {len(self.rows)})"
+
+    def place(self, first: object) -> int:
+        """The number modulo of the literal row whose first column is given."""
+        return [r[0] for r in self.rows].index(first)

@@ -6,28 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.operators import bootstrap, capture, rules
-from rivulet.plans.catalog import CURSORS, DISCOVERED, EXECUTIONS, ITEMS, LOGS, OBJECTS, PLANS, RULES, SELECTIONS, TABLES
-from rivulet.plans.feed import OUTBOX, outbox
+from rivulet.plans.catalog import DISCOVERED, EXECUTIONS, ITEMS, OBJECTS, PLANS, RULES, SELECTIONS, TABLES
+from rivulet.plans.feed import CURSORS, OUTBOX, SERVICE_LOGS, cursors, outbox, service_logs
 
 
 def scope_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = OBJECTS.df(spark)
+    names = OBJECTS.of(spark, sf_dir)
     keys = ["engine", "database_name", "table_name"]
     return names.join(rules.scope_decisions(names, RULES.df(spark)), keys).select("id", "decision", "allowed", "rule_id")
 
 
 def scope_rules_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = OBJECTS.df(spark)
+    names = OBJECTS.of(spark, sf_dir)
     keys = ["engine", "database_name", "table_name"]
     return names.join(rules.scope_decisions(names, RULES.df(spark), strict_include=True), keys).select("id", "decision", "allowed")
 
 
 def scope_rules_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.first_match_excludes(OBJECTS.df(spark).select("id", "database_name", "table_name"), RULES.df(spark), "mariadb")
+    return rules.first_match_excludes(OBJECTS.of(spark, sf_dir).select("id", "database_name", "table_name"), RULES.df(spark), "mariadb")
 
 
 def hard_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return OBJECTS.df(spark).select("id", rules.hard_excluded().alias("excluded"))
+    return OBJECTS.of(spark, sf_dir).select("id", rules.hard_excluded().alias("excluded"))
 
 
 def name_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,17 +41,17 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cdc_backlog_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture.backlog(CURSORS.df(spark), LOGS.df(spark)).select("service_id", "backlog_bytes", "backlog_files")
+    return capture.backlog(cursors(spark, sf_dir), service_logs(spark, sf_dir)).select("service_id", "backlog_bytes", "backlog_files")
 
 
 def cdc_adaptive_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = capture.backlog(CURSORS.df(spark), LOGS.df(spark)).withColumn("backlog_bytes", F.col("backlog_bytes") * 300)
+    rows = capture.backlog(cursors(spark, sf_dir), service_logs(spark, sf_dir)).withColumn("backlog_bytes", F.col("backlog_bytes") * 300)
     return rows.select("service_id", capture.adaptive_events().alias("events"), capture.adaptive_files().alias("files"), capture.adaptive_bytes().alias("bytes"))
 
 
 def cdc_scan_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = LOGS.df(spark)
-    out = capture.scan_window(capture.backlog(CURSORS.df(spark), logs), logs)
+    logs = service_logs(spark, sf_dir)
+    out = capture.scan_window(capture.backlog(cursors(spark, sf_dir), logs), logs)
     return out.select("service_id", "start_idx", "end_idx", "window_end_idx", "window_end_file", "window_end_pos", "empty_window")
 
 
@@ -135,7 +135,7 @@ def _named(name: str, include: str, exclude: str, like: str) -> str:
     return f"(len({_LIST(include)}) = 0 OR list_contains({_LIST(include)}, {name})) AND NOT list_contains({_LIST(exclude)}, {name}) AND (trim({like}) = '' OR {name} LIKE trim({like}))"
 
 
-_BACKLOG = f"""{CURSORS.cte}, {LOGS.cte}, p AS (SELECT c.*, s.idx AS start_idx, m.idx AS end_idx FROM cursors c LEFT JOIN logs s ON s.service_id = c.service_id AND s.name = c.start_file LEFT JOIN logs m ON m.service_id = c.service_id AND m.name = c.master_file),
+_BACKLOG = f"""{SERVICE_LOGS}, {CURSORS}, p AS (SELECT c.*, s.idx AS start_idx, m.idx AS end_idx FROM cursors c LEFT JOIN logs s ON s.service_id = c.service_id AND s.name = c.start_file LEFT JOIN logs m ON m.service_id = c.service_id AND m.name = c.master_file),
     b AS (SELECT p.*, CAST(coalesce((SELECT sum(greatest(CASE WHEN l.idx = start_idx AND l.idx = end_idx THEN master_pos - start_pos WHEN l.idx = start_idx THEN size - start_pos WHEN l.idx = end_idx THEN master_pos ELSE size END, 0)) FROM logs l WHERE l.service_id = p.service_id AND l.idx BETWEEN start_idx AND end_idx), 0) AS BIGINT) AS backlog_bytes,
         (SELECT count(*) FROM logs l WHERE l.service_id = p.service_id AND l.idx BETWEEN start_idx AND end_idx) AS backlog_files FROM p)"""
 _DIGEST = "sha256(concat_ws('|', CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR), c_mktsegment))"

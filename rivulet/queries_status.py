@@ -129,7 +129,7 @@ def presim_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ddl_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return STATEMENTS.df(spark).groupBy(schema_audit.statement_kind(F.col("sql")).alias("kind")).agg(F.count("*").alias("statements"), F.count_if("ok").alias("succeeded"))
+    return STATEMENTS.of(spark, sf_dir).groupBy(schema_audit.statement_kind(F.col("sql")).alias("kind")).agg(F.count("*").alias("statements"), F.count_if("ok").alias("succeeded"))
 
 
 QUERIES = {f.__name__: f for f in (archive_candidates, archive_orders, archive_due, archive_totals, settings_resolve, settings_archive, validity_filter, status_counts, global_status, replication_status, replication_status_counts, node_health, journal, console_summary, failover_validate, schema_diff, index_risk, impact_score, op_status, presim_summary, ddl_classify)}

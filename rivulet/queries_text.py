@@ -32,17 +32,17 @@ def binlog_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ddl_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logtext.ddl_events(DDL.df(spark)).withColumn("clause_no", F.col("clause_no").cast("int"))
+    return logtext.ddl_events(DDL.of(spark, sf_dir)).withColumn("clause_no", F.col("clause_no").cast("int"))
 
 
 def ddl_parse_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logtext.ddl_events(DDL.df(spark), parity=False).where("object_type = 'index'")
+    rows = logtext.ddl_events(DDL.of(spark, sf_dir), parity=False).where("object_type = 'index'")
     return rows.select("id", "table_name", "ddl_action", "object_name")
 
 
 def scalar_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.col("raw")
-    return SCALARS.df(spark).select("id", text.scalar_kind(raw).alias("kind"), text.scalar(raw).alias("value"))
+    return SCALARS.of(spark, sf_dir).select("id", text.scalar_kind(raw).alias("kind"), text.scalar(raw).alias("value"))
 
 
 def canonical_json_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,15 +80,16 @@ _SAFE_WANT = [(8, "create", "ix"), (9, "drop", "ix"), (11, "create", "ix"), (11,
 _SCALAR_WANT = [(1, "null", None), (2, "null", None), (3, "string", "O'B"), (4, "string", "a\\b"), (5, "float", "1.5"), (6, "int", "0"), (7, "int", "1"), (8, "int", "-17"), (9, "raw", "abc"), (10, "string", "NULL"), (11, "string", ""), (12, "raw", "'"), (13, "int", "42"), (14, "raw", "1.2.3"), (15, "int", "9223372036854775807"), (16, "string", "'x'")]
 _lit = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
 _values = lambda rows: ", ".join("(" + ", ".join(map(_lit, r)) + ")" for r in rows)
+_placed = lambda table, rows: [(table.place(r[0]), *r[1:]) for r in rows]
 _TXT = "CASE WHEN op {cond} THEN {v} END"
 ORACLE_SQL = {
     "binlog_parse": f"""WITH {FEED}, d AS (SELECT *, CASE WHEN log_pos < lag(log_pos) OVER (ORDER BY id) THEN 1 ELSE 0 END AS dropped FROM feed)
         SELECT row_number() OVER (ORDER BY id) AS event_no, op, database_name, table_name, CAST(least(sum(dropped) OVER (ORDER BY id), {FILES - 1}) AS BIGINT) AS file_index, log_pos,
             CASE WHEN op <> 'insert' THEN CAST(pk AS VARCHAR) END AS before_id, CASE WHEN op <> 'insert' THEN CAST(k AS VARCHAR) END AS before_k, CASE WHEN op <> 'delete' THEN CAST(pk AS VARCHAR) END AS after_id,
             CASE WHEN op <> 'delete' THEN CAST(k AS VARCHAR) END AS after_k, CASE WHEN op <> 'delete' THEN CAST(CAST(value AS DECIMAL(20,4)) AS VARCHAR) END AS after_unknown_col2 FROM d""",
-    "ddl_parse": f"SELECT CAST(id AS BIGINT) AS id, database_name, table_name, object_type, ddl_action, object_name, CAST(clause_no AS INTEGER) AS clause_no FROM (VALUES {_values(_DDL_WANT)}) AS v(id, database_name, table_name, object_type, ddl_action, object_name, clause_no)",
-    "ddl_parse_safe": f"SELECT CAST(id AS BIGINT) AS id, 'orders' AS table_name, ddl_action, object_name FROM (VALUES {_values(_SAFE_WANT)}) AS v(id, ddl_action, object_name)",
-    "scalar_decode": f"SELECT CAST(id AS BIGINT) AS id, kind, value FROM (VALUES {_values(_SCALAR_WANT)}) AS v(id, kind, value)",
+    "ddl_parse": f"SELECT event_id AS id, database_name, table_name, object_type, ddl_action, object_name, CAST(clause_no AS INTEGER) AS clause_no FROM events JOIN (VALUES {_values(_placed(DDL, _DDL_WANT))}) AS v(place, database_name, table_name, object_type, ddl_action, object_name, clause_no) ON event_id % {len(DDL.rows)} = place",
+    "ddl_parse_safe": f"SELECT event_id AS id, 'orders' AS table_name, ddl_action, object_name FROM events JOIN (VALUES {_values(_placed(DDL, _SAFE_WANT))}) AS v(place, ddl_action, object_name) ON event_id % {len(DDL.rows)} = place",
+    "scalar_decode": f"SELECT event_id AS id, kind, v.value FROM events JOIN (VALUES {_values(_placed(SCALARS, _SCALAR_WANT))}) AS v(place, kind, value) ON event_id % {len(SCALARS.rows)} = place",
     "canonical_json_sha": """SELECT event_id, sha256('{"a":' || json_extract_string(props, '$.k') || ',"z":' || user_id || '}') AS digest FROM events""",
     "key_heuristic": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'id' WHEN 1 THEN 'acct_ID' WHEN 2 THEN 'a' END AS key_column FROM events",
     "codec_roundtrip": "SELECT event_id, true AS plain, true AS zlib, true AS xor, true AS aes FROM events",
