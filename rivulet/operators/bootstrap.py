@@ -109,7 +109,3 @@ def catalog_diff(discovered: DataFrame, known: DataFrame) -> DataFrame:
         .otherwise("inactive")
     )
     return both.select(*keys, action.alias("action"))
-
-
-def csv_set(column: str) -> Column:
-    return csv_names(F.col(column))

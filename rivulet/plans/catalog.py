@@ -65,7 +65,6 @@ ARCHIVE_RUNS = Values(
         (4, 3, "failed", "2024-01-01 00:00:00", None), (5, 4, "success", "2024-01-19 22:00:00", None), (6, 5, "success", None, None),
     ],
 )
-SERVICES = Values("services", "id long, name string, engine string, node_id long, company_name string, client_name string, is_enabled boolean", [(i, f"svc{i}", ("mariadb", "mysql", "postgresql")[i % 3], 1 + i % 4, f"co{i % 2}", f"cl{i % 3}", i % 5 != 0) for i in range(1, 9)])
 DEFINITIONS = Values(
     "definitions",
     "id long, key string, value_type string, default_value string, is_enabled boolean",

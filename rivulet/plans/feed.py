@@ -210,3 +210,17 @@ CURSORS = """cursors AS (
         scanned, skipped, scanned - skipped AS captured, CAST(1 + service_id % 4 AS INTEGER) AS max_files, 500 * (service_id % 6) AS max_bytes
     FROM (SELECT service_id, list({'name': name, 'size': size} ORDER BY idx) AS f FROM logs GROUP BY 1)
     JOIN (SELECT user_id AS service_id, count(*) AS scanned, count(*) FILTER (WHERE event_type = 'error') AS skipped FROM events GROUP BY 1) USING (service_id))"""
+
+
+def services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A service for each user: id, name, engine, node_id, company_name, client_name, is_enabled."""
+    i = F.col("id")
+    engine = F.element_at(F.array(*map(F.lit, SERVICE_TYPES[:3])), (i % 3 + 1).cast("int"))
+    text = lambda prefix, value: F.concat(F.lit(prefix), value.cast("string"))
+    rows = events(spark, sf_dir).select(F.col("user_id").alias("id")).distinct()
+    return rows.select("id", text("svc", i).alias("name"), engine.alias("engine"), (1 + i % 4).alias("node_id"), text("co", i % 2).alias("company_name"), text("cl", i % 3).alias("client_name"), (i % 5 != 0).alias("is_enabled"))
+
+
+SERVICES = f"""services AS (
+    SELECT DISTINCT user_id AS id, 'svc' || user_id AS name, ({_LIST(SERVICE_TYPES[:3])})[CAST(user_id % 3 + 1 AS INTEGER)] AS engine, 1 + user_id % 4 AS node_id, 'co' || user_id % 2 AS company_name, 'cl' || user_id % 3 AS client_name, user_id % 5 <> 0 AS is_enabled
+    FROM events)"""

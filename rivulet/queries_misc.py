@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from rivulet.functions import text
 from rivulet.operators import outcomes, schema_audit, status, tables, transport
-from rivulet.plans.catalog import DB_COLUMNS, DB_INDEXES, NODES, OPERATIONS, SERVICES
-from rivulet.plans.feed import BATCHES, FEED, OUTBOX, STATUS_LOG, batches, change_feed, events, outbox, status_log
+from rivulet.plans.catalog import DB_COLUMNS, DB_INDEXES, NODES, OPERATIONS
+from rivulet.plans.feed import BATCHES, FEED, OUTBOX, SERVICES, STATUS_LOG, batches, change_feed, events, outbox, services, status_log
 from rivulet.queries_status import ORACLE_SQL as STATUS_SQL
 from rivulet.sources import changes
 
@@ -89,8 +89,8 @@ def repair_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def node_services(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Services that touch node 2 as source or target, with their node (left join) and enabled reports (semi join)."""
-    services = SERVICES.df(spark).select("id", "name", F.col("node_id").alias("source_node_id"), ((F.col("id") * 3) % 5).alias("target_node_id"))
-    rows = status.touching(services, 2).join(NODES.df(spark).select(F.col("id").alias("target_node_id"), F.col("name").alias("target")), "target_node_id", "left")
+    own = services(spark, sf_dir).select("id", "name", F.col("node_id").alias("source_node_id"), ((F.col("id") * 3) % 5).alias("target_node_id"))
+    rows = status.touching(own, 2).join(NODES.df(spark).select(F.col("id").alias("target_node_id"), F.col("name").alias("target")), "target_node_id", "left")
     return rows.join(status_log(spark, sf_dir).select(F.col("service_id").alias("id")), "id", "left_semi").select("id", "name", "target")
 
 
@@ -137,7 +137,7 @@ ORACLE_SQL = {
     "capture_outcomes": f"WITH e AS (SELECT event_id, event_id % 3 - 1 AS c, event_id % 4 - 2 AS s FROM events), o AS (SELECT {_CODE} AS o FROM e) SELECT split_part(o, '/', 1) AS status, split_part(o, '/', 2) AS code, count(*) AS runs FROM o GROUP BY 1, 2",
     "transport_outcomes": f"WITH e AS (SELECT event_id, (['send_batch', 'build_batch', 'cycle'])[CAST(event_id % 3 + 1 AS INTEGER)] AS a FROM events), o AS (SELECT {_TCODE} AS o FROM e) SELECT split_part(o, '/', 1) AS status, split_part(o, '/', 2) AS code, count(*) AS runs FROM o GROUP BY 1, 2",
     "repair_plan": f"{_OPS}, r AS (SELECT model, count(*) FILTER (WHERE op_type = 'AddField' AND status = 'missing') AS missing_fields, count(*) FILTER (WHERE op_type = 'AlterField' AND status = 'missing') AS missing_alterations, count(*) FILTER (WHERE op_type = 'AddIndex' AND status = 'missing') AS missing_indexes FROM ops GROUP BY 1) SELECT *, missing_fields = 0 AND missing_alterations = 0 AS can_fake FROM r",
-    "node_services": f"WITH {SERVICES.cte}, {NODES.cte}, {STATUS_LOG}, s AS (SELECT id, name, node_id AS source, id * 3 % 5 AS target FROM services) SELECT s.id, s.name, n.name AS target FROM s LEFT JOIN nodes n ON n.id = s.target WHERE (s.source = 2 OR s.target = 2) AND s.id IN (SELECT service_id FROM status_log)",
+    "node_services": f"WITH {SERVICES}, {NODES.cte}, {STATUS_LOG}, s AS (SELECT id, name, node_id AS source, id * 3 % 5 AS target FROM services) SELECT s.id, s.name, n.name AS target FROM s LEFT JOIN nodes n ON n.id = s.target WHERE (s.source = 2 OR s.target = 2) AND s.id IN (SELECT service_id FROM status_log)",
     "report_payload_keys": f"WITH {STATUS_LOG} SELECT service_type AS payload_key, count(*) AS reports, max(id) AS latest FROM status_log WHERE service_type <> 'mysql' GROUP BY 1",
     "changed_keys": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 3 = 0 THEN 'a,id' ELSE 'a,c,id' END ELSE CASE WHEN event_id % 3 = 0 THEN 'a,b,id' ELSE 'b,c,id' END END AS either, CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 3 = 0 THEN '' ELSE 'a' END ELSE 'b' END AS gone FROM events",
     "lock_labels": f"""SELECT event_id, CASE WHEN {_AGE} // 60 < 60 THEN ({_AGE} // 60) || ' min' WHEN {_AGE} // 60 < 1440 THEN ({_AGE} // 3600) || 'h ' || ({_AGE} // 60 % 60) || 'min' ELSE ({_AGE} // 86400) || 'j' END AS label, left(props, 5) AS head, '`' || event_type || '``x`' AS quoted, event_id % 2 <> 0 AS is_name FROM events""",

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.operators import retention, schema_audit, settings, status
-from rivulet.plans.catalog import ARCHIVE_RUNS, DB_COLUMNS, DB_INDEXES, DEFINITIONS, FAILOVERS, MODEL_COLUMNS, MODEL_INDEXES, NODE_STATUS, NODES, OPERATIONS, RELATIONS, SERVICES, SETTINGS, STATEMENTS, STEPS
-from rivulet.plans.feed import BATCHES, INBOX, OUTBOX, STATUS_LOG, batches, events, inbox, outbox, status_log
+from rivulet.plans.catalog import ARCHIVE_RUNS, DB_COLUMNS, DB_INDEXES, DEFINITIONS, FAILOVERS, MODEL_COLUMNS, MODEL_INDEXES, NODE_STATUS, NODES, OPERATIONS, RELATIONS, SETTINGS, STATEMENTS, STEPS
+from rivulet.plans.feed import BATCHES, INBOX, OUTBOX, SERVICES, STATUS_LOG, batches, events, inbox, outbox, services, status_log
 from rivulet.operators.ordered import latest
 
 NOW, DAYS = "2024-01-25 00:00:00", 10
@@ -31,7 +31,7 @@ def archive_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def archive_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retention.archive_due(SERVICES.df(spark), ARCHIVE_RUNS.df(spark), "2024-01-20 00:00:00")
+    return retention.archive_due(services(spark, sf_dir), ARCHIVE_RUNS.df(spark), "2024-01-20 00:00:00")
 
 
 def archive_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,11 +41,11 @@ def archive_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def settings_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settings.resolved(SERVICES.df(spark), DEFINITIONS.df(spark), SETTINGS.df(spark), "2024-06-01 00:00:00")
+    return settings.resolved(services(spark, sf_dir), DEFINITIONS.df(spark), SETTINGS.df(spark), "2024-06-01 00:00:00")
 
 
 def settings_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = settings.resolved(SERVICES.df(spark), DEFINITIONS.df(spark), SETTINGS.df(spark), "2024-06-01 00:00:00", ("service", "global"), checked=False)
+    out = settings.resolved(services(spark, sf_dir), DEFINITIONS.df(spark), SETTINGS.df(spark), "2024-06-01 00:00:00", ("service", "global"), checked=False)
     return out.select("service_id", "key", "source", "setting_id")
 
 
@@ -62,7 +62,7 @@ def _locks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def global_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return status.global_status(NODES.df(spark), SERVICES.df(spark), FAILOVERS.df(spark), _locks(spark, sf_dir))
+    return status.global_status(NODES.df(spark), services(spark, sf_dir), FAILOVERS.df(spark), _locks(spark, sf_dir))
 
 
 def replication_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +148,7 @@ def _resolved(scopes: tuple[str, ...], checked: bool) -> str:
     hit = " OR ".join(f"(v.scope_type = '{k}' AND {match[k]})" for k in scopes)
     extra = f"AND {_VALID.format(now='2024-06-01 00:00:00')} AND v.engine IN ('all', s.engine)" if checked else ""
     rank = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(scopes))
-    return f"""{SERVICES.cte}, {DEFINITIONS.cte}, {SETTINGS.cte}, k AS (SELECT key, min(id) AS definition_id FROM definitions WHERE is_enabled GROUP BY 1), d AS (SELECT k.*, value_type, default_value FROM k JOIN definitions f ON f.id = k.definition_id),
+    return f"""{SERVICES}, {DEFINITIONS.cte}, {SETTINGS.cte}, k AS (SELECT key, min(id) AS definition_id FROM definitions WHERE is_enabled GROUP BY 1), d AS (SELECT k.*, value_type, default_value FROM k JOIN definitions f ON f.id = k.definition_id),
         h AS (SELECT s.id AS service_id, v.definition_id, v.id AS setting_id, v.value_text, v.scope_type, row_number() OVER (PARTITION BY s.id, v.definition_id ORDER BY CASE v.scope_type {rank} END, v.priority, v.id) AS n FROM services s JOIN settings v ON v.is_enabled AND ({hit}) {extra}),
         r AS (SELECT s.id AS service_id, d.key, d.value_type, d.default_value, h.setting_id, h.value_text, h.scope_type FROM services s CROSS JOIN d LEFT JOIN h ON h.service_id = s.id AND h.definition_id = d.definition_id AND h.n = 1)"""
 
@@ -185,7 +185,7 @@ ORACLE_SQL = {
         UNION ALL SELECT 'batch', batch_id FROM batches b WHERE built_at < {BEFORE} AND status IN ('acked', 'failed') AND NOT EXISTS (SELECT 1 FROM inbox i WHERE i.batch_id = b.batch_id AND i.status IN ('received', 'queued', 'applying'))
         UNION ALL SELECT 'simple', event_id FROM events WHERE ts < {BEFORE}""",
     "archive_orders": "SELECT o_orderstatus, count(*) AS orders FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01 00:00:00' - INTERVAL 1825 DAYS GROUP BY 1",
-    "archive_due": f"""WITH {SERVICES.cte}, {ARCHIVE_RUNS.cte}, l AS (SELECT service_id, max(id) AS id FROM archive_runs WHERE status IN ('success', 'partial') GROUP BY 1), a AS (SELECT s.id AS service_id, l.id AS run, CAST(coalesce(finished_at, started_at) AS TIMESTAMP) AS ended FROM services s LEFT JOIN l ON l.service_id = s.id LEFT JOIN archive_runs r ON r.id = l.id),
+    "archive_due": f"""WITH {SERVICES}, {ARCHIVE_RUNS.cte}, l AS (SELECT service_id, max(id) AS id FROM archive_runs WHERE status IN ('success', 'partial') GROUP BY 1), a AS (SELECT s.id AS service_id, l.id AS run, CAST(coalesce(finished_at, started_at) AS TIMESTAMP) AS ended FROM services s LEFT JOIN l ON l.service_id = s.id LEFT JOIN archive_runs r ON r.id = l.id),
         e AS (SELECT *, date_sub('second', ended, TIMESTAMP '2024-01-20 00:00:00') AS elapsed FROM a), c AS (SELECT *, CASE WHEN run IS NULL THEN 'no_previous_archive_run' WHEN ended IS NULL THEN 'previous_archive_run_without_datetime' WHEN elapsed < 86400 THEN 'archive_interval_not_reached' ELSE 'archive_interval_reached' END AS reason FROM e)
         SELECT service_id, reason <> 'archive_interval_not_reached' AS due, reason, CAST(CASE WHEN reason = 'archive_interval_not_reached' THEN 86400 - elapsed ELSE 0 END AS BIGINT) AS remaining_seconds FROM c""",
     "archive_totals": f"WITH {OUTBOX} SELECT service_id, status, count(*) AS archived, min(id) AS first_id, max(id) AS last_id FROM outbox WHERE ts < {BEFORE} AND status IN ('applied', 'dead') GROUP BY 1, 2",
@@ -193,7 +193,7 @@ ORACLE_SQL = {
     "settings_archive": f"WITH {_resolved(('service', 'global'), False)} SELECT service_id, key, {_SOURCE}, setting_id FROM r",
     "validity_filter": f"WITH {SETTINGS.cte} SELECT id, {_VALID.format(now='2024-01-20 00:00:00')} AS valid FROM settings",
     "status_counts": f"WITH {BATCHES}, {INBOX.removeprefix(OUTBOX + ', ')} SELECT 'outbound' AS source, status, count(*) AS events FROM outbox GROUP BY 2 UNION ALL SELECT 'inbound', status, count(*) FROM inbox GROUP BY 2 UNION ALL SELECT 'batch', status, count(*) FROM batches GROUP BY 2",
-    "global_status": f"""WITH {BATCHES}, {NODES.cte}, {SERVICES.cte}, {FAILOVERS.cte} SELECT (SELECT count(*) FROM nodes) AS nodes_total, (SELECT count(*) FROM nodes WHERE is_enabled) AS nodes_enabled, (SELECT count(*) FROM nodes WHERE status = 'online') AS nodes_online,
+    "global_status": f"""WITH {BATCHES}, {NODES.cte}, {SERVICES}, {FAILOVERS.cte} SELECT (SELECT count(*) FROM nodes) AS nodes_total, (SELECT count(*) FROM nodes WHERE is_enabled) AS nodes_enabled, (SELECT count(*) FROM nodes WHERE status = 'online') AS nodes_online,
         (SELECT count(*) FROM nodes WHERE status = 'offline') AS nodes_offline, (SELECT count(*) FROM nodes WHERE status = 'degraded') AS nodes_degraded, (SELECT count(*) FROM services) AS replication_total, (SELECT count(*) FROM services WHERE is_enabled) AS replication_enabled,
         (SELECT count(*) FROM failovers WHERE status IN ('ready', 'running')) AS active_failovers, (SELECT count(*) FROM batches WHERE batch_id % 3 = 0) AS locked_objects""",
     "replication_status": f"WITH {STATUS_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY service_id ORDER BY id DESC) AS n FROM status_log) SELECT service_id, service_type, {_STATE} AS status, {_LAG} AS lag_seconds, {_ERROR} AS last_error FROM r WHERE n = 1",

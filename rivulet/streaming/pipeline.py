@@ -54,11 +54,6 @@ def start_cursor(spark: SparkSession, cursors: str) -> DataFrame:
     return rows.agg(F.coalesce(F.max("read"), F.max("captured")).alias("at"), F.max("captured").alias("captured")).select("at.log_file", "at.log_pos", F.col("captured.log_pos").alias("captured_pos"))
 
 
-def drain_again(captured: int, skipped: int, moved: bool, at_master: bool, attempt: int, limit: int = 2) -> bool:
-    """Whether a run that only met internal noise, moved and has not reached the master should read on at once."""
-    return captured == 0 and skipped > 0 and moved and not at_master and attempt < min(max(limit, 0), 5)
-
-
 def received(stream: DataFrame, uid: str = "event_uid", service: str = "service_id", time: str = "ts", late: str = "10 minutes") -> DataFrame:
     """The stream without repeats of (service, uid) within the watermark; changes with a blank uid all pass."""
     own = F.when(F.trim(F.coalesce(uid, F.lit(""))) == "", F.concat(F.lit("row-"), F.col("id").cast("string"))).otherwise(F.col(uid))
