@@ -31,7 +31,7 @@ from tokenizers.pre_tokenizers import ByteLevel
 from rivulet.llm.common import only, pieces, scratch, shuffle_parts, table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
-CHUNKS_KEPT = 400_000  # encoded parts of chunks that a worker remembers
+CHUNKS_KEPT = 150_000  # encoded parts of chunks that a worker remembers
 ROW_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 #: Separates chunks that are encoded together; a chunk that holds it is encoded alone.
 MARK = "\x01"
