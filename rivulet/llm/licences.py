@@ -39,6 +39,7 @@ _APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you m
 _APACHE_REST = ' You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
 _BSD_TWO = " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_ADVERTISING = " 3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization."
 _BSD_THREE = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 _BSD_WARRANTY = ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 _ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
@@ -72,7 +73,7 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("BSD-3-Clause", _BSD),
+    ("BSD", _BSD),  # the opening that all of them share: a family's name
     ("BSD-2-Clause", _BSD + _BSD_TWO + _BSD_WARRANTY),
     ("BSD-3-Clause", _BSD + _BSD_TWO + _BSD_THREE + _BSD_WARRANTY),
     ("ISC", _ISC),
@@ -80,9 +81,11 @@ TEMPLATES = [
     ("MPL-2.0", _MPL),
     ("MPL-2.0", _MPL + " If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("BSD", _BSD + _BSD_TWO),
+    ("BSD-4-Clause", _BSD + _BSD_TWO + _BSD_ADVERTISING + _BSD_THREE.replace("3.", "4.") + _BSD_WARRANTY),
 ]
 #: Words whose change makes another licence.
-MARKS = frozenset("apache mit gnu gpl lgpl agpl lesser affero bsd cc by nc sa nd mozilla mpl isc sharealike noncommercial".split())
+MARKS = frozenset("advertising apache mit gnu gpl lgpl agpl lesser affero bsd cc by nc sa nd mozilla mpl isc sharealike noncommercial".split())
 MOST_DIFFERENT = 0.25
 LEVEL = 3
 WORDS_KEPT = 300_000

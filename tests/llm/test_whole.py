@@ -266,3 +266,13 @@ def test_pii_without_a_broadcast(spark, monkeypatch):
     want = sorted((r.doc_id, str(r.spans)) for r in pii.find(docs(spark, texts)).collect())
     monkeypatch.setattr(pii, "BROADCAST_PATTERNS", 0)
     assert sorted((r.doc_id, str(r.spans)) for r in pii.find(docs(spark, texts)).collect()) == want
+
+
+def test_bsd_family():
+    """What all BSD licences share names the family only; clauses tell the members apart."""
+    two = licences._BSD + licences._BSD_TWO
+    three, four = two + licences._BSD_THREE, two + licences._BSD_ADVERTISING + licences._BSD_THREE.replace("3.", "4.")
+    texts = {"BSD-4-Clause": four + licences._BSD_WARRANTY, "BSD-3-Clause": three + licences._BSD_WARRANTY, "BSD-2-Clause": two + licences._BSD_WARRANTY, "BSD": licences._BSD}
+    for name, text in texts.items():
+        assert [x[2] for x in scanned(f"Some words before it. {text} And after.")] == [name]
+    assert [x[2] for x in scanned(two)] == ["BSD"]
