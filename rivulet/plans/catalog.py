@@ -128,7 +128,7 @@ DB_COLUMNS = Values(
 DB_INDEXES = Values("db_indexes", "table_name string, index_name string, columns_csv string", [("orders", "pk_o", "o_orderkey"), ("orders", "ix_cust", "o_custkey,o_orderstatus"), ("part", "pk_p", "p_partkey"), ("part", "ux_name", "p_name"), ("nation", "pk_n", "n_nationkey")])
 MODEL_INDEXES = Values("model_indexes", "model string, index_name string, fields_csv string", [("order", "ix1", "note,status"), ("order", "ix2", "status,customer"), ("ghost", "ix3", "-body"), ("part", "ix4", "name,brand")])
 RELATIONS = Values("relations", "model string, direction string", [("order", d) for d in ("FK", "FK", "FK", "FK", "IN")] + [("nation", "IN")] * 7 + [("nation", "FK")] + [("part", "M2M"), ("part", "IN")])
-OPERATIONS = Values(
+OPERATIONS = PerEvent(
     "operations",
     "id long, op_type string, model string, table_name string, column_name string, columns_csv string, max_length int, is_null boolean, default_value string, is_unique boolean, is_safe boolean, reason string",
     [

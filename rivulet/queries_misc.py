@@ -84,7 +84,7 @@ def transport_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repair_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outcomes.repair_plan(schema_audit.operation_statuses(OPERATIONS.df(spark), DB_COLUMNS.df(spark), DB_INDEXES.df(spark)))
+    return outcomes.repair_plan(schema_audit.operation_statuses(OPERATIONS.of(spark, sf_dir), DB_COLUMNS.df(spark), DB_INDEXES.df(spark)))
 
 
 def node_services(spark: SparkSession, sf_dir: str) -> DataFrame:

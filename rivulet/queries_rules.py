@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from rivulet.operators import bootstrap, capture, rules
 from rivulet.plans.catalog import DISCOVERED, EXECUTIONS, ITEMS, OBJECTS, PLANS, RULES, SELECTIONS, TABLES
 from rivulet.plans.feed import CURSORS, OUTBOX, SERVICE_LOGS, cursors, outbox, service_logs
+from rivulet.plans.values import PerEvent
+
+#: A table for each event.
+EVENT_TABLES = PerEvent("catalog", TABLES.schema, TABLES.rows)
 
 
 def scope_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +35,7 @@ def hard_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = TABLES.df(spark).where(rules.name_filter("database_name", F.lit("crm, shop ,hr"), F.lit("hr,"), F.lit("%o%")) & rules.name_filter("table_name", F.lit(""), F.lit("audit_log"), F.lit("orders%")))
+    rows = EVENT_TABLES.of(spark, sf_dir).where(rules.name_filter("database_name", F.lit("crm, shop ,hr"), F.lit("hr,"), F.lit("%o%")) & rules.name_filter("table_name", F.lit(""), F.lit("audit_log"), F.lit("orders%")))
     return rows.select("id", "database_name", "table_name")
 
 
@@ -145,7 +149,7 @@ ORACLE_SQL = {
     "scope_rules_strict": f"WITH {_SCOPE}, e AS (SELECT id, {_DECISION.format(strict=chr(10) + ' WHEN has_include THEN ' + repr('denied_because_include_rules_exist_but_no_match'))} AS decision FROM d) SELECT id, decision, starts_with(decision, 'allowed') AS allowed FROM e",
     "scope_rules_first_match": f"WITH {OBJECTS.cte}, {RULES.cte}, n AS (SELECT id, database_name, table_name FROM objects), {_FIRST_CTE.format(rows='n', on=_FIRST)} SELECT id, database_name, table_name, coalesce(mode = 'exclude', false) AS excluded, rule_id FROM f",
     "hard_exclude": f"WITH {OBJECTS.cte} SELECT id, starts_with(lower(trim(table_name)), 'cdc_') OR lower(trim(table_name)) IN ('django_migrations', 'django_content_type', 'auth_permission', 'django_admin_log') AS excluded FROM objects",
-    "name_filter": f"WITH {TABLES.cte} SELECT id, database_name, table_name FROM catalog WHERE database_name IN ('crm', 'shop') AND database_name LIKE '%o%' AND table_name LIKE 'orders%'",
+    "name_filter": f"WITH {EVENT_TABLES.cte} SELECT id, database_name, table_name FROM catalog WHERE database_name IN ('crm', 'shop') AND database_name LIKE '%o%' AND table_name LIKE 'orders%'",
     "name_search": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_name ILIKE '%auto%' OR c_mktsegment ILIKE '%auto%'",
     "cdc_backlog_bytes": f"WITH {_BACKLOG} SELECT service_id, backlog_bytes, backlog_files FROM b",
     "cdc_adaptive_limits": f"""WITH {_BACKLOG}, e AS (SELECT *, backlog_bytes * 300 AS bb, greatest(500, floor(backlog_bytes * 300 / 2048)) + greatest(backlog_files - 1, 0) * 1500 AS base, CASE WHEN scanned > 0 THEN skipped / scanned ELSE 0 END AS ratio FROM b),

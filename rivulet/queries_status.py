@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from rivulet.operators import retention, schema_audit, settings, status
 from rivulet.plans.catalog import ARCHIVE_RUNS, DB_COLUMNS, DB_INDEXES, DEFINITIONS, FAILOVERS, MODEL_COLUMNS, MODEL_INDEXES, NODE_STATUS, NODES, OPERATIONS, RELATIONS, SETTINGS, STATEMENTS, STEPS
 from rivulet.plans.feed import BATCHES, INBOX, OUTBOX, SERVICES, STATUS_LOG, batches, events, inbox, outbox, services, status_log
+from rivulet.plans.values import PerEvent
 from rivulet.operators.ordered import latest
 
 NOW, DAYS = "2024-01-25 00:00:00", 10
 BEFORE = "TIMESTAMP '2024-01-15 00:00:00'"
 
+#: A setting for each event.
+EVENT_SETTINGS = PerEvent("settings", SETTINGS.schema, SETTINGS.rows)
+
 
 def archive_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = retention.cutoff(NOW, DAYS)
@@ -50,7 +54,7 @@ def settings_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SETTINGS.df(spark).select("id", settings.valid_at("2024-01-20 00:00:00").alias("valid"))
+    return EVENT_SETTINGS.of(spark, sf_dir).select("id", settings.valid_at("2024-01-20 00:00:00").alias("valid"))
 
 
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +125,7 @@ def impact_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema_audit.operation_statuses(OPERATIONS.df(spark), DB_COLUMNS.df(spark), DB_INDEXES.df(spark))
+    return schema_audit.operation_statuses(OPERATIONS.of(spark, sf_dir), DB_COLUMNS.df(spark), DB_INDEXES.df(spark))
 
 
 def presim_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +195,7 @@ ORACLE_SQL = {
     "archive_totals": f"WITH {OUTBOX} SELECT service_id, status, count(*) AS archived, min(id) AS first_id, max(id) AS last_id FROM outbox WHERE ts < {BEFORE} AND status IN ('applied', 'dead') GROUP BY 1, 2",
     "settings_resolve": f"WITH {_resolved(settings.SCOPES, True)} SELECT service_id, key, CASE WHEN setting_id IS NOT NULL THEN {_decode('value_text')} WHEN coalesce(default_value, '') <> '' THEN {_decode('default_value')} END AS value, {_SOURCE}, setting_id FROM r",
     "settings_archive": f"WITH {_resolved(('service', 'global'), False)} SELECT service_id, key, {_SOURCE}, setting_id FROM r",
-    "validity_filter": f"WITH {SETTINGS.cte} SELECT id, {_VALID.format(now='2024-01-20 00:00:00')} AS valid FROM settings",
+    "validity_filter": f"WITH {EVENT_SETTINGS.cte} SELECT id, {_VALID.format(now='2024-01-20 00:00:00')} AS valid FROM settings",
     "status_counts": f"WITH {BATCHES}, {INBOX.removeprefix(OUTBOX + ', ')} SELECT 'outbound' AS source, status, count(*) AS events FROM outbox GROUP BY 2 UNION ALL SELECT 'inbound', status, count(*) FROM inbox GROUP BY 2 UNION ALL SELECT 'batch', status, count(*) FROM batches GROUP BY 2",
     "global_status": f"""WITH {BATCHES}, {NODES.cte}, {SERVICES}, {FAILOVERS.cte} SELECT (SELECT count(*) FROM nodes) AS nodes_total, (SELECT count(*) FROM nodes WHERE is_enabled) AS nodes_enabled, (SELECT count(*) FROM nodes WHERE status = 'online') AS nodes_online,
         (SELECT count(*) FROM nodes WHERE status = 'offline') AS nodes_offline, (SELECT count(*) FROM nodes WHERE status = 'degraded') AS nodes_degraded, (SELECT count(*) FROM services) AS replication_total, (SELECT count(*) FROM services WHERE is_enabled) AS replication_enabled,
