@@ -98,7 +98,7 @@ STEPS = Values(
     ],
 )
 FAILOVERS = Values("failovers", "id long, name string, status string", [(1, "good", "ready"), (2, "bad", "running"), (3, "half", "draft"), (4, "none", "ready")])
-NODE_STATUS = Values(
+NODE_STATUS = PerEvent(
     "node_status",
     "node_id long, payload string",
     [

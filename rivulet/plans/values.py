@@ -41,19 +41,20 @@ class Values:
 
 @dataclass(frozen=True)
 class PerEvent(Values):
-    """A row for each event of the supplied table: its number as id, and the rest of the literal row of its number modulo
-    theirs. The first column is id."""
+    """A row for each event of the supplied table: its number in the first column, an id, and the rest of the literal row of
+    its number modulo theirs."""
 
     def of(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        kept = self.schema.split(", ", 1)[1]
+        first, kept = self.schema.split(" ", 1)[0], self.schema.split(", ", 1)[1]
         own = spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(self.rows)], f"_n int, {kept}")
-        events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), (F.col("event_id") % len(self.rows)).cast("int").alias("_n"))
+        events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias(first), (F.col("event_id") % len(self.rows)).cast("int").alias("_n"))
         return events.join(F.broadcast(own), "_n").drop("_n")  # the literal rows
 
     @property
     def cte(self) -> str:
+        first = self.schema.split(" ", 1)[0]
         inner = Values(f"{self.name}_rows", self.schema, [(n, *r[1:]) for n, r in enumerate(self.rows)]).cte
-        return f"{inner}, {self.name} AS (SELECT r.* REPLACE (e.event_id AS id) FROM events e JOIN {self.name}_rows r ON r.id = e.event_id % {len(self.rows)})"
+        return f"{inner}, {self.name} AS (SELECT r.* REPLACE (e.event_id AS {first}) FROM events e JOIN {self.name}_rows r ON r.{first} = e.event_id % {len(self.rows)})"
 
     def place(self, first: object) -> int:
         """The number modulo of the literal row whose first column is given."""

@@ -82,7 +82,7 @@ def replication_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return NODE_STATUS.df(spark).select("node_id", status.node_status(F.col("payload")).alias("status"))
+    return NODE_STATUS.of(spark, sf_dir).select("node_id", status.node_status(F.col("payload")).alias("status"))
 
 
 def _audits(spark: SparkSession, sf_dir: str) -> DataFrame:
