@@ -1,5 +1,8 @@
 """Rows and schema changes from one stream, applied to written tables."""
 
+import time
+
+import pandas as pd
 import pytest
 
 from rivulet.operators import timeline, versioned
@@ -72,3 +75,27 @@ def test_a_run_that_broke_off_is_repeated(spark, apply, monkeypatch):
     told, rows, _ = apply(changes, [])
     assert told == {1: "applied", 2: "applied"} and rows == [(1, "1", "n"), (2, "2", None)]
     assert timeline.checkpoint(spark, apply.root) == 2
+
+
+def test_a_walk_passes_each_schema_change_once():
+    n = 20_000
+    clause = [{"object_type": "column", "ddl_action": "alter", "object_name": "b"}]
+    rows = [("t", 0, 0, -1, "target", None, ["id"])]
+    rows += [("t", 0, i // 2 + 1, i, "ddl", clause, None) if i % 2 == 0 else ("t", 0, i // 2 + 1, i, "shape", None, ["id", "unknown"]) for i in range(2 * n)]
+    began = time.process_time()
+    out = timeline._walk(pd.DataFrame(rows, columns=["table_name", "stretch", "epoch", "id", "kind", "clauses", "columns"]))
+    assert time.process_time() - began < 8
+    assert out["cause"].value_counts().to_dict() == {"ddl": n, "start": 1, "pending_ddl": 1}
+
+
+def test_many_lives_do_not_multiply_the_source(apply, monkeypatch):
+    lives, keys, asked = 30, 20, []
+    inner = timeline.applied_batch
+    monkeypatch.setattr(timeline, "applied_batch", lambda target, *a, **k: asked.append(target.count()) or inner(target, *a, **k))
+    ddl = [(10 * i, 0, "t", "table", "drop", "t", None) for i in range(lives)]
+    changes = [row(10 * i + 1, "insert", i % 40, id="x") for i in range(lives)] + [row(10 * i + 2, "delete", i % 40) for i in range(lives)]
+    told, rows, _ = apply(changes, ddl, [(pk, {"id": str(pk)}) for pk in range(keys)], ["id"])
+    assert [told[10 * i + 1] for i in range(lives)] == ["duplicate_key" if i < keys else "bootstrap" for i in range(lives)]
+    assert {told[10 * i + 2] for i in range(lives)} == {"applied"}
+    assert rows == [(pk, str(pk)) for pk in range(keys)]
+    assert asked[0] <= 1 + 2 * lives  # the target's row and the changes that meet a row of the source
