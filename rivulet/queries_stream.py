@@ -11,12 +11,17 @@ from rivulet.session import scratch
 from rivulet.streaming import pipeline, stateful
 
 
-def _files(rows: DataFrame, files: int = 4) -> tuple[str, DataFrame]:
-    """The rows as files, and a stream of them, a file to a batch."""
+#: The most rows that a file of a stream is planned for; more make more files to a batch.
+FILE_ROWS = 500_000
+
+
+def _files(rows: DataFrame, batches: int = 4) -> tuple[str, DataFrame]:
+    """The rows as files, and a stream of them in so many batches."""
     spark = rows.sparkSession
     path = scratch(spark, "stream-in")
-    rows.repartitionByRange(files, "id").write.parquet(path)
-    return path, pipeline.source(spark, path, rows.schema, 1)
+    each = max(1, -(-rows.count() // (batches * FILE_ROWS)))
+    rows.repartitionByRange(batches * each, "id").write.parquet(path)
+    return path, pipeline.source(spark, path, rows.schema, each)
 
 
 def _end(query) -> None:

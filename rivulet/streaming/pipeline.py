@@ -6,14 +6,15 @@ Offsets, batch numbers and state live in the stream's checkpoint; a batch that r
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+#: Where the state of streams is kept.
+STORE, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def source(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 2) -> DataFrame:
     """Parquet files under a path as a stream, so many to a batch (admission control)."""
@@ -60,27 +61,13 @@ def received(stream: DataFrame, uid: str = "event_uid", service: str = "service_
     return stream.withColumn("_uid", own).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([service, "_uid"]).drop("_uid")
 
 
-COMPACTED = "pk long, events long, first_op string, last_op string, last_id long"
-_STATE = "first_id long, first_op string, last_id long, last_op string, events long"
-
-
-def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    first_id, first_op, last_id, last_op, events = state.get if state.exists else (None, None, None, None, 0)
-    for pdf in frames:
-        low, high = pdf.loc[pdf["id"].idxmin()], pdf.loc[pdf["id"].idxmax()]
-        if first_id is None or low["id"] < first_id:
-            first_id, first_op = int(low["id"]), low["op"]
-        if last_id is None or high["id"] > last_id:
-            last_id, last_op = int(high["id"]), high["op"]
-        events += len(pdf)
-    state.update((first_id, first_op, last_id, last_op, events))
-    yield pd.DataFrame({"pk": [key[0]], "events": [events], "first_op": [first_op], "last_op": [last_op], "last_id": [last_id]})
-
-
 def compacted(stream: DataFrame) -> DataFrame:
-    """The history of each key over all batches so far (five values of state a key), a row whenever it changes."""
-    rows = stream.select("pk", "id", "op")
-    return rows.groupBy("pk").applyInPandasWithState(_fold, COMPACTED, _STATE, "update", GroupStateTimeout.NoTimeout)
+    """The history of each key over all batches so far (a few values of state a key), a row whenever it changes: a streaming
+    aggregation, so changes are folded before the shuffle and a key's state is read once a batch. Keys stay for good, so
+    state is kept by the RocksDB store, outside of the heap."""
+    stream.sparkSession.conf.set(STORE, ROCKSDB)
+    ends = F.min_by("op", "id").alias("first_op"), F.max_by("op", "id").alias("last_op")
+    return stream.groupBy("pk").agg(F.count("*").alias("events"), *ends, F.max("id").alias("last_id"))
 
 
 def windowed(stream: DataFrame, time: str = "ts", size: str = "1 hour", late: str = "1 hour") -> DataFrame:
