@@ -6,23 +6,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.plans.feed import FEED
-from rivulet.queries_text import FILES, log_text
+from rivulet.queries_text import FILES, log_text, written
 from rivulet.session import scratch
 from rivulet.sources import logtext
+from rivulet.sources.logstream import files
 from rivulet.streaming import capture, pipeline
 
 
-def _written(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """A folder of the log in several files, and one for a capture."""
+def _written(spark: SparkSession, sf_dir: str) -> tuple[str, str, capture.Window]:
+    """A folder of the log in five files or more, one for a capture, and its scan window of two fifths of the files."""
     out = scratch(spark, "log")
-    log_text(spark, sf_dir).repartitionByRange(5, "line_no").sortWithinPartitions("line_no").select("line").write.text(out)
-    return out, scratch(spark, "capture")
+    written(log_text(spark, sf_dir), out, 5)
+    return out, scratch(spark, "capture"), capture.Window(max_files=-(-2 * len(files(out)) // 5))
 
 
 def captured_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The changes of a log that is read two files to a run, paused after the first run and resumed."""
-    path, work = _written(spark, sf_dir)
-    out, control, window = scratch(spark, "lines"), scratch(spark, "control"), capture.Window(max_files=2)
+    """The changes of a log that is read two fifths of its files to a run, paused after the first run and resumed."""
+    path, work, window = _written(spark, sf_dir)
+    out, control = scratch(spark, "lines"), scratch(spark, "control")
     for state in (capture.RUN, capture.PAUSED, capture.RUN):
         capture.command(spark, control, state)
         capture.run_once(spark, path, work, pipeline.appender(out), window, control)
@@ -36,9 +37,9 @@ def captured_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why each of a capture's runs stopped, and that their lines add up: windows of two files, a pause, an end, nothing."""
-    path, work = _written(spark, sf_dir)
-    out, control, window = scratch(spark, "lines"), scratch(spark, "control"), capture.Window(max_files=2)
+    """Why each of a capture's runs stopped, and that their lines add up: windows of two fifths of the files, a pause, an end, nothing."""
+    path, work, window = _written(spark, sf_dir)
+    out, control = scratch(spark, "lines"), scratch(spark, "control")
     once = lambda: capture.run_once(spark, path, work, pipeline.appender(out), window, control)
     runs = [once()]
     for state in (capture.PAUSED, capture.STOPPED):

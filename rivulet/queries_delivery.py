@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rivulet.functions import codec
 from rivulet.operators import delivery, retention, snapshot, transport, versioned
 from rivulet.plans.feed import FEED, OUTBOX, change_feed, events, outbox
-from rivulet.queries_text import FILES, log_text
+from rivulet.queries_text import FILES, log_text, written
 from rivulet.session import scratch
 from rivulet.sources import changes, logtext
 from rivulet.streaming import pipeline
@@ -60,9 +60,8 @@ def archive_capped_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row log written as text files, read as a source in their order and parsed."""
-    rows = log_text(spark, sf_dir)
     out = scratch(spark, "logs")
-    rows.repartitionByRange(6, "line_no").sortWithinPartitions("line_no").select("line").write.text(out)
+    written(log_text(spark, sf_dir), out, 6)
     found = logtext.row_events(logtext.lines(spark, out), FILES, {1: "id", 2: "k"})
     return found.select("event_no", "op", "table_name", "log_pos", F.try_element_at("after", F.lit("id")).alias("after_id"))
 

@@ -11,6 +11,8 @@ from rivulet.plans.feed import FEED, change_feed, events
 from rivulet.sources import logtext
 
 FILES = 1000
+#: The most lines that a written file of the log is planned for.
+FILE_LINES = 1_000_000
 
 
 def log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,13 @@ def log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((F.col("id") * 16 + F.col("n")).alias("line_no"), "line")
 
 
+def written(log: DataFrame, out: str, least: int) -> None:
+    """Write the log as text files that hold its lines in order: at least so many, and more for a longer log, since a file
+    is one task's to sort."""
+    files = least * max(1, -(-log.count() // (least * FILE_LINES)))
+    log.repartitionByRange(files, "line_no").sortWithinPartitions("line_no").select("line").write.text(out)
+
+
 def binlog_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = logtext.row_events(log_text(spark, sf_dir), FILES, {1: "id", 2: "k"})
     get = lambda side, key: F.try_element_at(F.col(side), F.lit(key)).alias(f"{side}_{key.lower()}")

@@ -144,20 +144,20 @@ class LogReader(DataSourceStreamReader):
                 at = _line_end(raw, at - 1, partition.whole)
             raw.seek(at)
             rest = b""
-            while at < partition.end or rest:
-                cut = rest.find(b"\n")
-                if cut < 0:
-                    more = raw.read(min(_BUFFER, partition.whole - raw.tell()))
-                    if more:
-                        rest += more
-                        continue
-                    cut = len(rest)
-                if at >= partition.end:
+            while at < partition.end:
+                more = raw.read(min(_BUFFER, partition.whole - raw.tell()))
+                rest, begin = rest + more, 0
+                while at < partition.end and begin < len(rest):
+                    cut = rest.find(b"\n", begin)
+                    if cut < 0:
+                        if more:  # the line may go on in the next block
+                            break
+                        cut = len(rest)
+                    yield partition.file, at, rest[begin:cut].decode("utf-8", "replace").removesuffix("\r")
+                    at, begin = at + cut + 1 - begin, cut + 1
+                rest = rest[begin:]
+                if not more:
                     return
-                if not rest:
-                    return
-                yield partition.file, at, rest[:cut].decode("utf-8", "replace").removesuffix("\r")
-                at, rest = at + cut + 1, rest[cut + 1 :]
 
 
 class LogSource(DataSource):
