@@ -16,10 +16,12 @@ def exact_duplicates(events: DataFrame, signature: Column, id_col: str = "id") -
     """events with signature and survivor_id (the least id of its signature).
 
     The least ids come from an aggregation with map-side combining and return by an equality join, which adaptive
-    execution splits where one signature holds very many events; a window would put them all into one task.
+    execution splits where one signature holds very many events; a window would put them all into one task. The least ids
+    are as many as there are signatures, so they are merged: a planner that takes them for small (it goes by the size of
+    compressed files) would send them all through the driver as a broadcast.
     """
     own = events.withColumn("signature", signature)
-    least = own.groupBy("signature").agg(F.min(id_col).alias("survivor_id"))
+    least = own.groupBy("signature").agg(F.min(id_col).alias("survivor_id")).hint("merge")
     return own.join(least, "signature").select(*events.columns, "signature", "survivor_id")
 
 

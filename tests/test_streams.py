@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from rivulet import queries_stream
+from rivulet.operators import dedup
 from rivulet.session import scratch
 from rivulet.streaming import pipeline
 
@@ -22,3 +23,10 @@ def test_compaction_folds_batches_without_a_call_for_each_key(spark, monkeypatch
     got = spark.read.parquet(out).groupBy("pk").agg(F.max_by(F.struct("events", "first_op", "last_op", "last_id"), "events").alias("r")).select("pk", "r.*")
     of = {k: [r for r in ROWS if r[1] == k] for k in range(7)}
     assert sorted(tuple(r) for r in got.collect()) == [(k, len(h), h[0][2], h[-1][2], h[-1][0]) for k, h in of.items() if h]
+
+
+def test_repeats_are_found_without_a_broadcast(spark):
+    rows = spark.createDataFrame([(i, i % 150) for i in range(200)], "id long, v long")
+    found = dedup.exact_duplicates(rows, dedup.business_signature("v"))
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert {r.id: r.survivor_id for r in found.collect()} == {i: i % 150 for i in range(200)}
