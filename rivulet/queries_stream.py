@@ -73,12 +73,21 @@ def stream_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _in_order(rows: DataFrame, part: Column, parts: int) -> DataFrame:
-    """A stream of the rows, one part to a batch in the order of their numbers; files are taken by their time."""
+    """A stream of the rows, one part to a batch in the order of their numbers; files are taken by their time. All parts but
+    the last have one number of files, which a batch takes: more than one where they are long."""
     spark = rows.sparkSession
     path = scratch(spark, "stream-in")
+    counts = {r.part: r["count"] for r in rows.groupBy(part.alias("part")).count().collect()}  # a row for each part
+    each = -(-max(counts.values()) // FILE_ROWS)
+    if min(counts.get(k, 0) for k in range(parts - 1)) < 1000 * each:  # too few to be sure of a row in every file
+        each = 1
     for k in range(parts):
-        rows.where(part == k).coalesce(1).write.mode("append").parquet(path)
-    return pipeline.source(spark, path, rows.schema, 1)
+        own = rows.where(part == k)
+        (own.coalesce(1) if each == 1 else own.repartition(each)).write.mode("append").parquet(path)
+        there = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+        if k < parts - 1 and there != each * (k + 1):
+            raise RuntimeError(f"part {k} was written to {there - each * k} files, not {each}")
+    return pipeline.source(spark, path, rows.schema, each)
 
 
 def stream_histories(spark: SparkSession, sf_dir: str) -> DataFrame:

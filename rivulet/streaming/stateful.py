@@ -1,7 +1,8 @@
 """State of keys over micro-batches: compaction of a key's pending history with timers, and receipt that counts what is late.
 
 Compaction (transformWithState) keeps a few numbers for each key with pending changes: the first and the last change, the
-last update, counts by operation, and the hashes of the changes so far, which tell exact repeats across batches. A timer
+last update, counts by operation, and the hashes of the changes so far, which tell exact repeats across batches. State is
+read and written once for a key and batch, not for each change, since every access is a message to the JVM. A timer
 of event time closes the history, emits its outcome by the rules of dedup.key_histories() and removes the
 state; what comes later begins a new one. So state is bounded by the keys that changed within the time allowed.
 """
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rivulet.operators.transport import checksum_ok
+from rivulet.streaming.pipeline import ROCKSDB, STORE
 
 HISTORY = "pk long, events long, repeats long, first_id long, first_op string, last_id long, last_op string, last_update_id long, inserts long, updates long, deletes long"
 _STATE = "events long, repeats long, first_id long, first_op string, last_id long, last_op string, last_update_id long, inserts long, updates long, deletes long, until long"
@@ -30,19 +32,21 @@ class _Histories(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.history = handle.getValueState("history", _STATE)
-        self.seen = handle.getMapState("seen", "signature string", "id long")
+        self.seen = handle.getListState("seen", "signature string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        h = list(self.history.get()) if self.history.exists() else [0, 0, None, None, None, None, None, 0, 0, 0, 0]
-        latest = 0
+        old = self.history.get()
+        h = list(old) if old is not None else [0, 0, None, None, None, None, None, 0, 0, 0, 0]
+        seen = {s for (s,) in self.seen.get()} if old is not None else set()
+        latest, fresh = 0, []
         for pdf in rows:
-            for r in pdf.sort_values("id").itertuples():
-                latest = max(latest, int(r.at))
-                if self.seen.containsKey((r.signature,)):
+            for i, op, signature, at in sorted(zip(*(pdf[c].tolist() for c in ("id", "op", "signature", "at")))):
+                latest = max(latest, at)
+                if signature in seen:
                     h[1] += 1
                     continue
-                self.seen.updateValue((r.signature,), (int(r.id),))
-                i, op = int(r.id), str(r.op)
+                seen.add(signature)
+                fresh.append((signature,))
                 h[0] += 1
                 if h[2] is None or i < h[2]:
                     h[2], h[3] = i, op
@@ -51,10 +55,12 @@ class _Histories(StatefulProcessor):
                 if op == "update":
                     h[6] = i if h[6] is None else max(h[6], i)
                 h[7 + ("insert", "update", "delete").index(op)] += 1
+        if fresh:
+            self.seen.appendList(fresh)
         until = latest + self.keep_ms
         if until > h[10]:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
+            if old is not None:
+                self.handle.deleteTimer(h[10])
             h[10] = until
             self.handle.registerTimer(until)
         self.history.update(tuple(h))
@@ -75,7 +81,7 @@ def histories(stream: DataFrame, time: str = "ts", late: str = "0 seconds", keep
     """HISTORY of each key whose last change is keep milliseconds behind the watermark: what came of it until then, without
     exact repeats (same signature, of any batch). stream: pk, id, op, signature, and the time. State of several variables
     needs the RocksDB store, which is set in the session."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream.sparkSession.conf.set(STORE, ROCKSDB)
     rows = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     rows = rows.withColumn("at", F.unix_millis(time))
     return rows.groupBy("pk").transformWithStateInPandas(_Histories(keep), HISTORY, "append", "eventTime")

@@ -1,11 +1,12 @@
 """Streams in batches: what they fold, and how they are cut."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from rivulet import queries_stream
 from rivulet.operators import dedup
 from rivulet.session import scratch
-from rivulet.streaming import pipeline
+from rivulet.streaming import pipeline, stateful
 
 ROWS = [(i, i % 7 if i % 3 else 1, ("insert", "update", "delete")[i * 5 % 3]) for i in range(200)]
 
@@ -30,3 +31,53 @@ def test_repeats_are_found_without_a_broadcast(spark):
     found = dedup.exact_duplicates(rows, dedup.business_signature("v"))
     assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
     assert {r.id: r.survivor_id for r in found.collect()} == {i: i % 150 for i in range(200)}
+
+
+class State:
+    """A value or list of state that counts how often it is asked."""
+
+    def __init__(self):
+        self.held, self.calls = None, 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name in ("get", "exists"):
+                return self.held is not None if name == "exists" else self.held
+            if name in ("update", "appendList"):
+                self.held = args[0] if name == "update" else [*(self.held or []), *args[0]]
+            if name == "containsKey":
+                return False
+            return []
+
+        return call
+
+
+class Handle(State):
+    def __init__(self):
+        super().__init__()
+        self.made = []
+
+    def getValueState(self, *_):
+        self.made.append(State())
+        return self.made[-1]
+
+    getListState = getMapState = getValueState
+
+
+def test_state_is_asked_once_for_a_key_and_batch():
+    handle, own = Handle(), stateful._Histories(1000)
+    own.init(handle)
+    batch = lambda low: pd.DataFrame([(i, "update", f"s{i % 700}", i) for i in range(low, low + 500)], columns=["id", "op", "signature", "at"])
+    for low in (0, 500):
+        assert list(own.handleInputRows((1,), iter([batch(low)]), None)) == []
+    assert own.history.get()[:7] == (700, 300, 0, "update", 699, "update", 699)
+    assert handle.calls + sum(s.calls for s in handle.made) < 20
+
+
+def test_long_parts_are_written_side_by_side(spark, monkeypatch):
+    monkeypatch.setattr(queries_stream, "FILE_ROWS", 2000)
+    stream = queries_stream._in_order(spark.range(9000), F.when(F.col("id") == 0, 2).otherwise((F.col("id") % 2).cast("int")), 3)
+    seen = []
+    pipeline.run(stream, scratch(spark, "checkpoint"), lambda b, n: seen.append({r.p for r in b.select((F.col("id") % 2 + F.when(F.col("id") == 0, 2).otherwise(0)).alias("p")).distinct().collect()})).awaitTermination()
+    assert seen == [{0}, {1}, {2}]
