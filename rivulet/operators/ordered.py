@@ -19,17 +19,23 @@ from pyspark.sql.types import LongType, StructField, StructType
 from rivulet.session import staged
 
 _B = "_block"
+#: The most rows that a block is planned for, unless a width is given; a longer history has more blocks and partitions.
+BLOCK_ROWS = 500_000
 
 
 class Blocks:
     """A history in blocks. level() adds columns to rows; those of a level may be used by the next.
 
-    width: rows to a block (by a count); by default there are a few blocks to a shuffle partition.
+    width: rows to a block; by default there are a few blocks to a shuffle partition, and more where they would be long.
     """
 
     def __init__(self, df: DataFrame, order: str, by: tuple[str, ...] = (), width: int | None = None):
         spark = df.sparkSession
-        many = -(-df.count() // width) if width else 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        count, usual = df.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        needed = -(-count // (width or BLOCK_ROWS))
+        many = needed if width else max(4 * usual, needed)
+        self.parts = needed if count > usual * BLOCK_ROWS else None  # None: the session's partitions do
+        self.spread = self.parts is None
         dealt = df.repartitionByRange(max(1, many), *by, order).withColumn(_B, F.spark_partition_id()).sortWithinPartitions(*by, order)
         self.rows, self.order, self.by = staged(dealt, "ordered"), order, by
         self.fields = [self.rows.schema[c] for c in by]
@@ -53,9 +59,10 @@ class Blocks:
         upto, earlier = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
         rows = self.rows.withColumns({f"_v_{n}": v for n, v in values.items()})
         if descents:
+            rows = self._dealt(rows)
             rows = rows.withColumns({f"_d_{n}": F.coalesce((F.col(f"_v_{n}") < F.last(f"_v_{n}", ignorenulls=True).over(earlier)).cast("long"), F.lit(0)) for n in descents})
         carry = self._carry(rows, sums, [*carries, *before], descents)
-        rows = rows.withColumns(
+        rows = self._dealt(rows).withColumns(
             {f"_l_{n}": F.sum(f"_v_{n}").over(upto) for n in sums}
             | {f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(upto) for n in carries}
             | {f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(earlier) for n in before}
@@ -72,6 +79,13 @@ class Blocks:
         self.rows = rows.drop(*carry.columns, *(f"{k}{n}" for n in values for k in ("_v_", "_d_", "_l_", "_f_")))
         return self
 
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """The rows by blocks in as many partitions as a long history needs; once, since later levels keep them so."""
+        if self.spread:
+            return rows
+        self.spread = True
+        return rows.repartition(self.parts, _B)
+
     def _carry(self, rows: DataFrame, sums, carries, descents) -> DataFrame:
         """What each block's first group brings from the blocks before, by a fold over what they end with."""
         ends = self._table([(b, *last[: len(self.by)]) for b, (_, last) in self.edges.items()], [], "_n_")

@@ -60,3 +60,16 @@ def test_latest_keeps_ties_apart(spark):
     rows = [(1, "a", 5, None), (2, "a", 5, None), (3, None, 1, None)]
     assert {r.id for r in ordered.latest(df(spark, rows), ["g"], "v", "id").collect()} == {2, 3}
     assert {r.id for r in ordered.all_but_latest(df(spark, rows), ["g"], "v", "id").collect()} == {1}
+
+
+def test_long_histories_have_more_partitions(spark, rows, monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 20)
+    blocks = ordered.Blocks(df(spark, rows), "id")
+    assert blocks.parts == 15
+    blocks.level(sums={"n": F.lit(1)}, carries={"last": F.col("s")}).level(descents={"d": F.col("v")}, before={"m": F.col("n")})
+    out = blocks.done()
+    assert out.rdd.getNumPartitions() == 15
+    last, d, v = None, 0, None
+    for n, (r, (i, _, x, s)) in enumerate(zip(out.orderBy("id").collect(), rows, strict=True), 1):
+        last, d, v = s or last, d + (x is not None and v is not None and x < v), v if x is None else x
+        assert (r.id, r.n, r.last, r.d, r.m) == (i, n, last, d, n - 1 or None)
