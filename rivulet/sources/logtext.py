@@ -6,6 +6,8 @@ position, database, event, section) is carried by blocks of lines.
 
 from __future__ import annotations
 
+from copy import copy
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +40,17 @@ def lines(spark, path: str) -> DataFrame:
     return rows.join(placed, ["file", "start"]).select((F.col("before") + F.col("n") - F.col("first")).alias("line_no"), "line")
 
 
-def row_events(log: DataFrame, files: int = 1, columns: dict[int, str] | None = None, width: int | None = None) -> DataFrame:
+def _blocks(log: DataFrame | Blocks, width: int | None) -> Blocks:
+    """The log's lines in blocks; such as are there (in the order of line_no) are used again."""
+    return copy(log) if isinstance(log, Blocks) else Blocks(log, "line_no", (), width)
+
+
+def row_events(log: DataFrame | Blocks, files: int = 1, columns: dict[int, str] | None = None, width: int | None = None) -> DataFrame:
     """One row for each changed row: event_no, op, database_name, table_name, line_no, file_index, log_pos, before and after
     (maps of column to decoded text). Columns are named by ordinal (columns), or UNKNOWN_COL{n-1}.
     """
     line = F.col("line")
-    rows = Blocks(log, "line_no", (), width)
+    rows = _blocks(log, width)
     # what a line says by itself, before rows are dealt by blocks; patterns are tried where the line's beginning allows
     known = F.create_map(*(F.lit(x) for kv in (columns or {}).items() for x in kv)) if columns else F.create_map().cast("map<int,string>")
     own = rows.rows.withColumn("_cell", line.startswith("###   @") & line.rlike(_ASSIGN)).withColumn("_head", line.startswith("### ") & line.rlike(_HEADER))
@@ -61,6 +68,7 @@ def row_events(log: DataFrame, files: int = 1, columns: dict[int, str] | None =
         F.when(line.startswith("# at "), _got(line, "^# at ([0-9]+)")).try_cast("long").alias("_at"),
         F.when(F.col("_head") | line.rlike("^### SET\\s*$"), "after").when(line.rlike("^### WHERE\\s*$"), "before").alias("_section"),
     )
+    parts = rows.parts
     rows = rows.level(
         sums={"event_no": F.col("head").isNotNull().cast("int")},
         carries={"log_pos": F.col("_at"), "section": F.col("_section")},
@@ -69,6 +77,7 @@ def row_events(log: DataFrame, files: int = 1, columns: dict[int, str] | None =
     of = F.struct("head.*", F.least("_file", F.lit(files - 1)).cast("long").alias("file_index"), "log_pos")
     image = lambda which: F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == which, F.col("cell")))), lambda c: F.struct(c["k"], c["v"])))
     rows = rows.where("event_no > 0 and (head is not null or cell is not null)").select("event_no", "section", "cell", F.when(F.col("head").isNotNull(), of).alias("of"))
+    rows = rows.repartition(parts, "event_no") if parts else rows
     out = rows.groupBy("event_no").agg(F.max("of").alias("of"), image("before").alias("before"), image("after").alias("after"))  # one `of` to an event
     return out.select("event_no", "of.*", "before", "after")
 
@@ -76,7 +85,7 @@ def row_events(log: DataFrame, files: int = 1, columns: dict[int, str] | None =
 _DELIMITER = "(?i)^\\s*DELIMITER\\s+(\\S+)\\s*$"
 
 
-def statements(log: DataFrame, delimiter: str = ";", width: int | None = None) -> DataFrame:
+def statements(log: DataFrame | Blocks, delimiter: str = ";", width: int | None = None) -> DataFrame:
     """(line_no, log_pos, current_database, sql) of each statement in the log text, however many lines it takes.
 
     A statement goes on to the line that ends with the delimiter outside of single quotes; DELIMITER lines change that, and
@@ -87,7 +96,7 @@ def statements(log: DataFrame, delimiter: str = ";", width: int | None = None) -
     line = F.col("line")
     quotes = F.length(F.regexp_replace(line, "\\\\.|[^']", ""))
     comment = line.startswith("#") & line.rlike("^#( at [0-9]|[0-9]{6}|##)")
-    rows = Blocks(log, "line_no", (), width)
+    rows = _blocks(log, width)
     rows.rows = rows.rows.withColumn("_q", F.when(comment, 0).otherwise(quotes)).withColumn("_set", _got(line, _DELIMITER))
     rows.level(
         sums={"_quotes": F.col("_q")},
