@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rivulet.operators.apply import current_state
 from rivulet.operators.ordered import carried
 from rivulet.operators.transport import MAX_RETRIES, batch_rollup, checksum_ok, receive
+from rivulet.session import staged
 
 #: What a source is told of a batch, by what became of its changes.
 CALLBACKS = {"applied": "applied", "partial": "partial", "failed": "failed"}
@@ -46,9 +47,10 @@ def applied_batch(target: DataFrame, inbox: DataFrame, key: str, order: str = "i
     is not changes nothing: it counts as applied (nothing_there), or with missing_fails fails as no_row. repair: such
     inserts become updates and such updates become inserts (both apply); a delete of nothing is done already.
 
-    A key's history is carried through blocks, so a key that holds much of the inbox is not one task's.
+    A key's history is carried through blocks, so a key that holds much of the inbox is not one task's. Blocks are counted,
+    sampled and dealt, so the join that they are made of is written first.
     """
-    known = inbox.join(target.select(key, F.lit(True).alias("_known")).distinct(), key, "left")
+    known = staged(inbox.join(target.select(key, F.lit(True).alias("_known")).distinct(), key, "left"), "known")
     makes = F.when(F.col(op) == "insert", F.lit(True)).when(F.col(op) == "delete", F.lit(False))
     if repair:  # an update of what is not there inserts it
         makes = F.when(F.col(op) != "delete", F.lit(True)).otherwise(F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Cuts the event ids into log files, and the copies of a tenth of the events that stand for re-captured ones.
@@ -15,8 +15,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each change: id, op, database_name, table_name, log_file, log_pos, pk, value, k, ts."""
+def change_feed(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """A row for each change: id, op, database_name, table_name, log_file, log_pos, pk, value, k, ts; more: further columns
+    of its event."""
     i = F.col("event_id")
     op = F.when(F.col("event_type") == "signup", "insert").when(F.col("event_type") == "error", "delete").otherwise("update")
     pk = F.when(i % 97 == 0, -i - 1).otherwise(F.col("user_id") * 100000 + F.floor(i / 3) % 7)
@@ -32,6 +33,7 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
         F.get_json_object("props", "$.k").cast("long").alias("k"),
         F.col("ts").cast("timestamp_ntz").alias("ts"),
+        *more,
     )
 
 

@@ -34,14 +34,15 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(row changes, schema changes, rows of the source, its columns)."""
-    user = events(spark, sf_dir).select(F.col("event_id").alias("id"), F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string")).alias("table_name"))
-    rows = change_feed(spark, sf_dir).drop("table_name").join(user, "id").where(F.col("id") % EVERY != EVERY - 1)
+    user = F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string"))
+    feed = change_feed(spark, sf_dir, user.alias("_user")).withColumn("table_name", F.col("_user")).where("id is not null")
+    rows = feed.where(F.col("id") % EVERY != EVERY - 1)
     extra = F.when(F.col("id") % 3 == 0, F.create_map(F.concat(F.lit("c"), (F.floor(F.col("id") / EVERY) % 4).cast("string")), F.col("k").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
     after = F.map_concat(F.create_map(F.lit("id"), F.col("pk").cast("string"), F.lit("value"), F.col("value").cast("decimal(20,4)").cast("string")), extra)
     rows = rows.select("id", "table_name", "op", "pk", F.when(F.col("op") != "delete", after).alias("after"))
     found = logtext.ddl_events(staged(statements(spark, sf_dir), "statements").withColumn("current_database", F.lit("shop")).withColumn("statement", F.col("sql")).drop("table_name"), parity=False)
     ddl = found.select("id", "clause_no", "table_name", "object_type", "ddl_action", "object_name", F.when(F.col("ddl_action") == "create", logtext.created_columns(F.col("statement"))).alias("columns"))
-    source = change_feed(spark, sf_dir).drop("table_name").join(user, "id").where("pk % 3 = 0").select("table_name", "pk").distinct()
+    source = feed.where("pk % 3 = 0").select("table_name", "pk").distinct()
     source = source.where(F.col("table_name").isin(*SOURCE)).withColumn("row", F.create_map(F.lit("id"), F.col("pk").cast("string"), F.lit("value"), F.lit("0")))
     columns = spark.createDataFrame([(t, c) for t, cs in SOURCE.items() for c in cs], "table_name string, column_name string")
     return rows, ddl, source, columns

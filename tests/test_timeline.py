@@ -4,8 +4,10 @@ import time
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from rivulet.operators import timeline, versioned
+from rivulet import queries_apply
+from rivulet.operators import delivery, timeline, versioned
 from rivulet.session import scratch
 
 CHANGES = "id long, table_name string, op string, pk long, after map<string,string>"
@@ -99,3 +101,22 @@ def test_many_lives_do_not_multiply_the_source(apply, monkeypatch):
     assert {told[10 * i + 2] for i in range(lives)} == {"applied"}
     assert rows == [(pk, str(pk)) for pk in range(keys)]
     assert asked[0] <= 1 + 2 * lives  # the target's row and the changes that meet a row of the source
+
+
+def test_the_stream_reads_each_event_once(spark):
+    for df in (df for n, df in enumerate(queries_apply.stream(spark, "/root/testdata/sf0.001")) if n in (0, 2)):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_inbox_is_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(i):
+        seen.add(1)
+        return i
+
+    inbox = spark.range(200).select(counted("id").alias("id"), (F.col("id") % 50).alias("k"), F.lit("insert").alias("op"))
+    done = delivery.applied_batch(spark.createDataFrame([(7,)], "k long"), inbox, "k")
+    assert done.where("status = 'applied'").count() == 49
+    assert seen.value == 200
