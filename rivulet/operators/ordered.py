@@ -39,8 +39,11 @@ class Blocks:
         dealt = df.repartitionByRange(max(1, many), *by, order).withColumn(_B, F.spark_partition_id()).sortWithinPartitions(*by, order)
         self.rows, self.order, self.by = staged(dealt, "ordered"), order, by
         self.fields = [self.rows.schema[c] for c in by]
-        group = F.struct(*by) if by else F.struct(F.lit(0).alias("none"))
-        self.edges = {r[_B]: (tuple(r.first), tuple(r.last)) for r in self.rows.groupBy(_B).agg(F.min(group).alias("first"), F.max(group).alias("last")).collect()}  # a row for each block
+        if by:
+            edges = self.rows.groupBy(_B).agg(F.min(F.struct(*by)).alias("first"), F.max(F.struct(*by)).alias("last"))
+            self.edges = {r[_B]: (tuple(r.first), tuple(r.last)) for r in edges.collect()}  # a row for each block
+        else:  # one group; least and greatest structs would be found by a sort of the rows
+            self.edges = {r[_B]: ((), ()) for r in self.rows.select(_B).distinct().collect()}  # a row for each block
 
     def _on(self, table: DataFrame, prefix: str) -> list[Column]:
         return [F.col(_B) == table[f"{prefix}{_B}"], *(F.col(c).eqNullSafe(table[f"{prefix}{c}"]) for c in self.by)]
@@ -80,11 +83,12 @@ class Blocks:
         return self
 
     def _dealt(self, rows: DataFrame) -> DataFrame:
-        """The rows by blocks in as many partitions as a long history needs; once, since later levels keep them so."""
+        """The rows by blocks in as many partitions as a long history needs; once, since later levels keep them so. Blocks
+        are dealt by number: hashed, several large ones would meet in one partition."""
         if self.spread:
             return rows
         self.spread = True
-        return rows.repartition(self.parts, _B)
+        return rows.repartitionById(self.parts, F.col(_B))
 
     def _carry(self, rows: DataFrame, sums, carries, descents) -> DataFrame:
         """What each block's first group brings from the blocks before, by a fold over what they end with."""

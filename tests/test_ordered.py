@@ -73,3 +73,11 @@ def test_long_histories_have_more_partitions(spark, rows, monkeypatch):
     for n, (r, (i, _, x, s)) in enumerate(zip(out.orderBy("id").collect(), rows, strict=True), 1):
         last, d, v = s or last, d + (x is not None and v is not None and x < v), v if x is None else x
         assert (r.id, r.n, r.last, r.d, r.m) == (i, n, last, d, n - 1 or None)
+
+
+def test_blocks_of_a_long_history_do_not_meet_in_a_partition(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 10)
+    blocks = ordered.Blocks(spark.range(600), "id").level(sums={"n": F.lit(1)})
+    held = blocks.rows.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("_block").alias("b")).collect()
+    assert blocks.parts == 60 and max(r.b for r in held) == 1
+    assert blocks.done().where("n = id + 1").count() == 600
