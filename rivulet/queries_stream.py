@@ -91,14 +91,14 @@ def _in_order(rows: DataFrame, part: Column, parts: int) -> DataFrame:
 
 
 def stream_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What came of each key, once its history is closed by a timer: repeats of a tenth of the changes come in later batches,
-    and a change of the far future moves the watermark past all timers."""
-    rows = captured(spark, sf_dir).select("id", "pk", "op", F.sha2(F.concat_ws("|", "op", "pk", "value", "ts"), 256).alias("signature"), "ts")
-    last = spark.createDataFrame([(-1, -999_999, "update", "-")], "id long, pk long, op string, signature string").withColumn("ts", F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"))
+    """What came of each key, once its history is closed by the watermark: repeats of a tenth of the changes come in later
+    batches, and a change of the far future moves the watermark past the ends of all histories."""
+    rows = captured(spark, sf_dir).select("id", "pk", "op", F.unhex(F.sha2(F.concat_ws("|", "op", "pk", "value", "ts"), 256)).alias("signature"), "ts")
+    last = spark.createDataFrame([(-1, -999_999, "update", b"-")], "id long, pk long, op string, signature binary").withColumn("ts", F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"))
     rows = rows.unionByName(last)
     part = F.when(F.col("id") == -1, 3).when(F.col("id") >= COPY_OFFSET, 2).otherwise((F.col("id") % 2).cast("int"))
     out = scratch(spark, "histories")
-    query = pipeline.run(stateful.histories(_in_order(rows, part, 4), late="60 days", keep=1000), scratch(spark, "checkpoint"), pipeline.appender(out))
+    query = pipeline.run(stateful.dated_histories(_in_order(rows, part, 4), late="60 days", keep=1000), scratch(spark, "checkpoint"), pipeline.appender(out))
     _end(query)
     kept = stateful.outcomes(spark.read.parquet(out)).select("pk", "events", "repeats", "outcome", "first_kept", "last_kept")
     most = spark.createDataFrame([(stateful.dropped(query),)], "dropped long")

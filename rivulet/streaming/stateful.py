@@ -1,10 +1,11 @@
 """State of keys over micro-batches: compaction of a key's pending history with timers, and receipt that counts what is late.
 
-Compaction (transformWithState) keeps a few numbers for each key with pending changes: the first and the last change, the
-last update, counts by operation, and the hashes of the changes so far, which tell exact repeats across batches. State is
-read and written once for a key and batch, not for each change, since every access is a message to the JVM. A timer
-of event time closes the history, emits its outcome by the rules of dedup.key_histories() and removes the
-state; what comes later begins a new one. So state is bounded by the keys that changed within the time allowed.
+Where exact repeats have one time, dated_histories() does the compaction with streaming aggregations, which suit streams of
+many keys. For repeats of any time, histories() (transformWithState) keeps a few numbers for each key with pending changes:
+the first and the last change, the last update, counts by operation, and the hashes of the changes so far, which tell exact
+repeats across batches. State is read and written once for a key and batch, not for each change, since every access is a
+message to the JVM. A timer of event time closes the history, emits its outcome by the rules of dedup.key_histories() and
+removes the state; what comes later begins a new one. So state is bounded by the keys that changed within the time allowed.
 """
 
 from __future__ import annotations
@@ -87,6 +88,29 @@ def histories(stream: DataFrame, time: str = "ts", late: str = "0 seconds", keep
     return rows.groupBy("pk").transformWithStateInPandas(_Histories(keep), HISTORY, "append", "eventTime")
 
 
+def dated_histories(stream: DataFrame, time: str = "ts", late: str = "0 seconds", keep: int = 3_600_000) -> DataFrame:
+    """histories() of a stream whose exact repeats have their change's time, as those of captured changes do, without a
+    call for each key: two streaming aggregations. The first folds the changes of one key, signature and time before the
+    shuffle, keeps them until the watermark passes their time, and hands each on once. The second has a session of each
+    key, which ends late and keep milliseconds after its last change: where a timer ends it if changes come one by one in
+    the order of their times. So what a history holds does not depend on the order and the batches, but for rows behind
+    the watermark; dropped() counts those after the fold. State is kept by the RocksDB store."""
+    stream.sparkSession.conf.set(STORE, ROCKSDB)
+    rows = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    once = rows.groupBy("pk", "signature", time).agg(F.min(F.struct("id", "op")).alias("r"), (F.count("*") - 1).alias("again"))
+    is_ = lambda name: F.col("op") == name
+    own = once.select("pk", time, "again", "r.id", "r.op").groupBy("pk", F.session_window(time, f"{late} {keep} milliseconds")).agg(
+        F.count("*").alias("events"),
+        F.sum("again").alias("repeats"),
+        F.min(F.struct("id", "op")).alias("first"),
+        F.max(F.struct("id", "op")).alias("last"),
+        F.max(F.when(is_("update"), F.col("id"))).alias("last_update_id"),
+        *(F.count_if(is_(name)).alias(f"{name}s") for name in ("insert", "update", "delete")),
+    )
+    ends = (F.col(f"{end}.{c}").alias(f"{end}_{c}") for end in ("first", "last") for c in ("id", "op"))
+    return own.select("pk", "events", "repeats", *ends, "last_update_id", "inserts", "updates", "deletes")
+
+
 def outcomes(histories: DataFrame) -> DataFrame:
     """Histories with outcome and survivors, as dedup.key_histories() has them."""
     n = F.col("events")

@@ -81,3 +81,38 @@ def test_long_parts_are_written_side_by_side(spark, monkeypatch):
     seen = []
     pipeline.run(stream, scratch(spark, "checkpoint"), lambda b, n: seen.append({r.p for r in b.select((F.col("id") % 2 + F.when(F.col("id") == 0, 2).otherwise(0)).alias("p")).distinct().collect()})).awaitTermination()
     assert seen == [{0}, {1}, {2}]
+
+
+def test_histories_need_no_call_for_each_key(spark, monkeypatch):
+    plans, run = [], pipeline.run
+    monkeypatch.setattr(pipeline, "run", lambda stream, *args, **named: plans.append(stream._jdf.queryExecution().analyzed().toString()) or run(stream, *args, **named))
+    queries_stream.stream_histories(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 1 and "TransformWithState" not in plans[0] and "UDF" not in plans[0]
+
+
+def test_dated_histories_do_not_depend_on_how_the_stream_is_cut(spark):
+    day, ops = 86_400, ("insert", "update", "delete")
+    first = [(i, i % 9, ops[i // 9 % 3], day + i) for i in range(90)]
+    again = [(i + 1000, k, op, at) for i, k, op, at in first if i % 4 == 0]
+    after = [(i + 2000, k, op, at + day) for i, k, op, at in first if k < 4]
+    late, end = [(i + 3000, 5, "insert", day + i) for i in range(3)], [(9999, -1, "update", 9 * day)]
+
+    def closed(*parts):
+        rows = [(i, k, op, f"{k} {op} {at}", at, n) for n, part in enumerate(parts) for i, k, op, at in part]
+        df = spark.createDataFrame(rows, "id long, pk long, op string, signature string, s long, part int")
+        stream = queries_stream._in_order(df.withColumn("ts", F.timestamp_seconds("s")), F.col("part"), len(parts))
+        out = scratch(spark, "histories")
+        query = pipeline.run(stateful.dated_histories(stream, late="10 minutes", keep=1000), scratch(spark, "checkpoint"), pipeline.appender(out))
+        query.awaitTermination()
+        return sorted(tuple(r) for r in spark.read.parquet(out).select(*(c.split(" ")[0] for c in stateful.HISTORY.split(", "))).collect()), stateful.dropped(query)
+
+    def folded(rows, repeats):
+        for k in {r[1] for r in rows}:
+            h = sorted(r for r in rows if r[1] == k)
+            updates = [r[0] for r in h if r[2] == "update"]
+            yield (k, len(h), sum(r[1] == k for r in repeats), h[0][0], h[0][2], h[-1][0], h[-1][2], updates[-1], *(sum(r[2] == op for r in h) for op in ops))
+
+    want = sorted([*folded(first, again), *folded(after, [])])  # keys 0 to 3 have two histories each
+    # late rows are told by the watermark that the batch before the last left
+    assert closed(first, again, after[:20], after[20:], late, end) == (want, 3)
+    assert closed(again[:5] + first[::2], first[1::2] + again[5:] + after, end) == (want, 0)
